@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bound of the sample: bytes of text per language, and texts per language.
 DICTIONARY_BYTES = 32 * 1024
@@ -110,7 +111,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], text_col
     given = tuple(sorted(dictionaries.items()))
     columns = kept.columns
     at = columns.index(text_col)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "boolean")))])
+    schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .decontamination import fold
 
@@ -42,7 +43,7 @@ TEMPLATES = (
 RARE = 4
 COVERAGE = 0.8
 
-_COLUMNS = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+_COLUMNS = {"n_words": T.LongType(), "n_base": T.LongType(), "first_word": T.LongType(), "last_word": T.LongType(), "base_labels": T.StringType(), "labels": T.StringType(), "score": T.DoubleType()}
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[bytes, int]]:
@@ -120,7 +121,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", index: TemplateIndex
     those names are replaced.
     """
     index = index or TemplateIndex(*document_frequencies(docs, text_col))
-    names = [x.split()[0] for x in _COLUMNS.split(", ")]
+    names = list(_COLUMNS)
     kept = docs.select(*[c for c in docs.columns if c not in names])
     columns = kept.columns
     at = columns.index(text_col)
@@ -131,4 +132,4 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", index: TemplateIndex
             found = [index.scan(text.as_py()) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds))], names=[*columns, *names])
 
-    return kept.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), _COLUMNS]))
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in _COLUMNS.items())]))

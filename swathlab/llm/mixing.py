@@ -183,9 +183,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = taken_words(*mix_sources(docs, id_col, text_col, source_col, **options))
     times = taken.where("size > 0").groupBy("row_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
     times = times.select("row_key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("times"), "rows").where("times > 0")
-    keyed = docs.withColumn("row_key", F.xxhash64(id_col, text_col, source_col))
-    rows = keyed.join(times, "row_key")
+    rows = docs.select(F.xxhash64(id_col, text_col, source_col).alias("row_key"), F.struct(*docs.columns).alias("doc")).join(times, "row_key")
     first = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    several = rows.where("rows > 1").withColumn("_n", first).withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("_n") <= F.col("times") % F.col("rows")).cast("int"))
-    rows = rows.where("rows = 1").unionByName(several.drop("_n")).where("times > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select(docs.columns)
+    several = rows.where("rows > 1").withColumn("n", first).withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("n") <= F.col("times") % F.col("rows")).cast("int"))
+    rows = rows.where("rows = 1").unionByName(several.drop("n")).where("times > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("doc.*")

@@ -117,5 +117,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = simhash_components(docs, id_col, text_col, shingle)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
     chosen = marked.groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.row_key").alias("_key"))
-    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(chosen, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    packed = docs.select(row_key(id_col, text_col).alias("_key"), F.struct(*docs.columns).alias("_doc"))
+    return packed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")

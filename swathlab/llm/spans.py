@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import apart, materialize, row_key
 
@@ -97,8 +98,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeats = repeated_sentences(kept, id_col, text_col, min_sentences, min_words)
     columns = kept.columns
     at = columns.index(text_col)
-    joined = kept.withColumn("_key", row_key(id_col, text_col)).join(repeats.withColumnRenamed("row_key", "_key"), "_key", "left").select(*columns, "covered")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "n_sentences int", "n_removed int", "removed string"])
+    packed = kept.select(row_key(id_col, text_col).alias("_key"), F.struct(*columns).alias("_doc"))
+    joined = packed.join(repeats.withColumnRenamed("row_key", "_key"), "_key", "left").select(*[F.col("_doc")[c].alias(c) for c in columns], F.col("covered").alias("_covered"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_sentences", T.IntegerType()), T.StructField("n_removed", T.IntegerType()), T.StructField("removed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
