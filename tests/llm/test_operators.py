@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from swathlab.llm import components, decontamination, language, licenses, mixing, pii, quality, sharding, simhash, spans, vectors
+from swathlab.llm import components, decontamination, language, licenses, mixing, near_copies, pii, quality, sharding, simhash, spans, vectors
 
 from .conftest import awkward_rows
 
@@ -110,6 +112,75 @@ def test_simhash_deduplicate(spark, awkward, nothing):
     assert simhash.deduplicate(nothing).count() == 0
 
 
+# -- near copies at a similarity ---------------------------------------------------------------
+def similar_roots(texts, k=5, similarity=0.8):
+    """Text -> root of its group, by all pairs of sets of five-word shingles."""
+    def shingles(text):
+        w = (text or "").encode().lower().split()
+        n = min(k, len(w))
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+    sets = [shingles(t) for t in texts]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or (sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]))]
+    root = roots_of(range(len(texts)), edges)
+    return {t: root[i] for i, t in enumerate(texts)}
+
+
+def test_near_copies(spark, awkward, nothing):
+    rows = near_copies.similar_components(awkward).collect()
+    keyed = {r["k"]: r["text"] for r in awkward.select("text", F.xxhash64("doc_id", "text").alias("k")).collect()}
+    expected = similar_roots([t for t in keyed.values()])
+    groups, wanted = defaultdict(set), defaultdict(set)
+    for r in rows:
+        groups[r["root"]].add(keyed[r["row_key"]] or "")
+    for text, root in expected.items():
+        wanted[root].add(text or "")
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
+    kept = near_copies.deduplicate_similar(awkward)
+    assert kept.columns == awkward.columns and kept_columns(kept) and kept.count() == len(groups)
+    assert near_copies.deduplicate_similar(nothing).count() == 0
+
+
+def test_near_copies_at_the_threshold_and_in_large_groups(spark):
+    """Edited copies: borderline pairs are settled by their exact similarity, a large group goes through tiles."""
+    rng = random.Random(8)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+
+    def edited(text, n):
+        w = text.split()
+        for i in rng.sample(range(len(w)), n):
+            w[i] = rng.choice(words_)
+        return " ".join(w)
+
+    texts = []
+    for n in (1, 2, 3, 4, 5, 6, 8, 12):
+        base = " ".join(rng.choice(words_) for _ in range(200))
+        texts += [base, edited(base, n)]
+    large = " ".join(rng.choice(words_) for _ in range(300))
+    texts += [large, *{edited(large, 1) for _ in range(120)}]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r["id"]: r["root"] for r in near_copies.similar_components(docs).collect()}
+    expected = similar_roots(texts)
+    same = Counter((root[i] == root[j], expected[texts[i]] == expected[texts[j]]) for i in range(len(texts)) for j in range(i))
+    assert same[True, False] == 0 and same[False, True] == 0
+
+
+def test_tiles_find_every_link():
+    rng = np.random.default_rng(6)
+    base = rng.integers(-(1 << 62), 1 << 62, size=(5, near_copies.WORD_PRINTS + near_copies.SHINGLE_PRINTS))
+    marks = np.concatenate([b ^ (rng.random((80, 1)) < 2).astype(np.int64) * (np.int64(1) << rng.integers(0, 60, size=(80, base.shape[1]))) for b in base])
+    sig = np.arange(len(marks))
+    found = []
+    for low, high in ((0, 0), (0, 1), (1, 1)):
+        some = [i for i in sig if i % 2 in (low, high)]
+        table = pa.table({"prints": pa.array([list(map(int, marks[i])) for i in some], pa.list_(pa.int64())), "tile": [i % 2 for i in some], "sig": some, "low": [low] * len(some), "high": [high] * len(some)})
+        out = near_copies._tile(table, 40)
+        found += zip(out["left"].to_pylist(), out["right"].to_pylist(), strict=True)
+    away = np.bitwise_count((marks[:, None, near_copies.WORD_PRINTS :] ^ marks[None, :, near_copies.WORD_PRINTS :]).astype(np.uint64)).sum(2)
+    true = [(i, j) for i in sig for j in range(i) if away[i, j] <= 40]
+    assert roots_of(sig, found) == roots_of(sig, true) and len(found) < len(true)
+
+
 # -- op2 -----------------------------------------------------------------------------------
 def reference_targets(sizes, weights=(5.0, 2.0, 1.0), share=1.5, most=2.0):
     """Shares by weight, the excess over the caps shared again, until none is above."""
