@@ -75,4 +75,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_spans, op5_personal_data, op6_language, op7_licenses, op8_vectors, op9_decontamination, op10_quality)
 }
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: Where SQL can express the result; the others are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {
+    "op8_vectors": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT r.vec_id, coalesce(any_value(n.n), 0) AS n_links, min(root) AS component_id, min(root) = r.vec_id AS kept FROM r LEFT JOIN n ON n.a = r.vec_id GROUP BY r.vec_id""",
+    "op9_decontamination": f"""WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark), d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[p:p + least(5, len(w)) - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS p FROM i WHERE len(w) > 0)),
+t AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s))),
+n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS shared FROM s JOIN t ON s.k = t.k AND s.run = t.run GROUP BY ALL)
+SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles""",
+}
