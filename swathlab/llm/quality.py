@@ -1,7 +1,7 @@
 """Quality scores by hierarchical empirical Bayes.
 
-A naive Bayes classifier over words and binned text statistics, fitted on a bounded sample of
-labelled documents, gives each document's evidence (a calibrated log-odds). Sites have two
+A logistic classifier over words, their beginnings and binned text statistics (those that tell the classes apart by
+chi-squared), fitted on a bounded sample of labelled documents, gives each document's evidence (a calibrated log-odds). Sites have two
 levels, host and path. A host's rate is drawn to the global one, a path's to
 its host's, by as many pseudo-documents as the spread between sites calls for (method of
 moments, from grouped sums), so that sparse sites stay near their prior. A document's posterior
@@ -24,13 +24,17 @@ from .decontamination import fold
 
 #: Bound of the fit: labelled documents, and features kept for each target.
 SAMPLE_DOCUMENTS = 20_000
-KEPT_FEATURES = 4096
+KEPT_FEATURES = 320
 LEAST_CHI2 = 16.0
+RIDGE = 1.0
+#: Lengths in bytes of the beginnings of words that are features.
+BEGINNINGS = (4, 6)
+_SIGNS = b"!#$%&*|"
 TARGETS = ("quality", "toxic")
 
 
 def features(text: str | None) -> set[bytes]:
-    """Words, and bins of: length, signs, capitals, digits, word length, repeated words, repeated lines. Null counts as empty."""
+    """Words, their beginnings, and bins of text statistics. Null counts as empty."""
     text = text or ""
     words = fold(text).split()
     n, distinct = len(words), set(words)
@@ -39,13 +43,16 @@ def features(text: str | None) -> set[bytes]:
     spaces = sum(map(raw.count, (b" ", b"\n", b"\t")))
     upper = sum(map(raw.count, _CAPITALS))
     lines = text.split("\n")
-    stats = (
-        ("length", math.log2(n + 1)), ("signs", 20 * (len(raw) - letters - spaces) / max(1, len(raw))), ("capitals", 10 * upper / letters),
-        ("digits", 20 * sum(len(w) for w in distinct if w.isdigit()) / letters), ("word", min(16, letters / max(1, n))),
-        ("variety", 10 * len(distinct) / max(1, n) if n < 200 else 11), ("lines", 10 * len(set(lines)) / len(lines)),
-    )
-    distinct.update(b"\x00%s=%d" % (name.encode(), int(value)) for name, value in stats)
-    return distinct
+    stats = [
+        ("length", math.log2(n + 1)), ("signs", 20 * math.sqrt(max(0, len(raw) - letters - spaces) / max(1, len(raw)))), ("capitals", 20 * math.sqrt(upper / letters)),
+        ("digits", 20 * math.sqrt(sum(len(w) for w in distinct if w.isdigit()) / letters)), ("word", min(16, letters / max(1, n))),
+        ("variety", 10 * len(distinct) / max(1, n) if n < 200 else 11 + 10 * len(distinct) / n), ("lines", 10 * len(set(lines)) / len(lines)),
+    ]
+    stats += [(f"sign{c}", 10 * math.sqrt(raw.count(c) / max(1, n))) for c in _SIGNS]
+    out = distinct | {b"\x00%s=%d" % (name.encode(), int(value)) for name, value in stats}
+    for k in BEGINNINGS:
+        out |= {b"^" + w[:k] for w in distinct if len(w) > k}
+    return out
 
 
 _CAPITALS = [bytes([c]) for c in range(0x41, 0x5B)]
@@ -59,15 +66,15 @@ class Evidence:
 
     def raw(self, found: set[bytes], target: str) -> float:
         weights = self.weights[target]
-        return math.fsum(sorted(weights[f] for f in found & weights.keys()))
+        return math.fsum(weights[f] for f in found & weights.keys())
 
     def score(self, found: set[bytes], target: str) -> float:
         slope, offset = self.lines[target]
         return max(-12.0, min(12.0, slope * self.raw(found, target) + offset))
 
 
-def _select(counts: dict[bytes, tuple[int, int]], bad: int, good: int) -> dict[bytes, float]:
-    """Log-ratios of the features that tell the classes apart (chi-squared), smoothed by half a document."""
+def _select(counts: dict[bytes, tuple[int, int]], bad: int, good: int) -> list[bytes]:
+    """The features that tell the classes apart best (chi-squared)."""
     out = []
     total = bad + good
     for feature, (b, g) in counts.items():
@@ -75,24 +82,41 @@ def _select(counts: dict[bytes, tuple[int, int]], bad: int, good: int) -> dict[b
         spread = n * (total - n) * bad * good
         chi2 = total * (b * good - g * bad) ** 2 / spread if spread else 0.0
         if chi2 >= LEAST_CHI2:
-            out.append((chi2, feature, math.log((g + 0.5) / (good + 1)) - math.log((b + 0.5) / (bad + 1))))
-    return {f: w for _, f, w in sorted(out, key=lambda x: (-x[0], x[1]))[:KEPT_FEATURES]}
+            out.append((chi2, feature))
+    return [f for _, f in sorted(out, key=lambda x: (-x[0], x[1]))[:KEPT_FEATURES]]
+
+
+def _newton(x: np.ndarray, y: np.ndarray, centre: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic regression drawn to ``centre``, by Newton steps that are halved until the loss falls."""
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.sum(np.logaddexp(0, z) - y * z) + np.sum(ridge * (b - centre) ** 2) / 2)
+
+    b = centre.copy()
+    now = loss(b)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -40, 40)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * (b - centre))
+        size = 1.0
+        while (tried := loss(b + size * step)) > now and size > 1e-6:
+            size /= 2
+        if now - tried < 1e-7 * (1 + now):
+            break
+        b, now = b + size * step, tried
+    return b
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset (last) of a ridge logistic regression."""
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
+    return _newton(x, y, np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, RIDGE), 1e-3))
 
 
 def _calibrate(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0) and offset of a logistic line, by Newton steps with a weak prior."""
-    rate = (y.sum() + 1) / (len(y) + 2)
-    b = np.array([0.0, math.log(rate / (1 - rate))])
-    x = np.column_stack([raw, np.ones(len(raw))])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        gradient = x.T @ (y - p) - np.array([b[0], 0.0])
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1.0, 1e-3])
-        step = np.linalg.solve(curve, gradient)
-        b += np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return max(0.0, float(b[0])), float(b[1])
+    """Slope (at least 0) and offset of a logistic line over evidence, drawn to a slope of 1."""
+    slope, offset = _newton(np.column_stack([raw, np.ones(len(raw))]), y, np.array([1.0, 0.0]), np.array([2.0, 1e-3]))
+    return max(0.0, float(slope)), float(offset)
 
 
 def sample_labels(labels: DataFrame, id_col: str, sample: int) -> DataFrame:
@@ -104,9 +128,9 @@ def sample_labels(labels: DataFrame, id_col: str, sample: int) -> DataFrame:
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_DOCUMENTS) -> Evidence:
     """Feature counts from three quarters of the sample, calibration on the rest."""
-    chosen = sample_labels(labels, id_col, sample)
+    labelled = sample_labels(labels, id_col, sample)
     # the sample's bound is that of the broadcast
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "part", *TARGETS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(labelled), "id").select("text", "part", *TARGETS)
     texts = materialize(texts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +151,28 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     good, bad = (F.sum(F.when(F.col("value") > 0, F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("value") > 0, 0).otherwise(F.col("n"))).alias("bad"))
     # at least 8 documents for a feature to matter: what comes back is bounded by the sample
     rows = tally.groupBy("target", "feature").agg(good, bad).where((F.col("good") + F.col("bad") >= 8) | (F.col("feature") == F.lit(b""))).collect()
-    weights: dict[str, dict[bytes, float]] = {}
+    chosen: dict[str, list[bytes]] = {}
     for target in TARGETS:
         counts = {bytes(r["feature"]): (r["bad"], r["good"]) for r in rows if r["target"] == target}
         n_bad, n_good = counts.pop(b"", (0, 0))
-        weights[target] = _select(counts, n_bad, n_good) if n_bad and n_good else {}
+        chosen[target] = _select(counts, n_bad, n_good) if n_bad and n_good else []
+    places = {t: {f: i for i, f in enumerate(chosen[t])} for t in TARGETS}
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch.column(0).to_pylist()]
+            held = [pa.array([sorted(places[t][f] for f in x & places[t].keys()) for x in found], pa.list_(pa.int32())) for t in TARGETS]
+            yield pa.RecordBatch.from_arrays([*held, batch.column(2), batch.column(3)], names=["has_quality", "has_toxic", *TARGETS])
+
+    examples = texts.where("part <> 0").mapInArrow(index, "has_quality array<int>, has_toxic array<int>, quality int, toxic int").collect()
+    weights: dict[str, dict[bytes, float]] = {}
+    for target in TARGETS:
+        known = sorted((sorted(r[f"has_{target}"]), int(r[target] > 0)) for r in examples if r[target] is not None)
+        x = np.zeros((len(known), len(chosen[target])), np.float32)
+        for row, (has, _) in enumerate(known):
+            x[row, has] = 1
+        fitted = _logistic(x, np.array([y for _, y in known])) if chosen[target] else np.zeros(1)
+        weights[target] = dict(zip(chosen[target], map(float, fitted[:-1]), strict=True))
     evidence = Evidence(weights, dict.fromkeys(TARGETS, (1.0, 0.0)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
