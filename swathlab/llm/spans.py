@@ -1,5 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
+A sentence ends at its signs or with the line; one of over ``LONG_SENTENCE`` words is cut further behind
+words whose hash says so, which a passage brings along wherever it stands. So the ends of a passage
+that is glued into other sentences cost a few words only.
+
 A span is the shortest run of sentences from a given one on that has at least ``MIN_SENTENCES``
 sentences and ``MIN_WORDS`` words. Spans are compared by the 64-bit hash of their words over all
 documents; every sentence that a span other than the first of its kind covers is removed.
@@ -8,7 +12,9 @@ The first is that of the least document (id, then row key), then the least place
 
 from __future__ import annotations
 
+import functools
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,18 +27,56 @@ from .common import apart, materialize, row_key
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
+LONG_SENTENCE = 20
+#: One word in so many ends a piece of a long sentence.
+CUT_EVERY = 8
 #: A sentence ends after a run of these signs and the white space behind, or a line's end.
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\s*")
 
 
+_WORD = re.compile(r"\S+\s*")
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _ends_piece(word: str) -> bool:
+    return zlib.crc32(word.encode()) % CUT_EVERY == 0
+
+
 def sentences(text: str | None) -> list[tuple[int, int]]:
-    """(start, end) in code points of the sentences, which cover the text without gaps."""
-    return [(m.start(), m.end()) for m in _SENTENCE.finditer(text or "") if m.end() > m.start()]
+    """(start, end) in code points of the sentences and pieces of long ones, which cover the text without gaps."""
+    out = []
+    for m in _SENTENCE.finditer(text or ""):
+        at, end = m.span()
+        if end > at and len(m[0].split()) > LONG_SENTENCE:
+            for word in _WORD.finditer(text, at, end):
+                if word.end() < end and _ends_piece(word[0].rstrip().lower()):
+                    out.append((at, word.end()))
+                    at = word.end()
+        if end > at:
+            out.append((at, end))
+    return out
+
+
+def _pieces(text: str | None) -> list[list[str]]:
+    """The words of each of ``sentences``, in lower case."""
+    out: list[list[str]] = []
+    for m in _SENTENCE.finditer(text or ""):
+        words = m[0].lower().split()
+        if len(words) <= LONG_SENTENCE:
+            if m[0]:
+                out.append(words)
+            continue
+        at = 0
+        for i in [i for i, w in enumerate(words[:-1], 1) if _ends_piece(w)]:
+            out.append(words[at:i])
+            at = i
+        out.append(words[at:])
+    return out
 
 
 def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, last sentence) of the spans of a text."""
-    parts = [text[a:b].lower().split() for a, b in sentences(text)]
+    parts = _pieces(text)
     out, end, words = [], 0, 0
     for start in range(len(parts)):
         while end < len(parts) and (end - start < min_sentences or words < min_words):
@@ -47,26 +91,20 @@ def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
 
 
 def span_table(docs: DataFrame, id_col: str, text_col: str, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per span: hash, id, row_key, first, last. Repeated rows of ``docs`` give their spans once each."""
-    keyed = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    schema = f"hash bigint, id {keyed.schema['id'].dataType.simpleString()}, row_key bigint, first int, last int"
+    """One row per span: hash, row_key, place (first sentence * 2**31 + last sentence)."""
+    keyed = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, firsts, lasts = [], [], [], []
-            for at, text in enumerate(batch.column(2)):
+            rows, hashes, places = [], [], []
+            for at, text in enumerate(batch.column(1)):
                 for value, first, last in spans(text.as_py(), min_sentences, min_words):
                     rows.append(at)
                     hashes.append(value)
-                    firsts.append(first)
-                    lasts.append(last)
-            chosen = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes, pa.int64()), batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(firsts, pa.int32()), pa.array(lasts, pa.int32())],
-                names=["hash", "id", "row_key", "first", "last"],
-            )
+                    places.append(first << 31 | last)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64())), pa.array(places, pa.int64())], names=["hash", "row_key", "place"])
 
-    return keyed.mapInArrow(run, schema)
+    return keyed.mapInArrow(run, "hash bigint, row_key bigint, place bigint")
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
@@ -78,9 +116,12 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = span_table(docs, id_col, text_col, min_sentences, min_words)
     counts = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
     shared = materialize(apart(found, "hash").join(apart(counts, "hash"), ["hash", "_apart"]).drop("_apart"))
-    place = F.struct(F.col("id").isNotNull().alias("known"), "id", "row_key", "first")
-    kinds = shared.groupBy("hash").agg(F.min(place).alias("first_place"))
-    again = apart(shared, "hash").join(apart(kinds, "hash"), ["hash", "_apart"]).where(~((F.col("row_key") == F.col("first_place.row_key")) & (F.col("first") == F.col("first_place.first"))))
+    ids = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id")).dropDuplicates(["row_key"])
+    shared = apart(shared, "row_key").join(apart(ids, "row_key"), ["row_key", "_apart"]).select("hash", "id", "row_key", "place")
+    order = F.struct(F.col("id").isNotNull().alias("known"), "id", "row_key", "place")
+    kinds = shared.groupBy("hash").agg(F.min(order).alias("least"))
+    again = apart(shared, "hash").join(apart(kinds, "hash"), ["hash", "_apart"]).where(~((F.col("row_key") == F.col("least.row_key")) & (F.col("place") == F.col("least.place"))))
+    again = again.select("row_key", F.shiftright("place", 31).cast("int").alias("first"), (F.col("place") % F.lit(1 << 31)).cast("int").alias("last"))
     # a document's spans only, so an array of at most its sentences
     return again.groupBy("row_key").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("covered"))
 

@@ -295,6 +295,19 @@ def reference_removed(rows):
     return covered
 
 
+def test_pieces_of_long_sentences():
+    """Places and words of pieces agree, and a passage is cut alike wherever it stands."""
+    rng = random.Random(9)
+    for text in [r[1] for r in awkward_rows()] + ["", None, "a " * 100, "x. \n\n y! ... z", "Ünï " * 50 + "\n end"]:
+        parts = spans.sentences(text)
+        assert "".join(text[a:b] for a, b in parts) == text if text else not parts
+        assert [text[a:b].lower().split() for a, b in parts] == spans._pieces(text)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    passage = " ".join(rng.choice(words_) for _ in range(60))
+    one, two = (" ".join(rng.choice(words_) for _ in range(n)) + " " + passage + " " + " ".join(rng.choice(words_) for _ in range(30)) for n in (30, 45))
+    assert {h for h, *_ in spans.spans(one)} & {h for h, *_ in spans.spans(two)}
+
+
 def test_spans(spark, awkward, nothing):
     out = spans.remove_repeats(awkward)
     assert set(awkward.columns) <= set(out.columns) and kept_columns(out)
