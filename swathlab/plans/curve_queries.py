@@ -26,10 +26,10 @@ def j25_interpolation_join(spark, sf):
     return I.interpolate_join(split, knots, ["part"], "x", "wavelength", "response", "y").select("chip_id", "n", "l_extendedprice", F.round("y", 5).alias("y"))
 
 
-@query(f"WITH {_KNOTS}, q AS (SELECT range / 4.0 + 0.5 AS x FROM range(220)) SELECT CAST(x AS DOUBLE) AS wavelength, round({_interp_sql('x')}, 5) AS response FROM q, ends")
+@query(f"WITH {_KNOTS}, q AS (SELECT range / 4.0 + 0.5 AS x FROM range(220)) SELECT CAST(x AS DOUBLE) AS wavelength, round({_interp_sql('x')}, 9) AS response FROM q, ends")
 def t3_resample_curve(spark, sf):
     grid = spark.range(220).select((F.col("id") / 4 + 0.5).alias("wavelength"), F.lit(0).alias("k"))
-    return I.interpolate_join(grid, curve(spark, sf).withColumn("k", F.lit(0)), ["k"], "wavelength", "wavelength", "response", "response").select("wavelength", F.round("response", 5).alias("response"))
+    return I.interpolate_join(grid, curve(spark, sf).withColumn("k", F.lit(0)), ["k"], "wavelength", "wavelength", "response", "response").select("wavelength", F.round("response", 9).alias("response"))
 
 
 _TABLE = "tab AS (SELECT range AS i, exp(-range / 40.0) AS nb FROM range(101))"

@@ -238,9 +238,9 @@ def a13_asymmetric_mse(spark, sf):
     return per.groupBy("region").agg(F.round(F.sum("e"), 6).alias("loss"))
 
 
-@query(f"WITH {BAND_PIXELS} SELECT chip_id, round(avg(CASE WHEN scl <> 0 THEN (swir22 - swir16) * (swir22 - swir16) END), 4) AS mse FROM px GROUP BY 1")
+@query(f"WITH {BAND_PIXELS} SELECT chip_id, round(avg(CASE WHEN scl <> 0 THEN (swir22 - swir16) * (swir22 - swir16) END), 1) AS mse FROM px GROUP BY 1")
 def a14_mse_ignoring_missing(spark, sf):
-    return band_pixels(spark, sf).groupBy("chip_id").agg(F.round(F.avg(F.when(F.col("scl") != 0, F.pow(F.col("swir22") - F.col("swir16"), 2))), 4).alias("mse"))
+    return band_pixels(spark, sf).groupBy("chip_id").agg(F.round(F.avg(F.when(F.col("scl") != 0, F.pow(F.col("swir22") - F.col("swir16"), 2))), 1).alias("mse"))
 
 
 @query(f"WITH {PIXELS}, c AS (SELECT CAST(chip_id AS VARCHAR) AS chip_id, {_COUNTS} FROM pixels GROUP BY 1 UNION ALL SELECT 'overall', {_COUNTS} FROM pixels) SELECT * FROM c")
