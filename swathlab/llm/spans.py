@@ -77,6 +77,7 @@ def _pieces(text: str | None) -> list[list[str]]:
 def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> list[tuple[int, int, int]]:
     """(hash, first sentence, last sentence) of the spans of a text."""
     parts = _pieces(text)
+    joined = [" ".join(part) for part in parts]
     out, end, words = [], 0, 0
     for start in range(len(parts)):
         while end < len(parts) and (end - start < min_sentences or words < min_words):
@@ -84,7 +85,7 @@ def spans(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int =
             end += 1
         if end - start < min_sentences or words < min_words:
             break
-        run = " ".join(w for part in parts[start:end] for w in part)
+        run = " ".join(filter(None, joined[start:end]))
         out.append((xxhash.xxh64_intdigest(run.encode()) - (1 << 63), start, end - 1))
         words -= len(parts[start])
     return out
@@ -147,8 +148,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             texts, totals, gone, removed = [], [], [], []
             for value, covered in zip(batch.column(at), batch.column(len(columns)), strict=True):
-                text, parts = value.as_py(), sentences(value.as_py())
+                text = value.as_py()
                 drop = {i for x in covered.as_py() or () for i in range(x["first"], x["last"] + 1)}
+                parts = sentences(text) if drop else _pieces(text)  # places are needed only to cut
                 runs: list[list[int]] = []
                 for i in sorted(drop):
                     if runs and runs[-1][1] == parts[i][0]:
