@@ -77,15 +77,15 @@ def shingle_hashes(folded: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def _pieces(folded: bytes, shingle: int) -> Iterator[bytes]:
-    """A long text in parts of about ``_PIECE`` bytes that share ``shingle`` - 1 words."""
-    at = 0
-    while (cut := folded.find(b" ", at + _PIECE)) >= 0:
-        yield folded[at:cut]
-        at = cut
+    """A long text in parts that begin with the last ``shingle`` - 1 words of the one before, and have about ``_PIECE`` bytes (at least a word) more."""
+    start = cut = 0
+    while (cut := folded.find(b" ", cut + _PIECE)) >= 0:
+        yield folded[start:cut]
+        start = cut
         for _ in range(shingle - 1):
-            at = folded.rfind(b" ", 0, at)
-        at += 1
-    yield folded[at:]
+            start = folded.rfind(b" ", 0, start) if start > 0 else start
+        start += 1
+    yield folded[start:]
 
 
 class ItemIndex:

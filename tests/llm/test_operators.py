@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -522,6 +523,23 @@ def test_decontamination(spark, awkward, nothing, monkeypatch):
     assert decontamination.decontaminate(awkward, table.where("false")).count() == len(given)
 
 
+@pytest.mark.parametrize("before", [0, 1, 2, 3, 4, 5, 3000])
+def test_decontamination_behind_a_very_long_word(before):
+    """Pieces end, and hold every shingle, where a word is longer than a piece."""
+    rng = random.Random(14)
+    some = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(before + 6000)]
+    item = [f"item{i}" for i in range(20)]
+    long = "0123456789abcdef" * (1 << 17)
+    w = some[:before] + [long] + some[before : before + 3000] + item + some[before + 3000 :] + [long, *item[:10], long, long]
+    folded = decontamination.fold(" ".join(w))
+    pieces = list(itertools.islice(decontamination._pieces(folded, 5), 40))
+    assert len(pieces) < 40
+    have = {tuple(p[i : i + 5]) for p in (x.decode().split() for x in pieces) for i in range(len(p) - 4)}
+    assert have == {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    index = decontamination.ItemIndex([(1, " ".join(item)), (2, " ".join(some[:5] if before > 4 else some[before : before + 5]))])
+    assert [x[:2] for x in index.search([" ".join(w)])] == [(0, 0), (0, 1)]
+
+
 def test_decontamination_in_blocks(spark):
     items = spark.createDataFrame([(i, f"item number {i} has these seven plain words {i}") for i in range(50)], "item_id long, text string")
     blocks = list(decontamination.item_blocks(items, block_bytes=500))
