@@ -10,9 +10,10 @@ acos(2 s / (1 + s)) / pi of the bits. With 768 bits the error of s is about 0.01
 A near copy at a similarity of 0.8 to 0.85 is met by the masks in about 94 of 100 cases as measured on the given
 documents, closer ones more often; groups need one link per member only.
 
-Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair.
-Larger ones are compared in tiles that return a spanning forest, so every pair is looked at and
-none is passed on; there the fingerprints alone decide, within one standard error of the threshold.
+Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair,
+larger ones in tiles. Either way an estimate beyond ``BAND`` links at once, and the borderline pairs
+whose ends these links leave in different groups are settled exactly. A tile returns a spanning forest of the first and
+all of the second that its forest leaves apart.
 """
 
 from __future__ import annotations
@@ -93,13 +94,18 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
     return kept.mapInArrow(run, f"id {kind}, row_key bigint, sig bigint, prints array<bigint>")
 
 
-def _tile(rows: pa.Table, most: int) -> pa.Table:
-    """Edges of a spanning forest of the links between two tiles of a bucket (or within one)."""
+def _tile(rows: pa.Table, most: int, possible: int = -1) -> pa.Table:
+    """Edges between two tiles of a bucket (or within one): left, right, sure.
+
+    Sure ones: a spanning forest of the pairs that differ in up to ``most`` bits. Others: all pairs of up to
+    ``possible`` bits whose ends the forest leaves apart, the lesser signature first.
+    """
     words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)[:, WORD_PRINTS:].astype(np.uint64)
     tile, sig = rows.column("tile").to_numpy(), rows.column("sig").to_numpy()
     first = np.flatnonzero(tile == rows.column("low")[0].as_py())
     second = np.flatnonzero(tile == rows.column("high")[0].as_py())
-    labels, lefts, rights = np.arange(rows.num_rows), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    labels, lefts, rights, unsure = np.arange(rows.num_rows), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int32)]
+    within = rows.column("low")[0] == rows.column("high")[0]
     for at in range(0, len(first), _BLOCK):
         block = first[at : at + _BLOCK]
         apart_by = np.zeros((len(block), len(second)), np.uint16)
@@ -109,7 +115,15 @@ def _tile(rows: pa.Table, most: int) -> pa.Table:
         a, b = _forest(labels, block[i], second[j])
         lefts.append(a)
         rights.append(b)
-    return pa.table({"left": sig[np.concatenate(lefts)], "right": sig[np.concatenate(rights)]})
+        i, j = np.nonzero((apart_by > most) & (apart_by <= possible))
+        i, j = block[i], second[j]
+        keep = (labels[i] != labels[j]) & ((i < j) | (not within))
+        unsure.append(np.stack([i[keep], j[keep]]).astype(np.int32))
+    i, j = np.concatenate(unsure, axis=1)
+    keep = labels[i] != labels[j]  # by the whole forest
+    i, j = sig[i[keep]], sig[j[keep]]
+    left, right = np.concatenate([sig[np.concatenate(lefts)], np.minimum(i, j)]), np.concatenate([sig[np.concatenate(rights)], np.maximum(i, j)])
+    return pa.table({"left": left, "right": right, "sure": np.arange(len(left)) < len(left) - len(i)})
 
 
 def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -133,8 +147,8 @@ def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int,
 
 
 def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (left, right) between signatures; ``classes``: sig, prints, one row per signature; see ``settled`` for the others."""
-    masks, most = covering_masks(RADIUS), most_bits(similarity)
+    """Edges (left, right) that tie similar signatures; ``classes``: sig, prints, one row per signature; see ``settled`` for the others."""
+    masks = covering_masks(RADIUS)
     slots = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.element_at("prints", k + 1).bitwiseAND(F.lit(_signed(m)))) for k in range(WORD_PRINTS) for i, m in enumerate(masks)])
     keyed = classes.select("sig", F.explode(slots).alias("slot"))
     filled = keyed.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
@@ -146,12 +160,20 @@ def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shing
     differ = sum((F.bit_count(F.element_at("a.prints", k).bitwiseXOR(F.element_at("b.prints", k))) for k in range(WORD_PRINTS + 1, WORD_PRINTS + SHINGLE_PRINTS + 1)), F.lit(0))
     sure, possible = most_bits(min(0.99, similarity + BAND), 0.0), most_bits(similarity - BAND)
     met = materialize(pairs.select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right"), differ.alias("differ")).where(F.col("differ") <= possible).distinct())
-    links = met.where(F.col("differ") <= sure).select("left", "right").unionByName(settled(met.where(F.col("differ") > sure).select("left", "right"), places, texts, shingle, similarity))
 
     dealt = known.where(F.col("n") > PAIRED).withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = dealt.select("slot", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "sig", "prints")
-    return links.unionByName(tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, most), "left bigint, right bigint"))
+    found = materialize(tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, sure, possible), "left bigint, right bigint, sure boolean"))
+
+    every = met.select("left", "right", (F.col("differ") <= sure).alias("sure")).unionByName(found)
+    roots = materialize(connected_components(every.where("sure"), "left", "right"))
+    unsure = every.where("not sure").select("left", "right").distinct()
+    for end in ("left", "right"):
+        ends = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        unsure = apart(unsure, end).join(apart(ends, end), [end, "_apart"], "left").drop("_apart")
+    unsure = materialize(unsure.where(F.coalesce("left_root", "left") != F.coalesce("right_root", "right")).select("left", "right"))
+    return roots.select(F.col("node").alias("left"), F.col("root").alias("right")).unionByName(settled(unsure, places, texts, shingle, similarity))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

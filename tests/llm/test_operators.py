@@ -166,6 +166,28 @@ def test_near_copies_at_the_threshold_and_in_large_groups(spark):
     assert same[True, False] == 0 and same[False, True] == 0
 
 
+def test_borderline_pairs_in_large_buckets_are_settled(spark, monkeypatch):
+    """Variants of one text, most pairs of them a little below the threshold, which the estimate alone can't tell."""
+    rng = random.Random(12)
+    words_ = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)]
+    base = rng.sample(words_, 1000)
+
+    def edited(n, of=base):
+        w = list(of)
+        for i in rng.sample(range(0, 1000, 6), n):
+            w[i + rng.randrange(2)] = rng.choice(words_)
+        return " ".join(w)
+
+    texts = [edited(n) for n in (13, 13, 14, 14, 14, 15) for _ in range(10)]
+    texts += [edited(20, text.split()) for text in texts[:6]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_copies, "PAIRED", 2)
+    root = {r["id"]: r["root"] for r in near_copies.similar_components(docs).collect()}
+    expected = similar_roots(texts)
+    same = Counter((root[i] == root[j], expected[texts[i]] == expected[texts[j]]) for i in range(len(texts)) for j in range(i))
+    assert same[True, False] == 0 and same[False, True] == 0 and same[True, True] and same[False, False]
+
+
 def test_tiles_find_every_link():
     rng = np.random.default_rng(6)
     base = rng.integers(-(1 << 62), 1 << 62, size=(5, near_copies.WORD_PRINTS + near_copies.SHINGLE_PRINTS))
