@@ -3,7 +3,7 @@
 Templates are short runs of words that licence notices have. Over all documents it is counted how
 many hold each template word; a template is looked up by its ``RARE`` words of highest IDF.
 Each place of such a word in a text proposes a start (its place less its place in the
-template); starts that all the rare words at hand agree on are verified: the key phrases must stand where the
+template); starts whose missing rare words leave ``COVERAGE`` within reach are verified: the key phrases must stand where the
 template has them, and the IDF-weighted share of words in place must reach ``COVERAGE``.
 """
 
@@ -78,7 +78,9 @@ class TemplateIndex:
                 keys.append((next(i for i in range(len(words)) if words[i : i + len(run)] == run), run))
             weights = [idf(w) for w in words]
             rare = sorted(range(len(words)), key=lambda i: (-weights[i], i))[:RARE]
-            self.templates.append((label, words, keys, weights, len(rare)))
+            total = sum(weights)
+            lost = [sum(weights[i] for bit, i in enumerate(rare) if not bits >> bit & 1) for bits in range(1 << len(rare))]
+            self.templates.append((label, words, keys, weights, [total - x >= (COVERAGE - 1e-9) * total for x in lost]))
             for bit, i in enumerate(rare):
                 self.postings.setdefault(words[i], []).append((at, i, 1 << bit))
         self.base = [(phrase.encode().split(), label) for phrase, label in BASE.items()]
@@ -102,8 +104,8 @@ class TemplateIndex:
                         votes[at, i - j] = votes.get((at, i - j), 0) | bit
         labels, score = set(base), 1.0 if base else 0.0
         for (at, start), bits in votes.items():
-            label, run, keys, weights, rare = self.templates[at]
-            if bits.bit_count() < rare or start < 0:
+            label, run, keys, weights, within_reach = self.templates[at]
+            if not within_reach[bits] or start < 0:
                 continue
             if any(words[start + i : start + i + len(key)] != key for i, key in keys):
                 continue

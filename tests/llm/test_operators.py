@@ -469,6 +469,14 @@ def test_licenses(spark, awkward, nothing):
     assert licenses.scan_licenses(nothing).count() == 0
 
 
+def test_licenses_without_one_rare_word():
+    """A notice that lacks a rare word but still reaches the coverage is found; one below it isn't."""
+    words_ = {w for _, text, _ in licenses.TEMPLATES for w in text.encode().split()}
+    index = licenses.TemplateIndex(1000, dict.fromkeys(words_, 100) | {b"licensed": 60, b"apache": 10, b"license": 50})
+    assert index.scan("Distributed under the Apache License, Version 2.0.")[5] == "apache-2.0"
+    assert index.scan("Licensed under the Apache License, edition 3.1.")[5] == ""
+
+
 # -- op8 -----------------------------------------------------------------------------------
 def test_vectors(spark):
     rng = np.random.default_rng(1)
