@@ -54,3 +54,15 @@ def apart(df: DataFrame, *keys: str) -> DataFrame:
     execution splits hot partitions only of such exchanges.
     """
     return df.withColumn("_apart", F.xxhash64(*[F.col(k) for k in keys]))
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, for exchanges that adaptive execution shouldn't make few."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if its scan has fewer (one file with a single row group is one
+    partition); many files stay as they are. For steps whose work on a row is far above that of moving it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -60,20 +60,30 @@ class _Powers:
         return cls.up, cls.down
 
 
-def shingle_hashes(folded: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the shingle at each word, starts, ends of the words) of a folded text."""
+def word_hashes(folded: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of each word, starts, ends of the words) of a folded text."""
     raw = np.frombuffer(folded, np.uint8)
     up, down = _Powers.of(len(raw) + 1)
     gaps = np.flatnonzero(raw == 0x20)
     starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(raw)]))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(raw * up[: len(raw)], out=sums[1:])
-    words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+def run_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
+    """The hash of the shingle at each word, from the words' hashes."""
     n = max(0, len(words) - shingle + 1)
     out = np.zeros(n, np.uint64)
     for k in range(shingle):
         out = out * _P + words[k : k + n]
-    return _mixed(out), starts, ends
+    return _mixed(out)
+
+
+def shingle_hashes(folded: bytes, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the shingle at each word, starts, ends of the words) of a folded text."""
+    words, starts, ends = word_hashes(folded)
+    return run_hashes(words, shingle), starts, ends
 
 
 def _pieces(folded: bytes, shingle: int) -> Iterator[bytes]:

@@ -1,19 +1,19 @@
 """Near copies by SimHash at a similarity of five-word shingles, beyond what one short fingerprint can tell.
 
+The similarity of two documents is the cosine of their sets of shingles, common / sqrt(a * b), which is what
+SimHash measures: the share of fingerprint bits that differ is the angle between the sets. For sets of like size a
+cosine of 0.8 is a Jaccard similarity of 2/3, so every pair with a Jaccard similarity of 0.8 is in.
+
 A document has two sets of 64-bit fingerprints. Those of its distinct words change least in a near copy
 and find candidates: two documents meet if they share a covering mask's bucket in any of the
-fingerprints (radius ``RADIUS``). Those of its distinct five-word shingles decide: the share of bits that
-differ is the angle between the sets, so at sets of like size a Jaccard similarity of s stands at
-acos(2 s / (1 + s)) / pi of the bits. With 768 bits the error of s is about 0.018 there. Pairs within
-``BAND`` of the threshold are settled by their exact shingles.
-
-A near copy at a similarity of 0.8 to 0.85 is met by the masks in about 94 of 100 cases as measured on the given
-documents, closer ones more often; groups need one link per member only.
+fingerprints (radius ``RADIUS``). Those of its distinct shingles sort candidates: with 768 bits the error of a cosine
+of 0.8 is about 0.027. Estimates ``SURE`` errors above the threshold link, those ``POSSIBLE`` errors below don't, and
+what is between is settled by the exact shingles.
 
 Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair,
-larger ones in tiles. Either way an estimate beyond ``BAND`` links at once, and the borderline pairs
-whose ends these links leave in different groups are settled exactly. A tile returns a spanning forest of the first and
-all of the second that its forest leaves apart.
+larger ones in tiles; that is a matter of how they are dealt only. Both return the sure links and the borderline pairs, and
+every borderline pair whose ends the sure links leave in different groups is settled exactly. (A tile returns a spanning
+forest of the first, and all of the second that its forest leaves apart.)
 """
 
 from __future__ import annotations
@@ -23,34 +23,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, materialize, row_key
+from .common import apart, materialize, partitions, row_key, spread
 from .components import connected_components
-from .decontamination import _mixed, shingle_hashes
+from .decontamination import _mixed, fold, run_hashes, shingle_hashes, word_hashes
 from .simhash import _signed, covering_masks
 from .vectors import _forest
 
-#: Fingerprints of the words (to meet) and of the shingles (to decide).
-WORD_PRINTS, SHINGLE_PRINTS = 6, 12
+#: Fingerprints of the words (to meet) and of the shingles (to sort).
+WORD_PRINTS, SHINGLE_PRINTS = 8, 12
 RADIUS = 3
 SHINGLE = 5
 SIMILARITY = 0.8
-BAND = 0.08
-#: Keys of documents to be settled exactly that are broadcast at most; more are joined by exchange.
+#: Standard errors of the estimate above which a pair is sure, and below which it is impossible.
+SURE, POSSIBLE = 4.0, 3.0
+#: Shingle fingerprints that go into the buckets; they tell strangers apart before pairs are joined to the others.
+CHECKS = 2
+#: Keys (of buckets with several members, of documents to be settled exactly) that are broadcast at most; more are joined by exchange.
 BROADCAST_KEYS = 500_000
 PAIRED = 32
 TILE_ROWS = 4096
 _BLOCK = 256
-_CHUNK = 1 << 14
+#: Rows of bits that are counted in one byte.
+_CHUNK = 255
 _TURNS = np.array([pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64) for k in range(max(WORD_PRINTS, SHINGLE_PRINTS))], np.uint64)
 
 
-def most_bits(similarity: float = SIMILARITY, errors: float = 1.0) -> int:
-    """The number of differing bits, of all shingle fingerprints, that stands for the similarity, and some standard errors more."""
-    bits, share = 64 * SHINGLE_PRINTS, math.acos(2 * similarity / (1 + similarity)) / math.pi
+def most_bits(similarity: float = SIMILARITY, errors: float = 0.0, bits: int = 64 * SHINGLE_PRINTS) -> int:
+    """The number of differing bits that stands for the similarity, and some standard errors more."""
+    share = math.acos(similarity) / math.pi
     return math.floor(bits * share + errors * math.sqrt(bits * share * (1 - share)))
 
 
@@ -59,22 +62,28 @@ def prints(hashes: np.ndarray, n: int) -> np.ndarray:
     counts = np.zeros(64 * n, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         turned = _mixed(hashes[at : at + _CHUNK, None] * _TURNS[None, :n])
-        counts += np.unpackbits(turned.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.add.reduce(np.unpackbits(turned.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")
 
 
+def plain_words(text: str | None) -> bytes:
+    """The words of a text without ASCII signs and capitals, or with the signs if it has no others; single spaces between."""
+    return fold(text) or b" ".join((text or "").encode().lower().split())
+
+
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     """The hashes of a text's distinct shingles, in order; of all its words if they are fewer."""
-    words = (text or "").encode().lower().split()
-    return np.unique(shingle_hashes(b" ".join(words), min(shingle, len(words)))[0]) if words else np.zeros(0, np.uint64)
+    words = plain_words(text)
+    return np.unique(shingle_hashes(words, min(shingle, words.count(b" ") + 1))[0]) if words else np.zeros(0, np.uint64)
 
 
 def describe(text: str | None, shingle: int = SHINGLE) -> tuple[int, np.ndarray]:
     """(signature of the set of shingles, word fingerprints and shingle fingerprints) of a text; zeros without words."""
-    runs = shingles(text, shingle)
-    if not len(runs):
+    words = plain_words(text)
+    if not words:
         return 0, np.zeros(WORD_PRINTS + SHINGLE_PRINTS, np.int64)
-    distinct = np.fromiter(map(xxhash.xxh64_intdigest, set(text.encode().lower().split())), np.uint64)
+    hashes = word_hashes(words)[0]
+    runs, distinct = np.unique(run_hashes(hashes, min(shingle, len(hashes)))), np.unique(hashes)
     signature = np.add.reduce(_mixed(runs ^ np.uint64(0xD6E8FEB86659FD93)))
     return int(signature.view(np.int64)) or 1, np.concatenate([prints(distinct, WORD_PRINTS), prints(runs, SHINGLE_PRINTS)])
 
@@ -94,13 +103,13 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
     return kept.mapInArrow(run, f"id {kind}, row_key bigint, sig bigint, prints array<bigint>")
 
 
-def _tile(rows: pa.Table, most: int, possible: int = -1) -> pa.Table:
+def _tile(rows: pa.Table, most: int, possible: int) -> pa.Table:
     """Edges between two tiles of a bucket (or within one): left, right, sure.
 
     Sure ones: a spanning forest of the pairs that differ in up to ``most`` bits. Others: all pairs of up to
     ``possible`` bits whose ends the forest leaves apart, the lesser signature first.
     """
-    words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)[:, WORD_PRINTS:].astype(np.uint64)
+    words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.uint64)
     tile, sig = rows.column("tile").to_numpy(), rows.column("sig").to_numpy()
     first = np.flatnonzero(tile == rows.column("low")[0].as_py())
     second = np.flatnonzero(tile == rows.column("high")[0].as_py())
@@ -127,7 +136,7 @@ def _tile(rows: pa.Table, most: int, possible: int = -1) -> pa.Table:
 
 
 def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (left, right) whose exact similarity reaches the threshold.
+    """The pairs (left, right) whose exact similarity (cosine of the sets) reaches the threshold.
 
     ``places``: sig, row_key of one document with that signature; ``texts``: row_key, text.
     """
@@ -143,7 +152,12 @@ def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int,
     sets = materialize(chosen.select("sig", "text").mapInArrow(run, "sig bigint, runs array<bigint>").dropDuplicates(["sig"]))
     both = pairs.join(sets.select(F.col("sig").alias("left"), F.col("runs").alias("a")), "left").join(sets.select(F.col("sig").alias("right"), F.col("runs").alias("b")), "right")
     common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("left", "right")
+    return both.where(common >= similarity * F.sqrt(F.size("a").cast("double") * F.size("b"))).select("left", "right")
+
+
+def _differ(left: str, right: str, n: int) -> Column:
+    """The number of bits in which ``n`` fingerprints differ."""
+    return sum((F.bit_count(F.element_at(left, k).bitwiseXOR(F.element_at(right, k))) for k in range(1, n + 1)), F.lit(0))
 
 
 def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -151,17 +165,26 @@ def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shing
     masks = covering_masks(RADIUS)
     slots = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.element_at("prints", k + 1).bitwiseAND(F.lit(_signed(m)))) for k in range(WORD_PRINTS) for i, m in enumerate(masks)])
     keyed = classes.select("sig", F.explode(slots).alias("slot"))
-    filled = keyed.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(apart(keyed, "slot").join(apart(filled, "slot"), ["slot", "_apart"]).select("slot", "n", "sig"))
-    known = apart(shared, "sig").join(apart(classes, "sig"), ["sig", "_apart"]).select("slot", "n", "sig", "prints")
-
-    small = known.where(F.col("n") <= PAIRED).groupBy("slot").agg(F.collect_list(F.struct("sig", "prints")).alias("members"))
-    pairs = small.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a.sig < b.sig")
-    differ = sum((F.bit_count(F.element_at("a.prints", k).bitwiseXOR(F.element_at("b.prints", k))) for k in range(WORD_PRINTS + 1, WORD_PRINTS + SHINGLE_PRINTS + 1)), F.lit(0))
-    sure, possible = most_bits(min(0.99, similarity + BAND), 0.0), most_bits(similarity - BAND)
-    met = materialize(pairs.select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right"), differ.alias("differ")).where(F.col("differ") <= possible).distinct())
+    filled = materialize(keyed.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1"))
+    if filled.count() <= BROADCAST_KEYS:
+        shared = keyed.join(F.broadcast(filled), "slot").select("slot", "n", "sig")
+    else:
+        shared = apart(keyed, "slot").join(apart(filled, "slot"), ["slot", "_apart"]).select("slot", "n", "sig")
+    shared = materialize(shared.repartition(partitions(classes.sparkSession), "sig"))
+    sure, possible = most_bits(similarity, -SURE), most_bits(similarity, POSSIBLE)
+    own = F.slice("prints", WORD_PRINTS + 1, SHINGLE_PRINTS)
+
+    checks = classes.select("sig", F.slice(own, 1, CHECKS).alias("check"))
+    few = apart(shared.where(F.col("n") <= PAIRED), "sig").join(apart(checks, "sig"), ["sig", "_apart"])
+    members = few.groupBy("slot").agg(F.collect_list(F.struct("sig", "check")).alias("members"))
+    pairs = members.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a.sig < b.sig")
+    met = pairs.where(_differ("a.check", "b.check", CHECKS) <= most_bits(similarity, POSSIBLE, 64 * CHECKS)).select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right")).distinct()
+    for end in ("left", "right"):
+        met = apart(met, end).join(apart(classes.select(F.col("sig").alias(end), own.alias(f"{end}_prints")), end), [end, "_apart"]).drop("_apart")
+    met = materialize(met.select("left", "right", _differ("left_prints", "right_prints", SHINGLE_PRINTS).alias("differ")).where(F.col("differ") <= possible))
 
-    dealt = known.where(F.col("n") > PAIRED).withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
+    known = apart(shared.where(F.col("n") > PAIRED), "sig").join(apart(classes.select("sig", own.alias("prints")), "sig"), ["sig", "_apart"])
+    dealt = known.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = dealt.select("slot", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "sig", "prints")
     found = materialize(tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, sure, possible), "left bigint, right bigint, sure boolean"))
@@ -182,8 +205,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Null texts and those without words have the signature 0 and are copies of each other.
     Repeated rows are rows of their own. An empty table gives an empty result.
     """
-    marked = materialize(described(docs, id_col, text_col, shingle))
-    classes = materialize(marked.where("sig <> 0").groupBy("sig").agg(F.first("prints").alias("prints"), F.min("row_key").alias("row_key")))
+    marked = materialize(described(spread(docs), id_col, text_col, shingle))
+    classes = marked.where("sig <> 0").groupBy("sig").agg(F.first("prints").alias("prints"), F.min("row_key").alias("row_key"))
+    classes = materialize(classes.repartition(partitions(docs.sparkSession), "sig"))  # every row of it makes many
     texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
     links = similar_links(classes.select("sig", "prints"), classes.select("sig", "row_key"), texts, shingle, similarity)
     roots = connected_components(links, "left", "right").withColumnRenamed("node", "sig")
@@ -198,6 +222,7 @@ def deduplicate_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     marked = similar_components(docs, id_col, text_col, shingle, similarity)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
-    chosen = marked.groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.row_key").alias("_key"))
-    packed = docs.select(row_key(id_col, text_col).alias("_key"), F.struct(*docs.columns).alias("_doc"))
-    return packed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
+    chosen = marked.groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.row_key").alias("_key"))
+    packed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_doc"))
+    same = (packed["_key"] == chosen["_key"]) & packed["_id"].eqNullSafe(chosen["_id"])
+    return packed.join(chosen, same, "left_semi").dropDuplicates(["_key", "_id"]).select("_doc.*")
