@@ -12,8 +12,8 @@ what is between is settled by the exact shingles.
 
 Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair,
 larger ones in tiles; that is a matter of how they are dealt only. Both return the sure links and the borderline pairs, and
-every borderline pair whose ends the sure links leave in different groups is settled exactly. (A tile returns a spanning
-forest of the first, and all of the second that its forest leaves apart.)
+every borderline pair whose ends the sure links leave in different groups is settled exactly. (A tile returns each row's
+tie to the least signature in its reach for the first, and all of the second that these leave apart.)
 """
 
 from __future__ import annotations
@@ -106,14 +106,15 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
 def _tile(rows: pa.Table, most: int, possible: int) -> pa.Table:
     """Edges between two tiles of a bucket (or within one): left, right, sure.
 
-    Sure ones: a spanning forest of the pairs that differ in up to ``most`` bits. Others: all pairs of up to
+    Sure ones tie each row to the least signature that it reaches by pairs that differ in up to ``most`` bits. Others: all pairs of up to
     ``possible`` bits whose ends the forest leaves apart, the lesser signature first.
+    Rows meet in many buckets; tied to the least, they are mostly tied alike, so few different edges are left.
     """
     words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.uint64)
     tile, sig = rows.column("tile").to_numpy(), rows.column("sig").to_numpy()
     first = np.flatnonzero(tile == rows.column("low")[0].as_py())
     second = np.flatnonzero(tile == rows.column("high")[0].as_py())
-    labels, lefts, rights, unsure = np.arange(rows.num_rows), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int32)]
+    labels, unsure = np.arange(rows.num_rows), [np.zeros((2, 0), np.int32)]
     within = rows.column("low")[0] == rows.column("high")[0]
     for at in range(0, len(first), _BLOCK):
         block = first[at : at + _BLOCK]
@@ -121,18 +122,20 @@ def _tile(rows: pa.Table, most: int, possible: int) -> pa.Table:
         for k in range(SHINGLE_PRINTS):
             apart_by += np.bitwise_count(words[block, k][:, None] ^ words[second, k][None, :])
         i, j = np.nonzero(apart_by <= most)
-        a, b = _forest(labels, block[i], second[j])
-        lefts.append(a)
-        rights.append(b)
+        _forest(labels, block[i], second[j])
         i, j = np.nonzero((apart_by > most) & (apart_by <= possible))
         i, j = block[i], second[j]
         keep = (labels[i] != labels[j]) & ((i < j) | (not within))
         unsure.append(np.stack([i[keep], j[keep]]).astype(np.int32))
     i, j = np.concatenate(unsure, axis=1)
-    keep = labels[i] != labels[j]  # by the whole forest
+    keep = labels[i] != labels[j]  # by all sure pairs
     i, j = sig[i[keep]], sig[j[keep]]
-    left, right = np.concatenate([sig[np.concatenate(lefts)], np.minimum(i, j)]), np.concatenate([sig[np.concatenate(rights)], np.maximum(i, j)])
-    return pa.table({"left": left, "right": right, "sure": np.arange(len(left)) < len(left) - len(i)})
+    least = sig.copy()
+    np.minimum.at(least, labels, sig)
+    least = least[labels]
+    tied = np.flatnonzero(least != sig)
+    left, right = np.concatenate([least[tied], np.minimum(i, j)]), np.concatenate([sig[tied], np.maximum(i, j)])
+    return pa.table({"left": left, "right": right, "sure": np.arange(len(left)) < len(tied)})
 
 
 def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
