@@ -34,13 +34,13 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_sentences, n_removed, removed (start:end, ...), kept_chars of every document."""
+    """doc_id, n_sentences, n_removed, n_shared, removed (start:end, ...), kept_chars of every document."""
     found = spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_sentences", "n_removed", "removed", F.coalesce(F.length("text"), F.lit(0)).alias("kept_chars"))
+    return found.select("doc_id", "n_sentences", "n_removed", "n_shared", "removed", F.coalesce(F.length("text"), F.lit(0)).alias("kept_chars"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans, of every document."""
+    """doc_id, counts and digest of the base spans, all spans, numbers of added and of all, of every document."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return pii.digest(found)
 
