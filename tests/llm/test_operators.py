@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from swathlab.llm import components, decontamination, language, licenses, mixing, near_copies, pii, quality, sharding, simhash, spans, vectors
 
-from .conftest import awkward_rows
+from .conftest import awkward_rows, vocabulary
 
 
 def kept_columns(df):
@@ -304,59 +304,84 @@ def test_splitters_are_exact_to_the_tolerance(spark):
 
 
 # -- op4 -----------------------------------------------------------------------------------
+def reference_sentences(text):
+    """(start, end) by walking over the signs."""
+    out, at, i = [], 0, 0
+    while i < len(text):
+        if text[i] == "\n":
+            i += 1
+        elif text[i] in ".!?…。！？；؟۔।":
+            while i < len(text) and text[i] in ".!?…。！？；؟۔।":
+                i += 1
+        else:
+            i += 1
+            if i < len(text):
+                continue
+        while i < len(text) and text[i] in " \t\n\v\f\r":
+            i += 1
+        out.append((at, i))
+        at = i
+    return out
+
+
 def reference_removed(rows):
-    """All runs of words by their texts, documents in order of id (null first), then key."""
+    """All runs of two or more sentences and 16 or more words, documents in order of id (null first), then key."""
     order = sorted({(i is not None, i or 0, k, t) for i, t, k in rows})
-    first, covered = {}, defaultdict(set)
+    first, covered, elsewhere = {}, defaultdict(set), defaultdict(set)
     for known, i, key, text in order:
-        parts = [text[a:b].lower().split() for a, b in spans.sentences(text)] if text else []
+        parts = [text[a:b].lower().split() for a, b in reference_sentences(text)] if text else []
+        han = [sum("\u3400" <= c <= "\u9fff" for w in p for c in w) for p in parts]
         for s in range(len(parts)):
-            e, n = s, 0
-            while e < len(parts) and (e - s < 2 or n < 16):
-                n += len(parts[e])
-                e += 1
-            if e - s < 2 or n < 16:
-                continue
-            run = tuple(w for p in parts[s:e] for w in p)
-            if first.setdefault(run, (key, s)) != (key, s):
-                covered[key].update(range(s, e))
-    return covered
+            for e in range(s + 2, min(len(parts), s + 40) + 1):
+                if sum(max(len(p), h) for p, h in zip(parts[s:e], han[s:e], strict=True)) < 16:
+                    continue
+                run = tuple(w for p in parts[s:e] for w in p)
+                if first.setdefault(run, (key, s)) != (key, s):
+                    covered[key].update(range(s, e))
+                    if first[run][0] != key:
+                        elsewhere[key].update(range(s, e))
+    return covered, elsewhere
+
+
+SPAN_TEXTS = [
+    (1, "短い文。これは何度も現れる長い文章です。もう一つの文がここにあります！終わり。"), (2, "別の始まり。これは何度も現れる長い文章です。もう一つの文がここにあります！違う終わり。"),
+    (3, "One two. Three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen. Sixteen seventeen. Eighteen."), (4, "Other start. Three four five six seven eight. Nine ten eleven twelve thirteen fourteen fifteen. Sixteen seventeen. Other end."),
+    (5, "Again and again it goes on and on. And once more it goes on like this. " * 3), (6, "..!? \n\n x. \n\n y! ... z"), (7, "؟؟؟ " * 30),
+]
 
 
-def test_pieces_of_long_sentences():
-    """Places and words of pieces agree, and a passage is cut alike wherever it stands."""
-    rng = random.Random(9)
-    for text in [r[1] for r in awkward_rows()] + ["", None, "a " * 100, "x. \n\n y! ... z", "Ünï " * 50 + "\n end"]:
-        parts = spans.sentences(text)
-        assert "".join(text[a:b] for a, b in parts) == text if text else not parts
-        assert [text[a:b].lower().split() for a, b in parts] == spans._pieces(text)
-    words_ = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
-    passage = " ".join(rng.choice(words_) for _ in range(60))
-    one, two = (" ".join(rng.choice(words_) for _ in range(n)) + " " + passage + " " + " ".join(rng.choice(words_) for _ in range(30)) for n in (30, 45))
-    assert {h for h, *_ in spans.spans(one)} & {h for h, *_ in spans.spans(two)}
+def test_sentences(spark):
+    texts = [r[1] for r in awkward_rows()] + [t for _, t in SPAN_TEXTS] + ["", None, "a " * 100, "Ünï " * 50 + "\n end", "no end", ".", "\n", "a.b"]
+    for text in texts:
+        assert spans.sentences(text) == reference_sentences(text or "")
+    counted = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", spans.sentence_count(F.col("text")).alias("n")).collect()
+    assert all(r["n"] == len(reference_sentences(texts[r["i"]] or "")) for r in counted)
 
 
 def test_spans(spark, awkward, nothing):
+    more = spark.createDataFrame([(i + 200, t) for i, t in SPAN_TEXTS], "doc_id long, text string")
+    awkward = awkward.unionByName(more, allowMissingColumns=True)
     out = spans.remove_repeats(awkward)
-    assert set(awkward.columns) <= set(out.columns) and kept_columns(out)
+    assert set(awkward.columns) <= set(out.columns) and kept_columns(out.where("doc_id is null or doc_id < 200"))
     keyed = awkward.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k")).collect()
-    expected = reference_removed([(r[0], r[1], r[2]) for r in keyed])
+    expected, elsewhere = reference_removed([(r[0], r[1], r[2]) for r in keyed])
     original = {(r["doc_id"], r["text"]): r["k"] for r in keyed}
     by_key = {k: (i, t) for (i, t), k in original.items()}
-    rows = out.withColumn("_n", F.col("n_removed")).collect()
+    rows = out.collect()
     assert sum(r["n_removed"] for r in rows) == sum(len(expected[k]) * sum(1 for x in keyed if x["k"] == k) for k in by_key)
     for r in rows:
         if r["doc_id"] is not None:
             k = next(k for k, (i, _) in by_key.items() if i == r["doc_id"])
             text = by_key[k][1]
-            parts = spans.sentences(text)
-            assert r["n_removed"] == len(expected[k]) and r["n_sentences"] == len(parts)
+            parts = reference_sentences(text or "")
+            assert (r["n_removed"], r["n_shared"], r["n_sentences"]) == (len(expected[k]), len(elsewhere[k]), len(parts)), r["doc_id"]
             assert (r["text"] or "") == "".join(text[a:b] for i, (a, b) in enumerate(parts) if i not in expected[k]) if text else r["text"] == text
             cut = [tuple(map(int, x.split(":"))) for x in r["removed"].split(",") if x]
             assert sum(b - a for a, b in cut) == len(text or "") - len(r["text"] or "")
-    passages = [r for r in rows if r["doc_id"] in range(40, 46)]
-    assert sorted(r["n_removed"] > 3 for r in passages) == [False] + [True] * 5
-    assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] == 90)
+    found = {r["doc_id"]: r for r in rows}
+    assert sorted(found[i]["n_removed"] > 3 for i in range(40, 46)) == [False] + [True] * 5
+    assert found[90]["n_removed"] == 0 and found[202]["n_removed"] == 2 == found[202]["n_shared"]
+    assert found[205]["n_removed"] == 4 and found[205]["n_shared"] == 0 and found[204]["n_removed"] == 0
     assert spans.remove_repeats(nothing).count() == 0
 
 
@@ -396,9 +421,9 @@ TRICKY = [
 ]
 
 
-def test_base_spans(spark, nothing):
+def test_base_spans(spark, nothing, span_model):
     docs = spark.createDataFrame(list(enumerate(TRICKY)) + [(i + 50, r[1]) for i, r in enumerate(awkward_rows())], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(docs)).collect()}
+    rows = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(docs, model=span_model)).collect()}
     for i, text in docs.collect():
         expected = reference_spans(text)
         assert rows[i]["base_sha256"] == hashlib.sha256(expected.encode()).hexdigest(), text
@@ -408,20 +433,48 @@ def test_base_spans(spark, nothing):
     assert pii.digest(pii.find_personal_data(nothing)).count() == 0
 
 
-def test_model_adds_and_leaves_clean_text_alone(spark):
-    """Phones written without + but with the same cue are added once valid ones teach the cue; plain numbers aren't."""
-    rows = [(i, f"Please call phone +1 (377) 555-{i:04d} now, host 10.0.{i % 200}.7 is up.") for i in range(600)]
-    rows += [(1000 + i, f"Total of 377 555 {i:04d} units and version 300.{i % 9}.{i % 7}.1 shipped.") for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    model = pii.fit(docs)
-    assert model.trees
-    more = spark.createDataFrame([(1, "Sold 377 555 0001 units."), (2, "Clean words only.")], "doc_id long, text string")
-    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal_data(more, model=model)).collect()}
-    assert found == {1: "", 2: ""}
+def personal_rows(rng, n, first=0):
+    """Prose with personal data in the base patterns' formats, and numbers that are none."""
+    words_ = vocabulary(rng, "etaoinshr")
+    say = lambda: " ".join(rng.choice(words_) for _ in range(rng.randint(3, 9)))
+    out = []
+    for i in range(n):
+        digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
+        card = next(c for c in (digits + str(d) for d in range(10)) if luhn(c))
+        some = [f"{rng.choice(words_)}.{i}@mail{i % 9}.example.com", f"+1 ({rng.randint(200, 999)}) 555-{i % 10000:04d}", f"10.{i % 256}.{rng.randint(0, 255)}.7", " ".join(card[k : k + 4] for k in (0, 4, 8, 12)), f'token = "{rng.getrandbits(160):040x}"']
+        out.append((first + i, f"{say()} {rng.choice(some)} {say()}, {rng.choice(some)} {say()}. {say()} {rng.randint(1, 99)}.{rng.randint(1, 99)}."))
+    return out
+
+
+@pytest.fixture(scope="module")
+def span_model(spark):
+    return pii.fit(spark.createDataFrame(personal_rows(random.Random(3), 1500), "doc_id long, text string"))
+
+
+def test_model_adds_spans_the_base_patterns_miss(spark, span_model):
+    """Other formats are added, by place; broken numbers, amounts and clean words aren't."""
+    model = span_model
+    assert model.trees and all(model.thresholds[k] is not None for k in pii.ADDED)
+    given = [
+        "Some words (417) 555-7713 and more.", "write jane.doe [at] mail3.example [dot] com soon", "at 10[.]20[.]30[.]4 there", "it was 4539/1488/0343/6467 then", f'so token = "{"0af3" * 10}" it is',
+        "Sold 377 555 0001 units.", "Clean words only.", "On 2024-11-28 10 of them.", "it was 4539/1488/0343/6468 then", "host 300[.]1[.]1[.]1 no", None, "", "+1 (377) 555-0271 and a@b.example",
+    ]
+    found = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string"), model=model)).collect()}
+    spans_ = [found[i]["spans"] for i in range(len(given))]
+    assert spans_[:5] == ["phone:11:25", "email:6:43", "ip:3:19", "card:7:26", "secret:12:52"]
+    assert spans_[5:12] == [""] * 7 and spans_[12] == "email:22:33,phone:0:17"
+    assert [found[i]["n_added"] for i in range(13)] == [1] * 5 + [0] * 8 and found[12]["n_found"] == 2
+
+
+def test_many_matches_stay_cheap(spark):
+    """Places are right, and found in linear time, in a text with very many matches."""
+    text = "1.1.1.1 " * 20_000
+    row = pii.digest(pii.find_personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string"), model=pii.SpanModel([], {}))).first()
+    assert row["n_ip"] == 20_000 and row["base_sha256"] == hashlib.sha256(",".join(f"ip:{i}:{i + 7}" for i in range(0, len(text), 8)).encode()).hexdigest()
 
 
-def test_redact(spark, awkward):
-    out = pii.redact(awkward)
+def test_redact(spark, awkward, span_model):
+    out = pii.redact(awkward, model=span_model)
     assert out.columns == awkward.columns and kept_columns(out)
     assert out.where("doc_id = 94").first()["text"] == "Ünïcödé 😀 text with 😀 marks [email] [ip]."
     assert out.where("doc_id = 80").first()["text"] is None
