@@ -91,9 +91,13 @@ def number_or_null(x: Column | str, word: str = "null") -> Column:
 
 
 # -- dates --------------------------------------------------------------------------------
-def iso_date(x: Column | str, formats: tuple[str, ...] = ("yyyy-MM-dd", "dd/MM/yyyy")) -> Column:
-    """A date by the first format that fits."""
-    return F.coalesce(*[F.try_to_timestamp(_c(x), F.lit(f)) for f in formats]).cast("date")
+#: Formats of dates in scene lists, in the order in which they are tried; months and days of one or two digits.
+DATE_FORMATS = ("yyyy/M/d", "yyyy-M-d")
+
+
+def date_by(x: Column | str, form: str) -> Column:
+    """A date by one format, null where it doesn't fit."""
+    return F.try_to_timestamp(_c(x), F.lit(form)).cast("date")
 
 
 def season(x: Column | str) -> Column:

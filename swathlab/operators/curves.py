@@ -50,7 +50,7 @@ def threshold_for_rate(curve: DataFrame, rates: list[float]) -> DataFrame:
 
     The curve has a row per threshold given in code, so its arrays are bounded.
     """
-    mean = curve.groupBy("threshold").agg(F.avg("per_tile").alias("y"))
+    mean = curve.groupBy("threshold").agg(F.round(F.avg("per_tile"), 9).alias("y"))
     order = F.sort_array(F.collect_list(F.struct("y", (-F.col("threshold")).alias("t"))))
     arrays = mean.agg(order.alias("k")).select(F.transform("k", lambda x: x["y"]).alias("xs"), F.transform("k", lambda x: -x["t"]).alias("ys"))
     rows = arrays.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
@@ -64,12 +64,15 @@ def detection_probability(scores: DataFrame, keys: list[str], crop: str, detecte
 
 
 def pod_levels(curve: DataFrame, keys: list[str], rate: str, pod: str, levels: tuple[float, ...] = (10, 50, 90)) -> DataFrame:
-    """The rates at which a detection curve reaches the levels, and the least detectable rate (at least the least rate with a POD above 0.01)."""
-    listed = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(pod).alias("y"), F.col(rate).cast("double").alias("x")))).alias("k"), F.min(F.when(F.col(pod) > 0.01, F.col(rate))).cast("double").alias("_least"))
+    """The rates (whole, half to even) at which a detection curve reaches the levels; ``minimum``: the rate of the least POD above
+    0.01 (null if there is none). The rate at the least level is ``minimum`` at least."""
+    knot = F.struct(F.col(pod).alias("y"), F.col(rate).cast("double").alias("x"))
+    listed = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(knot)).alias("k"), F.min(F.when(F.col(pod) > 0.01, knot)).alias("_least"))
     xs, ys = F.transform("k", lambda p: p["y"]), F.transform("k", lambda p: p["x"])
-    out = {f"pod{int(p)}": interpolate_array(F.lit(float(p)), xs, ys) for p in levels}
-    found = listed.select(*keys, "_least", *[v.alias(k) for k, v in out.items()])
-    return found.withColumn("minimum", F.greatest("pod10", "_least")).drop("_least")
+    least = F.col("_least.x").cast("long")
+    out = {f"pod{int(p)}": F.rint(interpolate_array(F.lit(float(p)), xs, ys)).cast("long") for p in levels}
+    first = f"pod{int(min(levels))}"
+    return listed.select(*keys, *[(F.greatest(v, least) if k == first else v).alias(k) for k, v in out.items()], least.alias("minimum"))
 
 
 def false_positive_threshold(pixels: DataFrame, region: str, chip: str, score: str, thresholds: list[float], limit: float) -> DataFrame:

@@ -32,6 +32,27 @@ def interpolate_join(queries: DataFrame, knots: DataFrame, keys: list[str], at:
     return found.select(*columns, F.when(F.col("_x").isNotNull(), value).alias(out))
 
 
+#: Knots that go with every row as arrays; more are met by a window.
+SMALL_CURVE = 1000
+
+
+def interpolate_curve(queries: DataFrame, knots: DataFrame, at: str, x: str, y: str, out: str, parts: int | None = None) -> DataFrame:
+    """``queries`` with the value at ``at`` of one curve for all rows.
+
+    A curve of up to ``SMALL_CURVE`` knots is one row of two arrays that is broadcast, and nothing is exchanged. A longer one is
+    given to each of ``parts`` parts of the queries (by default as many as there are shuffle partitions), see ``interpolate_join``.
+    """
+    if knots.count() <= SMALL_CURVE:
+        sorted_knots = F.sort_array(F.collect_list(F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))))
+        curve = knots.where(F.col(x).isNotNull()).agg(sorted_knots.alias("_k")).select(F.transform("_k", lambda p: p["x"]).alias("_xs"), F.transform("_k", lambda p: p["y"]).alias("_ys"))
+        found = queries.crossJoin(F.broadcast(curve))  # one row
+        return found.select(*queries.columns, F.when((F.size("_xs") > 0) & F.col(at).isNotNull(), interpolate_array(F.col(at).cast("double"), F.col("_xs"), F.col("_ys"))).alias(out))
+    parts = parts or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = queries.withColumn("_part", F.pmod(F.xxhash64(*queries.columns), F.lit(parts)).cast("int"))
+    each = knots.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return interpolate_join(split, each, ["_part"], at, x, y, out).drop("_part")
+
+
 def interpolate_uniform(queries: DataFrame, knots: DataFrame, keys: list[str], at: str, start: float, step: float, n: int, y: str, out: str) -> DataFrame:
     """The same on a grid ``start + i * step`` (i from 0 to n - 1; knots have columns i and y): two equi-joins on the index."""
     place = F.least(F.greatest((F.col(at) - start) / step, F.lit(0.0)), F.lit(float(n - 1)))

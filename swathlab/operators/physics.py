@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .interp import interpolate_join
+from .interp import interpolate_curve
 
 
 def forward_lookup(rows: DataFrame, table: DataFrame, concentration: Column, most: float, n: int, value: str) -> DataFrame:
@@ -14,14 +14,9 @@ def forward_lookup(rows: DataFrame, table: DataFrame, concentration: Column, mos
     return rows.withColumn("i", index).join(table.select("i", value), "i").drop("i")
 
 
-def reverse_lookup(rows: DataFrame, table: DataFrame, frac: str, concentration: str, part: Column, parts: int) -> DataFrame:
-    """Rows with the concentration at their frac, between the table's entries, clipped to its range.
-
-    ``part`` splits the rows into ``parts`` (numbered from 0), each with its own copy of the table.
-    """
-    knots = table.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    found = interpolate_join(rows.withColumn("_part", part), knots, ["_part"], frac, frac, concentration, concentration)
-    return found.drop("_part")
+def reverse_lookup(rows: DataFrame, table: DataFrame, frac: str, concentration: str) -> DataFrame:
+    """Rows with the concentration at their frac, between the table's entries, clipped to its range."""
+    return interpolate_curve(rows, table, frac, frac, concentration, concentration)
 
 
 def brightness_table(spectra: DataFrame, scenes: DataFrame, concentrations: DataFrame, sigma: str, weight: str, gamma: str, wavelength: str, scene: str) -> DataFrame:

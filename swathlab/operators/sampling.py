@@ -91,17 +91,20 @@ def number_by_table(u: Column, cumulative: list[float]) -> Column:
     return out
 
 
-def with_replacement(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
-    """n draws: draw and key of the row at place hash % count in the order of keys. The row's place needs a global rank, for which cells of keys are counted first."""
+def with_replacement(rows: DataFrame, key: str, n: int, seed: str, rows_per_cell: int = 4096) -> DataFrame:
+    """n draws: draw and key of the row at place seed(draw) % count in the order of (hash of the key, key).
+
+    The row's place needs a global rank: rows are counted within equal cells of hashes first, as many as the rows call for,
+    then over the cells.
+    """
     spark = rows.sparkSession
-    cell = F.pmod(F.xxhash64(key), F.lit(256)).cast("int")
-    cells = rows.select(key, cell.alias("_c"))
-    sizes = cells.groupBy("_c").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # at most 256 rows
-    offsets = sizes.select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    places = cells.withColumn("_k", F.row_number().over(Window.partitionBy("_c").orderBy(key))).join(F.broadcast(offsets), "_c").select(key, (F.col("_before") + F.col("_k") - 1).alias("_at"))
-    total = sizes.agg(F.sum("_n").alias("_total"))
-    draws = spark.range(n).withColumnRenamed("id", "draw").crossJoin(F.broadcast(total)).withColumn("_at", F.pmod(string_seed(F.concat(F.col("draw").cast("string"), F.lit(seed))), F.col("_total")))
+    total = rows.count()
+    u = hashed(key, seed=seed)
+    cells = rows.select(key, u.alias("_u"), F.floor(u * F.lit(float(total // rows_per_cell + 1))).alias("_c"))
+    before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # one row for some thousands of rows
+    offsets = cells.groupBy("_c").agg(F.count("*").alias("_n")).select("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    places = cells.withColumn("_k", F.row_number().over(Window.partitionBy("_c").orderBy("_u", key))).join(offsets, "_c").select(key, (F.col("_before") + F.col("_k") - 1).alias("_at"))
+    draws = spark.range(n if total else 0).withColumnRenamed("id", "draw").withColumn("_at", F.pmod(string_seed(F.concat(F.col("draw").cast("string"), F.lit(seed))), F.lit(max(total, 1))))
     return draws.join(places, "_at").select("draw", key)
 
 

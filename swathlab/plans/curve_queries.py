@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import curves as C
+from ..operators import detectors as D
 from ..operators import interp as I
 from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, WIND, band_pixels, curve, load, pixels, query, wind
 
@@ -19,11 +20,7 @@ def _interp_sql(x: str) -> str:
 @query(f"WITH {_KNOTS}, q AS (SELECT l_orderkey AS chip_id, l_linenumber AS n, l_extendedprice, l_quantity * 1.07 - 1 AS x FROM lineitem), d AS (SELECT DISTINCT x FROM q), v AS (SELECT x, {_interp_sql('x')} AS y FROM d, ends) SELECT chip_id, n, l_extendedprice, round(y, 5) AS y FROM q JOIN v USING (x)")
 def j25_interpolation_join(spark, sf):
     queries = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chip_id"), F.col("l_linenumber").alias("n"), "l_extendedprice", (F.col("l_quantity") * 1.07 - 1).alias("x"))
-    # queries are split by chip, the 50 knots of the curve are given to each part
-    parts = 16
-    split = queries.withColumn("part", F.pmod(F.col("chip_id"), F.lit(parts)).cast("int"))
-    knots = curve(spark, sf).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return I.interpolate_join(split, knots, ["part"], "x", "wavelength", "response", "y").select("chip_id", "n", "l_extendedprice", F.round("y", 5).alias("y"))
+    return I.interpolate_curve(queries, curve(spark, sf), "x", "wavelength", "response", "y").select("chip_id", "n", "l_extendedprice", F.round("y", 5).alias("y"))
 
 
 @query(f"WITH {_KNOTS}, q AS (SELECT range / 4.0 + 0.5 AS x FROM range(220)) SELECT CAST(x AS DOUBLE) AS wavelength, round({_interp_sql('x')}, 9) AS response FROM q, ends")
@@ -50,7 +47,7 @@ def t6_reverse_lookup(spark, sf):
 
     table = spark.range(101).select(F.col("id").cast("double").alias("conc"), (F.exp(-F.col("id") / 40) - 1).alias("frac"))
     rows = band_pixels(spark, sf).select("chip_id", "px", "swir16", (F.col("swir22") / F.col("swir16") - 1).alias("frac"))
-    return reverse_lookup(rows, table, "frac", "conc", part=F.pmod(F.col("chip_id"), F.lit(16)).cast("int"), parts=16).select("chip_id", "px", "swir16", F.round("conc", 4).alias("conc"))
+    return reverse_lookup(rows, table, "frac", "conc").select("chip_id", "px", "swir16", F.round("conc", 4).alias("conc"))
 
 
 # -- curves ------------------------------------------------------------------------------
@@ -74,7 +71,9 @@ def t27_fp_curve(spark, sf):
     return found.select("region", "threshold", F.round("per_km2", 9).alias("per_km2"), F.round("per_tile", 9).alias("per_tile"))
 
 
-@query(None)
+@query(f"""WITH {PIXELS}, {_TOP}, {_TS}, p AS (SELECT c.region, threshold, count(*) FILTER (score >= threshold) / (any_value(crops) * 6.5536::DOUBLE) * 100 AS per_tile FROM c JOIN a USING (region), t GROUP BY ALL), m AS (SELECT threshold, round(avg(per_tile), 9) AS y FROM p GROUP BY 1),
+g AS (SELECT y AS x0, threshold AS y0, lead(y) OVER w AS x1, lead(threshold) OVER w AS y1, row_number() OVER w AS k, count(*) OVER () AS n FROM m WINDOW w AS (ORDER BY y, threshold DESC)), e AS (SELECT max(x0) FILTER (k = 1) AS lo, max(y0) FILTER (k = 1) AS ylo, max(x0) FILTER (k = n) AS hi, max(y0) FILTER (k = n) AS yhi FROM g), r(rate) AS (VALUES (1.0::DOUBLE), (2.0), (5.0), (10.0))
+SELECT rate, round(10 * CASE WHEN rate <= lo THEN ylo WHEN rate >= hi THEN yhi ELSE y0 + (rate - x0) * (y1 - y0) / (x1 - x0) END, 3) AS threshold FROM r CROSS JOIN e LEFT JOIN g ON rate >= x0 AND rate < x1""")
 def t28_threshold_for_fpr(spark, sf):
     tops = _tops(spark, sf)
     return C.threshold_for_rate(C.ccdf(tops, _crops(tops), "region", "score", _T42, 6.5536, 100.0, strict=False), [1, 2, 5, 10])
@@ -110,15 +109,22 @@ def t31_pixel_recall(spark, sf):
     return per.groupBy("region", "rate").agg(F.round(F.avg("p"), 6).alias("recall"))
 
 
-@query(None)
+def _level_sql(level: int) -> str:
+    return f"CAST(round_even(CASE WHEN {level} <= lo THEN ylo WHEN {level} >= hi THEN yhi ELSE (SELECT max(y0 + ({level} - x0) * (y1 - y0) / (x1 - x0)) FROM g WHERE g.region = e.region AND {level} >= x0 AND {level} < x1) END, 0) AS BIGINT)"
+
+
+@query(f"""WITH {PIXELS}, {_SCORES}, p AS (SELECT region, rate, chip_id, avg(CAST(coalesce(score > 0.55, FALSE) AS DOUBLE)) AS p FROM sc GROUP BY ALL), m AS (SELECT region, rate::DOUBLE AS rate, round(100 * avg(p), 6) AS mean FROM p GROUP BY ALL),
+g AS (SELECT region, mean AS x0, rate AS y0, lead(mean) OVER w AS x1, lead(rate) OVER w AS y1, row_number() OVER w AS k, count(*) OVER (PARTITION BY region) AS n FROM m WINDOW w AS (PARTITION BY region ORDER BY mean, rate)),
+e AS (SELECT region, max(x0) FILTER (k = 1) AS lo, max(y0) FILTER (k = 1) AS ylo, max(x0) FILTER (k = n) AS hi, max(y0) FILTER (k = n) AS yhi, CAST(arg_min(y0, k) FILTER (x0 > 0.01) AS BIGINT) AS minimum FROM g GROUP BY 1)
+SELECT region, greatest({_level_sql(10)}, minimum) AS pod10, {_level_sql(50)} AS pod50, {_level_sql(90)} AS pod90, minimum FROM e""")
 def t32_pod_levels(spark, sf):
     found = C.detection_probability(_scores(spark, sf), ["region", "rate"], "chip_id", F.col("score") > 0.55)
     return C.pod_levels(found.withColumn("mean", F.round("mean", 6)), ["region"], "rate", "mean")
 
 
-@query("SELECT o_orderkey AS granule_id, unnest(list_concat(list_concat(range(100, 1000, 100), range(1000, 2000, 200)), list_concat(list_concat(range(2000, 4000, 400), range(4000, 10000, 1000)), range(10000, 25100, 5000)))) AS rate FROM orders WHERE o_totalprice > 490000")
+@query("SELECT o_orderkey AS granule_id, unnest(list_concat(list_concat(range(100, 1000, 100), range(1000, 2000, 200)), list_concat(list_concat(range(2000, 4000, 400), range(4000, 10000, 1000)), range(10000, 25100, 5000)))) AS rate FROM orders")
 def t33_emission_grid(spark, sf):
-    chosen = load(spark, sf, "orders").where("o_totalprice > 490000").select(F.col("o_orderkey").alias("granule_id"))
+    chosen = load(spark, sf, "orders").select(F.col("o_orderkey").alias("granule_id"))
     return chosen.withColumn("rate", F.explode(F.array(*[F.lit(r).cast("long") for r in C.emission_grid()])))
 
 
@@ -166,12 +172,12 @@ def t44_simple_detection(spark, sf):
 
 
 # -- wind on a regular grid ----------------------------------------------------------------
-@query(f"""WITH {WIND}, s AS (SELECT station, min(ts) AS t0, max(ts) AS t1 FROM wind WHERE station < 20 GROUP BY 1), g AS (SELECT station, unnest(range(date_trunc('hour', t0) + INTERVAL 1 HOUR, t1, INTERVAL 6 HOUR)) AS moment FROM s),
+@query(f"""WITH {WIND}, s AS (SELECT station, min(ts) AS t0, max(ts) AS t1 FROM wind GROUP BY 1), g AS (SELECT station, unnest(range(date_trunc('hour', t0) + INTERVAL 1 HOUR, t1, INTERVAL 6 HOUR)) AS moment FROM s),
 k AS (SELECT station, ts, min(u) AS u FROM wind GROUP BY ALL), n AS (SELECT station, ts AS x0, u AS y0, lead(ts) OVER (PARTITION BY station ORDER BY ts) AS x1, lead(u) OVER (PARTITION BY station ORDER BY ts) AS y1 FROM k)
 SELECT g.station, moment, round(y0 + epoch_us(moment - x0) * (y1 - y0) / epoch_us(x1 - x0), 5) AS u FROM g JOIN n ON g.station = n.station AND moment >= x0 AND moment < x1""")
 def d6_regular_wind(spark, sf):
     rows = wind(spark, sf).select("station", F.col("ts").cast("timestamp").alias("ts"), "u")
-    span = rows.where("station < 20").groupBy("station").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    span = rows.groupBy("station").agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"))
     first = F.date_trunc("hour", "t0") + F.expr("INTERVAL 1 HOUR")
     grid = span.where(first < F.col("t1")).select("station", F.explode(F.sequence(first, F.col("t1"), F.expr("INTERVAL 6 HOURS"))).alias("at"), "t1").where("at < t1").drop("t1")
     knots = rows.groupBy("station", "ts").agg(F.min("u").alias("u")).select("station", F.unix_micros("ts").alias("x"), "u")
@@ -179,20 +185,23 @@ def d6_regular_wind(spark, sf):
     return found.select("station", F.col("at").alias("moment"), F.round("u", 5).alias("u"))
 
 
-@query("SELECT granule_id, unnest(range(acquired, acquired + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS day FROM (SELECT o_orderkey AS granule_id, o_orderdate AS acquired FROM orders WHERE o_totalprice > 400000)")
+@query("SELECT granule_id, unnest(range(acquired, acquired + INTERVAL 3 DAY, INTERVAL 1 DAY)) AS day FROM (SELECT o_orderkey AS granule_id, o_orderdate AS acquired FROM orders)")
 def d3_days_between(spark, sf):
-    rows = load(spark, sf, "orders").where("o_totalprice > 400000").select(F.col("o_orderkey").alias("granule_id"), F.col("o_orderdate").alias("acquired"))
+    rows = load(spark, sf, "orders").select(F.col("o_orderkey").alias("granule_id"), F.col("o_orderdate").alias("acquired"))
     return rows.select("granule_id", F.explode(F.sequence("acquired", F.col("acquired") + F.expr("INTERVAL 2 DAY"), F.expr("INTERVAL 1 DAY"))).alias("day"))
 
 
 # -- detectors -----------------------------------------------------------------------------
-@query(f"""WITH {BAND_PIXELS}, w AS (SELECT chip_id, coalesce(median(swir16 / nullif(swir22, 0)), 0) AS c FROM px GROUP BY 1), r AS (SELECT p.chip_id, px, swir16, c * swir22 / swir16 - 1 AS sbmp FROM px p JOIN w USING (chip_id))
-SELECT chip_id, px, swir16, round(CASE WHEN sbmp > 0 THEN 0 WHEN sbmp < -0.7715 THEN -0.7715 ELSE sbmp END, 6) AS sbmp FROM r""")
+_CLIP = "round(CASE WHEN {0} > 0 THEN 0 WHEN {0} < -0.7715 THEN -0.7715 ELSE {0} END, 6) AS {0}"
+
+
+@query(f"""WITH {BAND_PIXELS}, q AS (SELECT *, coalesce((swir22 - swir16) / nullif(swir16, 0), 0) AS t, coalesce((swir22_ref - swir16_ref) / nullif(swir16_ref, 0), 0) AS r FROM px),
+w AS (SELECT chip_id, coalesce(median(swir22 / nullif(swir22_ref, 0)), 0) AS c, coalesce(median(round(t / nullif(r, 0), 9)), 0) AS m FROM q GROUP BY 1),
+f AS (SELECT chip_id, px, swir16, coalesce((swir22 - c * swir22_ref) / nullif(c * swir22_ref, 0), 0) AS sbmp, t AS mbsp, coalesce((t - m * r) / nullif(m * r, 0), 0) AS mbmp FROM q JOIN w USING (chip_id))
+SELECT chip_id, px, swir16, {_CLIP.format("sbmp")}, {_CLIP.format("mbsp")}, {_CLIP.format("mbmp")}, 0.0::DOUBLE AS zero FROM f""")
 def m6_baseline_detector(spark, sf):
-    rows = band_pixels(spark, sf)
-    weights = rows.groupBy("chip_id").agg(F.coalesce(F.median(F.try_divide("swir16", "swir22")), F.lit(0.0)).alias("c"))
-    scaled = F.col("c") * F.col("swir22")
-    return rows.join(weights, "chip_id").select("chip_id", "px", "swir16", F.round(S.clip_frac(S.multi_band_ratio(scaled, "swir16")), 6).alias("sbmp"))
+    found = D.baseline_detectors(band_pixels(spark, sf), ["chip_id"], "swir16", "swir22", "swir16_ref", "swir22_ref")
+    return found.select("chip_id", "px", "swir16", *[F.round(c, 6).alias(c) for c in ("sbmp", "mbsp", "mbmp", "zero")])
 
 
 @query(f"""WITH {BAND_PIXELS}, w AS (SELECT chip_id, median(swir16 / nullif(swir22, 0)) AS ct, median(swir16_ref / nullif(swir22_ref, 0)) AS cr FROM px GROUP BY 1) SELECT p.chip_id, px, swir16, round(ct * swir22 / swir16 - cr * swir22_ref / swir16_ref, 6) AS mbmp FROM px p JOIN w USING (chip_id)""")

@@ -9,7 +9,7 @@ from ..operators import physics as H
 from .bindings import CURVE, PIXELS, curve, load, pixels, query
 
 _SPECTRA = f"{CURVE}, sp AS (SELECT wavelength, response / 2000 AS w, wavelength / 100 AS sigma FROM curve), nf AS (SELECT wavelength, sigma, w / sum(w) OVER () AS w FROM sp)"
-_GAMMA = "sc AS (SELECT o_orderkey AS granule_id, 1 / cos(radians(o_custkey % 8 * 5)) + 1 / cos(radians(5)) AS gamma FROM orders WHERE o_totalprice > 350000)"
+_GAMMA = "sc AS (SELECT o_orderkey AS granule_id, 1 / cos(radians(o_custkey % 8 * 5)) + 1 / cos(radians(5)) AS gamma FROM orders)"
 
 
 def _spectra(spark, sf):
@@ -19,7 +19,7 @@ def _spectra(spark, sf):
 
 @query(f"WITH {_SPECTRA}, {_GAMMA}, g AS (SELECT DISTINCT gamma FROM sc), c AS (SELECT CAST(unnest(range(0, 21, 4)) AS DOUBLE) AS conc), t AS (SELECT gamma, conc, sum(w * exp(-gamma * conc * sigma)) AS nb FROM nf, g, c GROUP BY ALL) SELECT granule_id, conc, round(nb, 9) AS nb FROM sc JOIN t USING (gamma)")
 def t1_brightness_table(spark, sf):
-    angles = load(spark, sf, "orders").where("o_totalprice > 350000").select(F.col("o_orderkey").alias("granule_id"), S.gamma(F.col("o_custkey") % 8 * 5, F.lit(5)).alias("gamma"))
+    angles = load(spark, sf, "orders").select(F.col("o_orderkey").alias("granule_id"), S.gamma(F.col("o_custkey") % 8 * 5, F.lit(5)).alias("gamma"))
     conc = spark.range(6).select((F.col("id") * 4).cast("double").alias("conc"))
     return H.brightness_table(_spectra(spark, sf), angles, conc, "sigma", "w", "gamma", "wavelength", "granule_id").withColumn("nb", F.round("nb", 9))
 

@@ -94,7 +94,8 @@ def p12_number_of_plumes(spark, sf):
     return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("chip_id"), F.col("l_linenumber").alias("n"), "l_extendedprice", M.number_by_table(u, [0.5, 0.8, 0.95, 1.0]).alias("plumes"))
 
 
-@query(None)
+@query(f"""WITH {SCENES}, o AS (SELECT granule_id, row_number() OVER (ORDER BY {_u('granule_id', seed='w')}, granule_id) - 1 AS place FROM scenes), n AS (SELECT count(*) AS n FROM scenes), d AS (SELECT unnest(range(n // 10)) AS draw, n FROM n)
+SELECT draw, granule_id FROM d JOIN o ON place = CAST('0x' || right(sha256(CAST(draw AS VARCHAR) || 'w'), 8) AS BIGINT) % n""")
 def p14_with_replacement(spark, sf):
     s = scenes(spark, sf)
     return M.with_replacement(s, "granule_id", s.count() // 10, "w")

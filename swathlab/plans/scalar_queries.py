@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..functions import scalar as S
-from .bindings import BAND_PIXELS, CHIPS, PIXELS, SCENES, SIDE, SITES, WIND, Query, band_pixels, chips, load, pixels, register, scenes, sites, wind
+from ..sources.io import parse_dates
+from .bindings import BAND_PIXELS, CHIPS, PIXELS, SCENES, SIDE, SITES, WIND, Query, band_pixels, chips, load, pixels, query, register, scenes, sites, wind
 
 
 def _columns(name: str, source: Query, cte: str, frm: str, keys: list[str], values: dict[str, tuple[Callable[[], Column], str]], digits: int | None = None) -> None:
@@ -129,15 +130,15 @@ _l("b11_original_bands", {"swir22": (lambda: F.when(F.col("flag") == "N", F.col(
 _e("b12_masked_retrieval", {"retrieval": (lambda: F.when(F.col("prob") >= 0.6, F.col("cond")).otherwise(F.lit(0.0)), "CASE WHEN prob >= 0.6 THEN cond ELSE 0 END")})
 
 # -- dates ---------------------------------------------------------------------------------
-_o(
-    "d1_two_formats",
-    {
-        "day": (
-            lambda: S.iso_date(F.when(F.col("granule_id") % 2 == 0, F.date_format("acquired", "yyyy-MM-dd")).otherwise(F.date_format("acquired", "dd/MM/yyyy"))),
-            "coalesce(try_strptime(CASE WHEN granule_id % 2 = 0 THEN strftime(acquired, '%Y-%m-%d') ELSE strftime(acquired, '%d/%m/%Y') END, '%Y-%m-%d'), try_strptime(CASE WHEN granule_id % 2 = 0 THEN strftime(acquired, '%Y-%m-%d') ELSE strftime(acquired, '%d/%m/%Y') END, '%d/%m/%Y'))::DATE",
-        )
-    },
-)
+
+
+@query("SELECT o_orderkey AS granule_id, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS also FROM orders")
+def d1_two_formats(spark, sf):
+    """A column of each format; either is told from all its rows."""
+    given = scenes(spark, sf).select("granule_id", F.date_format("acquired", "yyyy/MM/dd").alias("slashes"), F.date_format("acquired", "yyyy-MM-dd").alias("dashes"))
+    return parse_dates(parse_dates(given, "slashes", "day"), "dashes", "also").select("granule_id", "day", "also")
+
+
 _o("d2_season", {"season": (lambda: S.season("acquired"), "CASE WHEN month(acquired) IN (12, 1, 2) THEN 'winter' WHEN month(acquired) IN (3, 4, 5) THEN 'spring' WHEN month(acquired) IN (6, 7, 8) THEN 'summer' ELSE 'autumn' END")})
 _o("d4_date_and_time", {"at": (lambda: S.at_time(F.date_format("acquired", "yyyy-MM-dd"), F.format_string("%02d:30:00", (F.col("granule_id") % 24).cast("int"))), "acquired + INTERVAL 1 HOUR * (granule_id % 24) + INTERVAL 30 MINUTE")})
 _v("d5_duration_minutes", {"minutes": (lambda: S.minutes_between(F.lit("2024-01-01 00:00:00").cast("timestamp"), "ts"), "epoch_us(ts - TIMESTAMP '2024-01-01 00:00:00') / 60e6")})

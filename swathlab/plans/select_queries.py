@@ -162,11 +162,13 @@ def w6_percentile_width(spark, sf):
     return smooth.withColumn("share", share).groupBy("chip_id", "row").agg((first(0.9) - first(0.1)).alias("width"))
 
 
-@query(f"WITH {SCENES}, n AS (SELECT granule_id, row_number() OVER (PARTITION BY tile ORDER BY acquired, granule_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM scenes) SELECT granule_id, CAST(2016 + floor((k - 1) * 10 / n) AS INTEGER) AS first_year, CAST(2016 + floor(k * 10 / n) - 1 AS INTEGER) AS last_year FROM n WHERE n <= 12")
+@query(f"WITH {SCENES}, n AS (SELECT granule_id, row_number() OVER (PARTITION BY tile ORDER BY acquired, granule_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM scenes) SELECT granule_id, CAST(2016 + floor((k - 1) * 10 / n) AS INTEGER) AS first_year, CAST(greatest(2016 + floor(k * 10 / n) - 1, 2016 + floor((k - 1) * 10 / n)) AS INTEGER) AS last_year FROM n")
 def w7_year_bands(spark, sf):
     tile = Window.partitionBy("tile")
-    ranked = scenes(spark, sf).select("granule_id", F.row_number().over(tile.orderBy("acquired", "granule_id")).alias("k"), F.count("*").over(tile).alias("n")).where("n <= 12")
-    return ranked.select("granule_id", (2016 + F.floor((F.col("k") - 1) * 10 / F.col("n"))).cast("int").alias("first_year"), (2015 + F.floor(F.col("k") * 10 / F.col("n"))).cast("int").alias("last_year"))
+    ranked = scenes(spark, sf).select("granule_id", F.row_number().over(tile.orderBy("acquired", "granule_id")).alias("k"), F.count("*").over(tile).alias("n"))
+    # with more scenes than years a band is at least the year it begins in
+    first = 2016 + F.floor((F.col("k") - 1) * 10 / F.col("n"))
+    return ranked.select("granule_id", first.cast("int").alias("first_year"), F.greatest(first, 2015 + F.floor(F.col("k") * 10 / F.col("n"))).cast("int").alias("last_year"))
 
 
 @query(f"WITH {SCENES} SELECT granule_id, CAST(row_number() OVER (PARTITION BY sensor, tile ORDER BY sha256(CAST(granule_id AS VARCHAR)), granule_id) AS INTEGER) AS place FROM scenes")

@@ -18,9 +18,10 @@ def s2_projected_read(spark, sf):
     return IO.scan_chips(spark, f"{sf}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n, TRUE AS named FROM orders")
+@query("SELECT o_orderkey, TRUE AS named, TRUE AS placed FROM orders")
 def s3_lineage(spark, sf):
-    return IO.with_lineage(spark, f"{sf}/orders.parquet").agg(F.count("block_start").alias("n"), F.bool_and(F.col("file").endswith(".parquet")).alias("named"))
+    rows = IO.with_lineage(spark, f"{sf}/orders.parquet")
+    return rows.select("o_orderkey", F.col("file").endswith(".parquet").alias("named"), (F.col("block_start") >= 0).alias("placed"))
 
 
 @query("SELECT count(*) AS n FROM lineitem")
@@ -44,11 +45,9 @@ def s5_read_csvs(spark, sf):
 
 @query("SELECT o_orderkey AS id, concat(CAST(o_custkey AS VARCHAR), '-', CAST(o_orderkey AS VARCHAR)) AS key, CAST(o_orderdate AS DATE) AS day FROM orders")
 def s6_csv_to_parquet(spark, sf):
-    from ..functions.scalar import iso_date
-
     raw, out = IO.scratch(spark, "s6"), IO.scratch(spark, "s6")
-    load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tile"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("date")).write.csv(raw, header=True)
-    IO.csv_to_parquet(spark, raw, out, "id long, tile long, date string", ["id", "tile", "date"], {"key": F.concat_ws("-", F.col("tile").cast("string"), F.col("id").cast("string")), "day": iso_date("date")})
+    load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("tile"), F.date_format("o_orderdate", "yyyy/MM/dd").alias("date")).write.csv(raw, header=True)
+    IO.csv_to_parquet(spark, raw, out, "id long, tile long, date string", ["id", "tile", "date"], {"key": F.concat_ws("-", F.col("tile").cast("string"), F.col("id").cast("string"))}, {"day": "date"})
     return spark.read.parquet(out).select("id", "key", "day")
 
 
@@ -120,17 +119,17 @@ def s14_merge_worker_files(spark, sf):
     return spark.read.parquet(out).groupBy("worker").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {CHIPS} SELECT chip_id, array_to_string(list_transform(raster[1:5], lambda v: CAST(CAST(round_even(v * 1000, 0) AS BIGINT) AS VARCHAR)), ' ') AS head, 64 AS n FROM chips")
+@query(f"WITH {CHIPS} SELECT chip_id, array_to_string(list_transform(raster, lambda v: CAST(CAST(round_even(v * 1000, 0) AS BIGINT) AS VARCHAR)), ' ') AS pixels, 64 AS n FROM chips")
 def s15_decode_rasters(spark, sf):
     encoded = IO.encode_rasters(chips(spark, sf), "raster", "<f8")
     decoded = IO.decode_rasters(encoded, "raster", "<f8", (1, 8, 8))
-    return decoded.select("chip_id", F.array_join(F.transform(F.slice("raster", 1, 5), lambda v: F.rint(v * 1000).cast("long").cast("string")), " ").alias("head"), F.size("raster").alias("n"))
+    return decoded.select("chip_id", F.array_join(F.transform("raster", lambda v: F.rint(v * 1000).cast("long").cast("string")), " ").alias("pixels"), F.size("raster").alias("n"))
 
 
-@query(f"WITH {CHIPS} SELECT chip_id, 128 AS bytes FROM chips")
+@query(f"WITH {CHIPS}, i AS (SELECT chip_id, list_transform(raster, lambda v: (CAST(round_even(v * 10000, 0) AS INTEGER) + 65536) % 65536) AS v FROM chips) SELECT chip_id, array_to_string(list_transform(v, lambda x: lpad(to_hex(x % 256), 2, '0') || lpad(to_hex(x // 256), 2, '0')), '') AS bytes FROM i")
 def s16_encode_rasters(spark, sf):
     scaled = chips(spark, sf).select("chip_id", F.transform("raster", lambda v: F.rint(v * 10000).cast("smallint")).alias("raster"))
-    return IO.encode_rasters(scaled, "raster", "<i2").select("chip_id", F.octet_length("raster").alias("bytes"))
+    return IO.encode_rasters(scaled, "raster", "<i2").select("chip_id", F.hex("raster").alias("bytes"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS props_k FROM events")

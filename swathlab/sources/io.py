@@ -10,10 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import DATE_FORMATS, date_by
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, else in the warehouse."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all executors share: below spark.checkpoint.dir, in local mode else in the warehouse."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = spark.conf.get("spark.sql.warehouse.dir")
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -38,12 +44,27 @@ def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     return spark.read.csv(paths, schema=schema, header=True).select("*", F.col("_metadata.file_name").alias("file"))
 
 
-def csv_to_parquet(spark: SparkSession, path: str, out: str, schema: str, required: list[str], derived: dict) -> None:
-    """CSV to parquet with derived columns; an error for missing columns (before anything is written)."""
+def parse_dates(rows: DataFrame, column: str, out: str, formats: tuple[str, ...] = DATE_FORMATS) -> DataFrame:
+    """``rows`` with the text of a column as a date, by the first format that fits all rows; nulls stay null.
+
+    One aggregate counts the rows that each format doesn't fit. An error if no format fits all rows.
+    """
+    fails = [F.count_if(F.col(column).isNotNull() & date_by(column, form).isNull()) for form in formats]
+    form = next((form for form, n in zip(formats, rows.agg(*[n.alias(f"_{i}") for i, n in enumerate(fails)]).first(), strict=True) if not n), None)
+    if form is None:
+        raise ValueError(f"{column}: no format of {', '.join(formats)} fits all rows")
+    return rows.withColumn(out, date_by(column, form))
+
+
+def csv_to_parquet(spark: SparkSession, path: str, out: str, schema: str, required: list[str], derived: dict, dates: dict[str, str] | None = None) -> None:
+    """CSV to parquet with derived columns, and dates (new name: column of text); an error for missing columns or dates in
+    several formats, before anything is written."""
     rows = spark.read.csv(path, schema=schema, header=True)
     given = spark.read.csv(path, header=True).columns
     if missing := [c for c in required if c not in given]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
+    for name, column in (dates or {}).items():
+        rows = parse_dates(rows, column, name)
     rows.withColumns(derived).write.parquet(out)
 
 

@@ -146,7 +146,7 @@ def test_interpolation_forms_agree_with_numpy(spark):
 def test_lookup_round_trip(spark):
     table = spark.range(101).select(F.col("id").cast("double").alias("conc"), (F.exp(-F.col("id") / 40) - 1).alias("frac"))
     rows = spark.range(101).select("id", (F.exp(-F.col("id") / 40) - 1).alias("frac"))
-    found = physics.reverse_lookup(rows, table, "frac", "conc", F.pmod("id", F.lit(4)).cast("int"), 4)
+    found = physics.reverse_lookup(rows, table, "frac", "conc")
     assert all(abs(r["conc"] - r["id"]) < 1e-9 for r in found.collect())
 
 
@@ -207,3 +207,32 @@ def test_two_references(spark):
     scenes = spark.createDataFrame([(i, "t", t, float(i == 1) * 90) for i, t in enumerate(times)], "granule_id int, tile string, acquired timestamp, cloud double")
     rows = select.reference_pairs(scenes, F.col("cloud") < 30, days=30).collect()
     assert [(r["main"], r["before"], r["earlier"]) for r in rows] == [(3, 2, 0)]
+
+
+def test_dates_of_one_format(spark):
+    """A column's format is told from all its rows; mixed or other formats are an error."""
+    given = lambda *texts: spark.createDataFrame([(t,) for t in texts], "day string")
+    for texts in (("2024/03/01", "2023/12/31", None), ("2024-3-1", "2023-12-31", None)):
+        assert [str(r["out"]) for r in io.parse_dates(given(*texts), "day", "out").collect()] == ["2024-03-01", "2023-12-31", "None"]
+    for texts in (("2024/03/01", "2024-03-01"), ("01/03/2024",), ("2024-02-30",)):
+        with pytest.raises(ValueError, match="no format"):
+            io.parse_dates(given(*texts), "day", "out")
+    assert io.parse_dates(given(), "day", "out").count() == 0
+
+
+def test_least_detectable_rate(spark):
+    """The rate of the least probability above 0.01, though a lower rate has a larger one."""
+    curve = spark.createDataFrame([("r", 100, 5.0), ("r", 200, 0.005), ("r", 300, 2.0), ("r", 400, 60.0), ("r", 500, 95.0), ("none", 100, 0.0)], "region string, rate int, pod double")
+    found = {r["region"]: r for r in curves.pod_levels(curve, ["region"], "rate", "pod").collect()}
+    assert found["r"]["minimum"] == 300 and found["r"]["pod10"] == 300 and found["r"]["pod50"] == round(100 + 300 * 45 / 55)
+    assert found["none"]["minimum"] is None
+
+
+def test_interpolation_of_one_curve(spark, monkeypatch):
+    """The arrays in the row and the window give the same."""
+    knots = spark.createDataFrame([(float(x), float(x * x)) for x in range(0, 20, 2)], "x double, y double")
+    rows = spark.createDataFrame([(i, i / 3 - 1) for i in range(80)] + [(99, None)], "i long, q double")
+    small = {r["i"]: r["v"] for r in interp.interpolate_curve(rows, knots, "q", "x", "y", "v").collect()}
+    monkeypatch.setattr(interp, "SMALL_CURVE", 1)
+    large = {r["i"]: r["v"] for r in interp.interpolate_curve(rows, knots, "q", "x", "y", "v").collect()}
+    assert small == pytest.approx(large) and small[99] is None and small[0] == 0.0
