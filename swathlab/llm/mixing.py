@@ -2,8 +2,10 @@
 
 Each source's documents, in hash order, form a stream of words that is cut into blocks
 of ``block_words``. Slot n of the mix has the point frac((n + 1/2) * golden ratio);
-the point falls in one source's part of the cumulative weights. The k-th slot of a
-source takes the k-th block of its stream, which wraps around once the source is used up.
+the point falls in one source's part of the cumulative weights. Slots are dealt until every source has as many as its
+target has blocks (further ones of a source that has them aren't used). The k-th slot of a
+source takes the k-th block of its stream, which wraps around once the source is used up. What the mix takes, and in
+which order, is what its slots take.
 
 DataFrame operations only. Positions and ranks are counted in two steps (within hash
 buckets or runs of slots, then over them), so that no source's rows meet in one task.
@@ -22,6 +24,8 @@ GOLDEN = 0.6180339887498949
 GOLDEN_20 = (1 << 20) * GOLDEN % 1.0
 BLOCK_WORDS = 512
 ROWS_PER_BUCKET = 2048
+#: Beyond this the points don't spread; the golden ratio's do, so it is never met.
+MAX_SLOTS = 1 << 46
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -71,40 +75,37 @@ def _with_offsets(rows: DataFrame, key: str, cell: str, amount: Column, order: l
     return rows.join(cells, [key, cell]).withColumn(out, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
 
 
-def schedule_slots(quotas: DataFrame, spark_slots: DataFrame) -> DataFrame:
-    """One row per slot that is used: slot, rank, block.
-
-    ``quotas``: rank, blocks, low, high (the source's part of [0, 1)), cells (the number
-    of equal cells of [0, 1) by which slots find their source). A slot's place among its
-    source's slots is its block. Sources that the points give fewer slots than blocks
-    (by the discrepancy, a few) get the rest at the end; surplus slots aren't used.
-    """
+def _hits(quotas: DataFrame, slots: DataFrame) -> DataFrame:
+    """The source of each slot: slot, rank, blocks. ``cells``: the number of equal cells of [0, 1) by which slots find their source."""
     parts = quotas.where("blocks > 0").select(
-        "rank", "blocks", "low", "high", "cells", F.explode(F.sequence(F.floor(F.col("low") * F.col("cells")), F.floor(F.col("high") * F.col("cells")))).alias("cell")
+        "rank", "blocks", "low", "high", F.explode(F.sequence(F.floor(F.col("low") * F.col("cells")), F.floor(F.col("high") * F.col("cells")))).alias("cell")
     )
     n = F.col("slot")
     point = F.pmod(F.floor(n / F.lit(1 << 20)) * F.lit(GOLDEN_20) + (n % F.lit(1 << 20)) * F.lit(GOLDEN) + F.lit(GOLDEN / 2), F.lit(1.0))
-    hits = (
-        spark_slots.withColumn("point", point)
-        .withColumn("cell", F.floor(F.col("point") * F.col("cells")))
-        .drop("cells")
-        .join(parts.drop("cells"), "cell")
-        .where("point >= low and point < high")
-        .select("slot", "rank", "blocks", F.floor(n / F.lit(ROWS_PER_BUCKET)).alias("run"))
-    )
-    ranked = _with_offsets(hits, "rank", "run", F.lit(1), ["slot"], "block").where("block < blocks").select("slot", "rank", "block")
-    had = hits.groupBy("rank").agg(F.count("*").alias("had"))
-    slots = quotas.agg(F.sum("blocks").alias("slots"))
-    late = (
-        quotas.where("blocks > 0")
-        .join(had, "rank", "left")
-        .withColumn("had", F.coalesce("had", F.lit(0)))
-        .where("had < blocks")
-        .crossJoin(F.broadcast(slots))  # one row
-        .select("rank", (F.col("slots") + F.col("rank")).alias("slot"), F.explode(F.sequence(F.col("had"), F.col("blocks") - 1)).alias("block"))
-        .select("slot", "rank", "block")
-    )
-    return ranked.unionByName(late)
+    placed = slots.withColumn("point", point).withColumn("cell", F.floor(F.col("point") * F.col("cells"))).drop("cells")
+    return placed.join(parts, "cell").where("point >= low and point < high").select("slot", "rank", "blocks")
+
+
+def schedule_slots(quotas: DataFrame) -> DataFrame:
+    """One row per slot that is used: slot, rank, block.
+
+    ``quotas``: rank, blocks, low, high (the source's part of [0, 1)), cells. A slot's place among its
+    source's slots is its block. A source's points come at most a few blocks late, so the slots are as many as the
+    blocks, and then as many more as the sources that still lack some call for; only counts per source are looked at.
+    """
+    spark = quotas.sparkSession
+    last = slots = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
+    cells = (quotas.agg(F.max("cells")).first()[0] or 64) if slots else 64
+    table = lambda n: spark.range(n).select(F.col("id").alias("slot"), F.lit(cells).alias("cells"))
+    while last:
+        had = _hits(quotas, table(slots)).groupBy("rank").agg(F.count("*").alias("had"))
+        short = quotas.where("blocks > 0").join(had, "rank", "left").withColumn("lacks", F.col("blocks") - F.coalesce("had", F.lit(0))).where("lacks > 0")
+        last = short.agg(F.max(F.ceil((F.col("lacks") + 1) / (F.col("high") - F.col("low"))))).first()[0]
+        slots += last or 0
+        if slots > MAX_SLOTS:
+            raise RuntimeError(f"the schedule gives some source no slots: {slots}")
+    hits = _hits(quotas, table(slots)).withColumn("run", F.floor(F.col("slot") / F.lit(ROWS_PER_BUCKET)))
+    return _with_offsets(hits, "rank", "run", F.lit(1), ["slot"], "block").where("block < blocks").select("slot", "rank", "block")
 
 
 def mix_sources(
@@ -113,8 +114,8 @@ def mix_sources(
     """The documents with their targets, and the pieces of them that the mix takes.
 
     Documents: row_key, copy, id, source, size, source_size, target, start (place in the
-    source's stream); one row per input row. Pieces: slot, rank, block, row_key, copy,
-    start, words; a document is cut where a block ends.
+    source's stream); one row per input row. Pieces: slot, rank, block, row_key, copy, pass (of the stream),
+    start, words, size; a document is cut where a block ends.
 
     Null and empty texts have size 0 and are in no piece. A null source is a source.
     Rows equal in id, text and source share a row_key and are told apart by ``copy``. An empty
@@ -146,7 +147,7 @@ def mix_sources(
         .withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take")))
         .withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block_words), F.floor((F.col("to") - 1) / block_words))))
         .select(
-            F.col("source_rank").alias("rank"), "block", "row_key", "copy",
+            F.col("source_rank").alias("rank"), "block", "row_key", "copy", "pass", "size",
             (F.greatest("from", F.col("block") * block_words) - F.col("from")).alias("start"),
             (F.least("to", (F.col("block") + 1) * block_words) - F.greatest("from", F.col("block") * block_words)).alias("words"),
         )
@@ -160,31 +161,34 @@ def mix_sources(
         .withColumn("low", (F.col("upto") - F.col("blocks")) / F.greatest("sum", F.lit(1))).withColumn("high", F.col("upto") / F.greatest("sum", F.lit(1)))
         .withColumn("cells", F.greatest(F.lit(64), 4 * F.count("*").over(whole)))
     )
-    total, cells = targets.agg(F.coalesce(F.sum(F.ceil(F.col("take") / block_words)), F.lit(0)), F.greatest(F.lit(64), 4 * F.count("*"))).first()
-    slots = spark.range(total).withColumnRenamed("id", "slot").withColumn("cells", F.lit(cells))
-    schedule = schedule_slots(quotas, slots)
-    return streamed, schedule.join(pieces, ["rank", "block"])
+    return streamed, schedule_slots(materialize(quotas)).join(pieces, ["rank", "block"])
 
 
 def taken_words(streamed: DataFrame, pieces: DataFrame) -> DataFrame:
-    """The documents of ``mix_sources`` with ``taken``: words of their pieces, repeats counted."""
-    taken = pieces.groupBy("row_key", "copy").agg(F.sum("words").alias("taken"))
-    return streamed.join(taken, ["row_key", "copy"], "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+    """The documents of ``mix_sources`` with what their slots take: ``taken`` (words, repeats counted), ``slots`` (their number), ``first_slot``."""
+    taken = pieces.groupBy("row_key", "copy").agg(F.sum("words").alias("taken"), F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
+    joined = streamed.join(taken, ["row_key", "copy"], "left")
+    return joined.withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).withColumn("slots", F.coalesce("slots", F.lit(0)).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken: taken / size, rounded half up.
+    """The documents of the mix in the order of their slots, each as often as it is taken.
 
-    Only where a source's stream ends is a document taken in part; it is whole in the result
-    if at least half of it is taken. Documents without words are in no piece and thus not in
+    A document stands where its first block of a pass has its slot. Only where a source's stream ends is a document taken in
+    part; it is whole in the result if at least half of it is taken. Documents without words are in no piece and thus not in
     the result. Rows equal in id, text and source share their number evenly, the
-    remainder to the first. Columns are those of ``docs``.
+    remainder to the first, at the first of their slots. An empty table gives an empty result. Columns are those of ``docs``.
     """
-    taken = taken_words(*mix_sources(docs, id_col, text_col, source_col, **options))
-    times = taken.where("size > 0").groupBy("row_key").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
-    times = times.select("row_key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("times"), "rows").where("times > 0")
-    rows = docs.select(F.xxhash64(id_col, text_col, source_col).alias("row_key"), F.struct(*docs.columns).alias("doc")).join(times, "row_key")
-    first = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    several = rows.where("rows > 1").withColumn("n", first).withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("n") <= F.col("times") % F.col("rows")).cast("int"))
-    rows = rows.where("rows = 1").unionByName(several.drop("n")).where("times > 0")
-    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("doc.*")
+    _, pieces = mix_sources(docs, id_col, text_col, source_col, **options)
+    passes = pieces.groupBy("row_key", "copy", "pass").agg(F.sum("words").alias("words"), F.max("size").alias("size"), F.min("slot").alias("slot")).where("2 * words >= size")
+    passes = materialize(passes)
+    keyed = docs.select(F.xxhash64(id_col, text_col, source_col).alias("row_key"), F.struct(*docs.columns).alias("doc"))
+    # repeated rows are told by their number in the stream; all others need no rank among rows
+    repeated = keyed.select("row_key").groupBy("row_key").agg(F.count("*").alias("rows"))
+    taken = passes.select("row_key", "slot").join(repeated, "row_key")
+    single = keyed.join(taken.where("rows = 1").drop("rows"), "row_key").select("slot", "doc")
+    shared = taken.where("rows > 1").groupBy("row_key").agg(F.count("*").alias("times"), F.min("slot").alias("slot"), F.max("rows").alias("rows"))
+    n = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    several = keyed.join(shared, "row_key").withColumn("n", n).withColumn("times", F.floor(F.col("times") / F.col("rows")) + (F.col("n") <= F.col("times") % F.col("rows")).cast("int"))
+    several = several.where("times > 0").select("slot", "doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long"))).alias("n")).drop("n")
+    return single.unionByName(several).orderBy("slot").select("doc.*")

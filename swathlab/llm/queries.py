@@ -18,9 +18,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document."""
+    """doc_id, size, source_size, target, taken, and number and first of its slots, of every document."""
     docs = mixing.taken_words(*mixing.mix_sources(table(spark, sf_dir, "documents")))
-    return docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return docs.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "slots", "first_slot")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
