@@ -1,14 +1,14 @@
 """Benchmark decontamination: which documents hold most of a benchmark item's shingles.
 
-Items are partitioned by size (powers of two of their distinct shingles). An item's sketch is the
-least hashes of its shingles, as many as the partition's size asks for: at a containment
-of ``threshold``, at most (1 - threshold) * n of the n shingles are missing, so a sketch of one
-more than that always meets a document that holds enough. Documents aren't
-sketched (a short item's share of a long one is far too small for that); all their
-shingles are looked up. What meets a sketch is verified by the exact shingles.
-
-Items are spread to the executors in blocks of at most ``BLOCK_BYTES`` of text, each block
-with its own pass over the documents.
+Items are partitioned by size (powers of two of their distinct shingles), and each has a MinHash sketch, the least
+hashes of its shingles, as many as the partition calls for. At a containment of ``threshold`` a document lacks at most
+(1 - threshold) * n of an item's n shingles, so of a sketch of k it holds at least k - (1 - threshold) * n, however long the
+document is. The sketches are twice as large as a single hit would need, so that a frequent shingle alone makes no
+candidate. Documents aren't sketched: their shingles are looked up among the sketches' hashes, and what is met often enough
+is verified by exact shingles. No contained item is missed.
+
+The sketches' hashes are spread to the executors if they are ``BROADCAST_HASHES`` at most; more are joined by exchange.
+Items' texts reach only the documents that meet their sketches.
 """
 
 from __future__ import annotations
@@ -20,10 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import apart, materialize, row_key, spread
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCK_BYTES = 16 << 20
+#: Hashes of sketches (8 bytes each), and keys of documents, that are broadcast at most.
+BROADCAST_HASHES = 4_000_000
+BROADCAST_KEYS = 500_000
 _PIECE = 1 << 20
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes(0x20 if i in _SEPARATORS else i + 32 if 0x41 <= i <= 0x5A else i for i in range(256))
@@ -98,130 +103,159 @@ def _pieces(folded: bytes, shingle: int) -> Iterator[bytes]:
     yield folded[start:]
 
 
-class ItemIndex:
-    """The shingles of a block of items; which of them are in an item's sketch.
+def _keyed(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of shingles of that many words, so that other widths don't meet them."""
+    return _mixed(hashes + np.uint64(width * int(_P) % (1 << 64)))
 
-    Items of fewer words than a shingle have one shingle, all their words. Items without words are never found.
-    """
 
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int = SHINGLE, threshold: float = THRESHOLD):
-        self.threshold, self.sizes, self.widths = threshold, {}, set()
-        postings: dict[tuple[int, int], list[tuple[int, bytes, bool]]] = {}
-        for at, (_, text) in enumerate(items):
-            folded = fold(text)
-            if not folded:
-                continue
-            width = min(shingle, folded.count(b" ") + 1)
-            hashes, starts, ends = shingle_hashes(folded, width)
-            found = {folded[starts[i] : ends[i + width - 1]]: int(h) for i, h in enumerate(hashes)}
-            self.sizes[at], _ = len(found), self.widths.add(width)
-            largest = (1 << len(found).bit_length()) - 1
-            sketch = set(sorted(found.values())[: math.floor((1 - threshold) * largest + 1e-9) + 1])
-            for run, h in found.items():
-                postings.setdefault((width, h), []).append((at, run, h in sketch))
-        self.ids = [x for x, _ in items]
-        self.postings = postings
-        self.hashes = {w: np.array(sorted(h for v, h in postings if v == w), np.uint64) for w in self.widths}
-        self.maybe = {w: self._filter(h) for w, h in self.hashes.items()}
-
-    @staticmethod
-    def _filter(hashes: np.ndarray) -> np.ndarray:
-        table = np.zeros(1 << max(16, (64 * len(hashes)).bit_length()), bool)
-        table[hashes & np.uint64(len(table) - 1)] = True
-        return table
-
-    def _look_up(self, folded: bytes, owners: list[int], counts: list[int], met: dict, seen: dict) -> None:
+def sketch(text: str | None, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> tuple[int, int, int, np.ndarray]:
+    """(width of the shingles, number of distinct ones, hits that a containing document has at least, sketch) of an item.
+
+    An item of fewer words than a shingle has one shingle, all its words; one without words has none.
+    """
+    folded = fold(text)
+    if not folded:
+        return 0, 0, 0, np.zeros(0, np.uint64)
+    width = min(shingle, folded.count(b" ") + 1)
+    hashes = np.unique(_keyed(shingle_hashes(folded, width)[0], width))
+    largest = (1 << len(hashes).bit_length()) - 1  # of its partition
+    size = min(len(hashes), 2 * (math.floor((1 - threshold) * largest + 1e-9) + 1))
+    return width, len(hashes), max(1, size - math.floor((1 - threshold) * len(hashes) + 1e-9)), hashes[:size]
+
+
+def item_sketches(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per hash of an item's sketch: item_key, width, needed, hash. Items equal in id and text are one."""
+    keyed = items.select(row_key(id_col, text_col).alias("item_key"), F.col(text_col).alias("text")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(text, shingle, threshold) for text in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(made)), [len(x[3]) for x in made])
+            some = [np.array([x[k] for x in made], np.int64)[rows] for k in (0, 2)]
+            hashes = np.concatenate([np.zeros(0, np.uint64), *(x[3] for x in made)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, some), pa.array(hashes)], names=["item_key", "width", "needed", "hash"])
+
+    return keyed.mapInArrow(run, "item_key bigint, width bigint, needed bigint, hash bigint")
+
+
+class Lookup:
+    """Finds which of some hashes the shingles of texts have; without hashes, all of them."""
+
+    def __init__(self, widths: list[int], hashes: np.ndarray | None):
+        self.widths, self.known = widths, hashes
+        if hashes is not None:
+            self.known = np.unique(hashes)
+            self.maybe = np.zeros(1 << max(16, (64 * len(self.known)).bit_length()), bool)
+            self.maybe[self.known & np.uint64(len(self.maybe) - 1)] = True
+
+    def _hits(self, folded: bytes, owners: list[int], counts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words = word_hashes(folded)[0]
+        last = np.cumsum(counts)
         for width in self.widths:
-            hashes, starts, ends = shingle_hashes(folded, width)
-            if not len(hashes):
-                continue
-            table, known = self.maybe[width], self.hashes[width]
-            hits = np.flatnonzero(table[hashes & np.uint64(len(table) - 1)])
-            hits = hits[known[np.minimum(np.searchsorted(known, hashes[hits]), len(known) - 1)] == hashes[hits]]
-            if not len(hits):
-                continue
-            last = np.cumsum(counts)
-            first, final = np.searchsorted(last, hits, "right"), np.searchsorted(last, hits + width - 1, "right")
-            for i, doc in zip(hits[first == final].tolist(), first[first == final].tolist(), strict=True):
-                run = folded[starts[i] : ends[i + width - 1]]
-                for item, text, sketched in self.postings[(width, int(hashes[i]))]:
-                    if text == run:
-                        seen.setdefault((owners[doc], item), set()).add(text)
-                        if sketched:
-                            met[(owners[doc], item)] = True
-
-    def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(place of the text, item's place, item's shingles, shingles found) of contained items."""
-        met: dict[tuple[int, int], bool] = {}
-        seen: dict[tuple[int, int], set[bytes]] = {}
-        longest = max(self.widths, default=0)
-        parts, owners, counts, size = [], [], [], 0
-
-        def flush() -> None:
-            nonlocal parts, owners, counts, size
-            if parts:
-                self._look_up(b" ".join(parts), owners, counts, met, seen)
-            parts, owners, counts, size = [], [], [], 0
-
-        for at, text in enumerate(texts if longest else []):
+            hashes = _keyed(run_hashes(words, width), width)
+            at = np.arange(len(hashes))
+            if self.known is not None:
+                at = np.flatnonzero(self.maybe[hashes & np.uint64(len(self.maybe) - 1)])
+                at = at[self.known[np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)] == hashes[at]]
+            first = np.searchsorted(last, at, "right")
+            inside = first == np.searchsorted(last, at + width - 1, "right")
+            yield np.array(owners, np.int64)[first[inside]], hashes[at[inside]]
+
+    def find(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the text, hash), each pair once. Texts are looked up together, long ones in pieces."""
+        found, parts, owners, counts, size = [], [], [], [], 0
+        for at, text in enumerate(texts):
             folded = fold(text)
-            for piece in _pieces(folded, longest) if folded else ():
+            for piece in _pieces(folded, max(self.widths)) if folded and self.widths else ():
                 parts.append(piece)
                 owners.append(at)
                 counts.append(piece.count(b" ") + 1)
                 size += len(piece)
                 if size >= _PIECE:
-                    flush()
-        flush()
-        return sorted((doc, item, self.sizes[item], len(seen[doc, item])) for doc, item in met if len(seen[doc, item]) >= self.threshold * self.sizes[item] - 1e-9)
-
-
-def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks that fit the executors; the number of blocks follows their bytes."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    blocks = -(-total // block_bytes) if total > block_bytes else 1
-    for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)) == block).select(id_col, text_col)
-        yield sorted(((r[0], r[1]) for r in rows.distinct().collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))
+                    found += self._hits(b" ".join(parts), owners, counts)
+                    parts, owners, counts, size = [], [], [], 0
+        if parts:
+            found += self._hits(b" ".join(parts), owners, counts)
+        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *(o for o, _ in found)]), np.concatenate([np.zeros(0, np.uint64), *(h for _, h in found)]).view(np.int64)]), axis=1)
+        return pairs[0], pairs[1]
+
+
+def candidate_pairs(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and item whose sketch it meets often enough: doc_key, item_key. ``sketches``: see ``item_sketches``."""
+    widths = sorted(r[0] for r in sketches.select("width").distinct().collect())  # at most as many as a shingle has words
+    few = sketches.select("hash").distinct()
+    held = few.count() <= BROADCAST_HASHES
+    lookup = Lookup(widths, few.toPandas()["hash"].to_numpy(np.int64).view(np.uint64) if held else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, hashes = lookup.find(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(hashes)], names=["doc_key", "hash"])
+
+    # equal documents are one from here on
+    hits = spread(docs).select(row_key(id_col, text_col).alias("doc_key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_key bigint, hash bigint")
+    met = hits.join(F.broadcast(sketches), "hash") if held else apart(hits, "hash").join(apart(sketches, "hash"), ["hash", "_apart"])
+    return met.groupBy("doc_key", "item_key").agg(F.count_distinct("hash").alias("hits"), F.max("needed").alias("needed")).where("hits >= needed").select("doc_key", "item_key")
+
+
+def _contained(text: str | None, items: list[dict], shingle: int, threshold: float) -> list[tuple[int, int, int]]:
+    """(place in ``items``, the item's shingles, those that the text has too) of the items the text contains, compared word by word."""
+    have: dict[int, set[bytes]] = {}
+    words = fold(text).split()
+    out = []
+    for at, item in enumerate(items):
+        own = fold(item["text"]).split()
+        width = min(shingle, len(own))
+        runs = {b" ".join(own[i : i + width]) for i in range(len(own) - width + 1)}
+        if width not in have:
+            have[width] = {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+        shared = len(runs & have[width])
+        if runs and shared >= threshold * len(runs) - 1e-9:
+            out.append((at, len(runs), shared))
+    return out
 
 
-def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item it contains: id_col, item_id, item_shingles, shared, containment.
 
-    Null and empty texts contain nothing; repeated documents give a row each, repeated items count once. No items,
-    or no documents, give no rows.
+    Null and empty texts contain nothing, and items without words are never found; very long texts are looked up whole. Repeated
+    documents give a row each, repeated items count once. No items, or no documents, give no rows. Ids can be of any type.
     """
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, item_id bigint, item_shingles bigint, shared bigint, containment double"
-    out = None
-    for items_here in item_blocks(items):
-        index = ItemIndex(items_here, shingle, threshold)
-
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = index.search(batch.column(1).to_pylist())
-                columns = [
-                    batch.column(0).take(pa.array([x[0] for x in found], pa.int64())),
-                    *(pa.array(v, pa.int64()) for v in ([index.ids[x[1]] for x in found], [x[2] for x in found], [x[3] for x in found])),
-                    pa.array([x[3] / x[2] for x in found], pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "item_id", "item_shingles", "shared", "containment"])
-
-        here = docs.select(id_col, text_col).mapInArrow(run, schema)
-        out = here if out is None else out.unionByName(here)
-    return out
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that contain no item. Null and empty texts stay."""
-    at = docs.columns.index(text_col)
-    for items_here in item_blocks(items):
-        index = ItemIndex(items_here, shingle, threshold)
-
-        def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bad = {x[0] for x in index.search(batch.column(at).to_pylist())}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    sketches = materialize(item_sketches(items, item_col, "text", shingle, threshold))
+    pairs = materialize(candidate_pairs(docs, sketches, id_col, text_col))
+    given = items.select(row_key(item_col, "text").alias("item_key"), F.col(item_col).alias("item_id"), F.col("text")).dropDuplicates(["item_key"])
+    # the items that a document meets: as many as its text has room for
+    met = apart(pairs, "item_key").join(apart(given, "item_key"), ["item_key", "_apart"]).groupBy("doc_key").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
+    keys = pairs.select("doc_key").distinct()
+    chosen = docs.select(row_key(id_col, text_col).alias("doc_key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if keys.count() <= BROADCAST_KEYS:
+        chosen = chosen.join(F.broadcast(keys), "doc_key", "left_semi")
+    both = chosen.join(met, "doc_key").select("id", "text", "items")
+    kinds = {name: both.select(column).schema[0].dataType for name, column in ((id_col, "id"), ("item_id", F.explode("items.item_id")))}
+    schema = T.StructType([*(T.StructField(n, t) for n, t in kinds.items()), T.StructField("item_shingles", T.LongType()), T.StructField("shared", T.LongType()), T.StructField("containment", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, sizes, shared = [], [], [], []
+            lists = batch.column(2)
+            for at, text in enumerate(batch.column(1)):
+                for i, n, k in _contained(text.as_py(), lists[at].as_py(), shingle, threshold):
+                    rows.append(at)
+                    places.append(lists.offsets[at].as_py() + i)
+                    sizes.append(n)
+                    shared.append(k)
+            item_ids = lists.values.field("item_id").take(pa.array(places, pa.int64()))
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), item_ids, pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array([k / n for k, n in zip(shared, sizes, strict=True)], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that contain no item; columns are those of ``docs``. Null and empty texts stay, and all documents without
+    items; an empty table gives an empty result; repeated documents stay or go together."""
+    keyed = docs.select(row_key(id_col, text_col).alias("_key"), F.struct(*docs.columns).alias("_doc"))
+    found = contaminated_pairs(docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text")).alias("d")).select(row_key("d.id", "d.text").alias("key"), "d.text"), items, "key", "text", item_col, shingle, threshold)
+    bad = materialize(found.select(F.col("key").alias("_key")).distinct())
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
+    return keyed.join(bad, "_key", "left_anti").select("_doc.*")
