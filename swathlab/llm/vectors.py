@@ -1,16 +1,19 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
 Unit vectors are quantised to int8 with a scale of their own; the exact norm of what is lost bounds the error of
-every product: |u.v - u'.v'| <= |u'| |v - v'| + |u - u'|. Products of the quantised vectors
-rule most pairs out; only pairs that may reach the threshold are computed in double precision.
+every product: |u.v - u'.v'| <= |u'| |v - v'| + |u - u'|. Tiles hold the codes alone, and integer products tell
+pairs that surely reach the threshold from those that can't. Only the pairs in between fetch their vectors and are computed
+in double precision.
 
 Equal vectors are one row from the start. Vectors are dealt to tiles of about ``TILE_ROWS``
-by hash, and each pair of tiles is one bounded group. A group returns the number of
-links of each vector and a spanning forest of them, never the pairs.
+by hash, and each pair of tiles is one bounded group. A group returns the number of sure links of each vector, a tie of
+each to the least vector that sure links reach, and the pairs in between.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,9 +25,10 @@ from .components import connected_components
 THRESHOLD = 0.95
 TILE_ROWS = 4096
 _BLOCK = 1024
-#: Above the rounding of 64-bit and, for the quantised products, 32-bit sums.
-_SLACK = 2e-5
-_DENSE = 0.02
+#: Above the rounding of 64-bit sums; integer products are exact.
+_SLACK = 1e-9
+#: Components whose products 32-bit floats add up exactly: 1024 * 127 * 127 < 2**24.
+_EXACT = 1024
 
 
 def usable(vector: Column) -> Column:
@@ -62,59 +66,102 @@ def _forest(labels: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np
     return np.concatenate([x for x, _ in kept]), np.concatenate([x for _, x in kept])
 
 
-def compare_tiles(unit: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(links of each row, left, right of a spanning forest) between the rows ``first`` and ``second`` (the same array: within it)."""
-    codes, scale, lost = quantise(unit)
-    near = codes.astype(np.float32) * scale[:, None].astype(np.float32)
+def _unit(vectors: pa.ListArray, n: int) -> np.ndarray:
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+    values = values / np.abs(values).max(axis=1, initial=1e-300)[:, None]
+    return values / np.linalg.norm(values, axis=1)[:, None]
+
+
+def quantised(classes: DataFrame) -> DataFrame:
+    """node, copies, length, code (int8 bytes), scale, lost of each vector; ``classes``: node, copies, vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(2).to_numpy()
+            for length in np.unique(lengths):
+                some = batch.filter(pa.array(lengths == length))
+                codes, scale, lost = quantise(_unit(some.column(3), some.num_rows))
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(lost)], names=["node", "copies", "length", "code", "scale", "lost"])
+
+    return classes.select("node", "copies", F.size("vector").alias("length"), "vector").mapInArrow(run, "node bigint, copies bigint, length int, code binary, scale double, lost double")
+
+
+def compare_tiles(codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sure links of each row, labels of what they join, left, right of the pairs in between) of the rows ``first`` and ``second`` (the same array: within it)."""
+    whole = codes.astype(np.float32)
     size = np.linalg.norm(codes * scale[:, None], axis=1)
     within = first is second
-    links, labels = np.zeros(len(unit), np.int64), np.arange(len(unit))
-    lefts, rights = [], []
+    links, labels = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(first), _BLOCK):
         rows = first[at : at + _BLOCK]
         others = second[at:] if within else second
-        least = threshold - _SLACK - lost[rows] - size[rows] * lost[others].max(initial=0)
-        i, j = np.nonzero(near[rows] @ near[others].T >= least[:, None].astype(np.float32))
+        near = np.zeros((len(rows), len(others)))
+        for k in range(0, codes.shape[1], _EXACT):
+            near += whole[rows, k : k + _EXACT] @ whole[others, k : k + _EXACT].T
+        near *= scale[rows][:, None] * scale[others][None, :]
+        error = size[rows][:, None] * lost[others][None, :] + lost[rows][:, None] + _SLACK
+        sure = near - error >= threshold
+        maybe = (near + error >= threshold) & ~sure
         if within:
-            i, j = i[j > i], j[j > i]
-        if len(i) > _DENSE * len(rows) * len(others):
-            exact = (unit[rows] @ unit[others].T)[i, j]
-        else:
-            exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", unit[rows[i[k : k + 65536]]], unit[others[j[k : k + 65536]]]) for k in range(0, len(i), 65536))])
-        good = exact >= threshold
-        left, right = rows[i[good]], others[j[good]]
-        links += np.bincount(left, copies[right], len(unit)).astype(np.int64) + np.bincount(right, copies[left], len(unit)).astype(np.int64)
-        a, b = _forest(labels, left, right)
-        lefts.append(a)
-        rights.append(b)
-    return links, np.concatenate([np.zeros(0, np.int64), *lefts]), np.concatenate([np.zeros(0, np.int64), *rights])
+            later = np.arange(len(others))[None, :] > np.arange(len(rows))[:, None]
+            sure &= later
+            maybe &= later
+        i, j = np.nonzero(sure)
+        left, right = rows[i], others[j]
+        links += np.bincount(left, copies[right], len(codes)).astype(np.int64) + np.bincount(right, copies[left], len(codes)).astype(np.int64)
+        _forest(labels, left, right)
+        i, j = np.nonzero(maybe)
+        lefts.append(rows[i])
+        rights.append(others[j])
+    return links, labels, np.concatenate(lefts), np.concatenate(rights)
 
 
 def _group(tiles: pa.Table, threshold: float) -> pa.Table:
-    """Links (node, links, null) and edges (node, 0, other) of one pair of tiles."""
-    n = tiles.num_rows
-    vectors = tiles.column("vector").combine_chunks()
-    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-    values /= np.abs(values).max(axis=1)[:, None]
-    unit = values / np.linalg.norm(values, axis=1)[:, None]
-    tile, node, copies = (tiles.column(c).to_numpy() for c in ("tile", "node", "copies"))
+    """Sure links (node, links, null, true), ties (node, null, other, true) and pairs in between (node, null, other, false) of one pair of tiles."""
+    codes = np.frombuffer(b"".join(tiles.column("code").to_pylist()), np.int8).reshape(tiles.num_rows, -1)
+    tile, node, copies, scale, lost = (tiles.column(c).to_numpy() for c in ("tile", "node", "copies", "scale", "lost"))
     first = np.flatnonzero(tile == tiles.column("low")[0].as_py())
     second = first if tiles.column("low")[0] == tiles.column("high")[0] else np.flatnonzero(tile == tiles.column("high")[0].as_py())
-    links, left, right = compare_tiles(unit, copies, first, second, threshold)
-    some = np.flatnonzero(links)
+    links, labels, left, right = compare_tiles(codes, scale, lost, copies, first, second, threshold)
+    least = node.copy()
+    np.minimum.at(least, labels, node)
+    least = least[labels]
+    some, tied = np.flatnonzero(links), np.flatnonzero(least != node)
+    n, k = len(some), len(some) + len(tied)
+    place = np.arange(k + len(left))
     return pa.table(
         {
-            "node": np.concatenate([node[some], node[left]]),
-            "links": np.concatenate([links[some], np.zeros(len(left), np.int64)]),
-            "other": pa.array(np.concatenate([np.zeros(len(some), np.int64), node[right]]), pa.int64(), mask=np.arange(len(some) + len(left)) < len(some)),
+            "node": np.concatenate([node[some], node[tied], node[left]]),
+            "links": pa.array(np.concatenate([links[some], np.zeros(len(place) - n, np.int64)]), pa.int64(), mask=place >= n),
+            "other": pa.array(np.concatenate([np.zeros(n, np.int64), least[tied], node[right]]), pa.int64(), mask=place < n),
+            "sure": place < k,
         }
     )
 
 
+def _exact_links(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs (node, other) those that reach the threshold in double precision: node, other and their copies."""
+    for end in ("node", "other"):
+        ends = classes.select(F.col("node").alias(end), F.col("copies").alias(f"{end}_copies"), F.col("vector").alias(f"{end}_vector"))
+        pairs = apart(pairs, end).join(apart(ends, end), [end, "_apart"]).drop("_apart")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = batch.column(6).to_numpy()
+            for length in np.unique(lengths):
+                some = batch.filter(pa.array(lengths == length))
+                left, right = (_unit(some.column(k), some.num_rows) for k in (4, 5))
+                yield some.filter(pa.array(np.einsum("ij,ij->i", left, right) >= threshold)).select(["node", "other", "node_copies", "other_copies"])
+
+    given = pairs.select("node", "other", "node_copies", "other_copies", "node_vector", "other_vector", F.size("node_vector").alias("length"))
+    return given.mapInArrow(run, "node bigint, other bigint, node_copies bigint, other_copies bigint")
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
+    An empty table gives an empty result; repeated rows are rows of their own. Vectors that are null, empty, zero, or hold null or non-finite components link with nothing;
     vectors of different lengths don't link. Equal vectors link, so copies count in ``n_links``. ``component_id`` is the least
     id reachable; null ids count as no id and are in it only where all are null.
     """
@@ -122,19 +169,18 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     marked = marked.withColumn("node", F.when(usable(F.col("vector")), F.xxhash64("vector")))
     classes = marked.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.any_value("vector").alias("vector"))
     classes = materialize(classes)
-    tiles = {r[0]: -(-r[1] // tile_rows) for r in classes.groupBy(F.size("vector")).count().collect()}  # a row for each length
-    if tiles:
-        several = F.element_at(F.create_map(*[F.lit(x) for kv in tiles.items() for x in kv]), F.size("vector"))
-        dealt = classes.withColumn("tiles", several).withColumn("tile", F.pmod("node", F.col("tiles")).cast("int"))
-        pairs = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles").cast("int") - 1))).select(
-            F.size("vector").alias("length"), F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "vector"
-        )
-        found = pairs.groupBy("length", "low", "high").applyInArrow(lambda table: _group(table, threshold), "node bigint, links bigint, other bigint")
-        found = materialize(found)
-    else:
-        found = rows.sparkSession.createDataFrame([], "node bigint, links bigint, other bigint")
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where("other is not null"), "node", "other")
+    codes = materialize(quantised(classes))
+    # one row for each length of vectors
+    tiles = codes.groupBy("length").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
+    dealt = codes.join(F.broadcast(tiles) if tiles.count() <= 100_000 else tiles, "length").withColumn("tile", F.pmod("node", F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("length", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "code", "scale", "lost")
+    found = materialize(dealt.groupBy("length", "low", "high").applyInArrow(lambda table: _group(table, threshold), "node bigint, links bigint, other bigint, sure boolean"))
+    exact = materialize(_exact_links(found.where("not sure").select("node", "other"), classes, threshold))
+    linked = found.where("links is not null").select("node", "links").unionByName(exact.select("node", F.col("other_copies").alias("links"))).unionByName(exact.select(F.col("other").alias("node"), F.col("node_copies").alias("links")))
+    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
+    ties = found.where("sure and other is not null").select("node", "other").distinct().unionByName(exact.select("node", "other"))
+    roots = connected_components(ties, "node", "other")
     known = classes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = apart(known, "root").join(apart(least, "root"), ["root", "_apart"]).select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
