@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, materialize, row_key
+from .common import apart, materialize, partitions, row_key, spread
 from .components import connected_components
 
 BITS = 64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), fp(F.col(text_col)).alias("fp"))
+    return spread(docs).select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("row_key"), fp(F.col(text_col)).alias("fp"))
 
 
 def near_links(classes: DataFrame) -> DataFrame:
@@ -98,15 +98,16 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     ``root``: the least fingerprint reachable by links; ``component_id``: the least id there.
     Null, empty and blank texts have fingerprint 0 and are linked like others. A null id takes part but is a
-    component's id only if all are null. Repeated rows are rows of their own. An empty table gives an empty result.
+    component's id only if all are null. Very long texts are read whole. Repeated rows are rows of their own. An empty table gives an empty result.
     """
     marked = materialize(fingerprints(docs, id_col, text_col, shingle))
-    classes = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    classes = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    classes = materialize(classes.repartition(partitions(docs.sparkSession), "fp"))  # every row of it makes several
     roots = connected_components(near_links(classes), "left", "right").withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = materialize(apart(rooted, "root").join(apart(least, "root"), ["root", "_apart"]).select("fp", "root", "component_id"))
-    return marked.join(rooted, "fp")
+    return apart(marked, "fp").join(apart(rooted, "fp"), ["fp", "_apart"]).drop("_apart")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -116,6 +117,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = simhash_components(docs, id_col, text_col, shingle)
     best = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
-    chosen = marked.groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.row_key").alias("_key"))
-    packed = docs.select(row_key(id_col, text_col).alias("_key"), F.struct(*docs.columns).alias("_doc"))
-    return packed.join(chosen, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
+    chosen = marked.groupBy("root").agg(F.min(best).alias("best")).select(F.col("best.id").alias("_id"), F.col("best.row_key").alias("_key"))
+    packed = docs.select(row_key(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_doc"))
+    same = (packed["_key"] == chosen["_key"]) & packed["_id"].eqNullSafe(chosen["_id"])
+    return packed.join(chosen, same, "left_semi").dropDuplicates(["_key", "_id"]).select("_doc.*")
