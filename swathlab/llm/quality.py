@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import apart, materialize
+from .common import apart, materialize, spread
 from .decontamination import fold
 
 #: Bound of the fit: labelled documents, and features kept for each target.
@@ -160,8 +160,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
-            held = [pa.array([sorted(places[t][f] for f in x & places[t].keys()) for x in found], pa.list_(pa.int32())) for t in TARGETS]
+            found = [[sorted(places[t][f] for f in x & places[t].keys()) for t in TARGETS] for x in (features(text.as_py()) for text in batch.column(0))]
+            held = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in range(len(TARGETS))]
             yield pa.RecordBatch.from_arrays([*held, batch.column(2), batch.column(3)], names=["has_quality", "has_toxic", *TARGETS])
 
     examples = texts.where("part <> 0").mapInArrow(index, "has_quality array<int>, has_toxic array<int>, quality int, toxic int").collect()
@@ -177,8 +177,8 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([evidence.raw(f, t) for f in found], pa.float64()) for t in TARGETS), batch.column(2), batch.column(3)], names=["raw_quality", "raw_toxic", *TARGETS])
+            found = [[evidence.raw(f, t) for t in TARGETS] for f in (features(text.as_py()) for text in batch.column(0))]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], pa.float64()) for i in range(len(TARGETS))), batch.column(2), batch.column(3)], names=["raw_quality", "raw_toxic", *TARGETS])
 
     held = texts.where("part = 0").mapInArrow(score, "raw_quality double, raw_toxic double, quality int, toxic int").collect()
     for target in TARGETS:
@@ -213,17 +213,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ``<target>_evidence``: calibrated log-odds; ``<target>_prior``: the path's rate, without the document itself;
     ``<target>_score``: posterior probability. ``keep``: quality of 1/2 or more; ``toxic``: toxicity of 1/2 or more. A
     site's rate rests on labels where there are any, else on the documents' own probabilities.
-    Null texts count as empty, null hosts and paths are sites; without labels all evidence is 0.
-    Repeated rows are rows of their own; labels for unknown documents are left out.
+    Null texts count as empty, null hosts and paths are sites; without labels all evidence is 0. Very long texts are read
+    whole, one at a time. An empty table gives an empty result. Repeated rows are rows of their own; labels for unknown documents are left out.
     """
     evidence = fit_evidence(docs, labels, id_col, text_col, sample)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t) for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([evidence.score(f, t) for f in found], pa.float64()) for t in TARGETS)], names=["id", "host", "path", *TARGETS_EVIDENCE])
+            # one text's features at a time
+            found = [[evidence.score(f, t) for t in TARGETS] for f in (features(text.as_py()) for text in batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[i] for x in found], pa.float64()) for i in range(len(TARGETS)))], names=["id", "host", "path", *TARGETS_EVIDENCE])
 
-    kept = docs.select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
+    kept = spread(docs).select(F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
     scored = kept.mapInArrow(score, f"id {kind}, host string, path string, quality_evidence double, toxic_evidence double")
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(t).cast("double").alias(f"known_{t}") for t in TARGETS])
