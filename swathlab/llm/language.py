@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
+
 #: Bound of the sample: bytes of text per language, and texts per language.
 DICTIONARY_BYTES = 32 * 1024
 SAMPLE_TEXTS = 256
@@ -104,10 +106,12 @@ def classify(text: str | None, dictionaries: tuple[tuple[str, bytes], ...]) -> t
 def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with lang_pred, score and rejected (names after ``prefix``).
 
-    See ``classify`` for null, empty and letterless texts. Columns of those names are replaced.
+    See ``classify`` for null, empty and letterless texts. Very long texts are encoded whole, piece by piece; of languages
+    of equal size the first by code point is taken, and the document is rejected. Rows are independent, so repeated rows
+    get equal results; an empty table gives an empty result. Columns of those names are replaced.
     """
     names = [f"{prefix}lang_pred", f"{prefix}score", f"{prefix}rejected"]
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    kept = spread(docs).select(*[c for c in docs.columns if c not in names])
     given = tuple(sorted(dictionaries.items()))
     columns = kept.columns
     at = columns.index(text_col)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import spread
 from .decontamination import fold
 
 # Base phrases and their labels.
@@ -102,7 +103,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int,
                 counts[b""] += 1
         yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = spread(docs.select(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"].encode(): r["n"] for r in rows}
     return found.pop(b"", 0), found
 
@@ -177,7 +178,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", index: TemplateIndex
     """
     index = index or TemplateIndex(*document_frequencies(docs, text_col))
     names = list(_COLUMNS)
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    kept = spread(docs).select(*[c for c in docs.columns if c not in names])
     columns = kept.columns
     at = columns.index(text_col)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
