@@ -100,3 +100,14 @@ def share_map(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     total = F.sum("_n").over(Window.partitionBy(*keys))
     shares = counts.withColumn("_share", F.round(F.col("_n") / total, 9))
     return shares.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(value, "_share")))).alias("shares"))
+
+
+def counts_by_thresholds(rows: DataFrame, keys: list[str], names: dict[str, str], score: Column, pairs: list[tuple[float, ...]]) -> DataFrame:
+    """keys, the thresholds of each tuple (names), and how many rows reach each of them (the names' values).
+
+    A conditional count for each threshold in one aggregate: rows aren't multiplied, and groups come back with a row for each tuple.
+    """
+    distinct = sorted({t for pair in pairs for t in pair})
+    counted = rows.groupBy(*keys).agg(F.array(*[F.count_if(score >= t) for t in distinct]).alias("_n"))
+    one = lambda pair: F.struct(*[F.lit(t).alias(n) for n, t in zip(names, pair, strict=True)], *[F.col("_n")[distinct.index(t)].alias(c) for c, t in zip(names.values(), pair, strict=True)])
+    return counted.select(*keys, F.explode(F.array(*[one(p) for p in pairs])).alias("_p")).select(*keys, "_p.*")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import confusion
 from .interp import interpolate_array
+from .plumes import label_chips
 
 # Upper ends of the emission bins (kg/h), and the five runs of the emission grid (start, end, step).
 EMISSION_BINS = (100, 200, 300, 500, 750, 1250)
@@ -63,6 +65,59 @@ def detection_probability(scores: DataFrame, keys: list[str], crop: str, detecte
     return per.groupBy(*keys).agg((100 * F.avg("_p")).alias("mean"), (100 * F.stddev_pop("_p")).alias("std"))
 
 
+def detection_by_rate(scores: DataFrame, keys: list[str], crop: str, score: Column, thresholds: dict[float, float]) -> DataFrame:
+    """``detection_probability`` at the threshold of each false-positive rate: fpr, keys, mean, std. One pass for all (they are given in code)."""
+    found = [F.avg(F.coalesce(score > t, F.lit(False)).cast("double")) for t in thresholds.values()]
+    per = scores.groupBy(*keys, crop).agg(F.array(*found).alias("_p"))
+    one = [F.struct(F.lit(float(fpr)).alias("fpr"), (100 * F.avg(F.col("_p")[i])).alias("mean"), (100 * F.stddev_pop(F.col("_p")[i])).alias("std")) for i, fpr in enumerate(thresholds)]
+    return per.groupBy(*keys).agg(F.array(*one).alias("_r")).select(*keys, F.explode("_r").alias("_r")).select(*keys, "_r.*")
+
+
+def pixel_recall(pixels: DataFrame, keys: list[str], crop: str, plume: str, truth: Column, score: Column, pairs: list[tuple[float, float]]) -> DataFrame:
+    """Mean and population deviation over crops, in percent, of the pixel recall at each (marker, floor): keys, marker, floor, mean, std.
+
+    A plume's recall is the share of its pixels that reach the floor, 0 if none of them reaches the marker; one without
+    pixels is skipped, a crop without any counts as 0. Markers, floors and scores are on one scale.
+    """
+    hits = F.array(*[F.count_if(truth & (score >= floor)) for _, floor in pairs])
+    per = pixels.groupBy(*keys, crop, plume).agg(F.count_if(truth).alias("_n"), F.max(F.when(truth, score)).alias("_top"), hits.alias("_hits"))
+    recall = [F.when(F.col("_n") > 0, F.when(F.col("_top") >= marker, F.col("_hits")[i] / F.col("_n")).otherwise(0.0)) for i, (marker, _) in enumerate(pairs)]
+    crops = per.groupBy(*keys, crop).agg(F.array(*[F.coalesce(F.avg(r), F.lit(0.0)) for r in recall]).alias("_r"))
+    one = [F.struct(F.lit(m).alias("marker"), F.lit(f).alias("floor"), (100 * F.avg(F.col("_r")[i])).alias("mean"), (100 * F.stddev_pop(F.col("_r")[i])).alias("std")) for i, (m, f) in enumerate(pairs)]
+    return crops.groupBy(*keys).agg(F.array(*one).alias("_p")).select(*keys, F.explode("_p").alias("_p")).select(*keys, "_p.*")
+
+
+def plume_scores(chips: DataFrame, chip: str, raster: str, size: int, region: str, floor: float) -> DataFrame:
+    """region, score: the largest probability of each component at the floor; a chip that doesn't reach it counts as one of 0."""
+    labelled = label_chips(chips, chip, raster, size, floor, floor, values=(raster,), keep=(region,))
+    found = labelled.groupBy(chip, "label").agg(F.any_value(region).alias(region), F.max(raster).alias("score")).select(region, "score")
+    return found.unionByName(chips.where(F.array_max(raster) < floor).select(region, F.lit(0.0).alias("score")))
+
+
+def false_positive_area(chips: DataFrame, chip: str, raster: str, size: int, region: str, pairs: list[tuple[float, float]], crops_per_tile: float) -> DataFrame:
+    """Pixels per tile of the components at each (marker, floor): region, marker, floor, fp_px."""
+    crops, out = chips.groupBy(region).agg(F.count("*").alias("_crops")), None
+    for marker, floor in pairs:
+        areas = label_chips(chips, chip, raster, size, marker, floor, keep=(region,)).groupBy(region).agg(F.count("*").alias("_area"))
+        one = crops.join(areas, region, "left").select(region, F.lit(marker).alias("marker"), F.lit(floor).alias("floor"), (F.coalesce("_area", F.lit(0)) / F.col("_crops") * crops_per_tile).alias("fp_px"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def validation_report(pixels: DataFrame, region: str, chip: str, emission: Column, score: Column, truth: Column, threshold: float) -> DataFrame:
+    """At one threshold, for each region and for all of them (region null): threshold, tp, tn, fp, fn, precision, pixel_recall, fpr, and
+    recall, the mean over emission bins of the chips' mean recall (for all: the mean of the regions')."""
+    predicted = score > threshold
+    counts = confusion(pixels, [region, chip], predicted, truth)
+    chips = counts.join(pixels.groupBy(region, chip).agg(F.first(emission_bin(emission)).alias("bin")), [region, chip])
+    sums = [F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")]
+    means = chips.where("bin is not null").groupBy(region, "bin").agg(F.avg(100 * F.col("tp") / (F.col("tp") + F.col("fn") + 0.00001)).alias("_r")).groupBy(region).agg((F.sum("_r") / (len(EMISSION_BINS) + 1)).alias("recall"))
+    per = chips.groupBy(region).agg(*sums).join(means, region, "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
+    every = per.agg(*sums, F.avg("recall").alias("recall")).withColumn(region, F.lit(None).cast(per.schema[region].dataType))
+    both = per.unionByName(every).withColumn("threshold", F.lit(float(threshold)))
+    return both.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "pixel_recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "fpr": F.try_divide("fp", F.col("fp") + F.col("tn"))})
+
+
 def pod_levels(curve: DataFrame, keys: list[str], rate: str, pod: str, levels: tuple[float, ...] = (10, 50, 90)) -> DataFrame:
     """The rates (whole, half to even) at which a detection curve reaches the levels; ``minimum``: the rate of the least POD above
     0.01 (null if there is none). The rate at the least level is ``minimum`` at least."""

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import emission_rate
 
@@ -45,25 +46,34 @@ def hysteresis_labels(probability: np.ndarray, marker: float, floor: float) -> n
     return np.where(keep, labels, 0)
 
 
-def label_chips(chips: DataFrame, chip: str, raster: str, size: int, marker: float, floor: float) -> DataFrame:
-    """One row per pixel of a component: chip, row, col, label. ``raster``: probabilities of one band, row-major.
+def label_chips(chips: DataFrame, chip: str, raster: str, size: int, marker: float, floor: float, values: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per pixel of a component: chip, row, col, label, the pixel's ``values`` (columns of arrays like the raster) and
+    the chip's ``keep`` columns. ``raster``: probabilities of one band, row-major.
 
-    A chip is labelled within its row, so nothing is exchanged and work grows with the chips. Null rasters have no components; null
-    and NaN pixels are in none.
+    A chip is labelled within its row, and takes its values along, so nothing is exchanged or joined and work grows with the chips.
+    Null rasters have no components; null and NaN pixels are in none; null arrays have null values.
     """
-    kind = chips.schema[chip].dataType.simpleString()
+    fields = {f.name: f.dataType for f in chips.schema}
+    schema = T.StructType(
+        [T.StructField(chip, fields[chip]), *(T.StructField(n, T.IntegerType()) for n in ("row", "col", "label"))]
+        + [T.StructField(v, fields[v].elementType) for v in values] + [T.StructField(k, fields[k]) for k in keep]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(batch.column(1).is_valid())
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size, size)
-            labels = hysteresis_labels(np.nan_to_num(values, nan=-np.inf), marker, floor)
+            pixels = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size, size)
+            labels = hysteresis_labels(np.nan_to_num(pixels, nan=-np.inf), marker, floor)
             which, row, col = np.nonzero(labels)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(which)), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(labels[which, row, col], pa.int32())], names=[chip, "row", "col", "label"]
-            )
+            columns = [batch.column(0).take(pa.array(which)), pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(labels[which, row, col], pa.int32())]
+            for i in range(len(values)):
+                lists = batch.column(2 + i)
+                places = np.asarray(lists.offsets)[which] + row * size + col
+                columns.append(lists.values.take(pa.array(places, pa.int64(), mask=lists.is_null().to_numpy(zero_copy_only=False)[which])))
+            columns += [batch.column(2 + len(values) + i).take(pa.array(which)) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return chips.select(chip, F.col(raster).cast("array<double>")).mapInArrow(run, f"`{chip}` {kind}, row int, col int, label int")
+    return chips.select(chip, F.col(raster).cast("array<double>").alias("_raster"), *values, *[F.col(k) for k in keep]).mapInArrow(run, schema)
 
 
 def properties(labelled: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -96,6 +106,37 @@ def area_length_ime(labelled: DataFrame, keys: list[str], value: str, pixel: flo
     return labelled.groupBy(*keys).agg(area.alias("area"), F.sqrt(area).alias("length"), (F.coalesce(F.sum(F.when(positive, F.col(value))), F.lit(0.0)) * (pixel * pixel)).alias("ime"))
 
 
+def plume_features(labelled: DataFrame, keys: list[str], value: str, probability: str, pixel: float, x0: float, y0: float) -> DataFrame:
+    """Of each component, by one aggregate: area, half-open box, likelihood (ten times the largest probability), map coordinates of its
+    most probable pixel, and length and ime of its positive pixels."""
+    positive = F.col(value) > 0
+    best = F.max_by(F.struct("row", "col"), F.struct(probability, -F.col("row"), -F.col("col"))).alias("_p")
+    found = labelled.groupBy(*keys, "label").agg(
+        F.count("*").alias("area"), F.min("row").alias("r0"), F.min("col").alias("c0"), (F.max("row") + 1).alias("r1"), (F.max("col") + 1).alias("c1"), (F.max(probability) * 10).alias("likelihood"), best,
+        F.sqrt(F.count_if(positive) * (pixel * pixel)).alias("length"), (F.coalesce(F.sum(F.when(positive, F.col(value))), F.lit(0.0)) * (pixel * pixel)).alias("ime"),
+    )
+    return found.withColumns({"x": x0 + (F.col("_p.col") + 0.5) * pixel, "y": y0 - (F.col("_p.row") + 0.5) * pixel}).drop("_p")
+
+
+def all_methods(labelled: DataFrame, keys: list[str], kinds: dict[str, Column], masks: dict[str, Column], winds: dict[str, float], size: int, pixel: float, least: float, most: float) -> DataFrame:
+    """Emission rates: keys, mask, kind (of retrieval), method, source (of the wind), rate.
+
+    ``kinds``: values of a pixel; ``masks``: which pixels count; methods: root_area, major_axis and circle_distance (within
+    ``least`` to ``most`` pixels). Rates are computed once for a wind of 1 and scaled.
+    """
+    listed = F.array_compact(F.array(*[F.when(on, F.lit(name)) for name, on in masks.items()]))
+    masked = labelled.withColumns({f"_{k}": v for k, v in kinds.items()}).withColumn("mask", F.explode(listed))
+    valued = masked.select(*keys, "mask", "row", "col", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"_{k}").alias("value")) for k in kinds])).alias("_k")).select(*keys, "mask", "row", "col", "_k.*")
+    group = [*keys, "mask", "kind"]
+    masses = area_length_ime(valued, group, "value", pixel)
+    axes = major_axis(masked, [*keys, "mask"]).withColumnRenamed("length", "_axis")
+    circles = circle_distance_rate(valued, group, "value", size, pixel, 1.0, least, most).withColumnRenamed("rate", "circle_distance")
+    joined = masses.join(axes, [*keys, "mask"]).join(circles, group)
+    joined = joined.withColumns({"root_area": emission_rate(F.lit(1.0), "length", "ime"), "major_axis": emission_rate(F.lit(1.0), F.col("_axis") * pixel, "ime")})
+    methods = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(s).alias("source"), (F.col(m) * w).alias("rate")) for m in ("root_area", "major_axis", "circle_distance") for s, w in winds.items()])
+    return joined.select(*group, F.explode(methods).alias("_m")).select(*group, "_m.*")
+
+
 def root_area_rate(labelled: DataFrame, keys: list[str], value: str, pixel: float, wind: Column | float) -> DataFrame:
     found = area_length_ime(labelled, keys, value, pixel)
     return found.withColumn("rate", emission_rate(F.lit(wind) if isinstance(wind, float) else wind, "length", "ime"))

@@ -99,3 +99,21 @@ def bounded_references(candidates: DataFrame, keys: list[str], order: list[Colum
     running = window.rowsBetween(Window.unboundedPreceding, -1)
     counted = candidates.withColumn("rank", F.row_number().over(window)).withColumn("_clear", F.coalesce(F.count_if(clear).over(running), F.lit(0)))
     return counted.where((F.col("rank") <= most) & (F.col("_clear") < enough)).drop("_clear")
+
+
+def share_width(rows: DataFrame, keys: list[str], order: str, value: str, window: int, low: float, high: float) -> DataFrame:
+    """keys, width: the distance between the places where the cumulative share of a line's values, each averaged with those behind it
+    (``window`` in all), crosses ``low`` and ``high``. Places are between rows (linear); a share that the first row has already
+    is crossed at the first row's place, taken as 0 if places count from 0.
+    """
+    line = Window.partitionBy(*keys)
+    along = line.orderBy(order)
+    smooth = rows.withColumn("_a", F.avg(value).over(along.rowsBetween(0, window - 1)))
+    share = F.round(F.sum("_a").over(along.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_a").over(line), 12)
+    shared = smooth.withColumn("_s", share).withColumn("_b", F.lag("_s").over(along)).withColumn("_o", F.lag(order).over(along))
+
+    def crossing(q: float) -> Column:
+        at = F.col("_o") + (q - F.col("_b")) / (F.col("_s") - F.col("_b")) * (F.col(order) - F.col("_o"))
+        return F.coalesce(F.max(F.when((F.col("_s") >= q) & (F.col("_b") < q), at)), F.min(order).cast("double"))
+
+    return shared.groupBy(*keys).agg((crossing(high) - crossing(low)).alias("width"))

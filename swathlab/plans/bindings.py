@@ -61,6 +61,20 @@ PIXELS = (
 )
 
 
+def chip_values(spark: SparkSession, sf: str) -> DataFrame:
+    """chip_id, region, prob, cond, target: one row per chip, arrays of 64 values each (those of ``pixels``)."""
+    moved = lambda step, start: F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), lambda i: F.element_at("raster", (i * step + start) % 64 + 1))
+    return chips(spark, sf).select("chip_id", "region", F.transform("raster", lambda v: 1 / (1 + F.exp(-10 * v))).alias("prob"), moved(7, 3).alias("cond"), moved(5, 1).alias("target"))
+
+
+def lab_sql(name: str, marker: float, floor: float) -> str:
+    """SQL of labelled components: pixels of components with a label, as the table ``name``; for WITH RECURSIVE."""
+    return f"""{name}_m AS (SELECT chip_id, row * 8 + col AS id FROM pixels WHERE prob >= {floor}),
+{name}_r AS (SELECT chip_id, id, id AS root FROM {name}_m UNION SELECT r.chip_id, m.id, r.root FROM {name}_r r JOIN {name}_m m ON m.chip_id = r.chip_id AND abs(m.id // 8 - r.id // 8) <= 1 AND abs(m.id % 8 - r.id % 8) <= 1),
+{name}_l AS (SELECT chip_id, id, min(root) + 1 AS label FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT p.*, CAST(label AS INTEGER) AS label FROM {name}_l l JOIN pixels p ON p.chip_id = l.chip_id AND p.row * 8 + p.col = l.id WHERE (l.chip_id, label) IN (SELECT l.chip_id, label FROM {name}_l l JOIN pixels p ON p.chip_id = l.chip_id AND p.row * 8 + p.col = l.id WHERE prob >= {marker}))"""
+
+
 # -- L: lineitem as pixels with two bands, class and QA bits ---------------------------
 def band_pixels(spark: SparkSession, sf: str) -> DataFrame:
     """chip_id, px, granule, swir16, swir22, swir16_ref, swir22_ref, scl, qa, acquired, flag."""

@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..operators import curves as C
 from ..operators import detectors as D
 from ..operators import interp as I
-from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, WIND, band_pixels, curve, load, pixels, query, wind
+from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SIDE, WIND, band_pixels, chip_values, curve, lab_sql, load, pixels, query, wind
 
 _KNOTS = f"{CURVE}, seg AS (SELECT wavelength AS x0, response AS y0, lead(wavelength) OVER (ORDER BY wavelength) AS x1, lead(response) OVER (ORDER BY wavelength) AS y1 FROM curve), ends AS (SELECT min(wavelength) AS lo, max(wavelength) AS hi, min_by(response, wavelength) AS ylo, max_by(response, wavelength) AS yhi FROM curve)"
 
@@ -53,40 +53,39 @@ def t6_reverse_lookup(spark, sf):
 # -- curves ------------------------------------------------------------------------------
 _T42 = [round(0.02 * i, 2) for i in range(1, 43)]
 _TS = "t AS (SELECT round(range * 0.02, 2)::DOUBLE AS threshold FROM range(1, 43))"
-_TOP = "c AS (SELECT region, chip_id, CASE WHEN max(prob) < 0.25 THEN 0 ELSE max(prob) END AS score FROM pixels GROUP BY ALL), a AS (SELECT region, count(*) AS crops FROM c GROUP BY 1)"
+#: Components at a floor of 0.25 with their largest probability, a chip below it as one of 0; crops of each region.
+_COMP = f"""{PIXELS}, {lab_sql('cl', 0.25, 0.25)}, c AS (SELECT any_value(region) AS region, max(prob) AS score FROM cl GROUP BY chip_id, label UNION ALL SELECT region, 0 FROM pixels GROUP BY chip_id, region HAVING max(prob) < 0.25), a AS (SELECT region, count(DISTINCT chip_id) AS crops FROM pixels GROUP BY 1)"""
 
 
-def _tops(spark, sf):
-    return pixels(spark, sf).groupBy("region", "chip_id").agg(F.max("prob").alias("score")).withColumn("score", F.when(F.col("score") < 0.25, 0.0).otherwise(F.col("score")))
+def _curve(spark, sf, strict):
+    values = chip_values(spark, sf)
+    scores = C.plume_scores(values, "chip_id", "prob", SIDE, "region", 0.25)
+    return C.ccdf(scores, values.groupBy("region").agg(F.count("*").alias("crops")), "region", "score", _T42, 6.5536, 100.0, strict)
 
 
-def _crops(tops):
-    return tops.groupBy("region").agg(F.count("*").alias("crops"))
+@query(f"WITH RECURSIVE {_COMP}, {_TS} SELECT c.region, threshold, round(count(*) FILTER (score > threshold) / (any_value(crops) * 6.5536::DOUBLE), 9) AS per_km2, round(count(*) FILTER (score > threshold) / (any_value(crops) * 6.5536::DOUBLE) * 100, 9) AS per_tile FROM c JOIN a USING (region), t GROUP BY ALL")
+def t27_fp_curve(spark, sf):
+    return _curve(spark, sf, True).select("region", "threshold", F.round("per_km2", 9).alias("per_km2"), F.round("per_tile", 9).alias("per_tile"))
 
 
-@query(f"WITH {PIXELS}, {_TOP}, {_TS} SELECT c.region, threshold, round(count(*) FILTER (score > threshold) / (any_value(crops) * 6.5536::DOUBLE), 9) AS per_km2, round(count(*) FILTER (score > threshold) / (any_value(crops) * 6.5536::DOUBLE) * 100, 9) AS per_tile FROM c JOIN a USING (region), t GROUP BY ALL")
-def t27_fp_curve(spark, sf):
-    tops = _tops(spark, sf)
-    found = C.ccdf(tops, _crops(tops), "region", "score", _T42, 6.5536, 100.0)
-    return found.select("region", "threshold", F.round("per_km2", 9).alias("per_km2"), F.round("per_tile", 9).alias("per_tile"))
+_T28 = f"""{_COMP}, {_TS}, p AS (SELECT c.region, threshold, count(*) FILTER (score >= threshold) / (any_value(crops) * 6.5536::DOUBLE) * 100 AS per_tile FROM c JOIN a USING (region), t GROUP BY ALL), m AS (SELECT threshold, round(avg(per_tile), 9) AS y FROM p GROUP BY 1),
+g AS (SELECT y AS x0, threshold AS y0, lead(y) OVER w AS x1, lead(threshold) OVER w AS y1, row_number() OVER w AS k, count(*) OVER () AS n FROM m WINDOW w AS (ORDER BY y, threshold DESC)), e AS (SELECT max(x0) FILTER (k = 1) AS lo, max(y0) FILTER (k = 1) AS ylo, max(x0) FILTER (k = n) AS hi, max(y0) FILTER (k = n) AS yhi FROM g), r(rate) AS (VALUES (1.0::DOUBLE), (2.0), (5.0), (10.0)),
+th AS (SELECT rate, round(10 * CASE WHEN rate <= lo THEN ylo WHEN rate >= hi THEN yhi ELSE y0 + (rate - x0) * (y1 - y0) / (x1 - x0) END, 3) AS threshold FROM r CROSS JOIN e LEFT JOIN g ON rate >= x0 AND rate < x1)"""
 
 
-@query(f"""WITH {PIXELS}, {_TOP}, {_TS}, p AS (SELECT c.region, threshold, count(*) FILTER (score >= threshold) / (any_value(crops) * 6.5536::DOUBLE) * 100 AS per_tile FROM c JOIN a USING (region), t GROUP BY ALL), m AS (SELECT threshold, round(avg(per_tile), 9) AS y FROM p GROUP BY 1),
-g AS (SELECT y AS x0, threshold AS y0, lead(y) OVER w AS x1, lead(threshold) OVER w AS y1, row_number() OVER w AS k, count(*) OVER () AS n FROM m WINDOW w AS (ORDER BY y, threshold DESC)), e AS (SELECT max(x0) FILTER (k = 1) AS lo, max(y0) FILTER (k = 1) AS ylo, max(x0) FILTER (k = n) AS hi, max(y0) FILTER (k = n) AS yhi FROM g), r(rate) AS (VALUES (1.0::DOUBLE), (2.0), (5.0), (10.0))
-SELECT rate, round(10 * CASE WHEN rate <= lo THEN ylo WHEN rate >= hi THEN yhi ELSE y0 + (rate - x0) * (y1 - y0) / (x1 - x0) END, 3) AS threshold FROM r CROSS JOIN e LEFT JOIN g ON rate >= x0 AND rate < x1""")
+@query(f"WITH RECURSIVE {_T28} SELECT rate, threshold FROM th")
 def t28_threshold_for_fpr(spark, sf):
-    tops = _tops(spark, sf)
-    return C.threshold_for_rate(C.ccdf(tops, _crops(tops), "region", "score", _T42, 6.5536, 100.0, strict=False), [1, 2, 5, 10])
+    return C.threshold_for_rate(_curve(spark, sf, False), [1, 2, 5, 10])
 
 
-@query(f"WITH {PIXELS}, t(marker, floor) AS (VALUES (0.9::DOUBLE, 0.6::DOUBLE), (0.8, 0.5), (0.7, 0.4)), s AS (SELECT chip_id, region, marker, floor, CASE WHEN max(prob) >= marker THEN count(*) FILTER (prob >= floor) ELSE 0 END AS area FROM pixels, t GROUP BY chip_id, region, marker, floor) SELECT region, marker, floor, round(sum(area) / count(*) * (100 / 6.5536::DOUBLE), 6) AS fp_px FROM s GROUP BY ALL")
-def t29_fp_pixels_per_tile(spark, sf):
-    from ..operators.joins import thresholds, with_each
+_PAIRS = [(0.9, 0.6), (0.8, 0.5), (0.7, 0.4)]
+_AREAS = " UNION ALL ".join(f"SELECT region, {m}::DOUBLE AS marker, {f}::DOUBLE AS floor, chip_id FROM l{i}" for i, (m, f) in enumerate(_PAIRS))
+
 
-    t = thresholds(spark, [(0.9, 0.6), (0.8, 0.5), (0.7, 0.4)], ["marker", "floor"])
-    areas = with_each(pixels(spark, sf), t).groupBy("chip_id", "region", "marker", "floor").agg(F.max("prob").alias("top"), F.count_if(F.col("prob") >= F.col("floor")).alias("n"))
-    area = F.when(F.col("top") >= F.col("marker"), F.col("n")).otherwise(0)
-    return areas.groupBy("region", "marker", "floor").agg(F.round(F.sum(area) / F.count("*") * (100 / 6.5536), 6).alias("fp_px"))
+@query(f"WITH RECURSIVE {PIXELS}, {', '.join(lab_sql(f'l{i}', m, f) for i, (m, f) in enumerate(_PAIRS))}, s AS ({_AREAS}), k(marker, floor) AS (VALUES {', '.join(f'({m}::DOUBLE, {f}::DOUBLE)' for m, f in _PAIRS)}), c AS (SELECT region, count(*) AS crops FROM chips GROUP BY 1) SELECT c.region, k.marker, k.floor, round(count(s.chip_id) / any_value(crops) * (100 / 6.5536::DOUBLE), 6) AS fp_px FROM c CROSS JOIN k LEFT JOIN s ON c.region = s.region AND k.marker = s.marker AND k.floor = s.floor GROUP BY ALL")
+def t29_fp_pixels_per_tile(spark, sf):
+    found = C.false_positive_area(chip_values(spark, sf), "chip_id", "prob", SIDE, "region", _PAIRS, 100 / 6.5536)
+    return found.withColumn("fp_px", F.round("fp_px", 6))
 
 
 _SCORES = "sc AS (SELECT region, chip_id, row AS plume, CAST(100 * (1 + col) AS INTEGER) AS rate, CASE WHEN v < -0.2 THEN NULL ELSE prob + col / 40.0 END AS score FROM pixels)"
@@ -97,16 +96,21 @@ def _scores(spark, sf):
     return rows.select("region", "chip_id", F.col("row").alias("plume"), (100 * (1 + F.col("col"))).cast("int").alias("rate"), F.when(F.col("v") >= -0.2, F.col("prob") + F.col("col") / 40).alias("score"))
 
 
-@query(f"WITH {PIXELS}, {_SCORES}, p AS (SELECT region, rate, chip_id, avg(CAST(coalesce(score > 0.55, FALSE) AS DOUBLE)) AS p FROM sc GROUP BY ALL) SELECT region, rate, round(100 * avg(p), 6) AS mean, round(100 * stddev_pop(p), 6) AS std FROM p GROUP BY ALL")
+@query(f"WITH RECURSIVE {_T28}, {_SCORES}, d AS (SELECT th.rate AS fpr, sc.region, sc.rate, chip_id, avg(CAST(coalesce(score > th.threshold / 10, FALSE) AS DOUBLE)) AS p FROM sc, th GROUP BY ALL) SELECT fpr, region, rate, round(100 * avg(p), 6) AS mean, round(100 * stddev_pop(p), 6) AS std FROM d GROUP BY ALL")
 def t30_detection_probability(spark, sf):
-    found = C.detection_probability(_scores(spark, sf), ["region", "rate"], "chip_id", F.col("score") > 0.55)
-    return found.select("region", "rate", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    # a threshold for each of the four rates
+    levels = {r["rate"]: r["threshold"] / 10 for r in t28_threshold_for_fpr(spark, sf).collect()}
+    found = C.detection_by_rate(_scores(spark, sf), ["region", "rate"], "chip_id", F.col("score"), levels)
+    return found.select("fpr", "region", "rate", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(f"WITH {PIXELS}, {_SCORES}, p AS (SELECT region, rate, chip_id, coalesce(avg(score), 0) AS p FROM sc GROUP BY ALL) SELECT region, rate, round(avg(p), 6) AS recall FROM p GROUP BY ALL")
+@query(f"""WITH {PIXELS}, k(marker, floor) AS (VALUES {', '.join(f'({m}::DOUBLE, {f}::DOUBLE)' for m, f in _PAIRS)}), q AS (SELECT region, chip_id, row // 4 AS plume, 100 * (1 + col) AS rate, abs(target) >= 0.1 AS truth, prob FROM pixels),
+u AS (SELECT region, chip_id, plume, rate, marker, floor, count(*) FILTER (truth) AS n, max(prob) FILTER (truth) AS top, count(*) FILTER (truth AND prob >= floor) AS hits FROM q, k GROUP BY ALL), c AS (SELECT region, chip_id, rate, marker, floor, coalesce(avg(CASE WHEN n > 0 THEN CASE WHEN top >= marker THEN hits / n ELSE 0 END END), 0) AS r FROM u GROUP BY ALL)
+SELECT region, CAST(rate AS INTEGER) AS rate, marker, floor, round(100 * avg(r), 6) AS mean, round(100 * stddev_pop(r), 6) AS std FROM c GROUP BY ALL""")
 def t31_pixel_recall(spark, sf):
-    per = _scores(spark, sf).groupBy("region", "rate", "chip_id").agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("p"))
-    return per.groupBy("region", "rate").agg(F.round(F.avg("p"), 6).alias("recall"))
+    rows = pixels(spark, sf).withColumns({"plume": F.floor(F.col("row") / 4), "rate": (100 * (1 + F.col("col"))).cast("int")})
+    found = C.pixel_recall(rows, ["region", "rate"], "chip_id", "plume", F.abs("target") >= 0.1, F.col("prob"), _PAIRS)
+    return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 def _level_sql(level: int) -> str:
@@ -131,8 +135,11 @@ def t33_emission_grid(spark, sf):
 _T20 = [round(0.3 + 0.03 * i, 2) for i in range(20)]
 
 
-@query(f"""WITH {PIXELS}, t AS (SELECT round(0.3 + 0.03 * range, 2)::DOUBLE AS threshold FROM range(20)), f AS (SELECT region, threshold, count(*) FILTER (prob > threshold) / count(DISTINCT chip_id) AS fp FROM pixels, t WHERE chip_id % 2 = 0 GROUP BY ALL), m AS (SELECT threshold, avg(fp) AS fp FROM f GROUP BY 1),
-l AS (SELECT *, lag(threshold) OVER (ORDER BY threshold) AS t0, lag(fp) OVER (ORDER BY threshold) AS fp0 FROM m) SELECT round(coalesce(min_by(CASE WHEN t0 IS NULL THEN threshold ELSE t0 + (10 - fp0) / (fp - fp0) * (threshold - t0) END, threshold) FILTER (fp < 10), max(threshold)), 6) AS threshold FROM l""")
+_T34 = """t AS (SELECT round(0.3 + 0.03 * range, 2)::DOUBLE AS threshold FROM range(20)), f AS (SELECT region, threshold, count(*) FILTER (prob > threshold) / count(DISTINCT chip_id) AS fp FROM pixels, t WHERE chip_id % 2 = 0 GROUP BY ALL), m AS (SELECT threshold, avg(fp) AS fp FROM f GROUP BY 1),
+l AS (SELECT *, lag(threshold) OVER (ORDER BY threshold) AS t0, lag(fp) OVER (ORDER BY threshold) AS fp0 FROM m), th AS (SELECT round(coalesce(min_by(CASE WHEN t0 IS NULL THEN threshold ELSE t0 + (10 - fp0) / (fp - fp0) * (threshold - t0) END, threshold) FILTER (fp < 10), max(threshold)), 6) AS threshold FROM l)"""
+
+
+@query(f"WITH {PIXELS}, {_T34} SELECT threshold FROM th")
 def t34_fp_pixel_threshold(spark, sf):
     clean = pixels(spark, sf).where("chip_id % 2 = 0")
     return C.false_positive_threshold(clean, "region", "chip_id", "prob", _T20, 10.0).select(F.round("threshold", 6).alias("threshold"))
@@ -152,9 +159,14 @@ def t35_recall_by_bin(spark, sf):
     return _recalls(spark, sf)
 
 
-@query(f"WITH {PIXELS}, {_RECALL}, g AS (SELECT region, avg(recall) AS r FROM r GROUP BY 1) SELECT round(avg(r), 5) AS recall FROM g")
+@query(f"""WITH {PIXELS}, {_T34}, q AS (SELECT region, chip_id, (chip_id * 37) % 1600 AS e, prob > th.threshold AS found, abs(target) > 0.1 AS truth FROM pixels, th), k AS (SELECT region, chip_id, {_BIN} AS bin, count(*) FILTER (found AND truth) AS tp, count(*) FILTER (NOT found AND NOT truth) AS tn, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM q GROUP BY region, chip_id, e),
+b AS (SELECT region, bin, avg(100 * tp / (tp + fn + 0.00001)) AS r FROM k WHERE bin IS NOT NULL GROUP BY ALL), rr AS (SELECT region, sum(r) / 7 AS recall FROM b GROUP BY 1), s AS (SELECT region, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM k GROUP BY 1),
+o AS (SELECT s.*, coalesce(recall, 0) AS recall FROM s LEFT JOIN rr USING (region)), u AS (SELECT * FROM o UNION ALL SELECT NULL, sum(tp), sum(tn), sum(fp), sum(fn), avg(recall) FROM o)
+SELECT region, threshold, CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS pixel_recall, round(fp / nullif(fp + tn, 0), 9) AS fpr, round(recall, 5) AS recall FROM u, th""")
 def t36_validation_report(spark, sf):
-    return C.mean_recall(_recalls(spark, sf), "region").select(F.round("recall", 5).alias("recall"))
+    threshold = t34_fp_pixel_threshold(spark, sf).first()["threshold"]
+    found = C.validation_report(pixels(spark, sf), "region", "chip_id", (F.col("chip_id") * 37) % 1600, F.col("prob"), F.abs("target") > 0.1, threshold)
+    return found.withColumns({**{c: F.round(c, 9) for c in ("precision", "pixel_recall", "fpr")}, "recall": F.round("recall", 5)})
 
 
 @query(f"WITH {PIXELS}, m AS (SELECT chip_id, count(*) FILTER (prob >= 0.6 AND abs(target) > 0.1) AS tp, count(*) FILTER (prob >= 0.6 AND NOT abs(target) > 0.1) AS fp FROM pixels GROUP BY 1) SELECT m.*, label FROM m JOIN embeddings ON chip_id = vec_id")

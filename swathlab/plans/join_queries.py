@@ -103,9 +103,7 @@ def j14_job_grid(spark, sf):
 
 @query(f"WITH {PIXELS}, t(marker, floor) AS (VALUES (0.8, 0.5), (0.7, 0.4), (0.6, 0.3)) SELECT region, marker, floor, count(*) FILTER (prob >= marker) AS strong, count(*) FILTER (prob >= floor) AS some FROM pixels, t GROUP BY ALL")
 def j15_multi_threshold(spark, sf):
-    t = J.thresholds(spark, [(0.8, 0.5), (0.7, 0.4), (0.6, 0.3)], ["marker", "floor"])
-    crossed = J.with_each(pixels(spark, sf), t)
-    return crossed.groupBy("region", "marker", "floor").agg(F.count_if(F.col("prob") >= F.col("marker")).alias("strong"), F.count_if(F.col("prob") >= F.col("floor")).alias("some"))
+    return A.counts_by_thresholds(pixels(spark, sf), ["region"], {"marker": "strong", "floor": "some"}, F.col("prob"), [(0.8, 0.5), (0.7, 0.4), (0.6, 0.3)])
 
 
 @query(f"WITH {CHIPS} SELECT a.chip_id, sum(x * y) AS dot FROM (SELECT chip_id, unnest(raster) AS x, generate_subscripts(raster, 1) AS i FROM chips) a JOIN (SELECT chip_id - 1 AS chip_id, unnest(raster) AS y, generate_subscripts(raster, 1) AS i FROM chips) b ON a.chip_id = b.chip_id AND a.i = b.i GROUP BY 1".replace("sum(x * y)", "round(sum(x * y), 6)"))
@@ -351,13 +349,6 @@ def a29_centre_buffer(spark, sf):
     return centre.groupBy("chip_id").agg(F.round(F.max("prob"), 9).alias("highest"), F.round(F.avg("prob"), 6).alias("mean"), F.round(F.sum(F.abs(F.col("prob") * F.col("cond"))), 6).alias("total"))
 
 
-@query(f"WITH {PIXELS}, q AS (SELECT chip_id, min(row * 8 + col) AS first, round(sum(v), 2) AS rate FROM pixels WHERE v > 0.3 GROUP BY 1) SELECT p.chip_id, round(min(p.prob * p.cond), 6) AS min_marginal, round(max(p.prob), 6) AS max_prob, coalesce(any_value(q.rate), 0) AS rate FROM pixels p LEFT JOIN q USING (chip_id) GROUP BY 1")
-def a30_detection_table(spark, sf):
-    # one pass: the plume part is a conditional aggregate of the same group
-    rate = F.coalesce(F.round(F.sum(F.when(F.col("v") > 0.3, F.col("v"))), 2), F.lit(0.0))
-    return pixels(spark, sf).groupBy("chip_id").agg(F.round(F.min(F.col("prob") * F.col("cond")), 6).alias("min_marginal"), F.round(F.max("prob"), 6).alias("max_prob"), rate.alias("rate"))
-
-
 @query(f"WITH {BAND_PIXELS} SELECT chip_id, round(coalesce(median(swir22 / nullif(CASE WHEN scl = 0 THEN 0 ELSE swir16 END, 0)), 0), 9) AS weight FROM px GROUP BY 1")
 def a31_median_weight(spark, sf):
     reference = F.when(F.col("scl") == 0, 0.0).otherwise(F.col("swir16"))

@@ -6,23 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import plumes as P
-from .bindings import BAND_PIXELS, CHIPS, PIXELS, SIDE, WIND, band_pixels, chips, load, pixels, query, wind
+from .bindings import BAND_PIXELS, CHIPS, PIXELS, SIDE, WIND, band_pixels, chip_values, chips, lab_sql, load, pixels, query, wind
 
 MARKER, FLOOR = 0.85, 0.65
-_LAB = f"""{PIXELS}, m AS (SELECT chip_id, row * 8 + col AS id FROM pixels WHERE prob >= {FLOOR}),
-r AS (SELECT chip_id, id, id AS root FROM m UNION SELECT r.chip_id, m.id, r.root FROM r JOIN m ON m.chip_id = r.chip_id AND abs(m.id // 8 - r.id // 8) <= 1 AND abs(m.id % 8 - r.id % 8) <= 1),
-l AS (SELECT chip_id, id, min(root) + 1 AS label FROM r GROUP BY ALL),
-lab AS (SELECT p.*, CAST(label AS INTEGER) AS label FROM l JOIN pixels p ON p.chip_id = l.chip_id AND p.row * 8 + p.col = l.id WHERE (l.chip_id, label) IN (SELECT l.chip_id, label FROM l JOIN pixels p ON p.chip_id = l.chip_id AND p.row * 8 + p.col = l.id WHERE prob >= {MARKER}))"""
+_LAB = f"{PIXELS}, {lab_sql('lab', MARKER, FLOOR)}"
 
 
 def _labels(spark, sf):
-    c = chips(spark, sf).withColumn("p", F.transform("raster", lambda v: 1 / (1 + F.exp(-10 * v))))
-    return P.label_chips(c, "chip_id", "p", SIDE, MARKER, FLOOR)
+    return P.label_chips(chip_values(spark, sf), "chip_id", "prob", SIDE, MARKER, FLOOR)
 
 
 def _labelled(spark, sf):
     """Labelled pixels with their values."""
-    return _labels(spark, sf).join(pixels(spark, sf), ["chip_id", "row", "col"])
+    return P.label_chips(chip_values(spark, sf), "chip_id", "prob", SIDE, MARKER, FLOOR, values=("prob", "cond", "target"), keep=("region",))
 
 
 @query(f"WITH RECURSIVE {_LAB} SELECT chip_id, row, col, label FROM lab")
@@ -86,44 +82,67 @@ def t21_rescaled_retrieval(spark, sf):
     return found.select("chip_id", "row", "col", F.round("rescaled", 6).alias("rescaled"))
 
 
-_WSQL = f"{WIND}, w AS (SELECT station AS chip_id, avg(sqrt(u * u + v * v)) AS speed FROM wind GROUP BY 1)"
+_WSQL = f"{WIND}, w AS (SELECT station AS chip_id, avg(sqrt(u * u + v * v)) AS speed, degrees(atan2(avg(u), avg(v))) AS direction FROM wind GROUP BY 1)"
+_RATES = ", ".join(f"greatest(0.33 * ln(speed * {f} + 1e-16) + 0.45, {floor}) / nullif(length, 0) * ime * 57.75286 AS {n}" for n, f, floor in (("q", 1.0, 0.01), ("q_high", 1.1, 0.011), ("q_low", 0.9, 0.009)))
+_FEATURES = f"""f AS (SELECT chip_id, label, count(*) AS area, min(row) AS r0, min(col) AS c0, max(row) + 1 AS r1, max(col) + 1 AS c1, max(prob) * 10 AS likelihood, 500000 + (arg_max(col, (prob, -row, -col)) + 0.5) * 20 AS x, 4000000 - (arg_max(row, (prob, -row, -col)) + 0.5) * 20 AS y,
+sqrt(count(*) FILTER (cond > 0) * 400.0::DOUBLE) AS length, coalesce(sum(cond) FILTER (cond > 0), 0) * 400.0::DOUBLE AS ime FROM lab GROUP BY ALL), q AS (SELECT f.*, direction, {_RATES} FROM f LEFT JOIN w USING (chip_id))"""
 
 
-@query(f"""WITH RECURSIVE {_LAB}, {_WSQL}, a AS (SELECT chip_id, label, sqrt(count(*) FILTER (cond > 0) * 400.0::DOUBLE) AS length, coalesce(sum(cond) FILTER (cond > 0), 0) * 400.0::DOUBLE AS ime, max(prob) * 10 AS likelihood FROM lab GROUP BY ALL)
-SELECT a.chip_id, label, round(likelihood, 6) AS likelihood, {", ".join(f"round(greatest(0.33 * ln(speed * {f} + 1e-16) + 0.45, {floor}) / nullif(length, 0) * ime * 57.75286, 4) AS {n}" for n, f, floor in (("q", 1.0, 0.01), ("q_high", 1.1, 0.011), ("q_low", 0.9, 0.009)))} FROM a JOIN w USING (chip_id)""")
+def _features(spark, sf):
+    """Components with their features, rates and the wind's direction."""
+    found = P.plume_features(_labelled(spark, sf), ["chip_id"], "cond", "prob", 20.0, 500000.0, 4000000.0)
+    blowing = wind(spark, sf).groupBy(F.col("station").alias("chip_id")).agg(F.avg(S.wind_speed("u", "v")).alias("speed"), S.wind_direction(F.avg("u"), F.avg("v")).alias("direction"))
+    joined = found.join(blowing, "chip_id", "left").withColumn("w", S.effective_wind("speed", *S.error_bounds("speed", 0.1)))
+    rates = {n: S.emission_rate(F.col("w")[k], "length", "ime") for n, k in (("q", "eff"), ("q_high", "high"), ("q_low", "low"))}
+    return joined.withColumns(rates).drop("w")
+
+
+def _first(rows):
+    """The component of the least label of each chip."""
+    return rows.groupBy("chip_id").agg(F.min(F.struct("label", "area", "q", "q_high", "q_low")).alias("f")).select("chip_id", "f.*")
+
+
+@query(f"WITH RECURSIVE {_LAB}, {_WSQL}, {_FEATURES} SELECT chip_id, label, round(likelihood, 6) AS likelihood, r0, c0, r1, c1, x, y, round(direction, 6) AS direction, round(q, 4) AS q, round(q_high, 4) AS q_high, round(q_low, 4) AS q_low FROM q")
 def t22_quantify_plumes(spark, sf):
-    labelled = _labelled(spark, sf)
-    found = P.area_length_ime(labelled, ["chip_id", "label"], "cond", 20.0).join(labelled.groupBy("chip_id", "label").agg((F.max("prob") * 10).alias("likelihood")), ["chip_id", "label"])
-    speed = wind(spark, sf).groupBy(F.col("station").alias("chip_id")).agg(F.avg(S.wind_speed("u", "v")).alias("speed"))
-    joined = found.join(speed, "chip_id").withColumn("w", S.effective_wind("speed", *S.error_bounds("speed", 0.1)))
-    rate = lambda k: F.round(S.emission_rate(F.col("w")[k], "length", "ime"), 4)
-    return joined.select("chip_id", "label", F.round("likelihood", 6).alias("likelihood"), rate("eff").alias("q"), rate("high").alias("q_high"), rate("low").alias("q_low"))
+    found = _features(spark, sf)
+    return found.select("chip_id", "label", F.round("likelihood", 6).alias("likelihood"), "r0", "c0", "r1", "c1", "x", "y", F.round("direction", 6).alias("direction"), *[F.round(n, 4).alias(n) for n in ("q", "q_high", "q_low")])
 
 
-@query(f"""WITH RECURSIVE {_LAB}, b AS (SELECT chip_id, label, min(row) AS r0, min(col) AS c0, max(row) + 1 AS r1, max(col) + 1 AS c1, count(*) AS area FROM lab GROUP BY ALL), f AS (SELECT * FROM b WHERE r0 < 6 AND r1 > 2 AND c0 < 6 AND c1 > 2)
-SELECT c.chip_id, coalesce(min(label), 0) AS label, coalesce(min_by(area, label), 0) AS area FROM chips c LEFT JOIN f USING (chip_id) GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_LAB}, {_WSQL}, {_FEATURES}, s AS (SELECT *, row_number() OVER (PARTITION BY chip_id ORDER BY label) AS k FROM q WHERE r0 < 6 AND r1 > 2 AND c0 < 6 AND c1 > 2)
+SELECT c.chip_id, coalesce(label, 0) AS label, coalesce(area, 0) AS area, {", ".join(f"round(CASE WHEN label IS NULL THEN 0 ELSE {n} END, 4) AS {n}" for n in ("q", "q_high", "q_low"))} FROM chips c LEFT JOIN s ON c.chip_id = s.chip_id AND k = 1""")
 def t23_plume_at_site(spark, sf):
     from ..operators.select import overlaps_centre
 
-    boxes = P.properties(_labelled(spark, sf), ["chip_id"], "prob")
-    near = boxes.where(overlaps_centre(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"), SIDE, 2))
-    first = near.groupBy("chip_id").agg(F.min(F.struct("label", "area")).alias("f"))
-    return chips(spark, sf).select("chip_id").join(first, "chip_id", "left").select("chip_id", F.coalesce("f.label", F.lit(0)).alias("label"), F.coalesce("f.area", F.lit(0)).alias("area"))
-
-
-@query(f"""WITH RECURSIVE {_LAB}, k AS (SELECT chip_id, 'conditional' AS kind, cond AS value, row, col FROM lab UNION ALL SELECT chip_id, 'marginal', prob * cond, row, col FROM lab), w(source, speed) AS (VALUES ('era5', 3.0::DOUBLE), ('geos', 2.0::DOUBLE)),
-a AS (SELECT chip_id, kind, sqrt(count(*) FILTER (value > 0) * 400.0::DOUBLE) AS length, coalesce(sum(value) FILTER (value > 0), 0) * 400.0::DOUBLE AS ime FROM k GROUP BY ALL), q AS (SELECT chip_id, kind || '_' || source AS what, speed / nullif(length, 0) * ime * 57.75286 AS rate FROM a, w)
-SELECT chip_id, {", ".join(f"round(max(rate) FILTER (what = '{k}_{s}'), 4) AS {k}_{s}" for k in ("conditional", "marginal") for s in ("era5", "geos"))} FROM q GROUP BY 1""")
+    first = _first(_features(spark, sf).where(overlaps_centre(F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"), SIDE, 2)))
+    joined = chips(spark, sf).select("chip_id").join(first, "chip_id", "left")
+    rates = [F.round(F.when(F.col("label").isNull(), 0.0).otherwise(F.col(n)), 4).alias(n) for n in ("q", "q_high", "q_low")]
+    return joined.select("chip_id", *rates, F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("area", F.lit(0)).alias("area"))
+
+
+@query(f"""WITH RECURSIVE {_LAB}, {_WSQL}, {_FEATURES}, s AS (SELECT *, row_number() OVER (PARTITION BY chip_id ORDER BY label) AS k FROM q), p AS (SELECT chip_id, min(prob * cond) AS min_marginal, max(prob) AS max_prob, max(cond) AS max_retrieval FROM pixels GROUP BY 1)
+SELECT p.chip_id, round(min_marginal, 6) AS min_marginal, round(max_prob, 6) AS max_prob, round(max_retrieval, 6) AS max_retrieval, {", ".join(f"round(CASE WHEN label IS NULL THEN 0 ELSE {n} END, 4) AS {n}" for n in ("q", "q_high", "q_low"))} FROM p LEFT JOIN s ON p.chip_id = s.chip_id AND k = 1""")
+def a30_detection_table(spark, sf):
+    # a chip's pixels are looked at within its row; its first plume is joined by chip
+    values = chip_values(spark, sf)
+    marginal = F.array_min(F.zip_with("prob", "cond", lambda p, c: p * c))
+    table = values.select("chip_id", F.round(marginal, 6).alias("min_marginal"), F.round(F.array_max("prob"), 6).alias("max_prob"), F.round(F.array_max("cond"), 6).alias("max_retrieval"))
+    joined = table.join(_first(_features(spark, sf)), "chip_id", "left")
+    return joined.select("chip_id", "min_marginal", "max_prob", "max_retrieval", *[F.round(F.when(F.col("label").isNull(), 0.0).otherwise(F.col(n)), 4).alias(n) for n in ("q", "q_high", "q_low")])
+
+
+@query(f"""WITH RECURSIVE {_LAB}, mk AS (SELECT lab.*, mask FROM lab, (VALUES ('plume'), ('core')) v(mask) WHERE mask = 'plume' OR prob >= 0.9), k AS (SELECT chip_id, mask, row, col, kind, CASE kind WHEN 'conditional' THEN cond ELSE prob * cond END AS value FROM mk, (VALUES ('conditional'), ('marginal')) v(kind)),
+a AS (SELECT chip_id, mask, kind, sqrt(count(*) FILTER (value > 0) * 400.0::DOUBLE) AS length, coalesce(sum(value) FILTER (value > 0), 0) * 400.0::DOUBLE AS ime FROM k GROUP BY ALL),
+e AS (SELECT chip_id, mask, row, min(col) AS a, max(col) + 1 AS b FROM mk GROUP BY ALL), o AS (SELECT chip_id, mask, row + d AS y, unnest([a, b]) AS x FROM e, (VALUES (0), (1)) v(d)), g AS (SELECT range AS angle FROM range(90)),
+s AS (SELECT chip_id, mask, angle, max(x * cos(radians(angle)) + y * sin(radians(angle))) - min(x * cos(radians(angle)) + y * sin(radians(angle))) AS a, max(y * cos(radians(angle)) - x * sin(radians(angle))) - min(y * cos(radians(angle)) - x * sin(radians(angle))) AS b FROM o, g GROUP BY ALL),
+x AS (SELECT chip_id, mask, greatest(a, b) AS axis FROM (SELECT *, row_number() OVER (PARTITION BY chip_id, mask ORDER BY round(a * b, 6), angle) AS k FROM s) WHERE k = 1),
+d AS (SELECT *, sqrt((row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5)) AS d FROM k), c AS (SELECT *, sum(greatest(value, 0) * 400) OVER (PARTITION BY chip_id, mask, kind ORDER BY d, row, col ROWS UNBOUNDED PRECEDING) AS m FROM d),
+i AS (SELECT chip_id, mask, kind, max(m / (d * 20)) FILTER (d BETWEEN 1 AND 4) AS circle FROM c GROUP BY ALL), u AS (SELECT a.chip_id, a.mask, a.kind, unnest(['root_area', 'major_axis', 'circle_distance']) AS method, unnest([ime / nullif(length, 0), ime / nullif(axis * 20, 0), circle]) AS unit FROM a JOIN x ON a.chip_id = x.chip_id AND a.mask = x.mask JOIN i ON a.chip_id = i.chip_id AND a.mask = i.mask AND a.kind = i.kind)
+SELECT chip_id, mask, kind, method, source, round(unit * speed * 57.75286, 4) AS rate FROM u, (VALUES ('era5', 3.0::DOUBLE), ('geos', 2.0)) v(source, speed)""")
 def t24_all_methods(spark, sf):
-    from ..operators.joins import thresholds, with_each
-
-    rows = _labelled(spark, sf)
-    kinds = rows.select("chip_id", F.explode(F.array(F.struct(F.lit("conditional").alias("kind"), F.col("cond").alias("value")), F.struct(F.lit("marginal").alias("kind"), (F.col("prob") * F.col("cond")).alias("value")))).alias("k")).select("chip_id", "k.*")
-    masses = P.area_length_ime(kinds, ["chip_id", "kind"], "value", 20.0)
-    rated = with_each(masses, thresholds(spark, [("era5", 3.0), ("geos", 2.0)], ["source", "speed"])).withColumn("rate", S.emission_rate("speed", "length", "ime"))
-    names = [f"{k}_{s}" for k in ("conditional", "marginal") for s in ("era5", "geos")]
-    wide = rated.withColumn("what", F.concat_ws("_", "kind", "source")).groupBy("chip_id").pivot("what", names).agg(F.max("rate"))
-    return wide.select("chip_id", *[F.round(n, 4).alias(n) for n in names])
+    kinds = {"conditional": F.col("cond"), "marginal": F.col("prob") * F.col("cond")}
+    masks = {"plume": F.lit(True), "core": F.col("prob") >= 0.9}
+    found = P.all_methods(_labelled(spark, sf), ["chip_id"], kinds, masks, {"era5": 3.0, "geos": 2.0}, SIDE, 20.0, 1.0, 4.0)
+    return found.withColumn("rate", F.round("rate", 4))
 
 
 _Q = "q AS (SELECT l_suppkey AS site, l_extendedprice / 100 AS q FROM lineitem), c AS (SELECT site, round(avg(q), 6) AS central FROM q WHERE q > 0 GROUP BY 1), e AS (SELECT site, ln(q) AS l FROM q WHERE q > 0 UNION ALL SELECT site, ln(central) FROM c), m AS (SELECT site, median(l) AS m FROM e GROUP BY 1), d AS (SELECT e.site, median(abs(l - m)) AS mad FROM e JOIN m USING (site) GROUP BY 1)"

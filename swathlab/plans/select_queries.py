@@ -152,14 +152,15 @@ def w5_mass_by_distance(spark, sf):
     return rows.withColumn("rate", F.sum("m").over(order) / F.sqrt("d")).where(F.sqrt("d").between(1, 4)).groupBy("chip_id").agg(F.round(F.max("rate"), 6).alias("best"))
 
 
-@query(f"""WITH {PIXELS}, s AS (SELECT chip_id, row, col, avg(abs(v)) OVER (PARTITION BY chip_id, row ORDER BY col ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS a FROM pixels), c AS (SELECT *, sum(a) OVER (PARTITION BY chip_id, row ORDER BY col ROWS UNBOUNDED PRECEDING) / sum(a) OVER (PARTITION BY chip_id, row) AS share FROM s)
-SELECT chip_id, row, min(col) FILTER (share >= 0.9) - min(col) FILTER (share >= 0.1) AS width FROM c GROUP BY ALL""")
+def _cross(q: float) -> str:
+    return f"coalesce(max(CASE WHEN share >= {q} AND before < {q} THEN col - 1 + ({q} - before) / (share - before) END), 0)"
+
+
+@query(f"""WITH {PIXELS}, s AS (SELECT chip_id, row, col, avg(abs(v)) OVER (PARTITION BY chip_id, row ORDER BY col ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS a FROM pixels), c AS (SELECT *, round(sum(a) OVER (PARTITION BY chip_id, row ORDER BY col ROWS UNBOUNDED PRECEDING) / sum(a) OVER (PARTITION BY chip_id, row), 12) AS share FROM s),
+b AS (SELECT *, lag(share) OVER (PARTITION BY chip_id, row ORDER BY col) AS before FROM c) SELECT chip_id, row, round({_cross(0.9)} - {_cross(0.1)}, 6) AS width FROM b GROUP BY ALL""")
 def w6_percentile_width(spark, sf):
-    line = Window.partitionBy("chip_id", "row")
-    smooth = pixels(spark, sf).withColumn("a", F.avg(F.abs("v")).over(line.orderBy("col").rowsBetween(0, 3)))
-    share = F.sum("a").over(line.orderBy("col").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("a").over(line)
-    first = lambda q: F.min(F.when(F.col("share") >= q, F.col("col")))
-    return smooth.withColumn("share", share).groupBy("chip_id", "row").agg((first(0.9) - first(0.1)).alias("width"))
+    rows = pixels(spark, sf).withColumn("a", F.abs("v"))
+    return Q.share_width(rows, ["chip_id", "row"], "col", "a", 4, 0.1, 0.9).withColumn("width", F.round("width", 6))
 
 
 @query(f"WITH {SCENES}, n AS (SELECT granule_id, row_number() OVER (PARTITION BY tile ORDER BY acquired, granule_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM scenes) SELECT granule_id, CAST(2016 + floor((k - 1) * 10 / n) AS INTEGER) AS first_year, CAST(greatest(2016 + floor(k * 10 / n) - 1, 2016 + floor((k - 1) * 10 / n)) AS INTEGER) AS last_year FROM n")
