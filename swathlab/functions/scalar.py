@@ -133,6 +133,18 @@ def band_ratio(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(_c(a), _c(b))
 
 
+def range_mean(wavelengths: Column | str, values: Column | str, low: float, high: float) -> Column:
+    """The mean of the values whose wavelength is in [low, high]; an error if the range holds none."""
+    pairs = F.filter(F.arrays_zip(_c(wavelengths).alias("w"), _c(values).alias("v")), lambda p: p["w"].between(low, high))
+    mean = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + p["v"]) / F.size(pairs)
+    return F.when(F.size(pairs) == 0, F.raise_error(F.lit(f"no band between {low} and {high}")).cast("double")).otherwise(mean)
+
+
+def swir_ratio(wavelengths: Column | str, values: Column | str, absorbing: tuple[float, float], plain: tuple[float, float]) -> Column:
+    """The band ratio of a sensor of many narrow bands: means over the range that methane absorbs in and over one that it doesn't."""
+    return F.try_divide(range_mean(wavelengths, values, *absorbing), range_mean(wavelengths, values, *plain))
+
+
 def multi_band_ratio(b12: Column | str, b11: Column | str) -> Column:
     """(B12 - B11) / B11, 0 where undefined."""
     return F.coalesce(F.try_divide(_c(b12) - _c(b11), _c(b11)), F.lit(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.io import written
+
 
 def rates_for_lists(rows: DataFrame, keys: list[str], items: str, rates: DataFrame, item: str, rate: str) -> DataFrame:
     """The rates of a list's items in their order; an item without one takes the median of all rates, rounded to one digit."""
@@ -34,7 +36,7 @@ def nearest_point(queries: DataFrame, query_id: str, targets: DataFrame, target_
 
     Targets are met in square cells of side ``cell`` around a query: a hit within ``cell`` is surely the nearest. Queries
     without one are looked up again among cells of four times the side, until none is left; so near
-    ones cost one ring and far ones a few.
+    ones cost one ring and far ones a few. Each round is written, so the next one starts from its rows.
     """
     spark, found, left, side = queries.sparkSession, None, queries.select(query_id, F.col(x).alias("_x"), F.col(y).alias("_y")), cell
     spread = targets.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.min(x), F.max(x), F.min(y), F.max(y)).first()
@@ -49,11 +51,11 @@ def nearest_point(queries: DataFrame, query_id: str, targets: DataFrame, target_
         there = targets.select(F.col(target_id).alias("target_id"), F.col(x).alias("_tx"), F.col(y).alias("_ty"), F.floor(F.col(x) / side).alias("_cx"), F.floor(F.col(y) / side).alias("_cy"))
         d2 = F.pow(F.col("_x") - F.col("_tx"), 2) + F.pow(F.col("_y") - F.col("_ty"), 2)
         best = around.join(there, ["_cx", "_cy"]).groupBy(query_id).agg(F.min(F.struct(d2.alias("d2"), "target_id")).alias("best")).select(query_id, "best.target_id", "best.d2")
-        hits = best if last else best.where(F.col("d2") <= side * side)
+        hits = written(best if last else best.where(F.col("d2") <= side * side), "nearest")
         found = hits if found is None else found.unionByName(hits)
-        if last:
+        left = None if last else written(left.join(hits.select(query_id), query_id, "left_anti"), "nearest")
+        if last or left.isEmpty():
             return found
-        left = left.join(hits.select(query_id), query_id, "left_anti")
         side *= 4
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import joins as J
+from ..operators import rasters as RR
 from ..operators import select as Q
 from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SCENES, SITES, WIND, band_pixels, chips, curve, load, pixels, query, scenes, sites, wind
 
@@ -339,14 +340,14 @@ def a27_duration_and_gap(spark, sf):
 def a28_reference_stack(spark, sf):
     # references are ranked as chips, before their pixels are made
     newest = Q.top_per_key(chips(spark, sf).select("chip_id", "region"), ["region"], [F.col("chip_id").desc()], 10).select("chip_id", "rank")
-    stack = pixels(spark, sf).join(newest, "chip_id")
-    return stack.groupBy("region", "row", "col").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.median(F.when(F.col("rank") <= 5, F.col("v"))), 6).alias("middle"))
+    found = RR.reference_stack(pixels(spark, sf).join(newest, "chip_id"), ["region"], "rank", "v", 10, 5)
+    return found.withColumns({"mean": F.round("mean", 6), "middle": F.round("middle", 6)})
 
 
 @query(f"WITH {PIXELS} SELECT chip_id, max(prob) AS highest, round(avg(prob), 6) AS mean, round(sum(abs(prob * cond)), 6) AS total FROM pixels WHERE row BETWEEN 2 AND 5 AND col BETWEEN 2 AND 5 GROUP BY 1".replace("max(prob)", "round(max(prob), 9)"))
 def a29_centre_buffer(spark, sf):
-    centre = pixels(spark, sf).where(F.col("row").between(2, 5) & F.col("col").between(2, 5))
-    return centre.groupBy("chip_id").agg(F.round(F.max("prob"), 9).alias("highest"), F.round(F.avg("prob"), 6).alias("mean"), F.round(F.sum(F.abs(F.col("prob") * F.col("cond"))), 6).alias("total"))
+    found = RR.centre_buffer(pixels(spark, sf), ["chip_id"], "prob", "cond", 8, 2)
+    return found.select("chip_id", F.round("highest", 9).alias("highest"), F.round("mean", 6).alias("mean"), F.round("total", 6).alias("total"))
 
 
 @query(f"WITH {BAND_PIXELS} SELECT chip_id, round(coalesce(median(swir22 / nullif(CASE WHEN scl = 0 THEN 0 ELSE swir16 END, 0)), 0), 9) AS weight FROM px GROUP BY 1")
@@ -392,6 +393,5 @@ def a37_display_percentiles(spark, sf):
 
 @query("SELECT l_returnflag AS flag, round(sum((l_quantity - 5) * l_extendedprice) FILTER (l_quantity BETWEEN 5 AND 40) / nullif(sum((l_quantity - 5) * (l_quantity - 5)) FILTER (l_quantity BETWEEN 5 AND 40), 0), 6) AS slope FROM lineitem GROUP BY 1")
 def a38_slope_through_point(spark, sf):
-    x = F.col("l_quantity") - 5
-    rows = load(spark, sf, "lineitem").where("l_quantity BETWEEN 5 AND 40")
-    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.try_divide(F.sum(x * F.col("l_extendedprice")), F.sum(x * x)), 6).alias("slope"))
+    rows = load(spark, sf, "lineitem").where("l_quantity BETWEEN 5 AND 40").withColumnRenamed("l_returnflag", "flag")
+    return RR.slope_through_point(rows, ["flag"], "l_quantity", "l_extendedprice", 5.0).withColumn("slope", F.round("slope", 6))

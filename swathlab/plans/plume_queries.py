@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import plumes as P
+from ..operators import rasters as RR
 from .bindings import BAND_PIXELS, CHIPS, PIXELS, SIDE, WIND, band_pixels, chip_values, chips, lab_sql, load, pixels, query, wind
 
 MARKER, FLOOR = 0.85, 0.65
@@ -181,33 +182,27 @@ def b8_erosion(spark, sf):
 
 @query(f"WITH {PIXELS}, k AS (SELECT chip_id, row, col, CASE WHEN v > 0.15 THEN v ELSE 0 END AS v FROM pixels), b AS (SELECT chip_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM k WHERE v <> 0 GROUP BY 1) SELECT k.chip_id, CAST(row - r0 AS INTEGER) AS row, CAST(col - c0 AS INTEGER) AS col, round(v, 6) AS v FROM k JOIN b ON k.chip_id = b.chip_id AND row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
 def r6_trim_border(spark, sf):
-    from pyspark.sql import Window
-
     rows = pixels(spark, sf).select("chip_id", "row", "col", F.when(F.col("v") > 0.15, F.col("v")).otherwise(0.0).alias("v"))
-    chip, some = Window.partitionBy("chip_id"), F.col("v") != 0
-    edge = lambda f, c: f(F.when(some, F.col(c))).over(chip)
-    boxed = rows.select("*", edge(F.min, "row").alias("r0"), edge(F.max, "row").alias("r1"), edge(F.min, "col").alias("c0"), edge(F.max, "col").alias("c1"))
-    return boxed.where("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1").select("chip_id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), F.round("v", 6).alias("v"))
+    return RR.trim_border(rows, ["chip_id"], "v").withColumn("v", F.round("v", 6))
 
 
 @query(f"WITH {PIXELS} SELECT chip_id, CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, round(avg(v), 6) AS v FROM pixels GROUP BY ALL")
 def r8_block_mean(spark, sf):
-    return pixels(spark, sf).groupBy("chip_id", F.floor(F.col("row") / 2).alias("row"), F.floor(F.col("col") / 2).alias("col")).agg(F.round(F.avg("v"), 6).alias("v"))
+    return RR.block_mean(pixels(spark, sf), ["chip_id"], "v", 2).withColumn("v", F.round("v", 6))
 
 
 @query(f"WITH {CHIPS} SELECT chip_id, array_to_string(list_transform(raster, lambda v: CAST(CAST(round_even(v * 1000, 0) AS BIGINT) AS VARCHAR)), ' ') AS raster FROM chips")
 def r9_rows_to_raster(spark, sf):
-    cells = pixels(spark, sf).select("chip_id", (F.col("row") * SIDE + F.col("col")).alias("pos"), F.rint(F.col("v") * 1000).cast("long").alias("v"))
-    rebuilt = cells.groupBy("chip_id").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("r"))
-    return rebuilt.select("chip_id", F.array_join(F.transform("r", lambda x: x["v"].cast("string")), " ").alias("raster"))
+    cells = pixels(spark, sf).select("chip_id", "row", "col", F.rint(F.col("v") * 1000).cast("long").alias("v"))
+    return RR.to_arrays(cells, ["chip_id"], "v", SIDE).select("chip_id", F.array_join(F.transform("v", lambda x: x.cast("string")), " ").alias("raster"))
 
 
 # -- insertion and placement -----------------------------------------------------------------
-@query(f"WITH {BAND_PIXELS}, e AS (SELECT *, exp(-(scl * 12.5 / 1000)) AS nb FROM px) SELECT chip_id, px, swir16, round(round_even(swir22 * nb, 0), 1) AS swir22, round((round_even(swir22 * nb, 0) / swir22) - 1, 6) AS frac FROM e WHERE swir22 > 0")
+@query(f"WITH {BAND_PIXELS}, tab AS (SELECT range AS i, exp(-range / 400.0) AS nb FROM range(101)), e AS (SELECT px.*, nb, CAST(round_even(swir22 * nb, 0) AS DOUBLE) AS new FROM px JOIN tab ON i = CAST(least(round_even(scl * 12.5 / 1000 / 0.15 * 100, 0), 100) AS BIGINT)) SELECT chip_id, px, swir16, round(new, 1) AS swir22, round((new - swir22) / swir22, 6) AS frac FROM e WHERE swir22 > 0")
 def t8_insert_enhancement(spark, sf):
-    rows = band_pixels(spark, sf).where("swir22 > 0").withColumn("nb", F.exp(-S.scaled_emission("scl", 12.5)))
-    new = F.rint(F.col("swir22") * F.col("nb"))
-    return rows.withColumn("new", new).select("chip_id", "px", "swir16", F.round("new", 1).alias("swir22"), F.round(S.frac("new", "swir22", "swir16", "swir16"), 6).alias("frac"))
+    table = spark.range(101).select(F.col("id").alias("i"), F.exp(-F.col("id") / 400).alias("nb"))
+    found = P.insert_enhancement(band_pixels(spark, sf), table, S.scaled_emission("scl", 12.5), 0.15, 100, "swir22")
+    return found.select("chip_id", "px", "swir16", F.round("inserted", 1).alias("swir22"), F.round("frac", 6).alias("frac"))
 
 
 _PLUME = "pl(plume_id, dr, dc, mass) AS (VALUES (1, 0, 0, 5.0::DOUBLE), (1, 0, 1, 3.0), (1, 1, 1, 2.0), (1, 1, 2, 1.0), (2, 0, 0, 4.0), (2, -1, 0, 4.0), (2, -2, -1, 2.0))"
@@ -216,14 +211,18 @@ _PLACED = f"""{PIXELS}, {_PLUME}, {_CAND}, sh AS (SELECT c.chip_id, c.plume_id,
 ok AS (SELECT chip_id, plume_id, min(ord) AS ord FROM (SELECT chip_id, plume_id, ord FROM sh GROUP BY ALL HAVING sum(mass) >= 0.8 * (CASE WHEN plume_id = 1 THEN 11 ELSE 10 END)) GROUP BY ALL), placed AS (SELECT sh.chip_id, sh.plume_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, mass FROM sh JOIN ok USING (chip_id, plume_id, ord))"""
 
 
-def _placed(spark, sf):
+def _placement(spark, sf, attempts):
+    """The plumes' pixels and their candidate places."""
     from ..operators.select import top_per_key
 
     plume = spark.createDataFrame([(1, 0, 0, 5.0), (1, 0, 1, 3.0), (1, 1, 1, 2.0), (1, 1, 2, 1.0), (2, 0, 0, 4.0), (2, -1, 0, 4.0), (2, -2, -1, 2.0)], "plume_id int, dr int, dc int, mass double")
     clear = pixels(spark, sf).where("prob < 0.4").select("chip_id", "row", "col", F.explode(F.array(F.lit(1), F.lit(2))).alias("plume_id"))
     text = F.concat_ws("-", F.col("chip_id").cast("string"), F.col("row").cast("string"), F.col("col").cast("string"), F.col("plume_id").cast("string"))
-    candidates = top_per_key(clear, ["chip_id", "plume_id"], [F.sha2(text, 256), F.col("row"), F.col("col")], 6).withColumnRenamed("rank", "order")
-    return P.place_plumes(plume, candidates, ["chip_id"], SIDE, 0.8)
+    return plume, top_per_key(clear, ["chip_id", "plume_id"], [F.sha2(text, 256), F.col("row"), F.col("col")], attempts).withColumnRenamed("rank", "order")
+
+
+def _placed(spark, sf):
+    return P.place_plumes(*_placement(spark, sf, 6), ["chip_id"], SIDE, 0.8)
 
 
 @query(f"WITH {_PLACED} SELECT chip_id, plume_id, row, col, mass FROM placed")
@@ -231,9 +230,12 @@ def t9_place_plumes(spark, sf):
     return _placed(spark, sf)
 
 
-@query(f"WITH {_PLACED}, m AS (SELECT chip_id, row, col FROM pixels WHERE prob >= 0.7) SELECT p.chip_id, plume_id, count(m.row) / count(*) AS share, count(m.row) / count(*) <= 0.335 AS valid FROM placed p LEFT JOIN m ON p.chip_id = m.chip_id AND p.row = m.row AND p.col = m.col GROUP BY ALL".replace("count(m.row) / count(*) AS share", "round(count(m.row) / count(*), 9) AS share"))
+@query(f"""WITH {PIXELS}, {_PLUME}, {_CAND}, m AS (SELECT chip_id, row, col FROM pixels WHERE prob >= 0.55), sh AS (SELECT c.chip_id, c.plume_id, ord, c.row + dr AS row, c.col + dc AS col FROM cand c JOIN pl USING (plume_id) WHERE ord <= 10),
+k AS (SELECT sh.chip_id, plume_id, ord, count(m.row) / count(*) AS share, [0.075, 0.125, 0.185, 0.255, 0.335][CAST(floor((ord - 1) * 5 / 10) AS INTEGER) + 1]::DOUBLE AS allowed FROM sh LEFT JOIN m ON sh.chip_id = m.chip_id AND sh.row = m.row AND sh.col = m.col GROUP BY sh.chip_id, plume_id, ord HAVING bool_and(sh.row BETWEEN 0 AND 7 AND sh.col BETWEEN 0 AND 7)),
+f AS (SELECT *, row_number() OVER (PARTITION BY chip_id, plume_id ORDER BY ord) AS n FROM k WHERE share <= allowed) SELECT chip_id, plume_id, CAST(ord AS INTEGER) AS place, round(share, 9) AS share, allowed FROM f WHERE n = 1""")
 def t10_placement_validity(spark, sf):
-    return P.placement_overlap(_placed(spark, sf), pixels(spark, sf).where("prob >= 0.7"), ["chip_id"], 0.335).withColumn("share", F.round("share", 9))
+    found = P.place_within_limits(*_placement(spark, sf, 10), pixels(spark, sf).where("prob >= 0.55"), ["chip_id"], SIDE, 10)
+    return found.select("chip_id", "plume_id", F.col("order").cast("int").alias("place"), F.round("share", 9).alias("share"), "allowed")
 
 
 @query(f"WITH {_PLACED} SELECT chip_id, row, col, sum(mass) AS mass, array_to_string(list(DISTINCT plume_id ORDER BY plume_id), ' ') AS plumes FROM placed GROUP BY ALL")

@@ -50,6 +50,16 @@ def _c(name: str, values: dict, digits: int | None = 6) -> None:
 # -- math ----------------------------------------------------------------------------------
 _l("m1_frac", {"frac": (lambda: S.frac("swir22", "swir22_ref", "swir16", "swir16_ref"), "(swir22 / swir22_ref) / (swir16 / swir16_ref) - 1")})
 _l("m2_band_ratio", {"ratio": (lambda: S.band_ratio("swir22", "swir16"), "swir22 / swir16")})
+
+
+@query(f"WITH {CHIPS} SELECT chip_id, round(list_avg(list_transform(raster[41:61], lambda v: abs(v) + 1)) / list_avg(list_transform(raster[1:21], lambda v: abs(v) + 1)), 6) AS ratio FROM chips")
+def m2_hyperspectral_ratio(spark, sf):
+    """A chip's values as those of 64 narrow bands, 10 nm apart from 2000 nm on."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: 2000.0 + 10 * i)
+    rows = chips(spark, sf).select("chip_id", F.transform("raster", lambda v: F.abs(v) + 1).alias("values"), bands.alias("bands"))
+    return rows.select("chip_id", F.round(S.swir_ratio("bands", "values", (2400.0, 2600.0), (2000.0, 2200.0)), 6).alias("ratio"))
+
+
 _l("m3_multi_band_ratio", {"ratio": (lambda: S.multi_band_ratio("swir22", "swir16"), "coalesce((swir22 - swir16) / nullif(swir16, 0), 0)")})
 _l("m4_fractional_difference", {"difference": (lambda: S.fractional_difference("swir16", "swir16_ref"), "coalesce((swir16 - swir16_ref) / nullif(swir16_ref, 0), 0)")})
 _e(

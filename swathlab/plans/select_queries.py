@@ -137,10 +137,7 @@ def w3_largest_gap(spark, sf):
 
 @query(f"WITH {WIND}, d AS (SELECT event_id, station, ts, u * coalesce(epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6, 0) AS step FROM wind) SELECT event_id, round(sum(step) OVER (PARTITION BY station ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS x FROM d")
 def w4_cumulative_position(spark, sf):
-    order = Window.partitionBy("station").orderBy("ts", "event_id")
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    step = F.col("u") * F.coalesce((ts - F.lag(ts).over(order)) / 1e6, F.lit(0.0))
-    return wind(spark, sf).withColumn("step", step).select("event_id", F.round(F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)), 3).alias("x"))
+    return Q.cumulative_position(wind(spark, sf), ["station"], "ts", "event_id", "u", "x").select("event_id", F.round("x", 3).alias("x"))
 
 
 @query(f"""WITH {PIXELS}, c AS (SELECT chip_id, (row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5) AS d, row, col, greatest(v, 0) AS m FROM pixels), r AS (SELECT *, sum(m) OVER (PARTITION BY chip_id ORDER BY d, row, col ROWS UNBOUNDED PRECEDING) / sqrt(d) AS rate FROM c)
@@ -165,11 +162,7 @@ def w6_percentile_width(spark, sf):
 
 @query(f"WITH {SCENES}, n AS (SELECT granule_id, row_number() OVER (PARTITION BY tile ORDER BY acquired, granule_id) AS k, count(*) OVER (PARTITION BY tile) AS n FROM scenes) SELECT granule_id, CAST(2016 + floor((k - 1) * 10 / n) AS INTEGER) AS first_year, CAST(greatest(2016 + floor(k * 10 / n) - 1, 2016 + floor((k - 1) * 10 / n)) AS INTEGER) AS last_year FROM n")
 def w7_year_bands(spark, sf):
-    tile = Window.partitionBy("tile")
-    ranked = scenes(spark, sf).select("granule_id", F.row_number().over(tile.orderBy("acquired", "granule_id")).alias("k"), F.count("*").over(tile).alias("n"))
-    # with more scenes than years a band is at least the year it begins in
-    first = 2016 + F.floor((F.col("k") - 1) * 10 / F.col("n"))
-    return ranked.select("granule_id", first.cast("int").alias("first_year"), F.greatest(first, 2015 + F.floor(F.col("k") * 10 / F.col("n"))).cast("int").alias("last_year"))
+    return Q.year_bands(scenes(spark, sf), ["tile"], ["acquired", "granule_id"], 2016, 10).select("granule_id", "first_year", "last_year")
 
 
 @query(f"WITH {SCENES} SELECT granule_id, CAST(row_number() OVER (PARTITION BY sensor, tile ORDER BY sha256(CAST(granule_id AS VARCHAR)), granule_id) AS INTEGER) AS place FROM scenes")

@@ -51,13 +51,13 @@ def s6_csv_to_parquet(spark, sf):
     return spark.read.parquet(out).select("id", "key", "day")
 
 
-@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type AS kind, event_id, value FROM events")
 def s7_read_catalog(spark, sf):
     out = IO.scratch(spark, "s7")
     listed = load(spark, sf, "events").groupBy("event_type", (F.col("event_id") % 64).alias("part")).agg(F.collect_list(F.struct("event_id", "value")).alias("plumes"))
     listed.select("event_type", "plumes").write.json(out)
-    found = spark.read.json(out, schema="event_type string, plumes array<struct<event_id: long, value: double>>").select("event_type", F.explode("plumes").alias("item"))
-    return found.groupBy(F.col("event_type").alias("kind")).agg(F.count("item.event_id").alias("n"))
+    found = IO.read_catalog(spark, out, "event_type string, plumes array<struct<event_id: long, value: double>>", "plumes", keep=("event_type",), lines=True)
+    return found.select(F.col("event_type").alias("kind"), "item.event_id", "item.value")
 
 
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS region, CAST(i AS INTEGER) AS i, CAST(n_nationkey + i % 2 AS DOUBLE) AS x, CAST(n_nationkey + i // 2 AS DOUBLE) AS y FROM nation, (SELECT unnest(range(4)) AS i)")

@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to a new shared folder and read again: computed once, its lineage cut."""
+    out = scratch(rows.sparkSession, name)
+    rows.write.parquet(out)
+    return rows.sparkSession.read.schema(rows.schema).parquet(out)
+
+
 def scan_chips(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All parquet files below a folder, only the columns asked for."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(path)
@@ -68,9 +75,9 @@ def csv_to_parquet(spark: SparkSession, path: str, out: str, schema: str, requir
     rows.withColumns(derived).write.parquet(out)
 
 
-def read_catalog(spark: SparkSession, path: str, schema: str, items: str) -> DataFrame:
-    """A JSON catalog with a list of items: a row per item."""
-    return spark.read.json(path, schema=schema, multiLine=True).select(F.explode(items).alias("item"))
+def read_catalog(spark: SparkSession, path: str, schema: str, items: str, keep: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
+    """JSON catalogs with a list of items: a row per item, with the catalog's ``keep`` fields. ``lines``: a catalog a line, else a file each."""
+    return spark.read.json(path, schema=schema, multiLine=not lines).select(*keep, F.explode(items).alias("item"))
 
 
 GEOJSON = "type string, features array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
