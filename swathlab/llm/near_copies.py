@@ -6,14 +6,13 @@ cosine of 0.8 is a Jaccard similarity of 2/3, so every pair with a Jaccard simil
 
 A document has two sets of 64-bit fingerprints. Those of its distinct words change least in a near copy
 and find candidates: two documents meet if they share a covering mask's bucket in any of the
-fingerprints (radius ``RADIUS``). Those of its distinct shingles sort candidates: with 768 bits the error of a cosine
-of 0.8 is about 0.027. Estimates ``SURE`` errors above the threshold link, those ``POSSIBLE`` errors below don't, and
-what is between is settled by the exact shingles.
+fingerprints, which all pairs do whose words' fingerprints differ in ``RADIUS`` bits or fewer in one of them. Those of its distinct
+shingles decide: documents that meet are linked if no more bits differ than stand for the similarity, and ``ERRORS`` standard
+errors. With 1,536 bits the error of a cosine of 0.8 is about 0.019.
 
 Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair,
-larger ones in tiles; that is a matter of how they are dealt only. Both return the sure links and the borderline pairs, and
-every borderline pair whose ends the sure links leave in different groups is settled exactly. (A tile returns each row's
-tie to the least signature in its reach for the first, and all of the second that these leave apart.)
+larger ones in tiles that return each row's tie to the least signature in its reach. The rule is the same in both, and
+neither pairs nor links grow with the square of a group.
 """
 
 from __future__ import annotations
@@ -32,18 +31,20 @@ from .decontamination import _mixed, fold, run_hashes, shingle_hashes, word_hash
 from .simhash import _signed, covering_masks
 from .vectors import _forest
 
-#: Fingerprints of the words (to meet) and of the shingles (to sort).
-WORD_PRINTS, SHINGLE_PRINTS = 8, 12
+#: Fingerprints of the words (to meet) and of the shingles (to decide).
+WORD_PRINTS, SHINGLE_PRINTS = 8, 24
 RADIUS = 3
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Standard errors of the estimate above which a pair is sure, and below which it is impossible.
-SURE, POSSIBLE = 4.0, 3.0
+#: Standard errors of the estimate by which a linked pair may be below the similarity, so that few pairs at it are lost.
+ERRORS = 1.0
+#: The same for the first fingerprints alone, which only rule strangers out.
+CHECK_ERRORS = 4.0
 #: Shingle fingerprints that go into the buckets; they tell strangers apart before pairs are joined to the others.
 CHECKS = 2
-#: Keys (of buckets with several members, of documents to be settled exactly) that are broadcast at most; more are joined by exchange.
+#: Keys of buckets with several members that are broadcast at most; more are joined by exchange.
 BROADCAST_KEYS = 500_000
-PAIRED = 32
+PAIRED = 4
 TILE_ROWS = 4096
 _BLOCK = 256
 #: Rows of bits that are counted in one byte.
@@ -103,59 +104,28 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
     return kept.mapInArrow(run, f"id {kind}, row_key bigint, sig bigint, prints array<bigint>")
 
 
-def _tile(rows: pa.Table, most: int, possible: int) -> pa.Table:
-    """Edges between two tiles of a bucket (or within one): left, right, sure.
-
-    Sure ones tie each row to the least signature that it reaches by pairs that differ in up to ``most`` bits. Others: all pairs of up to
-    ``possible`` bits whose ends the forest leaves apart, the lesser signature first.
-    Rows meet in many buckets; tied to the least, they are mostly tied alike, so few different edges are left.
+def _tile(rows: pa.Table, most: int) -> pa.Table:
+    """Ties (left, right) of two tiles of a bucket (or of one): each row to the least signature that it reaches by pairs
+    of both tiles that differ in up to ``most`` bits. Rows meet in many buckets; tied to the least, they are mostly tied
+    alike, so few different ties are left.
     """
     words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.uint64)
     tile, sig = rows.column("tile").to_numpy(), rows.column("sig").to_numpy()
     first = np.flatnonzero(tile == rows.column("low")[0].as_py())
     second = np.flatnonzero(tile == rows.column("high")[0].as_py())
-    labels, unsure = np.arange(rows.num_rows), [np.zeros((2, 0), np.int32)]
-    within = rows.column("low")[0] == rows.column("high")[0]
+    labels = np.arange(rows.num_rows)
     for at in range(0, len(first), _BLOCK):
         block = first[at : at + _BLOCK]
         apart_by = np.zeros((len(block), len(second)), np.uint16)
-        for k in range(SHINGLE_PRINTS):
+        for k in range(words.shape[1]):
             apart_by += np.bitwise_count(words[block, k][:, None] ^ words[second, k][None, :])
         i, j = np.nonzero(apart_by <= most)
         _forest(labels, block[i], second[j])
-        i, j = np.nonzero((apart_by > most) & (apart_by <= possible))
-        i, j = block[i], second[j]
-        keep = (labels[i] != labels[j]) & ((i < j) | (not within))
-        unsure.append(np.stack([i[keep], j[keep]]).astype(np.int32))
-    i, j = np.concatenate(unsure, axis=1)
-    keep = labels[i] != labels[j]  # by all sure pairs
-    i, j = sig[i[keep]], sig[j[keep]]
     least = sig.copy()
     np.minimum.at(least, labels, sig)
     least = least[labels]
     tied = np.flatnonzero(least != sig)
-    left, right = np.concatenate([least[tied], np.minimum(i, j)]), np.concatenate([sig[tied], np.maximum(i, j)])
-    return pa.table({"left": left, "right": right, "sure": np.arange(len(left)) < len(tied)})
-
-
-def settled(pairs: DataFrame, places: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (left, right) whose exact similarity (cosine of the sets) reaches the threshold.
-
-    ``places``: sig, row_key of one document with that signature; ``texts``: row_key, text.
-    """
-    wanted = materialize(pairs.select(F.explode(F.array("left", "right")).alias("sig")).distinct().join(places, "sig"))
-    few = wanted.count() <= BROADCAST_KEYS
-    chosen = texts.join(F.broadcast(wanted) if few else wanted, "row_key")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(text.as_py(), shingle).view(np.int64) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sig", "runs"])
-
-    sets = materialize(chosen.select("sig", "text").mapInArrow(run, "sig bigint, runs array<bigint>").dropDuplicates(["sig"]))
-    both = pairs.join(sets.select(F.col("sig").alias("left"), F.col("runs").alias("a")), "left").join(sets.select(F.col("sig").alias("right"), F.col("runs").alias("b")), "right")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * F.sqrt(F.size("a").cast("double") * F.size("b"))).select("left", "right")
+    return pa.table({"left": least[tied], "right": sig[tied]})
 
 
 def _differ(left: str, right: str, n: int) -> Column:
@@ -163,8 +133,8 @@ def _differ(left: str, right: str, n: int) -> Column:
     return sum((F.bit_count(F.element_at(left, k).bitwiseXOR(F.element_at(right, k))) for k in range(1, n + 1)), F.lit(0))
 
 
-def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (left, right) that tie similar signatures; ``classes``: sig, prints, one row per signature; see ``settled`` for the others."""
+def similar_links(classes: DataFrame, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Edges (left, right) that tie similar signatures; ``classes``: sig, prints, one row per signature."""
     masks = covering_masks(RADIUS)
     slots = F.array(*[F.xxhash64(F.lit(k * len(masks) + i), F.element_at("prints", k + 1).bitwiseAND(F.lit(_signed(m)))) for k in range(WORD_PRINTS) for i, m in enumerate(masks)])
     keyed = classes.select("sig", F.explode(slots).alias("slot"))
@@ -174,46 +144,36 @@ def similar_links(classes: DataFrame, places: DataFrame, texts: DataFrame, shing
     else:
         shared = apart(keyed, "slot").join(apart(filled, "slot"), ["slot", "_apart"]).select("slot", "n", "sig")
     shared = materialize(shared.repartition(partitions(classes.sparkSession), "sig"))
-    sure, possible = most_bits(similarity, -SURE), most_bits(similarity, POSSIBLE)
+    most = most_bits(similarity, ERRORS)
     own = F.slice("prints", WORD_PRINTS + 1, SHINGLE_PRINTS)
 
     checks = classes.select("sig", F.slice(own, 1, CHECKS).alias("check"))
     few = apart(shared.where(F.col("n") <= PAIRED), "sig").join(apart(checks, "sig"), ["sig", "_apart"])
     members = few.groupBy("slot").agg(F.collect_list(F.struct("sig", "check")).alias("members"))
     pairs = members.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a.sig < b.sig")
-    met = pairs.where(_differ("a.check", "b.check", CHECKS) <= most_bits(similarity, POSSIBLE, 64 * CHECKS)).select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right")).distinct()
+    met = pairs.where(_differ("a.check", "b.check", CHECKS) <= most_bits(similarity, CHECK_ERRORS, 64 * CHECKS)).select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right")).distinct()
     for end in ("left", "right"):
         met = apart(met, end).join(apart(classes.select(F.col("sig").alias(end), own.alias(f"{end}_prints")), end), [end, "_apart"]).drop("_apart")
-    met = materialize(met.select("left", "right", _differ("left_prints", "right_prints", SHINGLE_PRINTS).alias("differ")).where(F.col("differ") <= possible))
+    linked = met.where(_differ("left_prints", "right_prints", SHINGLE_PRINTS) <= most).select("left", "right")
 
     known = apart(shared.where(F.col("n") > PAIRED), "sig").join(apart(classes.select("sig", own.alias("prints")), "sig"), ["sig", "_apart"])
     dealt = known.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = dealt.select("slot", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "sig", "prints")
-    found = materialize(tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, sure, possible), "left bigint, right bigint, sure boolean"))
-
-    every = met.select("left", "right", (F.col("differ") <= sure).alias("sure")).unionByName(found)
-    roots = materialize(connected_components(every.where("sure"), "left", "right"))
-    unsure = every.where("not sure").select("left", "right").distinct()
-    for end in ("left", "right"):
-        ends = roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        unsure = apart(unsure, end).join(apart(ends, end), [end, "_apart"], "left").drop("_apart")
-    unsure = materialize(unsure.where(F.coalesce("left_root", "left") != F.coalesce("right_root", "right")).select("left", "right"))
-    return roots.select(F.col("node").alias("left"), F.col("root").alias("right")).unionByName(settled(unsure, places, texts, shingle, similarity))
+    ties = tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, most), "left bigint, right bigint")
+    return linked.unionByName(ties).distinct()
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: id, row_key, sig, root. Equal roots are a group of copies and near copies.
 
-    Null texts and those without words have the signature 0 and are copies of each other.
+    Null texts and those without words have the signature 0 and are copies of each other. Very long texts are read whole.
     Repeated rows are rows of their own. An empty table gives an empty result.
     """
     marked = materialize(described(spread(docs), id_col, text_col, shingle))
-    classes = marked.where("sig <> 0").groupBy("sig").agg(F.first("prints").alias("prints"), F.min("row_key").alias("row_key"))
+    classes = marked.where("sig <> 0").groupBy("sig").agg(F.first("prints").alias("prints"))
     classes = materialize(classes.repartition(partitions(docs.sparkSession), "sig"))  # every row of it makes many
-    texts = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(text_col).alias("text"))
-    links = similar_links(classes.select("sig", "prints"), classes.select("sig", "row_key"), texts, shingle, similarity)
-    roots = connected_components(links, "left", "right").withColumnRenamed("node", "sig")
+    roots = connected_components(similar_links(classes, similarity), "left", "right").withColumnRenamed("node", "sig")
     joined = apart(marked.drop("prints"), "sig").join(apart(roots, "sig"), ["sig", "_apart"], "left")
     return joined.select("id", "row_key", "sig", F.coalesce("root", "sig").alias("root"))
 

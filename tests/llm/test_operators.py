@@ -114,16 +114,28 @@ def test_simhash_deduplicate(spark, awkward, nothing):
 
 
 # -- near copies at a similarity ---------------------------------------------------------------
-def similar_roots(texts, k=5, similarity=0.8):
-    """Text -> root of its group, by the cosine of all pairs of sets of five-word shingles."""
-    def shingles(text):
-        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) or low.split()
-        n = min(k, len(w))
-        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
-
-    sets = [shingles(t) for t in texts]
-    edges = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] == sets[j] or (sets[i] & sets[j] and len(sets[i] & sets[j]) >= similarity * math.sqrt(len(sets[i]) * len(sets[j])))]
+def five_words(text, k=5):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low) or low.split()
+    n = min(k, len(w))
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if w else frozenset()
+
+
+def cosine(a, b):
+    return len(a & b) / math.sqrt(len(a) * len(b)) if a and b else float(a == b)
+
+
+def similar_roots(texts):
+    """Text -> root of its group, by all pairs: equal sets of shingles, or fingerprints that meet under a mask and differ in few bits."""
+    sets, described = [five_words(t) for t in texts], [near_copies.describe(t)[1].view(np.uint64) for t in texts]
+    n, masks = near_copies.WORD_PRINTS, [np.uint64(m) for m in simhash.covering_masks(near_copies.RADIUS)]
+    edges = []
+    for i in range(len(texts)):
+        for j in range(i):
+            x = described[i] ^ described[j]
+            meet = any((x[:n] & m == 0).any() for m in masks)
+            if sets[i] == sets[j] or (sets[i] and sets[j] and meet and int(np.bitwise_count(x[n:]).sum()) <= near_copies.most_bits(errors=1.0)):
+                edges.append((i, j))
     root = roots_of(range(len(texts)), edges)
     return {t: root[i] for i, t in enumerate(texts)}
 
@@ -143,8 +155,10 @@ def test_near_copies(spark, awkward, nothing):
     assert near_copies.deduplicate_similar(nothing).count() == 0
 
 
-def test_near_copies_at_the_threshold_and_in_large_groups(spark):
-    """Edited copies: borderline pairs are settled by their exact similarity, a large group goes through tiles."""
+@pytest.mark.parametrize("paired", [32, 1])
+def test_near_copies_in_small_and_large_buckets(spark, monkeypatch, paired):
+    """The same groups whether buckets are compared pair by pair or in tiles, and those that the fingerprints call for; near copies are in, others out."""
+    monkeypatch.setattr(near_copies, "PAIRED", paired)
     rng = random.Random(8)
     words_ = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
 
@@ -155,38 +169,33 @@ def test_near_copies_at_the_threshold_and_in_large_groups(spark):
         return " ".join(w)
 
     texts = []
-    for n in (1, 2, 3, 4, 5, 6, 8, 12):
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12, 20):
         base = " ".join(rng.choice(words_) for _ in range(200))
         texts += [base, edited(base, n)]
     large = " ".join(rng.choice(words_) for _ in range(300))
-    texts += [large, *{edited(large, 1) for _ in range(120)}]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    root = {r["id"]: r["root"] for r in near_copies.similar_components(docs).collect()}
-    expected = similar_roots(texts)
-    same = Counter((root[i] == root[j], expected[texts[i]] == expected[texts[j]]) for i in range(len(texts)) for j in range(i))
-    assert same[True, False] == 0 and same[False, True] == 0
-
-
-def test_borderline_pairs_in_large_buckets_are_settled(spark, monkeypatch):
-    """Variants of one text, most pairs of them a little below the threshold, which the estimate alone can't tell."""
-    rng = random.Random(12)
-    words_ = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(20_000)]
-    base = rng.sample(words_, 1000)
-
-    def edited(n, of=base):
-        w = list(of)
-        for i in rng.sample(range(0, 1000, 6), n):
-            w[i + rng.randrange(2)] = rng.choice(words_)
-        return " ".join(w)
-
-    texts = [edited(n) for n in (20, 22, 22, 23, 23, 25) for _ in range(10)]
-    texts += [edited(30, text.split()) for text in texts[:6]]
+    texts += [large, *{edited(large, rng.choice((1, 6, 9))) for _ in range(80)}]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(near_copies, "PAIRED", 2)
     root = {r["id"]: r["root"] for r in near_copies.similar_components(docs).collect()}
     expected = similar_roots(texts)
-    same = Counter((root[i] == root[j], expected[texts[i]] == expected[texts[j]]) for i in range(len(texts)) for j in range(i))
-    assert same[True, False] == 0 and same[False, True] == 0 and same[True, True] and same[False, False]
+    sets = [five_words(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (root[i] == root[j]) == (expected[texts[i]] == expected[texts[j]])
+    for i in range(0, 22, 2):
+        near = cosine(sets[i], sets[i + 1])
+        assert root[i] == root[i + 1] if near >= 0.88 else root[i] != root[i + 1] if near < 0.7 else True
+
+
+def test_fingerprints_estimate_the_cosine():
+    """The share of differing bits is the angle between the sets, with the error that is stated."""
+    rng, off = np.random.default_rng(5), []
+    for similarity in (0.7, 0.8, 0.9):
+        for _ in range(40):
+            common, own = rng.integers(0, 2**63, 500).astype(np.uint64), round(500 / similarity) - 500
+            a, b = (np.concatenate([common, rng.integers(0, 2**63, own).astype(np.uint64)]) for _ in range(2))
+            x = near_copies.prints(a, near_copies.SHINGLE_PRINTS) ^ near_copies.prints(b, near_copies.SHINGLE_PRINTS)
+            off.append(math.cos(math.pi * int(np.bitwise_count(x.view(np.uint64)).sum()) / (64 * near_copies.SHINGLE_PRINTS)) - similarity)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.03
 
 
 def test_tiles_find_every_link():
@@ -194,19 +203,15 @@ def test_tiles_find_every_link():
     base = rng.integers(-(1 << 62), 1 << 62, size=(5, near_copies.SHINGLE_PRINTS))
     marks = np.concatenate([b ^ (rng.random((80, 1)) < 2).astype(np.int64) * (np.int64(1) << rng.integers(0, 60, size=(80, base.shape[1]))) for b in base])
     sig = np.arange(len(marks))
-    found, unsure = [], set()
+    found = []
     for low, high in ((0, 0), (0, 1), (1, 1)):
         some = [i for i in sig if i % 2 in (low, high)]
         table = pa.table({"prints": pa.array([list(map(int, marks[i])) for i in some], pa.list_(pa.int64())), "tile": [i % 2 for i in some], "sig": some, "low": [low] * len(some), "high": [high] * len(some)})
-        out = near_copies._tile(table, 20, 40)
-        found += [(r["left"], r["right"]) for r in out.to_pylist() if r["sure"]]
-        unsure |= {(r["left"], r["right"]) for r in out.to_pylist() if not r["sure"]}
+        out = near_copies._tile(table, 44)
+        found += zip(out["left"].to_pylist(), out["right"].to_pylist(), strict=True)
     away = np.bitwise_count((marks[:, None] ^ marks[None]).astype(np.uint64)).sum(2)
-    true = [(i, j) for i in sig for j in range(i) if away[i, j] <= 20]
-    root = roots_of(sig, found)
-    assert root == roots_of(sig, true) and len(found) <= len(true)
-    assert unsure >= {(j, i) for i in sig for j in range(i) if 20 < away[i, j] <= 40 and root[i] != root[j]}
-    assert all(20 < away[i, j] <= 40 for i, j in unsure)
+    true = [(i, j) for i in sig for j in range(i) if away[i, j] <= 44]
+    assert true and roots_of(sig, found) == roots_of(sig, true) and len(set(found)) <= 2 * len(sig)
 
 
 # -- op2 -----------------------------------------------------------------------------------
