@@ -96,24 +96,24 @@ def compare_tiles(codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, copies
     for at in range(0, len(first), _BLOCK):
         rows = first[at : at + _BLOCK]
         others = second[at:] if within else second
-        near = np.zeros((len(rows), len(others)))
-        for k in range(0, codes.shape[1], _EXACT):
-            near += whole[rows, k : k + _EXACT] @ whole[others, k : k + _EXACT].T
-        near *= scale[rows][:, None] * scale[others][None, :]
-        error = size[rows][:, None] * lost[others][None, :] + lost[rows][:, None] + _SLACK
-        sure = near - error >= threshold
-        maybe = (near + error >= threshold) & ~sure
+        products = whole[rows, :_EXACT] @ whole[others, :_EXACT].T
+        for k in range(_EXACT, codes.shape[1], _EXACT):
+            products = products.astype(np.float64) + whole[rows, k : k + _EXACT] @ whole[others, k : k + _EXACT].T
+        # a coarse bound for all pairs, with room for its own rounding; the exact one for those that it leaves
+        least = (threshold - _SLACK - lost[rows] - size[rows] * lost[others].max(initial=0)) / scale[rows] - 1e-5 / scale[rows]
+        i, j = np.nonzero(products * scale[others][None, :].astype(products.dtype) >= least[:, None].astype(products.dtype))
         if within:
-            later = np.arange(len(others))[None, :] > np.arange(len(rows))[:, None]
-            sure &= later
-            maybe &= later
-        i, j = np.nonzero(sure)
+            i, j = i[j > i], j[j > i]
         left, right = rows[i], others[j]
+        near = products[i, j].astype(np.float64) * scale[left] * scale[right]
+        error = size[left] * lost[right] + lost[left] + _SLACK
+        sure = near - error >= threshold
+        maybe = (near + error >= threshold) & ~sure
+        lefts.append(left[maybe])
+        rights.append(right[maybe])
+        left, right = left[sure], right[sure]
         links += np.bincount(left, copies[right], len(codes)).astype(np.int64) + np.bincount(right, copies[left], len(codes)).astype(np.int64)
         _forest(labels, left, right)
-        i, j = np.nonzero(maybe)
-        lefts.append(rows[i])
-        rights.append(others[j])
     return links, labels, np.concatenate(lefts), np.concatenate(rights)
 
 
