@@ -27,7 +27,7 @@ from .common import apart, materialize, row_key, spread
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Hashes of sketches (8 bytes each), and keys of documents, that are broadcast at most.
-BROADCAST_HASHES = 4_000_000
+BROADCAST_HASHES = 2_000_000
 BROADCAST_KEYS = 500_000
 _PIECE = 1 << 20
 _SEPARATORS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -142,13 +142,12 @@ class Lookup:
     """Finds which of some hashes the shingles of texts have; without hashes, all of them."""
 
     def __init__(self, widths: list[int], hashes: np.ndarray | None):
-        self.widths, self.known = widths, hashes
-        if hashes is not None:
-            self.known = np.unique(hashes)
-            self.maybe = np.zeros(1 << max(16, (64 * len(self.known)).bit_length()), bool)
-            self.maybe[self.known & np.uint64(len(self.maybe) - 1)] = True
+        self.widths, self.known, self.maybe = widths, None if hashes is None else np.unique(hashes), None
 
     def _hits(self, folded: bytes, owners: list[int], counts: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.known is not None and self.maybe is None:  # built where it is used, 16 bytes a hash at most
+            self.maybe = np.zeros(1 << max(16, (8 * len(self.known)).bit_length()), bool)
+            self.maybe[self.known & np.uint64(len(self.maybe) - 1)] = True
         words = word_hashes(folded)[0]
         last = np.cumsum(counts)
         for width in self.widths:
