@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language, licenses, mixing, pii, quality, sharding, simhash, spans, vectors
+from . import decontamination, divergence, language, licenses, mixing, pages, pii, quality, sharding, simhash, spans, spelling, vectors
 from .common import table
 
 
@@ -72,8 +72,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    return pages.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: differences of every source to the others and to its language."""
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of the documents with two or more occurrences."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_spans, op5_personal_data, op6_language, op7_licenses, op8_vectors, op9_decontamination, op10_quality)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op3_sharding, op4_spans, op5_personal_data, op6_language, op7_licenses, op8_vectors, op9_decontamination, op10_quality, op11_main_text, op12_divergence, op13_spelling)
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -89,4 +104,18 @@ s AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, array_to_string(w[p:p + le
 t AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS run FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s))),
 n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY 1), m AS (SELECT doc_id, item_id, count(*) AS shared FROM s JOIN t ON s.k = t.k AND s.run = t.run GROUP BY ALL)
 SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment FROM m JOIN n USING (item_id) WHERE shared >= 0.8 * item_shingles""",
+    "op12_divergence": f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS lang_size FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(any_value(z.size), 0) AS size, coalesce(any_value(v.terms), 0) AS terms FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS size FROM c GROUP BY 1, 2) z USING (lang, source) LEFT JOIN v USING (lang) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT) // (g.size + 5 * g.terms)::HUGEINT AS p FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+q AS (SELECT lang, term, 1 + (1000000000 * (total + 5)::HUGEINT) // (lang_size + 5 * terms)::HUGEINT AS q FROM k JOIN v USING (lang)),
+a AS (SELECT g.lang, g.source, h.source AS item FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source),
+f AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (SELECT a.lang, a.source, 'pair' AS part, a.item, coalesce(f.value, 0)::BIGINT AS value FROM a LEFT JOIN f USING (lang, source, item)
+UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM r WHERE part = 'pair' OR rank <= 50""",
 }
