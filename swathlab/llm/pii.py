@@ -3,12 +3,15 @@
 Fixed patterns give the base spans, which always stay. Wider patterns propose further candidates of the same kinds, and of
 secrets (keys and tokens), in what the base spans leave of the text. Trees over format and context features weigh them.
 
-The trees learn from a bounded sample of documents, from spans whose label doesn't rest on the base patterns. Positive are
-the valid base spans in other clothes (a phone without plus or with other separators, a written-out at, a masked point, a
-card with points or slashes) that the wider patterns find again in their context. Negative are the same numbers with their
-checks broken or dealt into the groups of dates and amounts, and the candidates of the sample's texts that fail a check.
-Candidates that pass the checks in the texts themselves have no label and aren't used. For each kind a threshold is set on
-held-out spans such that the accepted ones have the wanted precision.
+A candidate that fails its kind's check (parts of at most 255, Luhn, 9 to 15 digits, a top-level domain, letters and
+digits) is never added; the trees decide on the rest. They learn from a bounded sample of documents, from spans whose label
+doesn't rest on the base patterns. Positive are valid spans in other clothes (a phone without plus or with other separators,
+a written-out at, a masked point, a card with points or slashes, a key behind a word that announces it) that the wider
+patterns find again in their context. Negative are the same numbers dealt into the groups of dates, amounts and times, and
+keys without such a word. The valid spans are those of the sample and as many made ones of each kind, set into the
+sample's texts, so that a small table fits as well as a large one. Candidates of the texts themselves have no label and
+aren't used, but for keys. For each kind the threshold is the least score from which on every bin of held-out spans has the
+wanted precision.
 
 DataFrame functions only. All spans of a text are found and scored within its row: the fitted
 trees become one expression, and no row is exchanged.
@@ -17,6 +20,7 @@ trees become one expression, and no row is exchanged.
 from __future__ import annotations
 
 import itertools
+import warnings
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
@@ -44,7 +48,7 @@ WIDE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:[.:]|\[\.\])[0-9]{1,3}){3}(?![0-9])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}",
     "card": r"(?<![0-9])[0-9](?:[\x20./-]?[0-9]){11,18}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])\+?\(?[0-9]{1,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,4}\)?){2,4}(?![0-9])",
-    "secret": r"(?<![0-9A-Za-z_/+=-])[0-9A-Za-z_/+-]{20,}+={0,2}",
+    "secret": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20,}+={0,2}",
 }
 #: A text without this isn't searched for the kind.
 NEEDS = {"email": r"@|[\[(]at[\])]", "ip": r"[0-9A-Fa-f](?:[.:]|\[\.\])[0-9A-Fa-f]", "card": r"[0-9]", "phone": r"[0-9][\x20().0-9/-]", "secret": r"(?<![0-9A-Za-z_/+-])[0-9A-Za-z_/+-]{20}"}
@@ -56,8 +60,9 @@ _BLOCK = 64
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 FEATURES = ("kind", "length", "digits", "signs", "groups", "plus", "at", "dots", "spaces", "parens", "distinct", "glued_before", "glued_after", "cue", "capital", "luhn", "parts", "last", "letters", "upper")
 
-#: Bounds of the fit: documents sampled, candidates used.
+#: Bounds of the fit: documents sampled, spans made of each kind, candidates used.
 SAMPLE_DOCUMENTS = 4000
+MADE_SPANS = 400
 SAMPLE_CANDIDATES = 16_000
 TREES, DEPTH = 12, 3
 PRECISION = 0.95
@@ -173,6 +178,10 @@ def _place(kind: str, x: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), x["start"], F.lit(":"), x["end"])
 
 
+def _known(kind: str, x: Column) -> Column:
+    return F.struct(F.lit(kind).alias("name"), x.alias("x"))
+
+
 def _named(kind: str, x: Column) -> Column:
     return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(kind).alias("kind"))
 
@@ -195,17 +204,22 @@ class SpanModel:
             margin = margin + F.lit(weight) * walk(root)
         return 1 / (1 + F.exp(-2 * margin))
 
-    def accepts(self, kind: str, x: Column) -> Column:
-        """Whether a candidate is added."""
+    def added(self, kind: str, candidates: Column) -> Column:
+        """Those of an array of candidates that are added: they pass the kind's check and reach its threshold."""
         least = self.thresholds.get(kind)
-        return F.lit(False) if least is None or not self.trees else self.probability(_features(kind, x)) >= least
+        if least is None or not self.trees:
+            return F.filter(candidates, lambda _: F.lit(False))
+        passed = F.filter(candidates, lambda x: ~_fails(kind, x))
+        # features are computed once for a candidate, not once for each node of the trees
+        weighed = F.transform(passed, lambda x: F.struct(x.alias("x"), F.struct(*[v.alias(n) for n, v in _features(kind, x).items()]).alias("f")))
+        return F.transform(F.filter(weighed, lambda w: self.probability({n: w["f"][n] for n in FEATURES}) >= least), lambda w: w["x"])
 
 
 def _fails(kind: str, x: Column) -> Column:
-    """Whether a candidate fails the check that is made without regard to its format."""
+    """Whether a candidate fails its kind's check, whatever its format."""
     n, match = F.length(x["digits"]), x["match"]
     return {
-        "email": ~match.rlike(r"(?:\.|dot[\])]\x20?)[A-Za-z]{2}"), "ip": ~F.regexp_replace(match, r"[\[\]]", "").rlike(rf"^{_PART}([.:]{_PART}){{3}}$") & ~match.rlike("^([0-9A-Fa-f]+:){7}"), "card": ~_luhn(x["digits"]),
+        "email": ~match.rlike(r"(?:\.|dot[\])]\x20?)[A-Za-z]{2}"), "ip": ~F.regexp_replace(match, r"[\[\]]", "").rlike(rf"^{_PART}([.:]{_PART}){{3}}$") & ~match.rlike("^([0-9A-Fa-f]+:){7}"), "card": ~(n.between(13, 19) & _luhn(x["digits"])),
         "phone": ~n.between(9, 15), "secret": ~(match.rlike("[0-9]") & match.rlike("[A-Za-z]")),
     }[kind]
 
@@ -222,16 +236,16 @@ def _clothes(kind: str, x: Column) -> list[tuple[Column, Column, float]]:
         name, host = F.substring_index(match, "@", 1), F.substring_index(match, "@", -1)
         return [
             (before, F.concat(name, F.lit(" [at] "), host), 1.0), (before, F.concat(name, F.lit("(at)"), F.regexp_replace(host, r"\.", " (dot) ")), 1.0), (before, F.concat(name, F.lit(" @ "), host), 1.0),
-            (before, F.concat(name, F.lit("@"), F.substring_index(host, ".", 1)), 0.0), (before, F.concat(name, F.lit(" @ "), F.substring_index(host, ".", 1)), 0.0),
+            (before, F.concat(F.right(digits, F.lit(3)), F.lit(" @ "), F.length(match).cast("string"), F.lit("."), F.left(F.regexp_replace(host, "[^a-z]", ""), F.lit(2))), 0.0),
         ]
     if kind == "ip":
-        first = F.substring_index(match, ".", 1)
-        broken = F.concat((first.cast("int") + 256).cast("string"), F.substr(match, F.length(first) + 1))
-        return [(before, F.regexp_replace(match, r"\.", "[.]"), 1.0), (before, F.regexp_replace(match, r"\.([0-9]+)$", "[.]$1"), 1.0), (before, F.regexp_replace(broken, r"\.", "[.]"), 0.0), (before, F.regexp_replace(match, r"\.", ":"), 0.0), (before, broken, 0.0)]
+        return [(before, F.regexp_replace(match, r"\.", "[.]"), 1.0), (before, F.regexp_replace(match, r"\.([0-9]+)$", "[.]$1"), 1.0), (before, F.regexp_replace(match, r"\.", ":"), 0.0), (before, F.regexp_replace(match, r"^([0-9]+)\.([0-9]+)\.", "$1:$2:"), 0.0)]
     if kind == "card":
-        wrong = F.concat(F.left(digits, F.length(digits) - 1), ((F.right(digits, F.lit(1)).cast("int") + 1) % 10).cast("string"))
-        made = [(_grouped(d, "([0-9]{4})([0-9]{4})([0-9]{4})([0-9]+)", f"$1{sign}$2{sign}$3{sign}$4"), label) for sign in "./" for d, label in ((digits, 1.0), (wrong, 0.0))]
-        return [(before, m, label) for m, label in made] + [(before, wrong, 0.0)]
+        four, odd = "([0-9]{4})([0-9]{4})([0-9]{4})([0-9]+)", "([0-9]{2})([0-9]{3})([0-9]{3})([0-9]{3})([0-9]+)"
+        return [(before, _grouped(digits, four, f"$1{sign}$2{sign}$3{sign}$4"), 1.0) for sign in "./"] + [(before, _grouped(digits, odd, f"$1{sign}$2{sign}$3{sign}$4{sign}$5"), 0.0) for sign in "./"]
+    if kind == "secret":
+        plain = F.translate(match, "0123456789", "abcdefghij")
+        return [(F.concat(before, F.lit(told)), match, 1.0) for told in (" token=", ' key: "', " password ", ' secret = "')] + [(before, match, 0.0), (F.concat(before, F.lit(" id ")), match, 0.0), (F.concat(before, F.lit("/")), plain, 0.0)]
     local = F.right(digits, F.lit(10))  # without the country's number
     three = "([0-9]{3})([0-9]{3})([0-9]{4})"
     told = F.concat(before, F.lit("tel "))
@@ -242,41 +256,70 @@ def _clothes(kind: str, x: Column) -> list[tuple[Column, Column, float]]:
     ]
 
 
+def _words_of(seed: Column) -> Column:
+    """Some letters made from a seed."""
+    return F.translate(F.left(F.md5(seed), F.lit(7)), "0123456789", "ghijklmnop")
+
+
+def _made(kind: str, seed: Column) -> Column:
+    """A valid span of the kind in the base format, made from a seed."""
+    at = lambda i, n: F.pmod(F.xxhash64(seed, F.lit(i)), F.lit(n))
+    number = lambda i, long: F.lpad(at(i, 10**long).cast("string"), long, "0")
+    if kind == "email":
+        ends = F.array(*[F.lit(x) for x in ("com", "org", "net", "de", "fr", "es", "io", "co.uk")])
+        return F.concat(_words_of(F.concat(seed, F.lit("a"))), F.lit("."), at(1, 100).cast("string"), F.lit("@"), _words_of(F.concat(seed, F.lit("b"))), F.lit("."), F.element_at(ends, (at(2, 8) + 1).cast("int")))
+    if kind == "ip":
+        return F.concat_ws(".", *[at(i, 256).cast("string") for i in range(4)])
+    if kind == "card":
+        start = F.concat(number(1, 8), number(2, 7))
+        ends = F.filter(F.array(*[F.lit(str(d)) for d in range(10)]), lambda d: _luhn(F.concat(start, d)))
+        return F.concat(start, F.element_at(ends, 1))
+    if kind == "phone":
+        return F.concat(F.lit("+"), (at(1, 98) + 1).cast("string"), F.lit(" "), (at(2, 800) + 200).cast("string"), F.lit(" "), number(3, 3), F.lit("-"), number(4, 4))
+    return F.when(at(1, 2) == 0, F.sha1(seed.cast("binary"))).otherwise(F.left(F.regexp_replace(F.base64(F.sha2(seed.cast("binary"), 256).cast("binary")), "=", ""), F.lit(40)))
+
+
+def _by_kind(values: dict[str, Column]) -> Column:
+    """The value of the row's kind (column ``name``)."""
+    out = None
+    for kind, value in values.items():
+        out = F.when(F.col("name") == kind, value) if out is None else out.when(F.col("name") == kind, value)
+    return out
+
+
 def training_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Labelled candidates of a sample of documents: name (kind), label, place (a hash of where it comes from), the features.
+    """Labelled candidates that pass their checks, of a sample of documents: name (kind), label, place (a hash of where it comes from), the features.
 
-    Secrets have no base spans: a run that passes the check behind a word that announces it is positive, that without
-    its digits, or behind other words, negative.
+    Keys have no base spans: of the sample's own, one behind a word that announces it is positive, others are negative.
     """
-    sample = materialize(find_candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select("id", *[f"base_{k}" for k in KINDS], *[f"wide_{k}" for k in ADDED]))
-    made, seen = None, None
-    for kind in KINDS:
-        x = F.col("x")
-        rows = sample.select("id", F.explode(f"base_{kind}").alias("x")).select("id", "x", F.explode(F.array(*[F.struct(b.alias("b"), m.alias("m"), F.lit(label).alias("label")) for b, m, label in _clothes(kind, x)])).alias("as")).where("as.m <> ''")
-        rows = rows.select(F.xxhash64("id", "x.start").alias("place"), F.lit(kind).alias("name"), F.col("as.label").alias("label"), F.length("as.b").alias("from"), F.length("as.m").alias("long"), F.concat("as.b", "as.m", "x.after").alias("text"))
-        made = rows if made is None else made.unionByName(rows)
-    made = materialize(find_candidates(made, "text").select("place", "name", "label", "from", "long", *[f"wide_{k}" for k in KINDS]))
-    for kind in ADDED:
-        again = F.filter(f"wide_{kind}", lambda x: (x["start"] < F.col("from") + F.col("long")) & (x["end"] > F.col("from")))
-        parts = []
-        real = sample.select("id", F.explode(f"wide_{kind}").alias("x"))
-        if kind == "secret":
-            told = F.lower("x.before").rlike(CUES[kind])
-            parts += [real.select(F.xxhash64("id", "x.start").alias("place"), F.when(told & ~_fails(kind, F.col("x")), 1.0).otherwise(0.0).alias("label"), "x")]
-            plain = F.struct(F.regexp_replace("x.match", "[0-9]", "a").alias("match"), F.lit("").alias("digits"), F.col("x.before").alias("before"), F.col("x.after").alias("after"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-            parts += [real.where(told).select(F.xxhash64("id", "x.start").alias("place"), F.lit(0.0).alias("label"), plain.alias("x"))]
-        else:
-            parts += [made.where(F.col("name") == kind).select("place", "label", F.explode(again).alias("x")), real.where(_fails(kind, F.col("x"))).select(F.xxhash64("id", "x.start").alias("place"), F.lit(0.0).alias("label"), "x")]
-        for part in parts:
-            rows = part.select(F.lit(kind).alias("name"), "label", "place", *[v.alias(n) for n, v in _features(kind, F.col("x")).items()])
-            seen = rows if seen is None else seen.unionByName(rows)
-    return seen
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartition(cores)
+    sample = materialize(find_candidates(given, "text").select("id", "text", *[f"base_{k}" for k in KINDS], "wide_secret"))
+    real = sample.select("id", F.explode(F.concat(*[F.transform(f"base_{k}", partial_of(_known, k)) for k in KINDS])).alias("b")).select(F.xxhash64("id", "b.x.start").alias("place"), "b.name", "b.x")
+    # made spans stand where the sample's texts have none to offer
+    rows = sample.count()
+    hosts = sample.select("id", "text", F.xxhash64("id", F.lit("made")).alias("_order")).orderBy("_order", "id").limit(MADE_SPANS).select("id", "text", F.explode(F.sequence(F.lit(1), F.lit(-(-MADE_SPANS // max(1, min(rows, MADE_SPANS)))))).alias("turn"))
+    seed = F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), F.col("name"))
+    made = hosts.select("*", F.explode(F.array(*[F.lit(k) for k in ADDED])).alias("name")).withColumn("seed", seed)
+    made = made.withColumn("from", (F.pmod(F.xxhash64("seed"), F.greatest(F.length("text") - 40, F.lit(1))) + 1).cast("int")).withColumn("match", _by_kind({k: _made(k, F.col("seed")) for k in ADDED}))
+    context = F.concat(F.regexp_replace(F.substr("text", F.col("from"), F.lit(22)), r"[0-9@]", ""), F.lit(" ")), F.concat(F.lit(" "), F.regexp_replace(F.substr("text", F.col("from") + 22, F.lit(11)), r"[0-9@]", ""))
+    x = F.struct(F.col("match"), F.regexp_replace("match", "[^0-9]", "").alias("digits"), context[0].alias("before"), context[1].alias("after"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))
+    bases = real.unionByName(made.select(F.xxhash64("seed", F.lit("made")).alias("place"), "name", x.alias("x")))
+    clothes = _by_kind({k: F.array(*[F.struct(b.alias("b"), m.alias("m"), F.lit(label).alias("label")) for b, m, label in _clothes(k, F.col("x"))]) for k in ADDED})
+    dressed = bases.select("place", "name", "x", F.explode(clothes).alias("as")).where("as.m <> ''")
+    dressed = dressed.select("place", "name", F.col("as.label").alias("label"), F.length("as.b").alias("from"), F.length("as.m").alias("long"), F.concat("as.b", "as.m", "x.after").alias("text"))
+    again = find_candidates(dressed.repartition(cores), "text").select("place", "name", "label", F.explode(_by_kind({k: F.filter(f"wide_{k}", lambda w: (w["start"] < F.col("from") + F.col("long")) & (w["end"] > F.col("from"))) for k in ADDED})).alias("x"))
+    keys = sample.select("id", F.explode("wide_secret").alias("x")).select(F.xxhash64("id", "x.start").alias("place"), F.lit("secret").alias("name"), F.lower("x.before").rlike(CUES["secret"]).cast("double").alias("label"), "x")
+    passed = again.unionByName(keys).where(~_by_kind({k: _fails(k, F.col("x")) for k in ADDED}))
+    features = {k: _features(k, F.col("x")) for k in ADDED}
+    return passed.select("name", "label", "place", *[_by_kind({k: features[k][n] for k in ADDED}).alias(n) for n in FEATURES])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SpanModel:
     """Trees and thresholds from about ``SAMPLE_DOCUMENTS`` documents chosen by hash, and at most ``SAMPLE_CANDIDATES`` of their spans.
 
-    Without both classes nothing is fitted, and no span is added.
+    An empty table gives a model that adds nothing. A kind whose held-out spans don't reach the precision gets no
+    threshold, nothing of it is added, and a warning names it.
     """
     rows = docs.select(id_col).count()
     if not rows:
@@ -287,6 +330,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Span
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(labelled)
     train, held = vectors.where("place % 3 <> 0"), labelled.where("place % 3 = 0")
     if train.agg(F.countDistinct("label")).first()[0] < 2:
+        warnings.warn("no spans of both classes to learn from: nothing is added", stacklevel=2)
         return SpanModel([], {})
     fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(train)
     java = fitted._java_obj
@@ -295,14 +339,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Span
     scored = held.withColumn("bin", F.floor(model.probability({f: F.col(f) for f in FEATURES}) * 20))
     bins = {(r["name"], r["bin"]): (r["good"], r["n"]) for r in scored.groupBy("name", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()}
     for kind in ADDED:
-        good = n = 0
-        best = None
+        n, best = 0, None
         for at in range(20, -1, -1):
-            here = bins.get((kind, at), (0, 0))
-            good, n = good + here[0], n + here[1]
-            if n >= LEAST_SUPPORT and good / n >= PRECISION:
+            good, here = bins.get((kind, at), (0, 0))
+            if here and good / here < PRECISION:  # the bin's own precision, not that of all above it
+                break
+            n += here
+            if here and n >= LEAST_SUPPORT:
                 best = at / 20
         model.thresholds[kind] = best
+    missing = [k for k in ADDED if model.thresholds[k] is None]
+    if missing:
+        warnings.warn(f"no threshold reaches the precision: nothing is added of {', '.join(missing)}", stacklevel=2)
     return model
 
 
@@ -318,11 +366,14 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Places are code points, ends exclusive. Null and empty texts have no spans; very long ones are searched whole. Added
     spans lie in what the base spans leave of the text. An empty table gives an empty result. Rows are independent, so repeated rows get equal results. Columns of those names are replaced.
     """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if docs.select(F.spark_partition_id().alias("at")).distinct().count() < cores:  # a scan of few row groups
+        docs = docs.repartition(cores)
     model = model or fit(docs, id_col, text_col)
     names = [f"base_{k}" for k in KINDS] + [f"added_{k}" for k in ADDED]
     packed = docs.select(F.struct(*[c for c in docs.columns if c not in names]).alias("_doc"), F.col(text_col).alias("_text"))
     found = find_candidates(packed, "_text")
-    found = found.withColumns({f"added_{k}": F.filter(f"wide_{k}", partial_of(model.accepts, k)) for k in ADDED})
+    found = found.withColumns({f"added_{k}": model.added(k, F.col(f"wide_{k}")) for k in ADDED})
     return found.select("_doc.*", *names)
 
 

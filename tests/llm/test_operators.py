@@ -374,7 +374,9 @@ def reference_removed(rows):
     first, covered, elsewhere = {}, defaultdict(set), defaultdict(set)
     for known, i, key, text in order:
         parts = [text[a:b].lower().split() for a, b in reference_sentences(text)] if text else []
-        han = [sum("\u3400" <= c <= "\u9fff" for w in p for c in w) for p in parts]
+        # signs of scripts without spaces: Thai and Lao, Burmese, Khmer, kana, Han and its compatibility forms
+        unspaced = (("\u0e00", "\u0eff"), ("\u1000", "\u109f"), ("\u1780", "\u17ff"), ("\u3040", "\u30ff"), ("\u3400", "\u9fff"), ("\uf900", "\ufaff"))
+        han = [sum(a <= c <= b for w in p for c in w for a, b in unspaced) for p in parts]
         for s in range(len(parts)):
             for e in range(s + 2, min(len(parts), s + 40) + 1):
                 if sum(max(len(p), h) for p, h in zip(parts[s:e], han[s:e], strict=True)) < 16:
@@ -510,6 +512,70 @@ def test_model_adds_spans_the_base_patterns_miss(spark, span_model):
     assert [found[i]["n_added"] for i in range(13)] == [1] * 5 + [0] * 8 and found[12]["n_found"] == 2
 
 
+def passes_check(kind, match):
+    """The check of an added span, on its text alone."""
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        plain = match.replace("[.]", ".")
+        return bool(re.fullmatch(r"[0-9]+([.:][0-9]+){3}", plain)) and all(int(p) <= 255 for p in re.split("[.:]", plain)) or match.count(":") == 7
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    if kind == "email":
+        return bool(re.search(r"(\.|dot[\])] ?)[A-Za-z]{2}", match))
+    return bool(re.search("[0-9]", match) and re.search("[A-Za-z]", match))
+
+
+def test_added_spans_over_a_table(spark, span_model):
+    """Of made spans: nearly all in other clothes are added where they stand, none that fails its check, none in clean texts, none over a base span."""
+    rng = random.Random(21)
+    words_ = vocabulary(rng, "etaoinshr")
+    say = lambda: " ".join(rng.choice(words_) for _ in range(rng.randint(2, 7)))
+    rows, wanted = [], {}
+    for i in range(600):
+        digits = "".join(str(rng.randint(0, 9)) for _ in range(15))
+        card = next(c for c in (digits + str(d) for d in range(10)) if luhn(c))
+        wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+        good = {"email": f"{rng.choice(words_)}{i} [at] {rng.choice(words_)} [dot] org", "ip": f"{i % 256}[.]{rng.randint(0, 255)}[.]3[.]4", "card": "/".join(card[k : k + 4] for k in (0, 4, 8, 12)), "phone": f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{i:04d}", "secret": f"token={rng.getrandbits(160):040x}"}
+        broken = {"ip": f"{256 + i % 700}[.]1[.]1[.]1", "card": "/".join(wrong[k : k + 4] for k in (0, 4, 8, 12)), "phone": f"({i % 90 + 10}) 555-12", "email": f"{rng.choice(words_)} [at] host [dot] 1", "secret": "token=" + "abcdefghij" * 4}
+        kind = list(good)[i % 5]
+        which = i // 5 % 3
+        before = say() + " "
+        span = (good if which == 0 else broken)[kind] if which < 2 else ""
+        rows.append((i, f"{before}{span} {say()} mail a{i}@b.example {say()}."))
+        if which == 0:
+            start = len(before) + len("token=") * (kind == "secret")
+            wanted[i] = (kind, start, len(before) + len(span))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(docs, model=span_model)).collect()}
+    hit = added = 0
+    for i, text in rows:
+        base = reference_spans(text).split(",")
+        more = [x for x in found[i]["spans"].split(",") if x and x not in base]
+        assert base == [x for x in found[i]["spans"].split(",") if x in base] and found[i]["n_added"] == len(more)
+        taken = [tuple(map(int, x.split(":")[1:])) for x in base if x]
+        for x in more:
+            kind, start, end = x.split(":")[0], *map(int, x.split(":")[1:])
+            assert passes_check(kind, text[start:end]), (kind, text[start:end])
+            assert all(end <= a or start >= b for a, b in taken)
+            added += 1
+        hit += i in wanted and ":".join(map(str, wanted[i])) in more
+    assert hit >= 0.9 * len(wanted) and added - hit <= 0.05 * added
+
+
+@pytest.mark.parametrize("rows", [120, 1000])
+def test_small_tables_fit_too(spark, rows):
+    """Every kind has a threshold on a table with no personal data in it, and keys are found."""
+    rng = random.Random(rows)
+    words_ = vocabulary(rng, "etaoinshr")
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words_) for _ in range(40))) for i in range(rows)] + [(rows, f'so token = "{"0af3" * 10}" it is'), (rows + 1, None), (rows + 2, "")], "doc_id long, text string")
+    model = pii.fit(docs)
+    assert all(model.thresholds[k] is not None for k in pii.ADDED)
+    found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal_data(docs, model=model)).collect()}
+    assert found.pop(rows) == "secret:12:52" and set(found.values()) == {""}
+
+
 def test_many_matches_stay_cheap(spark):
     """Places are right, and found in linear time, in a text with very many matches."""
     text = "1.1.1.1 " * 20_000
