@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .aggregate import confusion
 from .interp import interpolate_array
-from .plumes import label_chips
+from .plumes import component_areas, label_chips
 
 # Upper ends of the emission bins (kg/h), and the five runs of the emission grid (start, end, step).
 EMISSION_BINS = (100, 200, 300, 500, 750, 1250)
@@ -32,17 +31,17 @@ def with_thresholds(rows: DataFrame, thresholds: list[float]) -> DataFrame:
     return rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
 
 
-def _counts_above(scores: DataFrame, keys: list[str], score: Column, thresholds: list[float], strict: bool) -> DataFrame:
-    """Rows per key above each threshold: one conditional count per threshold in a single aggregate, then unpivoted."""
+def counts_above(scores: DataFrame, keys: list[str], score: Column, thresholds: list[float], strict: bool = True) -> DataFrame:
+    """n (rows above each threshold) and rows (all of the key's): one conditional count per threshold in a single aggregate, then unpivoted."""
     above = [F.count_if(score > t if strict else score >= t) for t in thresholds]
-    one = scores.groupBy(*keys).agg(F.array(*above).alias("_n"))
+    one = scores.groupBy(*keys).agg(F.array(*above).alias("_n"), F.count("*").alias("rows"))
     pairs = F.explode(F.arrays_zip(F.array(*[F.lit(float(t)) for t in thresholds]).alias("t"), F.col("_n").alias("n")))
-    return one.select(*keys, pairs.alias("_p")).select(*keys, F.col("_p.t").alias("threshold"), F.col("_p.n").alias("n"))
+    return one.select(*keys, "rows", pairs.alias("_p")).select(*keys, F.col("_p.t").alias("threshold"), F.col("_p.n").alias("n"), "rows")
 
 
 def ccdf(components: DataFrame, areas: DataFrame, region: str, score: str, thresholds: list[float], crop_km2: float, tile_km2: float, strict: bool = True) -> DataFrame:
     """False-positive plumes per km2 and per tile above each threshold. ``areas``: region, crops."""
-    counted = _counts_above(components, [region], F.col(score), thresholds, strict).join(areas, region)
+    counted = counts_above(components, [region], F.col(score), thresholds, strict).join(areas, region)
     per_km2 = F.col("n") / (F.col("crops") * crop_km2)
     return counted.select(region, "threshold", per_km2.alias("per_km2"), (per_km2 * tile_km2).alias("per_tile"))
 
@@ -73,16 +72,14 @@ def detection_by_rate(scores: DataFrame, keys: list[str], crop: str, score: Colu
     return per.groupBy(*keys).agg(F.array(*one).alias("_r")).select(*keys, F.explode("_r").alias("_r")).select(*keys, "_r.*")
 
 
-def pixel_recall(pixels: DataFrame, keys: list[str], crop: str, plume: str, truth: Column, score: Column, pairs: list[tuple[float, float]]) -> DataFrame:
+def pixel_recall(hits: DataFrame, keys: list[str], crop: str, pairs: list[tuple[float, float]]) -> DataFrame:
     """Mean and population deviation over crops, in percent, of the pixel recall at each (marker, floor): keys, marker, floor, mean, std.
 
-    A plume's recall is the share of its pixels that reach the floor, 0 if none of them reaches the marker; one without
-    pixels is skipped, a crop without any counts as 0. Markers, floors and scores are on one scale.
+    ``hits``: of ``plumes.component_hits``. A plume's recall is the share of its pixels in components; one without pixels is
+    skipped, a crop without any counts as 0.
     """
-    hits = F.array(*[F.count_if(truth & (score >= floor)) for _, floor in pairs])
-    per = pixels.groupBy(*keys, crop, plume).agg(F.count_if(truth).alias("_n"), F.max(F.when(truth, score)).alias("_top"), hits.alias("_hits"))
-    recall = [F.when(F.col("_n") > 0, F.when(F.col("_top") >= marker, F.col("_hits")[i] / F.col("_n")).otherwise(0.0)) for i, (marker, _) in enumerate(pairs)]
-    crops = per.groupBy(*keys, crop).agg(F.array(*[F.coalesce(F.avg(r), F.lit(0.0)) for r in recall]).alias("_r"))
+    recall = [F.avg(F.when(F.col("n") > 0, F.col("hits")[i] / F.col("n"))) for i in range(len(pairs))]
+    crops = hits.groupBy(*keys, crop).agg(F.array(*[F.coalesce(r, F.lit(0.0)) for r in recall]).alias("_r"))
     one = [F.struct(F.lit(m).alias("marker"), F.lit(f).alias("floor"), (100 * F.avg(F.col("_r")[i])).alias("mean"), (100 * F.stddev_pop(F.col("_r")[i])).alias("std")) for i, (m, f) in enumerate(pairs)]
     return crops.groupBy(*keys).agg(F.array(*one).alias("_p")).select(*keys, F.explode("_p").alias("_p")).select(*keys, "_p.*")
 
@@ -94,51 +91,43 @@ def plume_scores(chips: DataFrame, chip: str, raster: str, size: int, region: st
     return found.unionByName(chips.where(F.array_max(raster) < floor).select(region, F.lit(0.0).alias("score")))
 
 
-def false_positive_area(chips: DataFrame, chip: str, raster: str, size: int, region: str, pairs: list[tuple[float, float]], crops_per_tile: float) -> DataFrame:
-    """Pixels per tile of the components at each (marker, floor): region, marker, floor, fp_px."""
-    crops, out = chips.groupBy(region).agg(F.count("*").alias("_crops")), None
-    for marker, floor in pairs:
-        areas = label_chips(chips, chip, raster, size, marker, floor, keep=(region,)).groupBy(region).agg(F.count("*").alias("_area"))
-        one = crops.join(areas, region, "left").select(region, F.lit(marker).alias("marker"), F.lit(floor).alias("floor"), (F.coalesce("_area", F.lit(0)) / F.col("_crops") * crops_per_tile).alias("fp_px"))
-        out = one if out is None else out.unionByName(one)
-    return out
+def false_positive_area(chips: DataFrame, raster: str, size: int, region: str, pairs: list[tuple[float, float]], crops_per_tile: float) -> DataFrame:
+    """Pixels per tile of the components at each (marker, floor): region, marker, floor, fp_px. One pass for all pairs."""
+    areas = component_areas(chips, (region,), raster, size, pairs)
+    one = [F.struct(F.lit(m).alias("marker"), F.lit(f).alias("floor"), (F.sum(F.col("areas")[i]) / F.count("*") * crops_per_tile).alias("fp_px")) for i, (m, f) in enumerate(pairs)]
+    return areas.groupBy(region).agg(F.array(*one).alias("_p")).select(region, F.explode("_p").alias("_p")).select(region, "_p.*")
 
 
-def validation_report(pixels: DataFrame, region: str, chip: str, emission: Column, score: Column, truth: Column, threshold: float) -> DataFrame:
-    """At one threshold, for each region and for all of them (region null): threshold, tp, tn, fp, fn, precision, pixel_recall, fpr, and
-    recall, the mean over emission bins of the chips' mean recall (for all: the mean of the regions')."""
-    predicted = score > threshold
-    counts = confusion(pixels, [region, chip], predicted, truth)
-    chips = counts.join(pixels.groupBy(region, chip).agg(F.first(emission_bin(emission)).alias("bin")), [region, chip])
-    sums = [F.sum(c).alias(c) for c in ("tp", "tn", "fp", "fn")]
-    means = chips.where("bin is not null").groupBy(region, "bin").agg(F.avg(100 * F.col("tp") / (F.col("tp") + F.col("fn") + 0.00001)).alias("_r")).groupBy(region).agg((F.sum("_r") / (len(EMISSION_BINS) + 1)).alias("recall"))
-    per = chips.groupBy(region).agg(*sums).join(means, region, "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
-    every = per.agg(*sums, F.avg("recall").alias("recall")).withColumn(region, F.lit(None).cast(per.schema[region].dataType))
-    both = per.unionByName(every).withColumn("threshold", F.lit(float(threshold)))
-    return both.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "pixel_recall": F.try_divide("tp", F.col("tp") + F.col("fn")), "fpr": F.try_divide("fp", F.col("fp") + F.col("tn"))})
+#: Scores are kept in this many steps.
+LEVELS = 255
 
 
-def pod_levels(curve: DataFrame, keys: list[str], rate: str, pod: str, levels: tuple[float, ...] = (10, 50, 90)) -> DataFrame:
-    """The rates (whole, half to even) at which a detection curve reaches the levels; ``minimum``: the rate of the least POD above
-    0.01 (null if there is none). The rate at the least level is ``minimum`` at least."""
-    knot = F.struct(F.col(pod).alias("y"), F.col(rate).cast("double").alias("x"))
-    listed = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(knot)).alias("k"), F.min(F.when(F.col(pod) > 0.01, knot)).alias("_least"))
-    xs, ys = F.transform("k", lambda p: p["y"]), F.transform("k", lambda p: p["x"])
-    least = F.col("_least.x").cast("long")
-    out = {f"pod{int(p)}": F.rint(interpolate_array(F.lit(float(p)), xs, ys)).cast("long") for p in levels}
-    first = f"pod{int(min(levels))}"
-    return listed.select(*keys, *[(F.greatest(v, least) if k == first else v).alias(k) for k, v in out.items()], least.alias("minimum"))
+def score_histogram(pixels: DataFrame, region: str, chip: str, emission: Column, clean: Column, score: Column, truth: Column, predicted: Column, target: Column, bce: Column) -> DataFrame:
+    """A mergeable summary of predicted pixels, from one scan: a row for each chip, level (the score in steps of 1 / ``LEVELS``) and
+    truth with n, and the sums of squared errors (also on truth alone), of cross-entropy, of predictions and of their squares.
+
+    ``bin`` and ``clean`` are the chip's emission bin and whether it has no plume. A chip has 512 rows at most, whatever its
+    size, and summaries of parts are merged by adding rows. Pixels without a score have level null and are above nothing.
+    """
+    error = F.pow(predicted - target, 2)
+    rows = pixels.select(
+        region, chip, emission_bin(emission).alias("bin"), clean.alias("clean"), F.rint(score * LEVELS).cast("int").alias("level"), truth.alias("truth"), error.alias("_e"), bce.alias("_b"), predicted.alias("_p")
+    )
+    return rows.groupBy(region, chip, "level", "truth").agg(
+        F.first("bin").alias("bin"), F.first("clean").alias("clean"), F.count("*").alias("n"), F.sum("_e").alias("error"), F.sum("_b").alias("bce"), F.sum("_p").alias("total"), F.sum(F.col("_p") * F.col("_p")).alias("squares")
+    )
 
 
-def false_positive_threshold(pixels: DataFrame, region: str, chip: str, score: str, thresholds: list[float], limit: float) -> DataFrame:
-    """One row: the threshold at which plume-free chips have ``limit`` false-positive pixels on average.
+def false_positive_threshold(histogram: DataFrame, region: str, chip: str, thresholds: list[float], limit: float) -> DataFrame:
+    """One row: the threshold at which plume-free chips have ``limit`` false-positive pixels on average, from ``score_histogram``.
 
     Mean per region, mean over regions, the first threshold below the limit, a linear step back; the first one if
     it is below already, the last one if none is.
     """
-    per = _counts_above(pixels, [region], F.col(score), thresholds, strict=True)
-    chips = pixels.groupBy(region, chip).agg(F.lit(1).alias("_")).groupBy(region).agg(F.count("*").alias("chips"))
-    mean = per.join(chips, region).groupBy("threshold").agg(F.avg(F.col("n") / F.col("chips")).alias("fp"))
+    above = [F.coalesce(F.sum(F.when(F.col("level") > F.lit(t) * LEVELS, F.col("n"))), F.lit(0)) for t in thresholds]
+    chips = histogram.where("clean").groupBy(region, chip).agg(F.array(*above).alias("_n"))
+    means = chips.groupBy(region).agg(F.array(*[F.avg(F.col("_n")[i]) for i in range(len(thresholds))]).alias("_n")).agg(F.array(*[F.avg(F.col("_n")[i]) for i in range(len(thresholds))]).alias("_n"))
+    mean = means.select(F.posexplode("_n").alias("_i", "fp")).withColumn("threshold", F.get(F.lit([float(t) for t in thresholds]), F.col("_i")))
     order = Window.orderBy("threshold")  # a row per threshold given in code
     stepped = mean.select("threshold", "fp", F.lag("threshold").over(order).alias("t0"), F.lag("fp").over(order).alias("fp0"))
     at = F.when(F.col("t0").isNull(), F.col("threshold")).otherwise(F.col("t0") + (limit - F.col("fp0")) / (F.col("fp") - F.col("fp0")) * (F.col("threshold") - F.col("t0")))
@@ -146,12 +135,69 @@ def false_positive_threshold(pixels: DataFrame, region: str, chip: str, score: s
     return stepped.agg(F.coalesce(first, F.max("threshold")).alias("threshold"))
 
 
-def recall_table(pixels: DataFrame, region: str, chip: str, emission: Column, predicted: Column, truth: Column) -> DataFrame:
-    """Mean recall (percent) of the chips of each region and emission bin; bins without chips have 0."""
-    per = pixels.groupBy(region, chip).agg(F.first(emission_bin(emission)).alias("bin"), F.count_if(predicted & truth).alias("tp"), F.count_if(~predicted & truth).alias("fn"))
-    means = per.where("bin is not null").groupBy(region, "bin").agg(F.avg(100 * F.col("tp") / (F.col("tp") + F.col("fn") + 0.00001)).alias("recall"))
-    every = per.select(region).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(EMISSION_BINS)))))
-    return every.join(means, [region, "bin"], "left").withColumn("recall", F.coalesce("recall", F.lit(0.0)))
+def _chip_counts(histogram: DataFrame, region: str, chip: str, threshold: Column) -> DataFrame:
+    """Per chip: bin, tp, tn, fp, fn at a threshold."""
+    found = F.coalesce(F.col("level") > threshold * LEVELS, F.lit(False))
+    counts = {"tp": found & F.col("truth"), "tn": ~found & ~F.col("truth"), "fp": found & ~F.col("truth"), "fn": ~found & F.col("truth")}
+    return histogram.groupBy(region, chip).agg(F.first("bin").alias("bin"), *[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in counts.items()])
+
+
+def _bin_recalls() -> list[Column]:
+    """Mean recall (percent) of the chips in each emission bin, 0 without chips."""
+    each = 100 * F.col("tp") / (F.col("tp") + F.col("fn") + 0.00001)
+    return [F.coalesce(F.avg(F.when(F.col("bin") == i, each)), F.lit(0.0)) for i in range(len(EMISSION_BINS) + 1)]
+
+
+def recall_table(histogram: DataFrame, region: str, chip: str, threshold: float) -> DataFrame:
+    """Mean recall (percent) of the chips of each region and emission bin, from ``score_histogram``; bins without chips have 0."""
+    recalls = _chip_counts(histogram, region, chip, F.lit(float(threshold))).groupBy(region).agg(F.array(*_bin_recalls()).alias("_r"))
+    return recalls.select(region, F.posexplode("_r").alias("bin", "recall"))
+
+
+def validation_report(histogram: DataFrame, region: str, chip: str, thresholds: list[float], limit: float) -> DataFrame:
+    """At the threshold of ``false_positive_threshold``, for each region and for all of them (region null): threshold, chips, tp, tn, fp,
+    fn, precision, pixel_recall, fpr, f1; snr, mse, bce, cond_mse and loss (sums over the number of chips); recalls by emission
+    bin, and recall, their mean (for all: the means of the regions'). Undefined rates are null.
+
+    ``histogram``: of ``score_histogram``, read twice, so let it be written or cached.
+    """
+    found = false_positive_threshold(histogram, region, chip, thresholds, limit)
+    at = histogram.crossJoin(F.broadcast(found))  # one row
+    truth = F.col("truth")
+    parts = {
+        "_error": F.sum("error"), "_bce": F.sum("bce"), "_cond": F.sum(F.when(truth, F.col("error"))), "_on": F.sum(F.when(truth, F.col("n"))), "_on_total": F.sum(F.when(truth, F.col("total"))),
+        "_off": F.sum(F.when(~truth, F.col("n"))), "_off_total": F.sum(F.when(~truth, F.col("total"))), "_off_squares": F.sum(F.when(~truth, F.col("squares"))),
+    }
+    above = F.coalesce(F.col("level") > F.col("threshold") * LEVELS, F.lit(False))
+    cells = {"tp": above & truth, "tn": ~above & ~truth, "fp": above & ~truth, "fn": ~above & truth}
+    per_chip = at.groupBy(region, chip).agg(
+        F.first("threshold").alias("threshold"), F.first("bin").alias("bin"), *[F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).alias(k) for k, c in cells.items()], *[v.alias(k) for k, v in parts.items()]
+    )
+    sums = [F.first("threshold").alias("threshold"), *[F.sum(c).alias(c) for c in (*cells, *parts)]]
+    per = per_chip.groupBy(region).agg(F.count("*").alias("chips"), F.array(*_bin_recalls()).alias("recalls"), *sums)
+    n = len(EMISSION_BINS) + 1
+    every = per.agg(F.sum("chips").alias("chips"), F.array(*[F.avg(F.col("recalls")[i]) for i in range(n)]).alias("recalls"), *sums).withColumn(region, F.lit(None).cast(per.schema[region].dataType))
+    both = per.unionByName(every)
+    noise = F.col("_off_squares") / F.col("_off") - F.pow(F.col("_off_total") / F.col("_off"), 2)
+    tp, fp, fn, chips = (F.col(c) for c in ("tp", "fp", "fn", "chips"))
+    return both.select(
+        region, "threshold", "chips", "tp", "tn", "fp", "fn", F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("pixel_recall"), F.try_divide(fp, fp + F.col("tn")).alias("fpr"),
+        F.try_divide(2 * tp, 2 * tp + fp + fn).alias("f1"), F.try_divide(F.col("_on_total") / F.col("_on"), F.sqrt(F.greatest(noise, F.lit(0.0)))).alias("snr"), (F.col("_error") / chips).alias("mse"),
+        (F.col("_bce") / chips).alias("bce"), (F.coalesce("_cond", F.lit(0.0)) / chips).alias("cond_mse"), ((F.col("_bce") + F.coalesce("_cond", F.lit(0.0))) / chips).alias("loss"),
+        "recalls", (F.aggregate("recalls", F.lit(0.0), lambda a, r: a + r) / n).alias("recall"),
+    )
+
+
+def pod_levels(curve: DataFrame, keys: list[str], rate: str, pod: str, levels: tuple[float, ...] = (10, 50, 90)) -> DataFrame:
+    """The rates (whole, half to even) at which a detection curve reaches the levels; ``minimum``: the rate of the least POD above
+    0.01 (null if there is none). The rate at the least level is ``minimum`` at least."""
+    knot = F.struct(F.col(pod).alias("y"), F.col(rate).cast("double").alias("x"))
+    listed = curve.groupBy(*keys).agg(F.sort_array(F.collect_list(knot)).alias("k"), F.min(F.when(F.col(pod) > 0.01, knot)).alias("_least"))
+    xs, ys = F.transform("k", lambda p: p["y"]), F.transform("k", lambda p: p["x"])
+    least = F.col("_least.x").cast("long")
+    out = {f"pod{int(p)}": F.rint(interpolate_array(F.lit(float(p)), xs, ys)).cast("long") for p in levels}
+    first = f"pod{int(min(levels))}"
+    return listed.select(*keys, *[(F.greatest(v, least) if k == first else v).alias(k) for k, v in out.items()], least.alias("minimum"))
 
 
 def mean_recall(table: DataFrame, region: str) -> DataFrame:

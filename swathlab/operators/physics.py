@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .interp import interpolate_curve
+from .interp import KnotIndex, interpolate_curve
 
 
 def forward_lookup(rows: DataFrame, table: DataFrame, concentration: Column, most: float, n: int, value: str) -> DataFrame:
@@ -79,3 +81,40 @@ def hyperspectral_log_brightness(spectra: DataFrame, bands: DataFrame, gamma_c:
         (F.first("_tx") + F.ln(F.sum(F.exp(F.col("_x") - F.col("_tx"))))).alias("_a"), (F.first("_tr") + F.ln(F.sum(F.exp(F.col("_r") - F.col("_tr"))))).alias("_b")
     )
     return sums.select("band", "gc", (F.col("_a") - F.col("_b")).alias("log_nb"))
+
+
+#: Fixed value: gamma * c and absorption below which nothing is absorbed.
+LEAST_ABSORPTION = 1e-5
+
+
+class BandTable:
+    """A lookup table of log-brightness, bands by gamma * c, for all bands of a pixel at once.
+
+    The logarithm of absorption is linear in that of gamma * c between two entries, and constant beyond the ends. Bands whose
+    absorption is below ``LEAST_ABSORPTION`` at all entries are insensitive: their brightness is 1, as it is at a
+    gamma * c up to that value. Bands and entries are those of a sensor and a grid, so the table is a constant of the plan.
+    """
+
+    def __init__(self, table: DataFrame, band: str = "band", gamma_c: str = "gc", log_nb: str = "log_nb"):
+        rows = table.where(F.col(gamma_c) > 0).select(band, F.col(gamma_c).cast("double"), F.col(log_nb).cast("double")).orderBy(band, gamma_c).collect()
+        self.bands = sorted({r[0] for r in rows})
+        self.grid = sorted({r[1] for r in rows})
+        found = {(r[0], r[1]): r[2] for r in rows}
+        if len(found) != len(self.bands) * len(self.grid):
+            raise ValueError("every band needs an entry at every gamma * c")
+        absorbed = [[-math.expm1(found[b, g]) for g in self.grid] for b in self.bands]
+        self.sensitive = [max(a) >= LEAST_ABSORPTION for a in absorbed]
+        self.logs = [[math.log(max(x, 5e-324)) for x in a] for a in absorbed]
+
+    def brightness(self, rows: DataFrame, gamma_c: str, out: str) -> DataFrame:
+        """``rows`` with an array of each band's brightness at a column of gamma * c; nulls there count as nothing absorbed."""
+        index = KnotIndex([(math.log(g), float(i)) for i, g in enumerate(self.grid)])
+        place = rows.withColumn("_log", F.when(F.col(gamma_c) > LEAST_ABSORPTION, F.ln(F.col(gamma_c).cast("double"))))
+        at = index.value(place, "_log", "_place").withColumn("_k", F.least(F.floor("_place"), F.lit(max(0, len(self.grid) - 2))).cast("int"))
+        at = at.withColumn("_share", F.col("_place") - F.col("_k"))
+        logs, last = F.lit([x for a in self.logs for x in a]), len(self.grid) - 1
+        values = []
+        for b, sensitive in enumerate(self.sensitive):
+            low, high = F.get(logs, F.col("_k") + b * (last + 1)), F.get(logs, F.least(F.col("_k") + 1, F.lit(last)) + b * (last + 1))
+            values.append(F.when(F.col("_place").isNull() | F.lit(not sensitive), 1.0).otherwise(-F.expm1(low + F.col("_share") * (high - low))))
+        return at.select(*[F.col(f"`{c}`") for c in rows.columns if c != out], F.array(*values).alias(out))

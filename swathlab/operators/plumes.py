@@ -15,7 +15,7 @@ from .physics import forward_lookup
 
 # Deviations from medians, and the default errors of the wind and the method.
 MAD_TO_SIGMA, Z95 = 1.4826, 1.96
-METHOD_ERROR, WIND_ERROR, MODEL_ERROR = 0.13, 0.32, 0.1083
+METHOD_ERROR, WIND_ERROR = 0.13, 0.32
 
 
 def hysteresis_labels(probability: np.ndarray, marker: float, floor: float) -> np.ndarray:
@@ -47,6 +47,127 @@ def hysteresis_labels(probability: np.ndarray, marker: float, floor: float) -> n
     return np.where(keep, labels, 0)
 
 
+class ComponentTree:
+    """The components of one raster at every floor at once.
+
+    Pixels at or above ``least`` are added in falling order of value; a pixel joins the components of its neighbours
+    (8-connected) and becomes their parent, by union-find. A pixel's component at a floor is then the part of the tree below
+    its last ancestor that reaches the floor, and that ancestor knows the part's largest value, area and first pixel.
+    """
+
+    def __init__(self, raster: np.ndarray, least: float):
+        height, width = raster.shape
+        flat = raster.ravel()
+        inside = np.flatnonzero(flat >= least)
+        order = inside[np.argsort(-flat[inside], kind="stable")]
+        self.pixels = order  # flat indices, by falling value
+        self.values = flat[order]
+        n = len(order)
+        at = np.full(height * width, -1)
+        at[order] = np.arange(n)
+        rows, cols = np.divmod(order, width)
+        near = np.full((n, 8), -1)
+        steps = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
+        for k, (r, c) in enumerate(steps):
+            y, x = rows + r, cols + c
+            good = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+            near[good, k] = at[y[good] * width + x[good]]
+        parent, joined = list(range(n)), list(range(n))
+        top, area, first = self.values.tolist(), [1] * n, order.tolist()
+        for i, others in enumerate(near.tolist()):
+            for j in others:
+                if 0 <= j < i:
+                    while joined[j] != j:
+                        joined[j] = joined[joined[j]]
+                        j = joined[j]
+                    if j != i:
+                        parent[j] = joined[j] = i
+                        area[i] += area[j]
+                        top[i] = max(top[i], top[j])
+                        first[i] = min(first[i], first[j])
+        self.parent, self.top, self.area, self.first = np.array(parent, np.int64), np.array(top), np.array(area, np.int64), np.array(first, np.int64)
+
+    def nodes(self, floor: float) -> np.ndarray:
+        """For each pixel that reaches the floor, in falling order: the node of its component there."""
+        n = int(np.searchsorted(-self.values, -floor, side="right"))  # those at or above the floor come first
+        node = np.arange(n)
+        up = np.where(self.parent[:n] < n, self.parent[:n], node)
+        while not np.array_equal(up, node):
+            node, up = up, up[up]
+        return node
+
+    def component_pixels(self, marker: float, floor: float) -> np.ndarray:
+        """Flat indices of the pixels of components at the floor that reach the marker."""
+        node = self.nodes(floor)
+        return self.pixels[: len(node)][self.top[node] >= marker]
+
+    def component_area(self, marker: float, floor: float) -> int:
+        """Their number."""
+        node = np.unique(self.nodes(floor))
+        return int(self.area[node][self.top[node] >= marker].sum())
+
+
+def _rasters(lists: pa.Array, size: int) -> Iterator[np.ndarray | None]:
+    """The rasters of a column of arrays, NaN and null pixels as -inf; None for a null one."""
+    for x in lists:
+        yield None if not x.is_valid else np.nan_to_num(np.array(x.values.to_numpy(zero_copy_only=False), np.float64), nan=-np.inf, posinf=np.inf, neginf=-np.inf).reshape(size, size)
+
+
+def component_areas(chips: DataFrame, keep: tuple[str, ...], raster: str, size: int, pairs: list[tuple[float, float]]) -> DataFrame:
+    """One row per chip: the ``keep`` columns and areas, the number of pixels in components for each (marker, floor).
+
+    A chip's tree is built once for all pairs. A null raster has no components.
+    """
+    least = min((floor for _, floor in pairs), default=np.inf)
+    schema = T.StructType([*(chips.schema[k] for k in keep), T.StructField("areas", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            areas = []
+            for values in _rasters(batch.column(0), size):
+                tree = None if values is None else ComponentTree(values, least)
+                areas.append([0 if tree is None else tree.component_area(m, f) for m, f in pairs])
+            yield pa.RecordBatch.from_arrays([*(batch.column(1 + i) for i in range(len(keep))), pa.array(areas, pa.list_(pa.int64()))], names=schema.names)
+
+    return chips.select(F.col(raster).cast("array<double>").alias("_raster"), *keep).mapInArrow(run, schema)
+
+
+def component_hits(chips: DataFrame, keep: tuple[str, ...], raster: str, plume: str, plumes: int, size: int, pairs: list[tuple[float, float]]) -> DataFrame:
+    """One row per chip and plume: the ``keep`` columns, plume, n (its pixels), hits (for each (marker, floor), how many of them lie in
+    components; none if the plume's own pixels don't reach the marker).
+
+    ``plume``: an array like the raster with each pixel's plume, from 0 to ``plumes`` - 1, null where there is none. Every
+    plume has a row for every chip, also without pixels. Components are those of the whole raster, built once for all pairs.
+    """
+    least = min((floor for _, floor in pairs), default=np.inf)
+    schema = T.StructType([*(chips.schema[k] for k in keep), T.StructField("plume", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ns, hits = [], []
+            for values, marks in zip(_rasters(batch.column(0), size), batch.column(1), strict=True):
+                which = np.full(size * size, -1, np.int64)
+                if marks.is_valid:
+                    which = marks.values.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                real = which >= 0
+                ns.append(np.bincount(which[real], minlength=plumes))
+                found = np.zeros((plumes, len(pairs)), np.int64)
+                if values is not None and real.any():
+                    tree, own = ComponentTree(values, least), np.full(plumes, -np.inf)
+                    np.maximum.at(own, which[real], values.ravel()[real])
+                    for k, (marker, floor) in enumerate(pairs):
+                        inside = which[tree.component_pixels(marker, floor)]
+                        found[:, k] = np.where(own >= marker, np.bincount(inside[inside >= 0], minlength=plumes), 0)
+                hits.append(found)
+            rows = np.repeat(np.arange(batch.num_rows), plumes)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(2 + i).take(pa.array(rows)) for i in range(len(keep))), pa.array(np.tile(np.arange(plumes), batch.num_rows), pa.int32()), pa.array(np.concatenate([*ns, np.zeros(0, np.int64)]).astype(np.int64)), pa.array([r.tolist() for h in hits for r in h], pa.list_(pa.int64()))],
+                names=schema.names,
+            )
+
+    return chips.select(F.col(raster).cast("array<double>").alias("_raster"), F.col(plume).cast("array<int>").alias("_plume"), *keep).mapInArrow(run, schema)
+
+
 def label_chips(chips: DataFrame, chip: str, raster: str, size: int, marker: float, floor: float, values: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per pixel of a component: chip, row, col, label, the pixel's ``values`` (columns of arrays like the raster) and
     the chip's ``keep`` columns. ``raster``: probabilities of one band, row-major.

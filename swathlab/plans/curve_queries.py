@@ -8,6 +8,8 @@ from ..functions import scalar as S
 from ..operators import curves as C
 from ..operators import detectors as D
 from ..operators import interp as I
+from ..operators import plumes as P
+from ..sources.io import written
 from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SIDE, WIND, band_pixels, chip_values, curve, lab_sql, load, pixels, query, wind
 
 _KNOTS = f"{CURVE}, seg AS (SELECT wavelength AS x0, response AS y0, lead(wavelength) OVER (ORDER BY wavelength) AS x1, lead(response) OVER (ORDER BY wavelength) AS y1 FROM curve), ends AS (SELECT min(wavelength) AS lo, max(wavelength) AS hi, min_by(response, wavelength) AS ylo, max_by(response, wavelength) AS yhi FROM curve)"
@@ -84,7 +86,7 @@ _AREAS = " UNION ALL ".join(f"SELECT region, {m}::DOUBLE AS marker, {f}::DOUBLE
 
 @query(f"WITH RECURSIVE {PIXELS}, {', '.join(lab_sql(f'l{i}', m, f) for i, (m, f) in enumerate(_PAIRS))}, s AS ({_AREAS}), k(marker, floor) AS (VALUES {', '.join(f'({m}::DOUBLE, {f}::DOUBLE)' for m, f in _PAIRS)}), c AS (SELECT region, count(*) AS crops FROM chips GROUP BY 1) SELECT c.region, k.marker, k.floor, round(count(s.chip_id) / any_value(crops) * (100 / 6.5536::DOUBLE), 6) AS fp_px FROM c CROSS JOIN k LEFT JOIN s ON c.region = s.region AND k.marker = s.marker AND k.floor = s.floor GROUP BY ALL")
 def t29_fp_pixels_per_tile(spark, sf):
-    found = C.false_positive_area(chip_values(spark, sf), "chip_id", "prob", SIDE, "region", _PAIRS, 100 / 6.5536)
+    found = C.false_positive_area(chip_values(spark, sf), "prob", SIDE, "region", _PAIRS, 100 / 6.5536)
     return found.withColumn("fp_px", F.round("fp_px", 6))
 
 
@@ -104,12 +106,16 @@ def t30_detection_probability(spark, sf):
     return found.select("fpr", "region", "rate", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query(f"""WITH {PIXELS}, k(marker, floor) AS (VALUES {', '.join(f'({m}::DOUBLE, {f}::DOUBLE)' for m, f in _PAIRS)}), q AS (SELECT region, chip_id, row // 4 AS plume, 100 * (1 + col) AS rate, abs(target) >= 0.1 AS truth, prob FROM pixels),
-u AS (SELECT region, chip_id, plume, rate, marker, floor, count(*) FILTER (truth) AS n, max(prob) FILTER (truth) AS top, count(*) FILTER (truth AND prob >= floor) AS hits FROM q, k GROUP BY ALL), c AS (SELECT region, chip_id, rate, marker, floor, coalesce(avg(CASE WHEN n > 0 THEN CASE WHEN top >= marker THEN hits / n ELSE 0 END END), 0) AS r FROM u GROUP BY ALL)
+#: Half rows are plumes, columns their emission rates.
+@query(f"""WITH RECURSIVE {PIXELS}, {', '.join(lab_sql(f'l{i}', m, f) for i, (m, f) in enumerate(_PAIRS))}, s AS ({' UNION ALL '.join(f'SELECT {m}::DOUBLE AS marker, {f}::DOUBLE AS floor, chip_id, row, col FROM l{i}' for i, (m, f) in enumerate(_PAIRS))}),
+k(marker, floor) AS (VALUES {', '.join(f'({m}::DOUBLE, {f}::DOUBLE)' for m, f in _PAIRS)}), q AS (SELECT region, chip_id, row, col, row // 4 AS plume, 100 * (1 + col) AS rate, abs(target) >= 0.1 AS truth, prob FROM pixels),
+u AS (SELECT q.region, q.chip_id, plume, rate, k.marker, k.floor, count(*) FILTER (truth) AS n, max(prob) FILTER (truth) AS top, count(s.chip_id) FILTER (truth) AS hits FROM q CROSS JOIN k LEFT JOIN s ON s.marker = k.marker AND s.floor = k.floor AND s.chip_id = q.chip_id AND s.row = q.row AND s.col = q.col GROUP BY ALL),
+c AS (SELECT region, chip_id, rate, marker, floor, coalesce(avg(CASE WHEN n > 0 THEN CASE WHEN top >= marker THEN hits / n ELSE 0 END END), 0) AS r FROM u GROUP BY ALL)
 SELECT region, CAST(rate AS INTEGER) AS rate, marker, floor, round(100 * avg(r), 6) AS mean, round(100 * stddev_pop(r), 6) AS std FROM c GROUP BY ALL""")
 def t31_pixel_recall(spark, sf):
-    rows = pixels(spark, sf).withColumns({"plume": F.floor(F.col("row") / 4), "rate": (100 * (1 + F.col("col"))).cast("int")})
-    found = C.pixel_recall(rows, ["region", "rate"], "chip_id", "plume", F.abs("target") >= 0.1, F.col("prob"), _PAIRS)
+    which = F.transform("target", lambda t, i: F.when(F.abs(t) >= 0.1, (F.floor(i / 32) * SIDE + i % SIDE).cast("int")))
+    hits = P.component_hits(chip_values(spark, sf).withColumn("plume", which), ("region", "chip_id"), "prob", "plume", 2 * SIDE, SIDE, _PAIRS)
+    found = C.pixel_recall(hits.withColumn("rate", 100 * (1 + F.col("plume") % SIDE)), ["region", "rate"], "chip_id", _PAIRS)
     return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
@@ -135,38 +141,48 @@ def t33_emission_grid(spark, sf):
 _T20 = [round(0.3 + 0.03 * i, 2) for i in range(20)]
 
 
-_T34 = """t AS (SELECT round(0.3 + 0.03 * range, 2)::DOUBLE AS threshold FROM range(20)), f AS (SELECT region, threshold, count(*) FILTER (prob > threshold) / count(DISTINCT chip_id) AS fp FROM pixels, t WHERE chip_id % 2 = 0 GROUP BY ALL), m AS (SELECT threshold, avg(fp) AS fp FROM f GROUP BY 1),
-l AS (SELECT *, lag(threshold) OVER (ORDER BY threshold) AS t0, lag(fp) OVER (ORDER BY threshold) AS fp0 FROM m), th AS (SELECT round(coalesce(min_by(CASE WHEN t0 IS NULL THEN threshold ELSE t0 + (10 - fp0) / (fp - fp0) * (threshold - t0) END, threshold) FILTER (fp < 10), max(threshold)), 6) AS threshold FROM l)"""
+#: Scores in 255 steps, by chip and truth.
+_HIST = f"""{PIXELS}, lv AS (SELECT region, chip_id, (chip_id * 37) % 1600 AS e, chip_id % 2 = 0 AS clean, CAST(round_even(prob * 255, 0) AS INTEGER) AS level, abs(target) > 0.1 AS truth, v, cond, target FROM pixels)"""
+_T34 = f"""{_HIST}, t AS (SELECT round(0.3 + 0.03 * range, 2)::DOUBLE AS threshold FROM range(20)), f AS (SELECT region, threshold, count(*) FILTER (level > threshold * 255) / count(DISTINCT chip_id) AS fp FROM lv, t WHERE clean GROUP BY ALL), m AS (SELECT threshold, avg(fp) AS fp FROM f GROUP BY 1),
+l AS (SELECT *, lag(threshold) OVER (ORDER BY threshold) AS t0, lag(fp) OVER (ORDER BY threshold) AS fp0 FROM m), th AS (SELECT coalesce(min_by(CASE WHEN t0 IS NULL THEN threshold ELSE t0 + (10 - fp0) / (fp - fp0) * (threshold - t0) END, threshold) FILTER (fp < 10), max(threshold)) AS threshold FROM l)"""
 
 
-@query(f"WITH {PIXELS}, {_T34} SELECT threshold FROM th")
+def _histogram(spark, sf):
+    truth = F.abs("target") > 0.1
+    return C.score_histogram(
+        pixels(spark, sf), "region", "chip_id", (F.col("chip_id") * 37) % 1600, F.col("chip_id") % 2 == 0, F.col("prob"), truth, F.col("cond"), F.col("target"), S.bce_with_logits("v", truth.cast("double"))
+    )
+
+
+@query(f"WITH {_T34} SELECT round(threshold, 6) AS threshold FROM th")
 def t34_fp_pixel_threshold(spark, sf):
-    clean = pixels(spark, sf).where("chip_id % 2 = 0")
-    return C.false_positive_threshold(clean, "region", "chip_id", "prob", _T20, 10.0).select(F.round("threshold", 6).alias("threshold"))
+    return C.false_positive_threshold(_histogram(spark, sf), "region", "chip_id", _T20, 10.0).select(F.round("threshold", 6).alias("threshold"))
 
 
 _BIN = "CASE WHEN e <= 0 THEN NULL WHEN e <= 100 THEN 0 WHEN e <= 200 THEN 1 WHEN e <= 300 THEN 2 WHEN e <= 500 THEN 3 WHEN e <= 750 THEN 4 WHEN e <= 1250 THEN 5 ELSE 6 END"
-_RECALL = f"""p AS (SELECT region, chip_id, (chip_id * 37) % 1600 AS e, count(*) FILTER (prob > 0.6 AND abs(target) > 0.1) AS tp, count(*) FILTER (NOT prob > 0.6 AND abs(target) > 0.1) AS fn FROM pixels GROUP BY ALL), b AS (SELECT region, {_BIN} AS bin, avg(100 * tp / (tp + fn + 0.00001)) AS recall FROM p GROUP BY ALL),
-e AS (SELECT DISTINCT region, CAST(unnest(range(7)) AS INTEGER) AS bin FROM p), r AS (SELECT e.region, e.bin, round(coalesce(recall, 0), 6) AS recall FROM e LEFT JOIN b ON e.region = b.region AND e.bin = b.bin)"""
+_BINS = ", ".join(f"coalesce(avg(100 * tp / (tp + fn + 0.00001)) FILTER (bin = {i}), 0) AS r{i}" for i in range(7))
 
 
-def _recalls(spark, sf):
-    return C.recall_table(pixels(spark, sf), "region", "chip_id", (F.col("chip_id") * 37) % 1600, F.col("prob") > 0.6, F.abs("target") > 0.1).withColumn("recall", F.round("recall", 6))
+@query(f"""WITH {_HIST}, p AS (SELECT region, chip_id, {_BIN} AS bin, count(*) FILTER (level > 0.6::DOUBLE * 255 AND truth) AS tp, count(*) FILTER (NOT level > 0.6::DOUBLE * 255 AND truth) AS fn FROM lv GROUP BY region, chip_id, e),
+b AS (SELECT region, {_BINS} FROM p GROUP BY 1), u AS ({' UNION ALL '.join(f'SELECT region, {i} AS bin, r{i} AS recall FROM b' for i in range(7))}) SELECT region, bin, round(recall, 6) AS recall FROM u""")
+def t35_recall_by_bin(spark, sf):
+    return C.recall_table(_histogram(spark, sf), "region", "chip_id", 0.6).withColumn("recall", F.round("recall", 6))
 
 
-@query(f"WITH {PIXELS}, {_RECALL} SELECT region, bin, recall FROM r")
-def t35_recall_by_bin(spark, sf):
-    return _recalls(spark, sf)
+_SUMS = "sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn, sum(er) AS er, sum(b) AS b, sum(cm) AS cm"
+_BCE = "greatest(v, 0) - v * CAST(truth AS INTEGER) + ln(1 + exp(-abs(v)))"
 
 
-@query(f"""WITH {PIXELS}, {_T34}, q AS (SELECT region, chip_id, (chip_id * 37) % 1600 AS e, prob > th.threshold AS found, abs(target) > 0.1 AS truth FROM pixels, th), k AS (SELECT region, chip_id, {_BIN} AS bin, count(*) FILTER (found AND truth) AS tp, count(*) FILTER (NOT found AND NOT truth) AS tn, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM q GROUP BY region, chip_id, e),
-b AS (SELECT region, bin, avg(100 * tp / (tp + fn + 0.00001)) AS r FROM k WHERE bin IS NOT NULL GROUP BY ALL), rr AS (SELECT region, sum(r) / 7 AS recall FROM b GROUP BY 1), s AS (SELECT region, sum(tp) AS tp, sum(tn) AS tn, sum(fp) AS fp, sum(fn) AS fn FROM k GROUP BY 1),
-o AS (SELECT s.*, coalesce(recall, 0) AS recall FROM s LEFT JOIN rr USING (region)), u AS (SELECT * FROM o UNION ALL SELECT NULL, sum(tp), sum(tn), sum(fp), sum(fn), avg(recall) FROM o)
-SELECT region, threshold, CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS pixel_recall, round(fp / nullif(fp + tn, 0), 9) AS fpr, round(recall, 5) AS recall FROM u, th""")
+@query(f"""WITH {_T34}, q AS (SELECT lv.*, level > threshold * 255 AS found FROM lv, th), k AS (SELECT region, chip_id, {_BIN} AS bin, count(*) FILTER (found AND truth) AS tp, count(*) FILTER (NOT found AND NOT truth) AS tn, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn,
+sum(pow(cond - target, 2)) AS er, coalesce(sum(pow(cond - target, 2)) FILTER (truth), 0) AS cm, sum({_BCE}) AS b FROM q GROUP BY region, chip_id, e),
+g AS (SELECT region, avg(cond) FILTER (truth) / nullif(stddev_pop(cond) FILTER (NOT truth), 0) AS snr FROM lv GROUP BY 1), o AS (SELECT k.region, count(*) AS chips, {_SUMS}, {_BINS}, any_value(snr) AS snr FROM k JOIN g USING (region) GROUP BY 1),
+u AS (SELECT * FROM o UNION ALL BY NAME SELECT NULL AS region, sum(chips) AS chips, {_SUMS}, {', '.join(f'avg(r{i}) AS r{i}' for i in range(7))}, (SELECT avg(cond) FILTER (truth) / nullif(stddev_pop(cond) FILTER (NOT truth), 0) FROM lv) AS snr FROM o)
+SELECT region, round(threshold, 6) AS threshold, CAST(chips AS BIGINT) AS chips, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('tp', 'tn', 'fp', 'fn'))}, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / nullif(tp + fn, 0), 9) AS pixel_recall, round(fp / nullif(fp + tn, 0), 9) AS fpr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 9) AS f1,
+round(snr, 5) AS snr, round(er / chips, 5) AS mse, round(b / chips, 5) AS bce, round(cm / chips, 5) AS cond_mse, round((b + cm) / chips, 5) AS loss, {', '.join(f'round(r{i}, 5) AS recall_{i}' for i in range(7))}, round(({' + '.join(f'r{i}' for i in range(7))}) / 7, 5) AS recall FROM u, th""")
 def t36_validation_report(spark, sf):
-    threshold = t34_fp_pixel_threshold(spark, sf).first()["threshold"]
-    found = C.validation_report(pixels(spark, sf), "region", "chip_id", (F.col("chip_id") * 37) % 1600, F.col("prob"), F.abs("target") > 0.1, threshold)
-    return found.withColumns({**{c: F.round(c, 9) for c in ("precision", "pixel_recall", "fpr")}, "recall": F.round("recall", 5)})
+    found = C.validation_report(written(_histogram(spark, sf), "scores"), "region", "chip_id", _T20, 10.0)
+    rounded = [F.round(c, 9).alias(c) for c in ("precision", "pixel_recall", "fpr", "f1")] + [F.round(c, 5).alias(c) for c in ("snr", "mse", "bce", "cond_mse", "loss")]
+    return found.select("region", F.round("threshold", 6).alias("threshold"), "chips", "tp", "tn", "fp", "fn", *rounded, *[F.round(F.col("recalls")[i], 5).alias(f"recall_{i}") for i in range(7)], F.round("recall", 5).alias("recall"))
 
 
 @query(f"WITH {PIXELS}, m AS (SELECT chip_id, count(*) FILTER (prob >= 0.6 AND abs(target) > 0.1) AS tp, count(*) FILTER (prob >= 0.6 AND NOT abs(target) > 0.1) AS fp FROM pixels GROUP BY 1) SELECT m.*, label FROM m JOIN embeddings ON chip_id = vec_id")
@@ -178,9 +194,8 @@ def t37_chip_metrics(spark, sf):
 
 @query(f"WITH {PIXELS}, {_SCORES}, t AS (SELECT (range * 0.1)::DOUBLE AS t FROM range(3, 9)) SELECT rate, round(t, 1) AS threshold, round(avg(CAST(coalesce(score > round(t, 1), FALSE) AS DOUBLE)), 9) AS share FROM sc, t GROUP BY ALL")
 def t44_simple_detection(spark, sf):
-    found = C._counts_above(_scores(spark, sf), ["rate"], F.col("score"), [round(0.1 * i, 1) for i in range(3, 9)], True)
-    total = _scores(spark, sf).groupBy("rate").agg(F.count("*").alias("all"))
-    return found.join(total, "rate").select("rate", "threshold", F.round(F.col("n") / F.col("all"), 9).alias("share"))
+    found = C.counts_above(_scores(spark, sf), ["rate"], F.col("score"), [round(0.1 * i, 1) for i in range(3, 9)])
+    return found.select("rate", "threshold", F.round(F.col("n") / F.col("rows"), 9).alias("share"))
 
 
 # -- wind on a regular grid ----------------------------------------------------------------

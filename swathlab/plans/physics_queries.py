@@ -39,41 +39,51 @@ def t4_cross_section(spark, sf):
     return H.cross_section(grid, "wavelength", 700.0, 263.0).withColumn("sigma", F.round("sigma", 6))
 
 
-_HYPER = f"""{CURVE}, b(band, centre, width) AS (VALUES (1, 10.0::DOUBLE, 3.0::DOUBLE), (2, 25.0, 3.0), (3, 40.0, 4.0)), gc AS (SELECT CAST(unnest(range(0, 5)) AS DOUBLE) AS gc),
-x AS (SELECT band, gc, -pow((wavelength - centre) / (width / 2.354820045), 2) / 2 AS r, response / 1000 AS s FROM curve, b, gc WHERE abs(wavelength - centre) <= 4 * width), h AS (SELECT band, gc, ln(sum(exp(r - gc * s))) - ln(sum(exp(r))) AS log_nb FROM x GROUP BY ALL)"""
+# the fourth band stands where nothing is absorbed
+_HYPER = f"""{CURVE}, b(band, centre, width) AS (VALUES (1, 10.0::DOUBLE, 3.0::DOUBLE), (2, 25.0, 3.0), (3, 40.0, 4.0), (4, 48.0, 0.4)), gc AS (SELECT CAST(unnest(range(0, 5)) AS DOUBLE) AS gc),
+x AS (SELECT band, gc, -pow((wavelength - centre) / (width / 2.354820045), 2) / 2 AS r, CASE WHEN wavelength <= 46 THEN response / 1000 ELSE 0 END AS s FROM curve, b, gc WHERE abs(wavelength - centre) <= 4 * width), h AS (SELECT band, gc, ln(sum(exp(r - gc * s))) - ln(sum(exp(r))) AS log_nb FROM x GROUP BY ALL)"""
 
 
 def _hyper(spark, sf):
-    bands = spark.createDataFrame([(1, 10.0, 3.0), (2, 25.0, 3.0), (3, 40.0, 4.0)], "band int, centre double, width double")
+    bands = spark.createDataFrame([(1, 10.0, 3.0), (2, 25.0, 3.0), (3, 40.0, 4.0), (4, 48.0, 0.4)], "band int, centre double, width double")
     gc = spark.range(5).select(F.col("id").cast("double").alias("gc"))
-    spectra = curve(spark, sf).select("wavelength", (F.col("response") / 1000).alias("sigma"))
+    spectra = curve(spark, sf).select("wavelength", F.when(F.col("wavelength") <= 46, F.col("response") / 1000).otherwise(0.0).alias("sigma"))
     return H.hyperspectral_log_brightness(spectra, bands, gc)
 
 
-@query(f"WITH {_HYPER} SELECT band, gc, round(log_nb, 7) AS log_nb FROM h")
+@query(f"WITH {_HYPER} SELECT band, gc, round(log_nb, 7) + 0.0 AS log_nb FROM h")
 def t7_hyperspectral_brightness(spark, sf):
-    return _hyper(spark, sf).withColumn("log_nb", F.round("log_nb", 7))
+    return _hyper(spark, sf).withColumn("log_nb", F.round("log_nb", 7) + 0.0)
 
 
-_ABS = "1 - exp(ln(1 - exp(l0)) + (ln(gc) - ln(1 + floor(3 * p))) / (ln(2 + floor(3 * p)) - ln(1 + floor(3 * p))) * (ln(1 - exp(l1)) - ln(1 - exp(l0))))"
-_M26 = f"WITH {_HYPER}, {PIXELS}, q AS (SELECT chip_id, row, col, prob AS p, 1 + 3 * prob AS gc FROM pixels) SELECT chip_id, row, col, round({_ABS}, 6) AS nb FROM (SELECT q.*, a.log_nb AS l0, c.log_nb AS l1 FROM q JOIN h a ON a.band = 2 AND a.gc = 1 + floor(3 * p) JOIN h c ON c.band = 2 AND c.gc = 2 + floor(3 * p))"
+#: Pixels without methane have a gamma * c of 0; the others one between two entries of the table.
+_NB = f"""{_HYPER}, {PIXELS}, e AS (SELECT band, 1 - exp(min(log_nb)) >= 1e-5 AS sensitive FROM h WHERE gc > 0 GROUP BY 1), q AS (SELECT chip_id, row, col, cond, prob, CASE WHEN cond < -0.2 THEN 0 ELSE 1 + 3 * prob END AS gc FROM pixels),
+j AS (SELECT q.*, e.band, e.sensitive, floor(q.gc) AS k, l.log_nb AS l0, u.log_nb AS l1 FROM q CROSS JOIN e LEFT JOIN h l ON l.band = e.band AND l.gc = floor(q.gc) AND q.gc > 0 LEFT JOIN h u ON u.band = e.band AND u.gc = floor(q.gc) + 1),
+n AS (SELECT *, CASE WHEN gc <= 1e-5 OR NOT sensitive THEN 1 ELSE 1 - exp(ln(1 - exp(l0)) + (ln(gc) - ln(k)) / (ln(k + 1) - ln(k)) * (ln(1 - exp(l1)) - ln(1 - exp(l0)))) END AS nb FROM j)"""
 
 
 def _hyper_pixels(spark, sf):
-    table = _hyper(spark, sf).where("band = 2").withColumn("k", F.col("gc").cast("int"))
-    low = table.select("k", F.col("log_nb").alias("l0"))
-    high = table.select((F.col("k") - 1).alias("k"), F.col("log_nb").alias("l1"))
-    rows = pixels(spark, sf).withColumn("gc", 1 + 3 * F.col("prob")).withColumn("k", (1 + F.floor(3 * F.col("prob"))).cast("int"))
-    joined = rows.join(low.join(high, "k"), "k")
-    return joined.withColumn("nb", H.log_absorption(F.col("gc"), F.col("k"), F.col("k") + 1, F.col("l0"), F.col("l1")))
+    """Pixels with the brightness of all bands (array nb)."""
+    table = H.BandTable(_hyper(spark, sf))
+    rows = pixels(spark, sf).withColumn("gc", F.when(F.col("cond") < -0.2, 0.0).otherwise(1 + 3 * F.col("prob")))
+    return table, table.brightness(rows, "gc", "nb")
 
 
-@query(_M26.replace("WITH", "WITH", 1))
+def _by_band(table, rows, columns, values):
+    """A row for each band; ``values``: name to array column."""
+    each = F.explode(F.arrays_zip(F.lit(table.bands).alias("band"), *[v.alias(k) for k, v in values.items()])).alias("_b")
+    return rows.select(*columns, each).select(*columns, F.col("_b.band").cast("int").alias("band"), *[F.round(F.col("_b")[k], 6).alias(k) for k in values])
+
+
+@query(f"WITH {_NB} SELECT chip_id, row, col, band, round(nb, 6) AS nb FROM n")
 def m26_log_absorption(spark, sf):
-    return _hyper_pixels(spark, sf).select("chip_id", "row", "col", F.round("nb", 6).alias("nb"))
+    table, rows = _hyper_pixels(spark, sf)
+    return _by_band(table, rows, ["chip_id", "row", "col"], {"nb": F.col("nb")})
 
 
-@query(f"WITH {_HYPER}, {PIXELS}, q AS (SELECT chip_id, row, col, cond, prob AS p, 1 + 3 * prob AS gc FROM pixels), n AS (SELECT q.*, {_ABS} AS nb FROM (SELECT q.*, a.log_nb AS l0, c.log_nb AS l1 FROM q JOIN h a ON a.band = 2 AND a.gc = 1 + floor(3 * p) JOIN h c ON c.band = 2 AND c.gc = 2 + floor(3 * p)) q) SELECT chip_id, row, col, round(coalesce(CASE WHEN cond > -0.1 THEN cond END * nb, 0), 6) AS radiance, round(p * gc, 6) AS target FROM n")
+@query(f"WITH {_NB} SELECT chip_id, row, col, round(prob * gc, 6) AS target, band, round(coalesce(CASE WHEN cond > -0.1 THEN cond END * nb, 0), 6) AS radiance FROM n")
 def t43_insert_hyperspectral(spark, sf):
-    radiance = F.coalesce(F.when(F.col("cond") > -0.1, F.col("cond")) * F.col("nb"), F.lit(0.0))
-    return _hyper_pixels(spark, sf).select("chip_id", "row", "col", F.round(radiance, 6).alias("radiance"), F.round(F.col("prob") * F.col("gc"), 6).alias("target"))
+    table, rows = _hyper_pixels(spark, sf)
+    original = F.when(F.col("cond") > -0.1, F.col("cond"))
+    radiance = F.transform("nb", lambda nb: F.coalesce(original * nb, F.lit(0.0)))
+    return _by_band(table, rows.withColumn("target", F.round(F.col("prob") * F.col("gc"), 6)), ["chip_id", "row", "col", "target"], {"radiance": radiance})
