@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import written
+from .quantiles import exact_quantiles
 
 
 def rates_for_lists(rows: DataFrame, keys: list[str], items: str, rates: DataFrame, item: str, rate: str) -> DataFrame:
     """The rates of a list's items in their order; an item without one takes the median of all rates, rounded to one digit."""
-    middle = rates.agg(F.round(F.median(rate), 1).alias("_median"))  # one row
+    middle = exact_quantiles(rates, [], F.col(rate), [0.5]).select(F.round(F.col("quantiles")[0], 1).alias("_median"))  # one row
     listed = rows.select(*keys, F.posexplode(items).alias("_pos", item))
     joined = listed.join(rates.select(item, rate), item, "left").crossJoin(F.broadcast(middle))
     ordered = F.sort_array(F.collect_list(F.struct("_pos", F.coalesce(rate, "_median").alias("rate"))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as A
 from ..operators import joins as J
 from ..operators import rasters as RR
+from ..operators import quantiles as QT
 from ..operators import select as Q
 from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SCENES, SITES, WIND, band_pixels, chips, curve, load, pixels, query, scenes, sites, wind
 
@@ -324,7 +325,9 @@ def a25_best_method(spark, sf):
 
 @query("SELECT l_linenumber AS threshold, round(median(abs(ln(l_extendedprice / 40000))), 6) AS error FROM lineitem GROUP BY 1")
 def a26_median_log_error(spark, sf):
-    return load(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("threshold")).agg(F.round(F.median(F.abs(F.ln(F.col("l_extendedprice") / 40000))), 6).alias("error"))
+    rows = load(spark, sf, "lineitem").withColumnRenamed("l_linenumber", "threshold")
+    found = QT.exact_quantiles(rows, ["threshold"], F.abs(F.ln(F.col("l_extendedprice") / 40000)), [0.5])
+    return found.select("threshold", F.round(F.col("quantiles")[0], 6).alias("error"))
 
 
 @query(f"WITH {WIND}, g AS (SELECT station, ts, epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6 AS gap FROM wind) SELECT station, round(epoch_us(max(ts) - min(ts)) / 1e6, 6) AS duration, round(max(gap), 6) AS largest FROM g GROUP BY 1")
@@ -353,7 +356,8 @@ def a29_centre_buffer(spark, sf):
 @query(f"WITH {BAND_PIXELS} SELECT chip_id, round(coalesce(median(swir22 / nullif(CASE WHEN scl = 0 THEN 0 ELSE swir16 END, 0)), 0), 9) AS weight FROM px GROUP BY 1")
 def a31_median_weight(spark, sf):
     reference = F.when(F.col("scl") == 0, 0.0).otherwise(F.col("swir16"))
-    return band_pixels(spark, sf).groupBy("chip_id").agg(F.round(F.coalesce(F.median(F.try_divide("swir22", reference)), F.lit(0.0)), 9).alias("weight"))
+    found = QT.exact_quantiles(band_pixels(spark, sf), ["chip_id"], F.try_divide("swir22", reference), [0.5])
+    return found.select("chip_id", F.round(F.coalesce(F.col("quantiles")[0], F.lit(0.0)), 9).alias("weight"))
 
 
 @query(f"WITH {SCENES}, m AS (SELECT *, CASE WHEN granule_id % 4 <> 0 THEN cloud_pct END AS c FROM scenes) SELECT granule_id, round(coalesce(c, avg(c) OVER (PARTITION BY sensor)), 6) AS c FROM m")
@@ -387,8 +391,8 @@ def a36_centre_sum_pivot(spark, sf):
 
 @query(f"WITH {BAND_PIXELS} SELECT granule, round(quantile_cont(swir22 / swir16, 0.005), 9) AS low, round(quantile_cont(swir22 / swir16, 0.995), 9) AS high FROM px GROUP BY 1")
 def a37_display_percentiles(spark, sf):
-    q = F.percentile(F.col("swir22") / F.col("swir16"), F.array(F.lit(0.005), F.lit(0.995)))
-    return band_pixels(spark, sf).groupBy("granule").agg(q.alias("q")).select("granule", F.round(F.col("q")[0], 9).alias("low"), F.round(F.col("q")[1], 9).alias("high"))
+    found = QT.exact_quantiles(band_pixels(spark, sf), ["granule"], F.col("swir22") / F.col("swir16"), [0.005, 0.995])
+    return found.select("granule", F.round(F.col("quantiles")[0], 9).alias("low"), F.round(F.col("quantiles")[1], 9).alias("high"))
 
 
 @query("SELECT l_returnflag AS flag, round(sum((l_quantity - 5) * l_extendedprice) FILTER (l_quantity BETWEEN 5 AND 40) / nullif(sum((l_quantity - 5) * (l_quantity - 5)) FILTER (l_quantity BETWEEN 5 AND 40), 0), 6) AS slope FROM lineitem GROUP BY 1")
