@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -264,19 +265,54 @@ def root_area_rate(labelled: DataFrame, keys: list[str], value: str, pixel: floa
     return found.withColumn("rate", emission_rate(F.lit(wind) if isinstance(wind, float) else wind, "length", "ime"))
 
 
-def major_axis(labelled: DataFrame, keys: list[str], degrees: int = 1) -> DataFrame:
-    """The longer side, in pixels, of the least-area rectangle around each component, over a grid of angles.
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of integer points (n, 2), counter-clockwise, by a monotone chain."""
+    order = sorted(set(map(tuple, points.tolist())))
 
-    Only the ends of each row of a component can be corners of its hull, so they alone meet the angles.
+    def half(chain: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for x, y in chain:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (x - out[-2][0]):
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    return np.array(half(order) + half(order[::-1]) or order, np.int64)
+
+
+def least_rectangle(points: np.ndarray) -> tuple[float, float]:
+    """(longer, shorter) side of the least-area rectangle around points, which has a side on an edge of their hull.
+
+    Of rectangles of equal area (to six digits) the one with the least longer side.
+    """
+    corners = hull(points)
+    edges = np.roll(corners, -1, axis=0) - corners
+    along, across = corners @ edges.T, corners @ np.stack([-edges[:, 1], edges[:, 0]])
+    a, b, square = np.ptp(along, axis=0), np.ptp(across, axis=0), (edges**2).sum(axis=1)
+    sides = np.sort(np.stack([a, b]) / np.sqrt(square), axis=0)
+    area, longer = np.round(a * b / square, 6), np.round(sides[1], 9)
+    best = np.lexsort((longer, area))[0]
+    return float(sides[1, best]), float(sides[0, best])
+
+
+def major_axis(labelled: DataFrame, keys: list[str]) -> DataFrame:
+    """The longer side, in pixels, of the least-area rectangle around each component: keys, length.
+
+    Only the ends of each row of a component can be corners of its hull, so a component brings two numbers a row, as many
+    rows as its raster has at most; its hull and rectangle are found in its row.
     """
+
+    @F.pandas_udf("double")
+    def longer(rows: pd.Series, first: pd.Series, last: pd.Series) -> pd.Series:
+        out = []
+        for r, a, b in zip(rows, first, last, strict=True):
+            y, x = np.concatenate([r, r, r + 1, r + 1]), np.concatenate([a, b, a, b])
+            out.append(least_rectangle(np.stack([x, y], axis=1).astype(np.int64))[0])
+        return pd.Series(out, dtype="float64")
+
     ends = labelled.groupBy(*keys, "row").agg(F.min("col").alias("_a"), (F.max("col") + 1).alias("_b"))
-    corners = ends.select(*keys, F.explode(F.array(*[F.struct((F.col("row") + r).alias("y"), F.col(c).alias("x")) for r in (0, 1) for c in ("_a", "_b")])).alias("p"))
-    turned = corners.select(*keys, "p.x", "p.y", F.explode(F.array(*[F.lit(d) for d in range(0, 90, degrees)])).alias("angle"))
-    u = F.col("x") * F.cos(F.radians("angle")) + F.col("y") * F.sin(F.radians("angle"))
-    v = F.col("y") * F.cos(F.radians("angle")) - F.col("x") * F.sin(F.radians("angle"))
-    sides = turned.groupBy(*keys, "angle").agg((F.max(u) - F.min(u)).alias("a"), (F.max(v) - F.min(v)).alias("b"))
-    least = F.min(F.struct(F.round(F.col("a") * F.col("b"), 6).alias("area"), "angle", F.greatest("a", "b").alias("length"))).alias("_l")
-    return sides.groupBy(*keys).agg(least).select(*keys, F.col("_l.length").alias("length"))
+    listed = ends.groupBy(*keys).agg(F.collect_list(F.struct(F.col("row").alias("r"), F.col("_a").alias("a"), F.col("_b").alias("b"))).alias("_e"))
+    return listed.select(*keys, longer("_e.r", "_e.a", "_e.b").alias("length"))
 
 
 def circle_distance_rate(labelled: DataFrame, keys: list[str], value: str, size: int, pixel: float, wind: float, least: float, most: float) -> DataFrame:
@@ -310,20 +346,6 @@ def interval(rows: DataFrame, keys: list[str], q: str, central: Column) -> DataF
     return found.select(*keys, "central", (F.col("central") * F.exp(-Z95 * sigma)).alias("low"), (F.col("central") * F.exp(Z95 * sigma)).alias("high"))
 
 
-def dilated(pixels: DataFrame, keys: list[str], size: int, reach: int = 1) -> DataFrame:
-    """The set pixels widened by a square: distinct (keys, row, col) within the raster."""
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)])
-    moved = pixels.select(*keys, "row", "col", F.explode(steps).alias("_s")).select(*keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
-    return moved.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1)).distinct()
-
-
-def eroded(pixels: DataFrame, keys: list[str], reach: int = 1) -> DataFrame:
-    """The set pixels all of whose neighbours (in a square) are set; beyond the raster nothing is set."""
-    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1)])
-    votes = pixels.select(*keys, "row", "col", F.explode(steps).alias("_s")).select(*keys, (F.col("row") + F.col("_s.r")).alias("row"), (F.col("col") + F.col("_s.c")).alias("col"))
-    return votes.groupBy(*keys, "row", "col").agg(F.count("*").alias("_n")).where(F.col("_n") == (2 * reach + 1) ** 2).drop("_n")
-
-
 def place_plumes(plume: DataFrame, candidates: DataFrame, keys: list[str], size: int, visible: float) -> DataFrame:
     """Shifted plume pixels: keys, row, col, mass at the first candidate that shows enough of the plume's mass.
 

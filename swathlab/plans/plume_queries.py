@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import raster as R
 from ..functions import scalar as S
 from ..operators import plumes as P
 from ..operators import rasters as RR
@@ -13,6 +14,13 @@ MARKER, FLOOR = 0.85, 0.65
 _LAB = f"{PIXELS}, {lab_sql('lab', MARKER, FLOOR)}"
 
 
+def _rectangle(keys: str, corners: str) -> str:
+    """SQL of the least-area rectangle's longer side, over the directions of all pairs of corners (the hull's edges are among them)."""
+    return f"""dirs AS (SELECT DISTINCT {keys}, b.x - a.x AS dx, b.y - a.y AS dy FROM {corners} a JOIN {corners} b USING ({keys}) WHERE b.y > a.y OR (b.y = a.y AND b.x > a.x)),
+turned AS (SELECT {keys}, dx, dy, max(x * dx + y * dy) - min(x * dx + y * dy) AS a, max(y * dx - x * dy) - min(y * dx - x * dy) AS b FROM dirs JOIN {corners} USING ({keys}) GROUP BY ALL),
+rectangle AS (SELECT {keys}, greatest(a, b) / sqrt(dx * dx + dy * dy) AS length FROM turned QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY round(a * b / (dx * dx + dy * dy), 6), round(greatest(a, b) / sqrt(dx * dx + dy * dy), 9)) = 1)"""
+
+
 def _labels(spark, sf):
     return P.label_chips(chip_values(spark, sf), "chip_id", "prob", SIDE, MARKER, FLOOR)
 
@@ -63,9 +71,7 @@ def t18_root_area_rate(spark, sf):
     return P.root_area_rate(_labelled(spark, sf), ["chip_id", "label"], "cond", 20.0, 2.5).select("chip_id", "label", F.round("rate", 5).alias("rate"))
 
 
-@query(f"""WITH RECURSIVE {_LAB}, e AS (SELECT chip_id, label, row, min(col) AS a, max(col) + 1 AS b FROM lab GROUP BY ALL), k AS (SELECT chip_id, label, row + d AS y, unnest([a, b]) AS x FROM e, (VALUES (0), (1)) v(d)), g AS (SELECT range AS angle FROM range(90)),
-s AS (SELECT chip_id, label, angle, max(x * cos(radians(angle)) + y * sin(radians(angle))) - min(x * cos(radians(angle)) + y * sin(radians(angle))) AS a, max(y * cos(radians(angle)) - x * sin(radians(angle))) - min(y * cos(radians(angle)) - x * sin(radians(angle))) AS b FROM k, g GROUP BY ALL)
-SELECT chip_id, label, round(greatest(a, b), 5) AS length FROM (SELECT *, row_number() OVER (PARTITION BY chip_id, label ORDER BY round(a * b, 6), angle) AS k FROM s) WHERE k = 1""")
+@query(f"""WITH RECURSIVE {_LAB}, e AS (SELECT chip_id, label, row, min(col) AS a, max(col) + 1 AS b FROM lab GROUP BY ALL), k AS (SELECT chip_id, label, row + d AS y, unnest([a, b]) AS x FROM e, (VALUES (0), (1)) v(d)), {_rectangle("chip_id, label", "k")} SELECT chip_id, label, round(length, 5) AS length FROM rectangle""")
 def t19_major_axis(spark, sf):
     return P.major_axis(_labels(spark, sf), ["chip_id", "label"]).withColumn("length", F.round("length", 5))
 
@@ -133,9 +139,7 @@ def a30_detection_table(spark, sf):
 
 @query(f"""WITH RECURSIVE {_LAB}, mk AS (SELECT lab.*, mask FROM lab, (VALUES ('plume'), ('core')) v(mask) WHERE mask = 'plume' OR prob >= 0.9), k AS (SELECT chip_id, mask, row, col, kind, CASE kind WHEN 'conditional' THEN cond ELSE prob * cond END AS value FROM mk, (VALUES ('conditional'), ('marginal')) v(kind)),
 a AS (SELECT chip_id, mask, kind, sqrt(count(*) FILTER (value > 0) * 400.0::DOUBLE) AS length, coalesce(sum(value) FILTER (value > 0), 0) * 400.0::DOUBLE AS ime FROM k GROUP BY ALL),
-e AS (SELECT chip_id, mask, row, min(col) AS a, max(col) + 1 AS b FROM mk GROUP BY ALL), o AS (SELECT chip_id, mask, row + d AS y, unnest([a, b]) AS x FROM e, (VALUES (0), (1)) v(d)), g AS (SELECT range AS angle FROM range(90)),
-s AS (SELECT chip_id, mask, angle, max(x * cos(radians(angle)) + y * sin(radians(angle))) - min(x * cos(radians(angle)) + y * sin(radians(angle))) AS a, max(y * cos(radians(angle)) - x * sin(radians(angle))) - min(y * cos(radians(angle)) - x * sin(radians(angle))) AS b FROM o, g GROUP BY ALL),
-x AS (SELECT chip_id, mask, greatest(a, b) AS axis FROM (SELECT *, row_number() OVER (PARTITION BY chip_id, mask ORDER BY round(a * b, 6), angle) AS k FROM s) WHERE k = 1),
+e AS (SELECT chip_id, mask, row, min(col) AS a, max(col) + 1 AS b FROM mk GROUP BY ALL), o AS (SELECT chip_id, mask, row + d AS y, unnest([a, b]) AS x FROM e, (VALUES (0), (1)) v(d)), {_rectangle("chip_id, mask", "o")}, x AS (SELECT chip_id, mask, length AS axis FROM rectangle),
 d AS (SELECT *, sqrt((row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5)) AS d FROM k), c AS (SELECT *, sum(greatest(value, 0) * 400) OVER (PARTITION BY chip_id, mask, kind ORDER BY d, row, col ROWS UNBOUNDED PRECEDING) AS m FROM d),
 i AS (SELECT chip_id, mask, kind, max(m / (d * 20)) FILTER (d BETWEEN 1 AND 4) AS circle FROM c GROUP BY ALL), u AS (SELECT a.chip_id, a.mask, a.kind, unnest(['root_area', 'major_axis', 'circle_distance']) AS method, unnest([ime / nullif(length, 0), ime / nullif(axis * 20, 0), circle]) AS unit FROM a JOIN x ON a.chip_id = x.chip_id AND a.mask = x.mask JOIN i ON a.chip_id = i.chip_id AND a.mask = i.mask AND a.kind = i.kind)
 SELECT chip_id, mask, kind, method, source, round(unit * speed * 57.75286, 4) AS rate FROM u, (VALUES ('era5', 3.0::DOUBLE), ('geos', 2.0)) v(source, speed)""")
@@ -172,12 +176,14 @@ def t26_submission(spark, sf):
 # -- masks over pixels ---------------------------------------------------------------------
 @query(f"WITH {PIXELS}, m AS (SELECT chip_id, row, col FROM pixels WHERE prob >= 0.9), s AS (SELECT unnest(range(-1, 2)) AS d) SELECT DISTINCT chip_id, CAST(row + a.d AS INTEGER) AS row, CAST(col + b.d AS INTEGER) AS col FROM m, s a, s b WHERE row + a.d BETWEEN 0 AND 7 AND col + b.d BETWEEN 0 AND 7")
 def b8_dilation(spark, sf):
-    return P.dilated(pixels(spark, sf).where("prob >= 0.9").select("chip_id", "row", "col"), ["chip_id"], SIDE)
+    wide = R.dilate(F.transform("prob", lambda p: p >= 0.9), SIDE)
+    return chip_values(spark, sf).select("chip_id", F.explode(R.set_pixels(wide, SIDE)).alias("p")).select("chip_id", "p.row", "p.col")
 
 
 @query(f"WITH {PIXELS}, m AS (SELECT chip_id, row, col FROM pixels WHERE prob >= 0.3), s AS (SELECT unnest(range(-1, 2)) AS d) SELECT chip_id, CAST(row + a.d AS INTEGER) AS row, CAST(col + b.d AS INTEGER) AS col FROM m, s a, s b GROUP BY ALL HAVING count(*) = 9")
 def b8_erosion(spark, sf):
-    return P.eroded(pixels(spark, sf).where("prob >= 0.3").select("chip_id", "row", "col"), ["chip_id"])
+    narrow = R.erode(F.transform("prob", lambda p: p >= 0.3), SIDE)
+    return chip_values(spark, sf).select("chip_id", F.explode(R.set_pixels(narrow, SIDE)).alias("p")).select("chip_id", "p.row", "p.col")
 
 
 @query(f"WITH {PIXELS}, k AS (SELECT chip_id, row, col, CASE WHEN v > 0.15 THEN v ELSE 0 END AS v FROM pixels), b AS (SELECT chip_id, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM k WHERE v <> 0 GROUP BY 1) SELECT k.chip_id, CAST(row - r0 AS INTEGER) AS row, CAST(col - c0 AS INTEGER) AS col, round(v, 6) AS v FROM k JOIN b ON k.chip_id = b.chip_id AND row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
@@ -186,6 +192,12 @@ def r6_trim_border(spark, sf):
     return RR.trim_border(rows, ["chip_id"], "v").withColumn("v", F.round("v", 6))
 
 
+@query(f"WITH {PIXELS}, r AS (SELECT chip_id, row, row_number() OVER (PARTITION BY chip_id ORDER BY row) - 1 AS nr FROM (SELECT DISTINCT chip_id, row FROM pixels WHERE v > 0.25)), c AS (SELECT chip_id, col, row_number() OVER (PARTITION BY chip_id ORDER BY col) - 1 AS nc FROM (SELECT DISTINCT chip_id, col FROM pixels WHERE v > 0.25)) SELECT chip_id, CAST(nr AS INTEGER) AS row, CAST(nc AS INTEGER) AS col, round(v, 6) AS v FROM pixels JOIN r USING (chip_id, row) JOIN c USING (chip_id, col)")
+def r6_keep_signal(spark, sf):
+    kept = chips(spark, sf).select("chip_id", R.keep_signal("raster", SIDE, 0.25).alias("k")).select("chip_id", "k.width", F.posexplode("k.values").alias("at", "v"))
+    return kept.select("chip_id", F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), F.round("v", 6).alias("v"))
+
+
 @query(f"WITH {PIXELS} SELECT chip_id, CAST(row // 2 AS BIGINT) AS row, CAST(col // 2 AS BIGINT) AS col, round(avg(v), 6) AS v FROM pixels GROUP BY ALL")
 def r8_block_mean(spark, sf):
     return RR.block_mean(pixels(spark, sf), ["chip_id"], "v", 2).withColumn("v", F.round("v", 6))
