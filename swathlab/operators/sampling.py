@@ -39,19 +39,53 @@ def split(rows: DataFrame, by: list[str], shares: dict[str, float], seed: str =
     return rows.withColumn("side", side)
 
 
-def best_split(tiles: DataFrame, key: str, weight_columns: dict[str, float], seeds: list[int], share: float) -> DataFrame:
-    """seed and score of the most even split among seeds: the weighted sum of both sides' differences of means over the overall deviation.
+# Added for a region that a side lacks, per missing season (over the region's seasons), and to a mean below a fraction.
+MISSING_REGION, MISSING_SEASON, MEAN_FLOOR = 1000.0, 10.0, 1e-6
 
-    Tiles meet all seeds in one aggregate; only one row per seed is left of it.
+
+def _variation(a: Column, b: Column) -> Column:
+    """Population deviation of two values over their mean."""
+    return F.abs(a - b) / 2 / ((a + b) / 2 + MEAN_FLOOR)
+
+
+def split_scores(rows: DataFrame, tile: str, region: str, measures: list[str], seeds: list[int], share: float, weights: dict[str, float], season: str | None = None, potency: float = 1.0) -> DataFrame:
+    """How evenly each seed's split of the tiles keeps the distributions: seed, proportion, temporal, the measures, score (their weighted
+    sum; the least is best). The split is by the hash of tile and seed, ``share`` of the tiles on the first side.
+
+    Over regions: the variation (deviation over mean) of the two sides' proportions, to the power ``potency``, and of their
+    means of each measure; with ``season`` also that of the seasons' proportions within the region, or a penalty for a season
+    that a side lacks. A region that a side lacks has the penalty alone. Missing measures don't count.
+
+    Rows are counted once, by tile, region and season; only these counts and sums meet the seeds.
     """
-    tries = tiles.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    left = hashed(key, F.col("seed")) < share
-    score = F.lit(0.0)
-    for c, w in weight_columns.items():
-        gap = F.abs(F.avg(F.when(left, F.col(c))) - F.avg(F.when(~left, F.col(c))))
-        score = score + w * F.try_divide(gap, F.stddev_pop(c))
-    scores = tries.groupBy("seed").agg(F.round(score, 9).alias("score"))
-    return scores.orderBy("score", "seed").limit(1)
+    parts = [region] if season is None else [region, season]
+    counted = rows.groupBy(tile, *parts).agg(F.count("*").alias("_n"), *[f(m).alias(f"_{f.__name__}_{m}") for m in measures for f in (F.sum, F.count)])
+    tries = counted.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    tries = tries.withColumn("_first", hashed(tile, F.col("seed")) < share)
+    values = ["_n", *[f"_{f}_{m}" for m in measures for f in ("sum", "count")]]
+    sides = [F.coalesce(F.sum(F.when(on, F.col(v))), F.lit(0)).alias(f"{v}_{i}") for v in values for i, on in enumerate((F.col("_first"), ~F.col("_first")))]
+    cells = tries.groupBy("seed", *parts).agg(*sides)
+    seasons = F.collect_list(F.struct(F.col("_n_0").alias("a"), F.col("_n_1").alias("b"))).alias("_seasons")  # as many as there are seasons
+    by_region = cells.groupBy("seed", region).agg(*[F.sum(f"{v}_{i}").alias(f"{v}_{i}") for v in values for i in (0, 1)], seasons)
+    whole = Window.partitionBy("seed")  # a row per region
+    by_region = by_region.withColumns({f"_whole_{i}": F.sum(f"_n_{i}").over(whole) for i in (0, 1)})
+    both = (F.col("_n_0") > 0) & (F.col("_n_1") > 0)
+    proportion = F.pow(_variation(F.col("_n_0") / F.col("_whole_0"), F.col("_n_1") / F.col("_whole_1")), F.lit(potency))
+
+    def one_season(x: Column) -> Column:
+        gap = _variation(x["a"] / F.col("_n_0"), x["b"] / F.col("_n_1"))
+        return F.when((x["a"] == 0) | (x["b"] == 0), F.lit(MISSING_SEASON * potency) / F.size("_seasons")).otherwise(gap)
+
+    temporal = F.aggregate("_seasons", F.lit(0.0), lambda total, x: total + one_season(x)) if season else F.lit(0.0)
+    means = {m: _variation(*[F.try_divide(F.col(f"_sum_{m}_{i}"), F.col(f"_count_{m}_{i}")) for i in (0, 1)]) for m in measures}
+    scores = {"proportion": F.when(both, proportion).otherwise(MISSING_REGION), "temporal": F.when(both, temporal), **{m: F.when(both, v) for m, v in means.items()}}
+    found = by_region.groupBy("seed").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in scores.items()])
+    return found.withColumn("score", sum((F.lit(float(weights.get(k, 1.0))) * F.col(k) for k in scores), F.lit(0.0)))
+
+
+def best_split(scores: DataFrame) -> DataFrame:
+    """The row of the most even split of ``split_scores``, to nine digits; of equal ones the least seed."""
+    return scores.withColumn("score", F.round("score", 9)).orderBy("score", "seed").limit(1)
 
 
 def ordered_split(rows: DataFrame, key: str, share: float, cell: Column) -> DataFrame:

@@ -35,11 +35,33 @@ def p4_group_split(spark, sf):
     return M.split(scenes(spark, sf).select("granule_id", "tile"), ["tile"], {"train": 0.5, "val": 0.5}, seed="g")
 
 
-@query(f"""WITH {SCENES}, t AS (SELECT tile, avg(cloud_pct) AS cloud, avg(nodata_pct) AS nodata FROM scenes GROUP BY 1), x AS (SELECT t.*, s.range AS seed, {_u('tile', 's.range')} < 0.5 AS l FROM t, range(40) s)
-SELECT CAST(seed AS INTEGER) AS seed, round(2 * abs(avg(cloud) FILTER (l) - avg(cloud) FILTER (NOT l)) / stddev_pop(cloud) + abs(avg(nodata) FILTER (l) - avg(nodata) FILTER (NOT l)) / stddev_pop(nodata), 9) AS score FROM x GROUP BY 1 ORDER BY 2, 1 LIMIT 1""")
+def _gap(a: str, b: str) -> str:
+    return f"(abs({a} - {b}) / 2 / (({a} + {b}) / 2 + 1e-6))"
+
+
+def _split_sql(potency: float, weights: dict[str, float], seasons: bool) -> str:
+    """SQL of ``split_scores`` over scenes: regions are categories, measures the cloud and missing shares."""
+    return f"""WITH {SCENES}, s AS (SELECT *, CASE WHEN month(acquired) IN (12, 1, 2) THEN 1 WHEN month(acquired) < 6 THEN 2 WHEN month(acquired) < 9 THEN 3 ELSE 4 END AS season FROM scenes), x AS (SELECT s.*, k.range AS seed, {_u('tile', 'k.range')} < 0.5 AS l FROM s, range(40) k),
+w AS (SELECT seed, count(*) FILTER (l) AS wa, count(*) FILTER (NOT l) AS wb FROM x GROUP BY 1), r AS (SELECT seed, category, count(*) FILTER (l) AS a, count(*) FILTER (NOT l) AS b, avg(cloud_pct) FILTER (l) AS ca, avg(cloud_pct) FILTER (NOT l) AS cb, avg(nodata_pct) FILTER (l) AS na, avg(nodata_pct) FILTER (NOT l) AS nb FROM x GROUP BY ALL),
+e AS (SELECT seed, category, season, count(*) FILTER (l) AS a, count(*) FILTER (NOT l) AS b FROM x GROUP BY ALL), t AS (SELECT e.seed, e.category, sum(CASE WHEN e.a = 0 OR e.b = 0 THEN 10.0::DOUBLE * {potency} / n ELSE {_gap('e.a / r.a', 'e.b / r.b')} END) AS temporal FROM (SELECT *, count(*) OVER (PARTITION BY seed, category) AS n FROM e) e JOIN r ON r.seed = e.seed AND r.category = e.category WHERE r.a > 0 AND r.b > 0 GROUP BY ALL),
+p AS (SELECT r.seed, sum(CASE WHEN a > 0 AND b > 0 THEN pow({_gap('a / wa', 'b / wb')}, {potency}) ELSE 1000 END) AS proportion, coalesce(sum({_gap('ca', 'cb')}) FILTER (a > 0 AND b > 0), 0) AS cloud, coalesce(sum({_gap('na', 'nb')}) FILTER (a > 0 AND b > 0), 0) AS nodata FROM r JOIN w USING (seed) GROUP BY 1),
+c AS (SELECT p.seed, {weights['proportion']}::DOUBLE * proportion + {weights.get('temporal', 0) if seasons else 0}::DOUBLE * coalesce((SELECT sum(temporal) FROM t WHERE t.seed = p.seed), 0) + {weights['cloud_pct']}::DOUBLE * cloud + {weights['nodata_pct']}::DOUBLE * nodata AS score FROM p)
+SELECT CAST(seed AS INTEGER) AS seed, round(score, 9) AS score FROM c ORDER BY 2, 1 LIMIT 1"""
+
+
+_EVEN = {"proportion": 1.0, "cloud_pct": 2.0, "nodata_pct": 1.0}
+_SEASONAL = {"proportion": 3.0, "temporal": 0.5, "cloud_pct": 2.0, "nodata_pct": 1.0}
+
+
+@query(_split_sql(1.0, _EVEN, False))
 def p5_best_split(spark, sf):
-    tiles = scenes(spark, sf).groupBy("tile").agg(F.avg("cloud_pct").alias("cloud"), F.avg("nodata_pct").alias("nodata"))
-    return M.best_split(tiles, "tile", {"cloud": 2.0, "nodata": 1.0}, list(range(40)), 0.5)
+    return M.best_split(M.split_scores(scenes(spark, sf), "tile", "category", ["cloud_pct", "nodata_pct"], list(range(40)), 0.5, _EVEN)).select("seed", "score")
+
+
+@query(_split_sql(2.0, _SEASONAL, True))
+def p5_seasonal_split(spark, sf):
+    rows = scenes(spark, sf).withColumn("season", S.season("acquired"))
+    return M.best_split(M.split_scores(rows, "tile", "category", ["cloud_pct", "nodata_pct"], list(range(40)), 0.5, _SEASONAL, "season", 2.0)).select("seed", "score")
 
 
 @query(None)
