@@ -12,7 +12,7 @@ errors. With 1,536 bits the error of a cosine of 0.8 is about 0.019.
 
 Documents with equal sets of shingles are one from the start. Buckets of up to ``PAIRED`` members are compared pair by pair,
 larger ones in tiles that return each row's tie to the least signature in its reach. The rule is the same in both, and
-neither pairs nor links grow with the square of a group.
+links don't grow with the square of a group; a hot bucket's rows go to as many tiles as it has, one for each ``TILE_ROWS``.
 """
 
 from __future__ import annotations
@@ -104,9 +104,9 @@ def described(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGL
     return kept.mapInArrow(run, f"id {kind}, row_key bigint, sig bigint, prints array<bigint>")
 
 
-def _tile(rows: pa.Table, most: int) -> pa.Table:
+def _tile(rows: pa.Table, most: int, check: int) -> pa.Table:
     """Ties (left, right) of two tiles of a bucket (or of one): each row to the least signature that it reaches by pairs
-    of both tiles that differ in up to ``most`` bits. Rows meet in many buckets; tied to the least, they are mostly tied
+    of both tiles that differ in up to ``most`` bits, and in up to ``check`` bits of the first ``CHECKS`` fingerprints. Rows meet in many buckets; tied to the least, they are mostly tied
     alike, so few different ties are left.
     """
     words = rows.column("prints").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).astype(np.uint64)
@@ -117,9 +117,12 @@ def _tile(rows: pa.Table, most: int) -> pa.Table:
     for at in range(0, len(first), _BLOCK):
         block = first[at : at + _BLOCK]
         apart_by = np.zeros((len(block), len(second)), np.uint16)
+        strangers = False
         for k in range(words.shape[1]):
             apart_by += np.bitwise_count(words[block, k][:, None] ^ words[second, k][None, :])
-        i, j = np.nonzero(apart_by <= most)
+            if k == CHECKS - 1:
+                strangers = apart_by > check
+        i, j = np.nonzero((apart_by <= most) & ~strangers)
         _forest(labels, block[i], second[j])
     least = sig.copy()
     np.minimum.at(least, labels, sig)
@@ -144,14 +147,14 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, tile_rows:
     else:
         shared = apart(keyed, "slot").join(apart(filled, "slot"), ["slot", "_apart"]).select("slot", "n", "sig")
     shared = materialize(shared.repartition(partitions(classes.sparkSession), "sig"))
-    most = most_bits(similarity, ERRORS)
+    most, check = most_bits(similarity, ERRORS), most_bits(similarity, CHECK_ERRORS, 64 * CHECKS)
     own = F.slice("prints", WORD_PRINTS + 1, SHINGLE_PRINTS)
 
     checks = classes.select("sig", F.slice(own, 1, CHECKS).alias("check"))
     few = apart(shared.where(F.col("n") <= PAIRED), "sig").join(apart(checks, "sig"), ["sig", "_apart"])
     members = few.groupBy("slot").agg(F.collect_list(F.struct("sig", "check")).alias("members"))
     pairs = members.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b")).where("a.sig < b.sig")
-    met = pairs.where(_differ("a.check", "b.check", CHECKS) <= most_bits(similarity, CHECK_ERRORS, 64 * CHECKS)).select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right")).distinct()
+    met = pairs.where(_differ("a.check", "b.check", CHECKS) <= check).select(F.col("a.sig").alias("left"), F.col("b.sig").alias("right")).distinct()
     for end in ("left", "right"):
         met = apart(met, end).join(apart(classes.select(F.col("sig").alias(end), own.alias(f"{end}_prints")), end), [end, "_apart"]).drop("_apart")
     linked = met.where(_differ("left_prints", "right_prints", SHINGLE_PRINTS) <= most).select("left", "right")
@@ -160,7 +163,7 @@ def similar_links(classes: DataFrame, similarity: float = SIMILARITY, tile_rows:
     dealt = known.withColumn("tiles", F.ceil(F.col("n") / tile_rows).cast("int")).withColumn("tile", F.pmod(F.xxhash64("sig"), F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiled = dealt.select("slot", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "sig", "prints")
-    ties = tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, most), "left bigint, right bigint")
+    ties = tiled.groupBy("slot", "low", "high").applyInArrow(lambda rows: _tile(rows, most, check), "left bigint, right bigint")
     return linked.unionByName(ties).distinct()
 
 

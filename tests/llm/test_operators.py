@@ -134,7 +134,8 @@ def similar_roots(texts):
         for j in range(i):
             x = described[i] ^ described[j]
             meet = any((x[:n] & m == 0).any() for m in masks)
-            if sets[i] == sets[j] or (sets[i] and sets[j] and meet and int(np.bitwise_count(x[n:]).sum()) <= near_copies.most_bits(errors=1.0)):
+            known = int(np.bitwise_count(x[n : n + near_copies.CHECKS]).sum()) <= near_copies.most_bits(errors=near_copies.CHECK_ERRORS, bits=64 * near_copies.CHECKS)
+            if sets[i] == sets[j] or (sets[i] and sets[j] and meet and known and int(np.bitwise_count(x[n:]).sum()) <= near_copies.most_bits(errors=1.0)):
                 edges.append((i, j))
     root = roots_of(range(len(texts)), edges)
     return {t: root[i] for i, t in enumerate(texts)}
@@ -186,6 +187,27 @@ def test_near_copies_in_small_and_large_buckets(spark, monkeypatch, paired):
         assert root[i] == root[i + 1] if near >= 0.88 else root[i] != root[i + 1] if near < 0.7 else True
 
 
+def test_near_copies_against_exact_shingles(spark):
+    """On given documents: pairs by exact five-word shingles of all texts are in one group, and few groups hold more than exact links join."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    root = {r["id"]: r["root"] for r in near_copies.similar_components(docs).collect()}
+    sets = {i: five_words(t) for i, t in texts.items()}
+    sharing, common = defaultdict(list), Counter()
+    for i, own in sets.items():
+        for shingle in own:
+            sharing[shingle].append(i)
+    for ids in sharing.values():
+        common.update(itertools.combinations(sorted(ids), 2))
+    jaccard = [(a, b) for (a, b), n in common.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    alike = [(a, b) for (a, b), n in common.items() if n >= 0.8 * math.sqrt(len(sets[a]) * len(sets[b]))]
+    assert len(jaccard) > 20 and sum(root[a] == root[b] for a, b in jaccard) >= 0.9 * len(jaccard)
+    assert sum(root[a] == root[b] for a, b in alike) >= 0.9 * len(alike)
+    exact = roots_of(sorted(texts), alike)
+    joined = len({root[i] for i in texts if sets[i]}), len({exact[i] for i in texts if sets[i]})
+    assert joined[0] >= 0.98 * joined[1]
+
+
 def test_fingerprints_estimate_the_cosine():
     """The share of differing bits is the angle between the sets, with the error that is stated."""
     rng, off = np.random.default_rng(5), []
@@ -207,10 +229,11 @@ def test_tiles_find_every_link():
     for low, high in ((0, 0), (0, 1), (1, 1)):
         some = [i for i in sig if i % 2 in (low, high)]
         table = pa.table({"prints": pa.array([list(map(int, marks[i])) for i in some], pa.list_(pa.int64())), "tile": [i % 2 for i in some], "sig": some, "low": [low] * len(some), "high": [high] * len(some)})
-        out = near_copies._tile(table, 44)
+        out = near_copies._tile(table, 44, 20)
         found += zip(out["left"].to_pylist(), out["right"].to_pylist(), strict=True)
     away = np.bitwise_count((marks[:, None] ^ marks[None]).astype(np.uint64)).sum(2)
-    true = [(i, j) for i in sig for j in range(i) if away[i, j] <= 44]
+    early = np.bitwise_count((marks[:, None, : near_copies.CHECKS] ^ marks[None, :, : near_copies.CHECKS]).astype(np.uint64)).sum(2)
+    true = [(i, j) for i in sig for j in range(i) if away[i, j] <= 44 and early[i, j] <= 20]
     assert true and roots_of(sig, found) == roots_of(sig, true) and len(set(found)) <= 2 * len(sig)
 
 
