@@ -9,26 +9,25 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import interpolate
+from .series import HELD, Series, told_apart
 
 
-def interpolate_join(queries: DataFrame, knots: DataFrame, keys: list[str], at: str, x: str, y: str, out: str) -> DataFrame:
+def interpolate_join(queries: DataFrame, knots: DataFrame, keys: list[str], at: str, x: str, y: str, out: str, held: int = HELD) -> DataFrame:
     """``queries`` with the value at ``at`` of their key's knots (columns x, y); null for a key without knots.
 
-    Knots and queries are united and each query takes the last knot before and the first one behind it. One sort per key
-    and no pairs. With few keys and many queries, give a finer key (and the knots for each part).
+    Knots and queries are united and each query takes the last knot before and the first one behind it. One sort and no pairs; long
+    series are scanned in slices (see ``series``). A knot without x doesn't count.
     """
-    columns = queries.columns
-    a = queries.withColumns({"_x": F.col(at).cast("double"), "_knot": F.lit(0), "_y": F.lit(None).cast("double")})
-    b = knots.select(*keys, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_knot"), F.col(y).cast("double").alias("_y"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    point = F.when(F.col("_knot") == 1, F.struct("_x", "_y"))
-    down = Window.partitionBy(*keys).orderBy(F.col("_x"), F.col("_knot").desc(), F.col("_y")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*keys).orderBy(F.col("_x").desc(), F.col("_knot"), F.col("_y").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_l", F.last(point, ignorenulls=True).over(down)).withColumn("_r", F.last(point, ignorenulls=True).over(up)).where("_knot = 0")
+    columns = [F.col(f"`{c}`") for c in queries.columns]
+    a = queries.select("*", F.col(at).cast("double").alias("_x"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_y"), told_apart(queries).alias("_tie"))
+    b = knots.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"), F.lit(0).alias("_asks"), F.col(y).cast("double").alias("_y"), F.lit(0).cast("long").alias("_tie"))
+    point = F.when(F.col("_asks") == 0, F.struct("_x", "_y"))
+    both = Series(a.unionByName(b, allowMissingColumns=True), keys, ["_x", "_asks", "_y", "_tie"], held)
+    found = both.last(point, "_l").next(point, "_r").result().where("_asks = 1")
     left, right = F.coalesce("_l", "_r"), F.coalesce("_r", "_l")
     value = interpolate(F.col("_x"), left["_x"], left["_y"], right["_x"], right["_y"])
     return found.select(*columns, F.when(F.col("_x").isNotNull(), value).alias(out))

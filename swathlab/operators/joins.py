@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.io import written
 from .quantiles import exact_quantiles
 
 
@@ -32,45 +31,6 @@ def nearest_grid_cell(points: DataFrame, grid: DataFrame, x: str, y: str, x0: fl
     return cell.join(grid, ["ix", "iy"], "left")
 
 
-def nearest_point(queries: DataFrame, query_id: str, targets: DataFrame, target_id: str, x: str, y: str, cell: float) -> DataFrame:
-    """The nearest target by squared distance, the least id on ties: query_id, target_id, d2.
-
-    Targets are met in square cells of side ``cell`` around a query: a hit within ``cell`` is surely the nearest. Queries
-    without one are looked up again among cells of four times the side, until none is left; so near
-    ones cost one ring and far ones a few. Each round is written, so the next one starts from its rows.
-    """
-    spark, found, left, side = queries.sparkSession, None, queries.select(query_id, F.col(x).alias("_x"), F.col(y).alias("_y")), cell
-    spread = targets.agg(F.max(x) - F.min(x), F.max(y) - F.min(y), F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    reach = queries.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
-    if spread[0] is None or reach[0] is None:
-        return spark.createDataFrame([], queries.select(query_id).schema.add(targets.select(F.col(target_id).alias("target_id")).schema[0]).add("d2", "double"))
-    largest = max(reach[1], spread[3]) - min(reach[0], spread[2]) + max(reach[3], spread[5]) - min(reach[2], spread[4])
-    while True:
-        last = side > largest
-        around = left.withColumn("_dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("_dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-        around = around.withColumn("_cx", F.floor(F.col("_x") / side) + F.col("_dx")).withColumn("_cy", F.floor(F.col("_y") / side) + F.col("_dy"))
-        there = targets.select(F.col(target_id).alias("target_id"), F.col(x).alias("_tx"), F.col(y).alias("_ty"), F.floor(F.col(x) / side).alias("_cx"), F.floor(F.col(y) / side).alias("_cy"))
-        d2 = F.pow(F.col("_x") - F.col("_tx"), 2) + F.pow(F.col("_y") - F.col("_ty"), 2)
-        best = around.join(there, ["_cx", "_cy"]).groupBy(query_id).agg(F.min(F.struct(d2.alias("d2"), "target_id")).alias("best")).select(query_id, "best.target_id", "best.d2")
-        hits = written(best if last else best.where(F.col("d2") <= side * side), "nearest")
-        found = hits if found is None else found.unionByName(hits)
-        left = None if last else written(left.join(hits.select(query_id), query_id, "left_anti"), "nearest")
-        if last or left.isEmpty():
-            return found
-        side *= 4
-
-
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, right_id: str) -> DataFrame:
-    """``left`` with the id of the last row of ``right`` strictly before it, by one window over both (no pairs are made)."""
-    from pyspark.sql import Window
-
-    a = left.select(*left.columns, F.col(left_time).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"))
-    b = right.select(*keys, F.col(right_time).alias("_at"), F.lit(1).alias("_side"), F.col(right_id).alias("_id"))
-    both = a.unionByName(b, allowMissingColumns=True)
-    before = Window.partitionBy(*keys).orderBy("_at", "_side", F.col("_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("matched", F.last("_id", ignorenulls=True).over(before)).where("_side = 0").select(*left.columns, "matched")
-
-
 def pairs_within(rows: DataFrame, keys: list[str], item: str, ordered: bool) -> DataFrame:
     """All ordered pairs of a key's items, or the unordered ones with repetition. Meant for keys of a few items: the pairs are the result."""
     a = rows.select(*keys, F.col(item).alias("first"))

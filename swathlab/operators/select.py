@@ -126,11 +126,3 @@ def year_bands(rows: DataFrame, keys: list[str], order: list[str], first_year: i
     first = first_year + F.floor((F.col("_k") - 1) * years / F.col("_n"))
     ranked = rows.withColumns({"_k": k, "_n": n})
     return ranked.withColumns({"first_year": first.cast("int"), "last_year": F.greatest(first, first_year - 1 + F.floor(F.col("_k") * years / F.col("_n"))).cast("int")}).drop("_k", "_n")
-
-
-def cumulative_position(rows: DataFrame, keys: list[str], time: str, tie: str, speed: str, out: str) -> DataFrame:
-    """``rows`` with the distance covered since the series' first reading: speed times the seconds since the reading before, summed."""
-    order = Window.partitionBy(*keys).orderBy(time, tie)
-    at = F.unix_micros(F.col(time).cast("timestamp"))
-    stepped = rows.withColumn("_step", F.col(speed) * F.coalesce((at - F.lag(at).over(order)) / 1e6, F.lit(0.0)))
-    return stepped.withColumn(out, F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregate as A
 from ..operators import joins as J
+from ..operators import nearest as NE
 from ..operators import rasters as RR
 from ..operators import quantiles as QT
 from ..operators import select as Q
+from ..operators import series as SE
 from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SCENES, SITES, WIND, band_pixels, chips, curve, load, pixels, query, scenes, sites, wind
 
 
@@ -78,13 +80,13 @@ _TARGETS = "t AS (SELECT s_suppkey AS target_id, s_acctbal / 100 AS x, CAST(s_su
 @query(f"WITH {SITES}, {_TARGETS} SELECT site_id, target_id, round(d2, 6) AS d2 FROM (SELECT site_id, target_id, (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y) AS d2, row_number() OVER (PARTITION BY site_id ORDER BY (s.x - t.x) * (s.x - t.x) + (s.y - t.y) * (s.y - t.y), target_id) AS k FROM sites s, t) WHERE k = 1")
 def j10_nearest_point(spark, sf):
     targets = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("tid"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"))
-    return J.nearest_point(sites(spark, sf), "site_id", targets, "tid", "x", "y", 8.0).withColumn("d2", F.round("d2", 6))
+    return NE.nearest_point(sites(spark, sf), "site_id", targets, "tid", "x", "y").withColumn("d2", F.round("d2", 6))
 
 
 @query(f"WITH {SCENES} SELECT granule_id, (SELECT r.granule_id FROM scenes r WHERE r.tile = m.tile AND r.acquired < m.acquired AND r.cloud_pct < 30 ORDER BY r.acquired DESC, r.granule_id LIMIT 1) AS matched FROM scenes m")
 def j11_as_of_reference(spark, sf):
     s = scenes(spark, sf)
-    return J.as_of(s.select("granule_id", "tile", "acquired"), s.where("cloud_pct < 30"), ["tile"], "acquired", "acquired", "granule_id").select("granule_id", "matched")
+    return SE.as_of(s.select("granule_id", "tile", "acquired"), s.where("cloud_pct < 30"), ["tile"], "acquired", "acquired", "granule_id").select("granule_id", "matched")
 
 
 @query(f"WITH {SCENES} SELECT a.tile, a.granule_id AS first, b.granule_id AS second FROM scenes a JOIN scenes b ON a.tile = b.tile WHERE a.cloud_pct < 20 AND b.cloud_pct < 20")
@@ -332,11 +334,8 @@ def a26_median_log_error(spark, sf):
 
 @query(f"WITH {WIND}, g AS (SELECT station, ts, epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6 AS gap FROM wind) SELECT station, round(epoch_us(max(ts) - min(ts)) / 1e6, 6) AS duration, round(max(gap), 6) AS largest FROM g GROUP BY 1")
 def a27_duration_and_gap(spark, sf):
-    from pyspark.sql import Window
-
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = wind(spark, sf).select("station", t.alias("t"), ((t - F.lag(t).over(Window.partitionBy("station").orderBy("ts", "event_id"))) / 1e6).alias("gap"))
-    return gaps.groupBy("station").agg(F.round((F.max("t") - F.min("t")) / 1e6, 6).alias("duration"), F.round(F.max("gap"), 6).alias("largest"))
+    found = SE.spans(wind(spark, sf), ["station"], "ts", "event_id")
+    return found.select("station", F.round("duration", 6).alias("duration"), F.round("largest", 6).alias("largest"))
 
 
 @query(f"WITH {PIXELS}, r AS (SELECT *, row_number() OVER (PARTITION BY region, row, col ORDER BY chip_id DESC) AS k FROM pixels) SELECT region, row, col, round(avg(v) FILTER (k <= 10), 6) AS mean, round(median(v) FILTER (k <= 5), 6) AS middle FROM r WHERE k <= 10 GROUP BY ALL")

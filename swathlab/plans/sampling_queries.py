@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import geo as G
+from ..operators import nearest as NE
 from ..operators import sampling as M
+from ..operators import series as SE
 from .bindings import BAND_PIXELS, SCENES, SITES, WIND, band_pixels, load, query, scenes, sites, wind
 
 
@@ -225,17 +227,15 @@ def _segment_sql(x: str, y: str) -> str:
 
 @query(f"WITH {SITES}, {_RING} SELECT site_id, round(min({_segment_sql('x', 'y')}), 6) AS distance FROM sites, e GROUP BY 1")
 def j20_distance_to_area(spark, sf):
-    # edges of the regions: six for each row of nation, a table of a bounded size
-    d = G.segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    return sites(spark, sf).select("site_id", "x", "y").crossJoin(F.broadcast(_edges(spark, sf))).groupBy("site_id").agg(F.round(F.min(d), 6).alias("distance"))
+    found = NE.nearest_segment(sites(spark, sf), "site_id", "x", "y", _edges(spark, sf), "region")
+    return found.select("site_id", F.round("distance", 6).alias("distance"))
 
 
 @query(f"WITH {_INSIDE}, d AS (SELECT i.site_id, i.region, round(min({_segment_sql('x', 'y')}), 6) AS depth FROM ins i JOIN sites s USING (site_id) JOIN e ON e.region = i.region GROUP BY ALL) SELECT region, site_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY depth DESC, site_id) AS k FROM d) WHERE k = 1")
 def j21_deepest_point(spark, sf):
     points, e = sites(spark, sf).select("site_id", "x", "y"), _edges(spark, sf)
-    d = G.segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    inside = G.in_regions(points, "site_id", "x", "y", e, "region", 5.0).join(points, "site_id").join(e, "region")
-    depths = inside.groupBy("region", "site_id").agg(F.round(F.min(d), 6).alias("depth"))
+    inside = G.in_regions(points, "site_id", "x", "y", e, "region", 5.0).join(points, "site_id")
+    depths = NE.nearest_segment(inside, "site_id", "x", "y", e, "i", ["region"]).select("region", "site_id", F.round("distance", 6).alias("depth"))
     return depths.groupBy("region").agg(F.max_by(F.struct("site_id", "depth"), F.struct("depth", -F.col("site_id"))).alias("b")).select("region", "b.site_id", "b.depth")
 
 
@@ -278,9 +278,8 @@ _SERIES = f"{WIND}, g AS (SELECT *, epoch_us(ts - lag(ts) OVER (PARTITION BY sta
 @query(f"WITH {_SERIES}, st AS (SELECT station, t0 + to_microseconds(CAST(floor({_u('station', seed='t')} * (duration - 86400)) AS BIGINT) * 1000000) AS start FROM ok WHERE duration >= 86400) SELECT w.event_id, w.station FROM wind w JOIN st USING (station) WHERE w.ts >= start AND w.ts < start + INTERVAL 1 DAY")
 def t41_wind_window(spark, sf):
     t = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = wind(spark, sf).withColumn("t", t).withColumn("gap", (F.col("t") - F.lag("t").over(Window.partitionBy("station").orderBy("t", "event_id"))) / 1e6)
-    series = gaps.groupBy("station").agg(F.min("t").alias("t0"), ((F.max("t") - F.min("t")) / 1e6).alias("duration"), F.max("gap").alias("largest")).where("largest <= 120000 AND duration >= 86400")
-    start = F.col("t0") + F.floor(M.hashed("station", seed="t") * (F.col("duration") - 86400)) * 1000000
+    series = SE.spans(wind(spark, sf), ["station"], "ts", "event_id").where("largest <= 120000 AND duration >= 86400")
+    start = F.col("start") + F.floor(M.hashed("station", seed="t") * (F.col("duration") - 86400)) * 1000000
     windows = series.select("station", start.alias("start"))
     return wind(spark, sf).withColumn("t", t).join(windows, "station").where("t >= start AND t < start + 86400000000").select("event_id", "station")
 

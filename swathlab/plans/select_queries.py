@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import select as Q
+from ..operators import series as SE
 from .bindings import BAND_PIXELS, PIXELS, SCENES, SITES, WIND, band_pixels, load, pixels, query, scenes, sites, wind
 
 _G = "granule_id, tile, cloud_pct"
@@ -129,15 +130,13 @@ def w2_bounded_references(spark, sf):
 
 @query(f"WITH {WIND}, g AS (SELECT station, epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6 AS gap FROM wind) SELECT station, round(max(gap), 6) AS largest, coalesce(max(gap) <= 36000, TRUE) AS valid FROM g GROUP BY 1")
 def w3_largest_gap(spark, sf):
-    ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = (ts - F.lag(ts).over(Window.partitionBy("station").orderBy("ts", "event_id"))) / 1e6
-    gaps = wind(spark, sf).select("station", gap.alias("gap"))
-    return gaps.groupBy("station").agg(F.round(F.max("gap"), 6).alias("largest"), F.coalesce(F.max("gap") <= 36000, F.lit(True)).alias("valid"))
+    found = SE.spans(wind(spark, sf), ["station"], "ts", "event_id")
+    return found.select("station", F.round("largest", 6).alias("largest"), F.coalesce(F.col("largest") <= 36000, F.lit(True)).alias("valid"))
 
 
 @query(f"WITH {WIND}, d AS (SELECT event_id, station, ts, u * coalesce(epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6, 0) AS step FROM wind) SELECT event_id, round(sum(step) OVER (PARTITION BY station ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS x FROM d")
 def w4_cumulative_position(spark, sf):
-    return Q.cumulative_position(wind(spark, sf), ["station"], "ts", "event_id", "u", "x").select("event_id", F.round("x", 3).alias("x"))
+    return SE.cumulative_position(wind(spark, sf), ["station"], "ts", "event_id", "u", "x").select("event_id", F.round("x", 3).alias("x"))
 
 
 @query(f"""WITH {PIXELS}, c AS (SELECT chip_id, (row - 3.5) * (row - 3.5) + (col - 3.5) * (col - 3.5) AS d, row, col, greatest(v, 0) AS m FROM pixels), r AS (SELECT *, sum(m) OVER (PARTITION BY chip_id ORDER BY d, row, col ROWS UNBOUNDED PRECEDING) / sqrt(d) AS rate FROM c)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swathlab.functions import scalar as S
-from swathlab.operators import aggregate, curves, interp, joins, physics, plumes, sampling, select
+from swathlab.operators import aggregate, curves, interp, joins, nearest, physics, plumes, sampling, select
 from swathlab.sources import io
 
 
@@ -166,9 +166,9 @@ def test_emission_grid():
 def test_nearest_point_far_and_tied(spark):
     queries = spark.createDataFrame([(1, 0.0, 0.0), (2, 1000.0, -700.0), (3, 5.0, 5.0)], "q int, x double, y double")
     targets = spark.createDataFrame([(10, 1.0, 0.0), (11, -1.0, 0.0), (12, 5.0, 6.0)], "t int, x double, y double")
-    found = {r["q"]: r["target_id"] for r in joins.nearest_point(queries, "q", targets, "t", "x", "y", 2.0).collect()}
+    found = {r["q"]: r["target_id"] for r in nearest.nearest_point(queries, "q", targets, "t", "x", "y").collect()}
     assert found == {1: 10, 2: 10, 3: 12}
-    assert joins.nearest_point(queries, "q", targets.where("false"), "t", "x", "y", 2.0).count() == 0
+    assert nearest.nearest_point(queries, "q", targets.where("false"), "t", "x", "y").count() == 0
 
 
 def test_splits_are_disjoint_and_stable(spark):
