@@ -14,10 +14,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.io import written
+from ..sources.io import observed, written
 
 #: Targets of a leaf.
-LEAF = 32
+LEAF = 64
 #: Levels at most: 4 ** 15 cells a side are finer than coordinates in one region differ. Cells of the last level are leaves whatever they hold.
 _LEVELS = 15
 #: Cells of a level (rows of seven numbers) that are broadcast; more are exchanged.
@@ -40,19 +40,19 @@ def _same(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner")
     return left.join(named, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in on]), how).drop(*[f"_r_{c}" for c in on])
 
 
-def _tree(targets: DataFrame, keys: list[str], leaf: int) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
+def _tree(targets: DataFrame, extent: tuple[float, float, float], keys: list[str], leaf: int) -> tuple[list[tuple[DataFrame, int]], DataFrame]:
     """The cells of each level with their number (keys, _cx, _cy, _leaf and the box), and the leaves' targets (_level, _cx, _cy)."""
-    low_x, low_y, high_x, high_y = targets.agg(F.min("_mx"), F.min("_my"), F.max("_mx"), F.max("_my")).first()
-    side = max(high_x - low_x, high_y - low_y) or 1.0
+    low_x, low_y, side = extent
     levels, ended, left = [], [], targets
-    for level in range(_LEVELS + 1):
+    for level in range(1, _LEVELS + 1):  # the first one has up to 16 cells a key
         scale, last = 4.0**level / side, 4**level - 1
         cell = [F.least(F.floor((F.col(m) - low) * scale), F.lit(last)).cast("long").alias(c) for m, low, c in (("_mx", low_x, "_cx"), ("_my", low_y, "_cy"))]
         placed = left.select(*targets.columns, *cell)
         box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
         counted = placed.groupBy(*keys, "_cx", "_cy").agg(F.count("*").alias("_n"), *box)
-        cells = written(counted.withColumn("_leaf", (F.col("_n") <= leaf) | F.lit(level == _LEVELS)).drop("_n"), "cells")
-        n, divided = cells.agg(F.count("*"), F.count_if(~F.col("_leaf"))).first()
+        marked = counted.withColumn("_leaf", (F.col("_n") <= leaf) | F.lit(level == _LEVELS)).drop("_n")
+        cells, seen = observed(marked, "cells", F.count("*").alias("n"), F.count_if(~F.col("_leaf")).alias("divided"))
+        n, divided = seen["n"], seen["divided"]
         levels.append((cells, n))
         # a divided cell may hold all targets: adaptive execution splits such a partition, as the other side has one row for it
         told = _same(placed, _few(cells.select(*keys, "_cx", "_cy", "_leaf"), n), [*keys, "_cx", "_cy"])
@@ -60,7 +60,7 @@ def _tree(targets: DataFrame, keys: list[str], leaf: int) -> tuple[list[tuple[Da
         if not divided:
             return levels, reduce(DataFrame.unionByName, [*ended, told.drop("_leaf")])
         if divided < n:  # the targets of leaves are done
-            parts = written(told, "targets")
+            parts = written(told, "targets") if level % 3 == 0 else told
             ended.append(parts.where("_leaf").drop("_leaf"))
             left = parts.where("not _leaf").select(*targets.columns)
     raise AssertionError("the last level has leaves only")
@@ -78,22 +78,30 @@ def nearest_boxes(queries: DataFrame, query_id: str, x: str, y: str, targets: Da
     others = [c for c in boxed.columns if c not in {*keys, *_BOX, target_id}]
     # targets of the same shape are one, with the least id
     items = boxed.groupBy(*keys, *_BOX, *others).agg(F.min(target_id).alias("target_id"))
-    items = written(items.withColumns({"_mx": F.col("x0") / 2 + F.col("x1") / 2, "_my": F.col("y0") / 2 + F.col("y1") / 2}), "targets")
+    items = items.withColumns({"_mx": F.col("x0") / 2 + F.col("x1") / 2, "_my": F.col("y0") / 2 + F.col("y1") / 2})
+    items, seen = observed(items, "targets", *[f(c).alias(f"{n}{c}") for n, f in (("least", F.min), ("most", F.max)) for c in ("_mx", "_my")])
     asked = queries.select(*keys, F.col(query_id).alias("_query"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     asked = asked.where(_finite(F.col("_x")) & _finite(F.col("_y"))).distinct()
     done = [*keys, F.col("_query").alias(query_id), "target_id", out]
-    if items.isEmpty():
+    if seen["least_mx"] is None:
         nothing = F.lit(None).cast(items.schema["target_id"].dataType).alias("target_id")
         return asked.select("*", nothing, F.lit(None).cast("double").alias(out)).where("false").select(*done)
-    levels, placed = _tree(items, keys, leaf)
+    extent = seen["least_mx"], seen["least_my"], max(seen["most_mx"] - seen["least_mx"], seen["most_my"] - seen["least_my"]) or 1.0
+    levels, placed = _tree(items, extent, keys, leaf)
 
     dx, dy = (F.greatest(F.lit(0.0), F.col(a) - F.col(p), F.col(p) - F.col(b)) for a, p, b in (("x0", "_x", "x1"), ("y0", "_y", "y1")))
     far_x, far_y = (F.greatest(F.abs(F.col(p) - F.col(a)), F.abs(F.col(b) - F.col(p))) for a, p, b in (("x0", "_x", "x1"), ("y0", "_y", "y1")))
     cell, who = ["_cx", "_cy", "_leaf", *_BOX], [*keys, "_query", "_x", "_y"]
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        """Without the cells that another one of the query's rules out; the margin covers what the distance rounds."""
+        rows = rows.withColumns({"_low": dx * dx + dy * dy, "_high": far_x * far_x + far_y * far_y}).withColumn("_most", F.min("_high").over(Window.partitionBy(*who)))
+        return rows.where(F.col("_low") <= F.col("_most") * (1 + 1e-9) + 1e-300).drop("_low", "_high", "_most")
+
     top, n = levels[0]
-    met = _same(asked, _few(top, n), keys) if keys else asked.crossJoin(F.broadcast(top))  # without keys the top is one cell
-    front = met.select(*who, F.lit(0).alias("_level"), *cell)
-    for level, (cells, n) in enumerate(levels[1:], 1):
+    met = _same(asked, _few(top, n), keys) if keys else asked.crossJoin(F.broadcast(top))  # without keys 16 cells at most
+    front = bounded(met.select(*who, F.lit(1).alias("_level"), *cell))
+    for level, (cells, n) in enumerate(levels[1:], 2):
         # a divided cell gives way to its parts, a leaf has none and stays
         parts = cells.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.shiftright("_cx", 2).alias("_px"), F.shiftright("_cy", 2).alias("_py"), F.lit(level).alias("_next"), *[F.col(c).alias(f"_n{c}") for c in cell])
         same = (F.col("_level") + 1 == F.col("_next")) & (F.col("_cx") == F.col("_px")) & (F.col("_cy") == F.col("_py"))
@@ -101,9 +109,7 @@ def nearest_boxes(queries: DataFrame, query_id: str, x: str, y: str, targets: Da
             same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
         deeper = front.join(_few(parts, n), same, "left")
         chosen = [F.when(F.col("_next").isNotNull(), F.col(f"_n{c}")).otherwise(F.col(c)).alias(c) for c in cell]
-        front = deeper.select(*who, F.coalesce("_next", "_level").alias("_level"), *chosen).withColumns({"_low": dx * dx + dy * dy, "_high": far_x * far_x + far_y * far_y})
-        # the margin covers what the distance rounds
-        front = front.withColumn("_most", F.min("_high").over(Window.partitionBy(*who))).where(F.col("_low") <= F.col("_most") * (1 + 1e-9) + 1e-300).drop("_low", "_high", "_most")
+        front = bounded(deeper.select(*who, F.coalesce("_next", "_level").alias("_level"), *chosen))
     met = _same(front.select(*who, "_level", "_cx", "_cy"), placed, [*keys, "_level", "_cx", "_cy"])
     best = met.groupBy("_query", *keys).agg(F.min(F.struct(measure(F.col("_x"), F.col("_y")).alias("d"), F.col("target_id"))).alias("_best"))
     return best.select(*keys, "_query", F.col("_best.target_id").alias("target_id"), F.col("_best.d").alias(out)).select(*done)

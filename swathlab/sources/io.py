@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import DATE_FORMATS, date_by
@@ -30,6 +30,12 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(out)
 
 
+def observed(rows: DataFrame, name: str, *values: Column) -> tuple[DataFrame, dict]:
+    """``written`` rows and aggregates of them (by their names) that the write itself counts: no second pass."""
+    seen = Observation()
+    return written(rows.observe(seen, *values), name), seen.get
+
+
 def scan_chips(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """All parquet files below a folder, only the columns asked for."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(path)

@@ -75,6 +75,6 @@ def test_a_dense_place_stays_cheap(spark):
         assert found[i] == d2.argmin()
     assert len(found) == 600
     boxes = t.selectExpr("t as target_id", "x as x0", "y as y0", "x as x1", "y as y1", "x as _mx", "y as _my")
-    levels, placed = nearest._tree(boxes, [], nearest.LEAF)
+    levels, placed = nearest._tree(boxes, (float(targets[:, 0].min()), float(targets[:, 1].min()), float(np.ptp(targets, axis=0).max())), [], nearest.LEAF)
     held = [r["count"] for r in placed.groupBy("_level", "_cx", "_cy").count().collect()]
-    assert sum(held) == len(targets) and max(held) <= nearest.LEAF and len(levels) > 8
+    assert sum(held) == len(targets) and max(held) <= nearest.LEAF and len(levels) > 6
