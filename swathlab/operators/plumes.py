@@ -1,4 +1,4 @@
-"""Plumes: components of a probability raster, their properties, emission rates, placement."""
+"""Plumes: components of a probability raster, their properties, emission rates, insertion."""
 
 from __future__ import annotations
 
@@ -346,43 +346,6 @@ def interval(rows: DataFrame, keys: list[str], q: str, central: Column) -> DataF
     return found.select(*keys, "central", (F.col("central") * F.exp(-Z95 * sigma)).alias("low"), (F.col("central") * F.exp(Z95 * sigma)).alias("high"))
 
 
-def place_plumes(plume: DataFrame, candidates: DataFrame, keys: list[str], size: int, visible: float) -> DataFrame:
-    """Shifted plume pixels: keys, row, col, mass at the first candidate that shows enough of the plume's mass.
-
-    ``plume``: plume_id, dr, dc, mass around the source; ``candidates``: keys, plume_id, order, row, col. Pixels beyond the edge are cut.
-    """
-    total = plume.groupBy("plume_id").agg(F.sum("mass").alias("_total"))
-    shifted = candidates.join(plume, "plume_id").withColumn("_r", F.col("row") + F.col("dr")).withColumn("_c", F.col("col") + F.col("dc"))
-    inside = shifted.where(F.col("_r").between(0, size - 1) & F.col("_c").between(0, size - 1))
-    shown = inside.groupBy(*keys, "plume_id", "order").agg(F.sum("mass").alias("_shown")).join(total, "plume_id")
-    first = shown.where(F.col("_shown") >= visible * F.col("_total")).groupBy(*keys, "plume_id").agg(F.min("order").alias("order"))
-    return inside.join(first, [*keys, "plume_id", "order"]).select(*keys, "plume_id", F.col("_r").cast("int").alias("row"), F.col("_c").cast("int").alias("col"), "mass")
-
-
-# Shares of a plume that may lie on the mask, growing with the attempts.
-GROWING_LIMITS = (0.075, 0.125, 0.185, 0.255, 0.335)
-
-
-def growing_limit(attempt: Column, attempts: int, limits: tuple[float, ...] = GROWING_LIMITS) -> Column:
-    """The limit at an attempt (from 1): each holds for an equal part of the attempts."""
-    return F.element_at(F.array(*[F.lit(x) for x in limits]), F.least(F.floor((attempt - 1) * len(limits) / attempts) + 1, F.lit(len(limits))).cast("int"))
-
-
-def place_within_limits(plume: DataFrame, candidates: DataFrame, mask: DataFrame, keys: list[str], size: int, attempts: int) -> DataFrame:
-    """Per plume the first candidate that lies wholly in the raster with no more of it on the mask than its attempt allows: keys,
-    plume_id, order, share, allowed. Plumes that no candidate suits are left out.
-
-    ``plume`` and ``candidates`` as in ``place_plumes``; ``mask``: keys, row, col.
-    """
-    parts = plume.groupBy("plume_id").agg(F.count("*").alias("_parts"))
-    shifted = candidates.join(plume, "plume_id").select(*keys, "plume_id", "order", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"))
-    inside = shifted.where(F.col("row").between(0, size - 1) & F.col("col").between(0, size - 1))
-    hit = inside.join(mask.select(*keys, "row", "col").distinct().withColumn("_hit", F.lit(1)), [*keys, "row", "col"], "left")
-    shares = hit.groupBy(*keys, "plume_id", "order").agg((F.count("_hit") / F.count("*")).alias("share"), F.count("*").alias("_n")).join(parts, "plume_id").where("_n = _parts")
-    allowed = shares.withColumn("allowed", growing_limit(F.col("order"), attempts)).where("share <= allowed")
-    return allowed.groupBy(*keys, "plume_id").agg(F.min(F.struct("order", "share", "allowed")).alias("_f")).select(*keys, "plume_id", "_f.*")
-
-
 def insert_enhancement(rows: DataFrame, table: DataFrame, enhancement: Column, most: float, n: int, band: str) -> DataFrame:
     """``rows`` with ``inserted``, the band attenuated by the lookup table's nb at the enhancement (whole, half to even), and ``frac``, its relative change.
 
@@ -392,12 +355,6 @@ def insert_enhancement(rows: DataFrame, table: DataFrame, enhancement: Column, m
     return found.withColumn("inserted", F.rint(F.col(band) * F.col("nb"))).withColumn("frac", F.try_divide(F.col("inserted") - F.col(band), F.col(band))).drop("nb")
 
 
-def placement_overlap(placed: DataFrame, mask: DataFrame, keys: list[str], most: float) -> DataFrame:
-    """Per plume its share of pixels on the mask and whether that is allowed."""
-    hit = placed.join(mask.select(*keys, "row", "col").distinct().withColumn("_hit", F.lit(1)), [*keys, "row", "col"], "left")
-    return hit.groupBy(*keys, "plume_id").agg((F.count("_hit") / F.count("*")).alias("share")).withColumn("valid", F.col("share") <= most)
-
-
 def overlay(placed: DataFrame, keys: list[str]) -> DataFrame:
     """All plumes of a chip on one raster: summed mass and the plumes at each pixel."""
     return placed.groupBy(*keys, "row", "col").agg(F.sum("mass").alias("mass"), F.sort_array(F.collect_set("plume_id")).alias("plumes"))

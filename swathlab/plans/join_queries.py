@@ -219,11 +219,6 @@ def a10_pixel_counts(spark, sf):
     return per.groupBy("region").agg(F.sum("n").alias("pixels"), F.count("*").alias("samples"), F.sum("t").alias("true_pixels"))
 
 
-@query(f"WITH {PIXELS} SELECT chip_id, min(v) AS min_frac, round(sum(abs(v)), 6) AS frac_abs_sum, count(*) FILTER (abs(v) > 0.001) AS size FROM pixels GROUP BY 1")
-def a11_plume_summary(spark, sf):
-    return pixels(spark, sf).groupBy("chip_id").agg(F.min("v").alias("min_frac"), F.round(F.sum(F.abs("v")), 6).alias("frac_abs_sum"), F.count_if(F.abs("v") > 0.001).alias("size"))
-
-
 @query(f"WITH {PIXELS}, l AS (SELECT region, chip_id, greatest(v, 0) - v * CAST({_TRUE} AS DOUBLE) + ln(1 + exp(-abs(v))) AS bce, CASE WHEN {_TRUE} THEN (cond - target) * (cond - target) ELSE 0 END AS mse FROM pixels) SELECT region, round(sum(bce) / count(DISTINCT chip_id), 6) AS bce, round(sum(mse) / count(DISTINCT chip_id), 6) AS mse, round(sum(bce + mse) / count(DISTINCT chip_id), 6) AS combined FROM l GROUP BY 1")
 def a12_loss_totals(spark, sf):
     from ..functions.scalar import bce_with_logits

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..functions import scalar as S
+from ..operators import placement as PL
 from ..operators import plumes as P
 from ..operators import rasters as RR
 from .bindings import BAND_PIXELS, CHIPS, PIXELS, SIDE, WIND, band_pixels, chip_values, chips, lab_sql, load, pixels, query, wind
@@ -217,39 +218,61 @@ def t8_insert_enhancement(spark, sf):
     return found.select("chip_id", "px", "swir16", F.round("inserted", 1).alias("swir22"), F.round("frac", 6).alias("frac"))
 
 
-_PLUME = "pl(plume_id, dr, dc, mass) AS (VALUES (1, 0, 0, 5.0::DOUBLE), (1, 0, 1, 3.0), (1, 1, 1, 2.0), (1, 1, 2, 1.0), (2, 0, 0, 4.0), (2, -1, 0, 4.0), (2, -2, -1, 2.0))"
-_CAND = "cand AS (SELECT chip_id, plume_id, row_number() OVER (PARTITION BY chip_id, plume_id ORDER BY sha256(concat(CAST(chip_id AS VARCHAR), '-', CAST(row AS VARCHAR), '-', CAST(col AS VARCHAR), '-', CAST(plume_id AS VARCHAR))), row, col) AS ord, row, col FROM pixels, (VALUES (1), (2)) v(plume_id) WHERE prob < 0.4)"
-_PLACED = f"""{PIXELS}, {_PLUME}, {_CAND}, sh AS (SELECT c.chip_id, c.plume_id, ord, c.row + dr AS row, c.col + dc AS col, mass FROM cand c JOIN pl USING (plume_id) WHERE ord <= 6 AND c.row + dr BETWEEN 0 AND 7 AND c.col + dc BETWEEN 0 AND 7),
-ok AS (SELECT chip_id, plume_id, min(ord) AS ord FROM (SELECT chip_id, plume_id, ord FROM sh GROUP BY ALL HAVING sum(mass) >= 0.8 * (CASE WHEN plume_id = 1 THEN 11 ELSE 10 END)) GROUP BY ALL), placed AS (SELECT sh.chip_id, sh.plume_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, mass FROM sh JOIN ok USING (chip_id, plume_id, ord))"""
-
+#: Each chip wants the plumes of the two chips behind it; a plume is the corner of its chip's raster, three rows of two pixels.
+_PLUMES = f"""{PIXELS}, lib AS (SELECT chip_id AS plume_id, k // 2 AS r, k % 2 AS c, CASE WHEN k = 1 AND chip_id % 2 = 1 THEN 0 ELSE 1 + round_even(1000 * abs(raster[k // 2 * 8 + k % 2 + 1]), 0) END AS mass FROM chips, (SELECT unnest(range(6)) AS k)),
+tm AS (SELECT plume_id, f, r, CASE f WHEN 1 THEN 1 - c ELSE c END AS c, mass FROM lib, (VALUES (0), (1)) v(f)), size AS (SELECT plume_id, sum(mass) AS total, count(*) FILTER (mass > 0) AS px FROM lib GROUP BY 1),
+want AS (SELECT a.chip_id, a.chip_id + d AS plume_id, d AS ord FROM chips a, (VALUES (1), (2)) v(d)),
+cand AS (SELECT chip_id, plume_id, ord, row, col, row * 8 + col AS place, x * x % 2147483647 AS key FROM (SELECT want.*, row, col, ((chip_id * 16807 + plume_id * 69621) % 2147483647 + 48271 * (row * 8 + col + 1)) % 2147483647 AS x FROM want JOIN pixels USING (chip_id)))"""
+_BY_SOURCE = f"""{_PLUMES}, src AS (SELECT plume_id, f, r, c FROM tm QUALIFY row_number() OVER (PARTITION BY plume_id, f ORDER BY mass DESC, r, c) = 1), off AS (SELECT plume_id, f, tm.r - s.r AS dr, tm.c - s.c AS dc, mass FROM tm JOIN src s USING (plume_id, f) WHERE mass > 0),
+sh AS (SELECT c.chip_id, c.plume_id, place, key, c.row + dr AS row, c.col + dc AS col, mass FROM cand c JOIN pixels p ON p.chip_id = c.chip_id AND p.row = c.row AND p.col = c.col AND p.prob < 0.6 JOIN off o ON o.plume_id = c.plume_id AND o.f = c.key % 2),
+ok AS (SELECT sh.chip_id, sh.plume_id, place, key FROM sh JOIN size USING (plume_id) LEFT JOIN pixels p ON p.chip_id = sh.chip_id AND p.row = sh.row AND p.col = sh.col GROUP BY ALL HAVING sum(mass) FILTER (prob < 0.6) / any_value(total) >= 0.8),
+fst AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY chip_id, plume_id ORDER BY key, place) = 1),
+placed AS (SELECT sh.chip_id, sh.plume_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, CAST(mass AS DOUBLE) AS mass FROM sh JOIN fst USING (chip_id, plume_id, place) WHERE row BETWEEN 0 AND 7 AND col BETWEEN 0 AND 7)"""
+_LIMITED = f"""{_PLUMES}, lims(lim) AS (VALUES (0.075::DOUBLE), (0.125), (0.185), (0.255), (0.335)), roomy AS (SELECT chip_id FROM pixels GROUP BY 1 HAVING count(*) FILTER (prob < 0.6) > 6),
+box AS (SELECT c.chip_id, c.plume_id, ord, place, key, c.row, c.col, greatest(count(*) FILTER (prob >= 0.6), count(*) FILTER (cond < -0.2)) AS worst FROM cand c JOIN roomy USING (chip_id) JOIN pixels p ON p.chip_id = c.chip_id AND p.row BETWEEN c.row AND c.row + 2 AND p.col BETWEEN c.col AND c.col + 1 WHERE c.row <= 5 AND c.col <= 6 GROUP BY ALL),
+fit AS (SELECT box.*, px, lim FROM box JOIN size USING (plume_id) JOIN lims ON worst <= lim * px), p1 AS (SELECT * FROM fit WHERE ord = 1 QUALIFY row_number() OVER (PARTITION BY chip_id ORDER BY lim, key, place) = 1),
+taken AS (SELECT chip_id, row + r AS row, col + c AS col FROM p1 JOIN tm ON tm.plume_id = p1.plume_id AND f = key % 2 WHERE mass > 0),
+hit AS (SELECT DISTINCT box.chip_id, place FROM box JOIN taken t ON t.chip_id = box.chip_id AND t.row BETWEEN box.row AND box.row + 2 AND t.col BETWEEN box.col AND box.col + 1 WHERE ord = 2),
+p2 AS (SELECT fit.* FROM fit ANTI JOIN hit USING (chip_id, place) WHERE ord = 2 QUALIFY row_number() OVER (PARTITION BY chip_id ORDER BY lim, key, place) = 1), placed AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)"""
+
+
+def _with_plumes(spark, sf):
+    """Chips with their values, and the plumes that they want."""
+    place = lambda k: F.rint(1000 * F.abs(F.element_at("raster", k // 2 * 8 + k % 2 + 1))) + 1
+    masses = [F.when(F.col("vec_id") % 2 == 1, 0.0).otherwise(place(k)) if k == 1 else place(k) for k in range(6)]
+    library = load(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("raster")).select(F.col("vec_id").alias("plume_id"), F.lit(3).alias("height"), F.lit(2).alias("width"), F.array(*masses).alias("values"))
+    values = chip_values(spark, sf)
+    wanted = values.select("chip_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("order")).withColumn("plume_id", F.col("chip_id") + F.col("order"))
+    return PL.with_plumes(values, wanted.withColumn("seed", F.col("chip_id") * 16807 + F.col("plume_id") * 69621), library, ["chip_id"])
 
-def _placement(spark, sf, attempts):
-    """The plumes' pixels and their candidate places."""
-    from ..operators.select import top_per_key
 
-    plume = spark.createDataFrame([(1, 0, 0, 5.0), (1, 0, 1, 3.0), (1, 1, 1, 2.0), (1, 1, 2, 1.0), (2, 0, 0, 4.0), (2, -1, 0, 4.0), (2, -2, -1, 2.0)], "plume_id int, dr int, dc int, mass double")
-    clear = pixels(spark, sf).where("prob < 0.4").select("chip_id", "row", "col", F.explode(F.array(F.lit(1), F.lit(2))).alias("plume_id"))
-    text = F.concat_ws("-", F.col("chip_id").cast("string"), F.col("row").cast("string"), F.col("col").cast("string"), F.col("plume_id").cast("string"))
-    return plume, top_per_key(clear, ["chip_id", "plume_id"], [F.sha2(text, 256), F.col("row"), F.col("col")], attempts).withColumnRenamed("rank", "order")
+def _by_source(spark, sf):
+    chips_ = _with_plumes(spark, sf)
+    return PL.placed_pixels(PL.place_by_source(chips_, F.transform("prob", lambda p: p >= 0.6), F.transform("prob", lambda p: F.lit(False)), SIDE), ["chip_id"], SIDE)
 
 
-def _placed(spark, sf):
-    return P.place_plumes(*_placement(spark, sf, 6), ["chip_id"], SIDE, 0.8)
+def _limited(spark, sf):
+    return PL.place_within_limits(_with_plumes(spark, sf), F.transform("prob", lambda p: p >= 0.6), F.transform("cond", lambda c: c < -0.2), SIDE)
 
 
-@query(f"WITH {_PLACED} SELECT chip_id, plume_id, row, col, mass FROM placed")
+@query(f"WITH {_BY_SOURCE} SELECT chip_id, plume_id, row, col, mass FROM placed")
 def t9_place_plumes(spark, sf):
-    return _placed(spark, sf)
+    return _by_source(spark, sf)
 
 
-@query(f"""WITH {PIXELS}, {_PLUME}, {_CAND}, m AS (SELECT chip_id, row, col FROM pixels WHERE prob >= 0.55), sh AS (SELECT c.chip_id, c.plume_id, ord, c.row + dr AS row, c.col + dc AS col FROM cand c JOIN pl USING (plume_id) WHERE ord <= 10),
-k AS (SELECT sh.chip_id, plume_id, ord, count(m.row) / count(*) AS share, [0.075, 0.125, 0.185, 0.255, 0.335][CAST(floor((ord - 1) * 5 / 10) AS INTEGER) + 1]::DOUBLE AS allowed FROM sh LEFT JOIN m ON sh.chip_id = m.chip_id AND sh.row = m.row AND sh.col = m.col GROUP BY sh.chip_id, plume_id, ord HAVING bool_and(sh.row BETWEEN 0 AND 7 AND sh.col BETWEEN 0 AND 7)),
-f AS (SELECT *, row_number() OVER (PARTITION BY chip_id, plume_id ORDER BY ord) AS n FROM k WHERE share <= allowed) SELECT chip_id, plume_id, CAST(ord AS INTEGER) AS place, round(share, 9) AS share, allowed FROM f WHERE n = 1""")
+@query(f"WITH {_LIMITED} SELECT chip_id, plume_id, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, key % 2 = 1 AS flipped, round(worst / px, 9) AS share, lim AS allowed FROM placed")
 def t10_placement_validity(spark, sf):
-    found = P.place_within_limits(*_placement(spark, sf, 10), pixels(spark, sf).where("prob >= 0.55"), ["chip_id"], SIDE, 10)
-    return found.select("chip_id", "plume_id", F.col("order").cast("int").alias("place"), F.round("share", 9).alias("share"), "allowed")
+    found = _limited(spark, sf).select("chip_id", F.explode("placed").alias("p")).select("chip_id", "p.*")
+    return found.select("chip_id", "plume_id", "row", "col", "flipped", F.round("share", 9).alias("share"), "allowed")
 
 
-@query(f"WITH {_PLACED} SELECT chip_id, row, col, sum(mass) AS mass, array_to_string(list(DISTINCT plume_id ORDER BY plume_id), ' ') AS plumes FROM placed GROUP BY ALL")
+@query(f"WITH {_BY_SOURCE} SELECT chip_id, row, col, sum(mass) AS mass, array_to_string(list(DISTINCT plume_id ORDER BY plume_id), ' ') AS plumes FROM placed GROUP BY ALL")
 def t11_overlay(spark, sf):
-    return P.overlay(_placed(spark, sf), ["chip_id"]).withColumn("plumes", F.array_join(F.transform("plumes", lambda p: p.cast("string")), " "))
+    return P.overlay(_by_source(spark, sf), ["chip_id"]).withColumn("plumes", F.array_join(F.transform("plumes", lambda p: p.cast("string")), " "))
+
+
+@query(f"""WITH {_LIMITED}, s AS (SELECT chip_id, count(*) AS inserted, array_to_string(list(px ORDER BY ord), ' ') AS sizes FROM placed GROUP BY 1)
+SELECT p.chip_id, min(v) AS min_frac, round(sum(abs(v)), 6) AS frac_abs_sum, count(*) FILTER (abs(v) > 0.001) AS size, CAST(2 AS BIGINT) AS wanted, coalesce(any_value(inserted), 0) AS inserted, coalesce(any_value(sizes), '') AS plume_sizes FROM pixels p LEFT JOIN s ON s.chip_id = p.chip_id GROUP BY p.chip_id""")
+def a11_plume_summary(spark, sf):
+    placed = _limited(spark, sf).join(chips(spark, sf).select("chip_id", "raster"), "chip_id")
+    return PL.plume_summary(placed, "raster").select("chip_id", "min_frac", F.round("frac_abs_sum", 6).alias("frac_abs_sum"), "size", "wanted", "inserted", F.array_join("plume_sizes", " ").alias("plume_sizes"))
