@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,20 @@ def aligned_product(left: DataFrame, right: DataFrame, key: str, value: str) ->
     return both.select(key, F.when(same, F.col("_a") * F.col("_b")).otherwise(F.raise_error(F.lit("the grids differ")).cast("double")).alias(value))
 
 
+def aligned_curves(curves: dict[str, DataFrame], keys: list[str], value: str) -> DataFrame:
+    """keys and a column for each named curve, all on one grid; an error where a curve lacks a place, holds it twice or has no value there.
+
+    The curves are united and grouped, so any number of them costs one exchange.
+    """
+    names = list(curves)
+    rows = [c.select(*keys, F.lit(i).alias("_i"), F.col(value).cast("double").alias("_v")) for i, c in enumerate(curves.values())]
+    both = functools.reduce(DataFrame.unionByName, rows)
+    each = {f"_{i}": F.max(F.when(F.col("_i") == i, F.col("_v"))) for i in range(len(names))}
+    found = both.groupBy(*keys).agg(F.count("*").alias("_rows"), F.count("_v").alias("_n"), *[v.alias(k) for k, v in each.items()])
+    whole = functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in each]) & (F.col("_rows") == len(names)) & (F.col("_n") == len(names))
+    return found.select(*keys, *[F.when(whole, F.col(f"_{i}")).otherwise(F.raise_error(F.lit("the grids differ")).cast("double")).alias(n) for i, n in enumerate(names)])
+
+
 def thresholds(spark, values: list[tuple], names: list[str]) -> DataFrame:
     """A small table of parameters, to be crossed with rows before an aggregate."""
     return spark.createDataFrame(values, names)

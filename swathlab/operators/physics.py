@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .interp import KnotIndex, interpolate_curve
+from .joins import aligned_curves
 
 
 def forward_lookup(rows: DataFrame, table: DataFrame, concentration: Column, most: float, n: int, value: str) -> DataFrame:
@@ -39,6 +41,27 @@ def normalised(filters: DataFrame, band: str, value: str) -> DataFrame:
     return filters.join(sums, band).withColumn(value, F.try_divide(value, "_sum")).drop("_sum")
 
 
+def absorbing_filter(section: DataFrame, value: str, amount: float) -> DataFrame:
+    """What a species lets through: exp(-cross-section * amount), ``amount`` in molecules per area of the cross-section's unit."""
+    return section.withColumn(value, F.exp(-F.col(value) * amount))
+
+
+def global_filter(srf: DataFrame, solar: DataFrame, species: list[DataFrame], gammas: list[float], band: str, wavelength: str, value: str) -> DataFrame:
+    """srf * solar * (product of what the species let through) ** gamma over its sum in the band: gamma, band, wavelength, value.
+
+    All curves have band, wavelength and value on one grid, else it is an error. One exchange aligns them for any number of
+    species and gammas, one more sums them.
+    """
+    names = [f"_species{i}" for i in range(len(species))]
+    aligned = aligned_curves({"_srf": srf, "_solar": solar} | dict(zip(names, species, strict=True)), [band, wavelength], value)
+    through = functools.reduce(Column.__mul__, [F.col(n) for n in names], F.lit(1.0))
+    product = F.col("_srf") * F.col("_solar") * F.pow(through, F.col("gamma"))
+    each = aligned.withColumn("gamma", F.explode(F.array(*[F.lit(float(g)) for g in gammas])))
+    rows = each.select("gamma", band, wavelength, product.alias(value))
+    sums = rows.groupBy("gamma", band).agg(F.sum(value).alias("_sum"))
+    return rows.join(sums, ["gamma", band]).select("gamma", band, wavelength, F.try_divide(value, "_sum").alias(value))
+
+
 def cross_section(table: DataFrame, wavelength: str, p: float, t: float) -> DataFrame:
     """Bilinear in pressure and temperature: wavelength, sigma. ``table``: wavelength, p, t, sigma on a full grid. An error outside the grid."""
     near = table.select("p", "t").distinct().agg(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +152,31 @@ def by_cascade(rows: DataFrame, levels: list[tuple[str, DataFrame]], out: str, d
         rows = rows.join(labels.select(column, F.col("label").alias(f"_l{i}")), column, "left")
         names.append(f"_l{i}")
     return rows.withColumn(out, F.coalesce(*names, F.lit(default))).drop(*names)
+
+
+def cluster_split(rows: DataFrame, key: str, places: list[str], k: int, train: int, seed: int, rounds: int) -> DataFrame:
+    """key, cluster (from 0) and side: rows by k-means on their places, ``train`` of the clusters (by hash) for training, the rest for validation.
+
+    The centres start at the ``k`` places of the least hash of key and seed; a round assigns rows to the nearest centre (the first of
+    equal ones) and moves the centres to the means (nine digits), one aggregate of at most ``k`` rows; an empty cluster keeps its centre. It stops
+    early when nothing moves. Rows without a place have no cluster and are left out.
+    """
+    known = rows.select(key, *[F.col(c).cast("double").alias(c) for c in places]).where(functools.reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in places]))
+    first = known.withColumn("_h", F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256)).orderBy("_h", key).limit(k).collect()
+    centres = [[r[c] for c in places] for r in first]
+
+    def nearest(to: list[list[float]]) -> Column:
+        far = [functools.reduce(Column.__add__, [F.pow(F.col(c) - x, 2) for c, x in zip(places, at, strict=True)]) for at in to]
+        return F.array_position(F.array(*far), F.array_min(F.array(*far))).cast("int") - 1
+
+    for _ in range(rounds if centres else 0):
+        found = known.groupBy(nearest(centres).alias("_c")).agg(*[F.round(F.avg(c), 9).alias(c) for c in places]).collect()
+        means = {r["_c"]: [r[c] for c in places] for r in found}
+        moved = [means.get(i, at) for i, at in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    order = sorted(range(len(centres)), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+    cluster = nearest(centres) if centres else F.lit(None).cast("int")
+    side = F.when(F.col("cluster").isin(order[:train]), "train").otherwise("val")
+    return known.select(key, cluster.alias("cluster")).withColumn("side", side)

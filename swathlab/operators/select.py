@@ -126,3 +126,14 @@ def year_bands(rows: DataFrame, keys: list[str], order: list[str], first_year: i
     first = first_year + F.floor((F.col("_k") - 1) * years / F.col("_n"))
     ranked = rows.withColumns({"_k": k, "_n": n})
     return ranked.withColumns({"first_year": first.cast("int"), "last_year": F.greatest(first, first_year - 1 + F.floor(F.col("_k") * years / F.col("_n"))).cast("int")}).drop("_k", "_n")
+
+
+def scene_plan(rows: DataFrame, keys: list[str], limit: float, buckets: tuple[str, str] | None = None) -> DataFrame:
+    """What to ask for within which range of clouds: cloud_min, cloud_max and the keys.
+
+    With ``buckets``, columns of a range, every row counts in its own (rows without one in none); else distinct keys from 0 to ``limit``.
+    """
+    if buckets:
+        low, high = buckets
+        return rows.where(F.col(low).isNotNull() & F.col(high).isNotNull()).select(F.col(low).cast("double").alias("cloud_min"), F.col(high).cast("double").alias("cloud_max"), *keys)
+    return rows.select(*keys).distinct().select(F.lit(0.0).alias("cloud_min"), F.lit(float(limit)).alias("cloud_max"), *keys)

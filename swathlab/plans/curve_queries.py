@@ -10,7 +10,7 @@ from ..operators import detectors as D
 from ..operators import interp as I
 from ..operators import plumes as P
 from ..sources.io import written
-from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SIDE, WIND, band_pixels, chip_values, curve, lab_sql, load, pixels, query, wind
+from .bindings import BAND_PIXELS, CHIPS, CURVE, PIXELS, SIDE, WIND, band_pixels, chip_values, chips, curve, lab_sql, load, pixels, query, wind
 
 _KNOTS = f"{CURVE}, seg AS (SELECT wavelength AS x0, response AS y0, lead(wavelength) OVER (ORDER BY wavelength) AS x1, lead(response) OVER (ORDER BY wavelength) AS y1 FROM curve), ends AS (SELECT min(wavelength) AS lo, max(wavelength) AS hi, min_by(response, wavelength) AS ylo, max_by(response, wavelength) AS yhi FROM curve)"
 
@@ -132,6 +132,18 @@ def t32_pod_levels(spark, sf):
     return C.pod_levels(found.withColumn("mean", F.round("mean", 6)), ["region"], "rate", "mean")
 
 
+def _level_by_rate(level: int) -> str:
+    return f"CAST(round_even(CASE WHEN {level} <= lo THEN ylo WHEN {level} >= hi THEN yhi ELSE (SELECT max(y0 + ({level} - x0) * (y1 - y0) / (x1 - x0)) FROM kn WHERE kn.fpr = en.fpr AND kn.region = en.region AND {level} >= x0 AND {level} < x1) END, 0) AS BIGINT)"
+
+
+@query(f"""WITH RECURSIVE {_T28}, {_SCORES}, d AS (SELECT th.rate AS fpr, sc.region, sc.rate, chip_id, avg(CAST(coalesce(score > th.threshold / 10, FALSE) AS DOUBLE)) AS p FROM sc, th GROUP BY ALL), mn AS (SELECT fpr, region, rate::DOUBLE AS rate, round(100 * avg(p), 6) AS mean FROM d GROUP BY ALL),
+kn AS (SELECT fpr, region, mean AS x0, rate AS y0, lead(mean) OVER w AS x1, lead(rate) OVER w AS y1, row_number() OVER w AS k, count(*) OVER (PARTITION BY fpr, region) AS n FROM mn WINDOW w AS (PARTITION BY fpr, region ORDER BY mean, rate)),
+en AS (SELECT fpr, region, max(x0) FILTER (k = 1) AS lo, max(y0) FILTER (k = 1) AS ylo, max(x0) FILTER (k = n) AS hi, max(y0) FILTER (k = n) AS yhi, CAST(arg_min(y0, k) FILTER (x0 > 0.01) AS BIGINT) AS minimum FROM kn GROUP BY ALL)
+SELECT fpr, region, greatest({_level_by_rate(10)}, minimum) AS pod10, {_level_by_rate(50)} AS pod50, {_level_by_rate(90)} AS pod90, minimum FROM en""")
+def t32_levels_by_rate(spark, sf):
+    return C.pod_levels(t30_detection_probability(spark, sf), ["fpr", "region"], "rate", "mean")
+
+
 @query("SELECT o_orderkey AS granule_id, unnest(list_concat(list_concat(range(100, 1000, 100), range(1000, 2000, 200)), list_concat(list_concat(range(2000, 4000, 400), range(4000, 10000, 1000)), range(10000, 25100, 5000)))) AS rate FROM orders")
 def t33_emission_grid(spark, sf):
     chosen = load(spark, sf, "orders").select(F.col("o_orderkey").alias("granule_id"))
@@ -231,6 +243,20 @@ def m6_baseline_detector(spark, sf):
     return found.select("chip_id", "px", "swir16", *[F.round(c, 6).alias(c) for c in ("sbmp", "mbsp", "mbmp", "zero")])
 
 
+_LOOKED = "CASE WHEN {0} > 0 THEN 0 WHEN {0} < -0.7715 THEN -0.6149 ELSE {0} END"
+
+
+@query(f"""WITH {BAND_PIXELS}, lk AS (SELECT -0.77 * (1 - exp(-range / 25.0)) AS x, -0.61 * (1 - exp(-range / 30.0)) AS y FROM range(101)), seg AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM lk), ends AS (SELECT min(x) AS lo, max(x) AS hi, min_by(y, x) AS ylo, max_by(y, x) AS yhi FROM lk),
+q AS (SELECT *, coalesce((swir22 - swir16) / nullif(swir16, 0), 0) AS t, coalesce((swir22_ref - swir16_ref) / nullif(swir16_ref, 0), 0) AS r FROM px), w AS (SELECT chip_id, coalesce(median(swir22 / nullif(swir22_ref, 0)), 0) AS c, coalesce(median(round(t / nullif(r, 0), 9)), 0) AS m FROM q GROUP BY 1),
+f AS (SELECT chip_id, px, swir16, coalesce((swir22 - c * swir22_ref) / nullif(c * swir22_ref, 0), 0) AS sbmp, t AS mbsp, coalesce((t - m * r) / nullif(m * r, 0), 0) AS mbmp FROM q JOIN w USING (chip_id)), u AS (SELECT chip_id, px, swir16, {', '.join(f'{_LOOKED.format(k)} AS {k}' for k in ('sbmp', 'mbsp', 'mbmp'))} FROM f)
+SELECT chip_id, px, swir16, {', '.join(f'round({_interp_sql(k)}, 6) AS {k}' for k in ('sbmp', 'mbsp', 'mbmp'))}, 0.0::DOUBLE AS zero FROM u, ends""")
+def m6_lookup_detector(spark, sf):
+    i = F.col("id")
+    table = spark.range(101).select((-0.77 * (1 - F.exp(-i / 25))).alias("frac"), (-0.61 * (1 - F.exp(-i / 30))).alias("value"))
+    found = D.baseline_detectors(band_pixels(spark, sf), ["chip_id"], "swir16", "swir22", "swir16_ref", "swir22_ref", table)
+    return found.select("chip_id", "px", "swir16", *[F.round(c, 6).alias(c) for c in ("sbmp", "mbsp", "mbmp", "zero")])
+
+
 @query(f"""WITH {BAND_PIXELS}, w AS (SELECT chip_id, median(swir16 / nullif(swir22, 0)) AS ct, median(swir16_ref / nullif(swir22_ref, 0)) AS cr FROM px GROUP BY 1) SELECT p.chip_id, px, swir16, round(ct * swir22 / swir16 - cr * swir22_ref / swir16_ref, 6) AS mbmp FROM px p JOIN w USING (chip_id)""")
 def m7_approximate_mbmp(spark, sf):
     rows = band_pixels(spark, sf)
@@ -241,8 +267,6 @@ def m7_approximate_mbmp(spark, sf):
 
 @query(f"WITH {CHIPS} SELECT a.chip_id, array_to_string(list_transform(range(64), lambda i: CAST(round_even(1000 * (a.raster[i + 1] - (b.raster[i + 1] + c.raster[i + 1]) / 2), 0) AS BIGINT)), ' ') AS change FROM chips a JOIN chips b ON b.chip_id = a.chip_id + 1 JOIN chips c ON c.chip_id = a.chip_id + 2")
 def m29_ratio_change(spark, sf):
-    from .bindings import chips
-
     c = chips(spark, sf)
     before = c.select((F.col("chip_id") - 1).alias("chip_id"), F.col("raster").alias("b"))
     earlier = c.select((F.col("chip_id") - 2).alias("chip_id"), F.col("raster").alias("e"))
@@ -251,6 +275,15 @@ def m29_ratio_change(spark, sf):
     return c.join(before, "chip_id").join(earlier, "chip_id").select("chip_id", F.array_join(change, " ").alias("change"))
 
 
+#: Four chips behind each other are a series.
+@query(f"""WITH {CHIPS}, d AS (SELECT a.chip_id // 4 AS series, a.chip_id AS newer, b.chip_id AS older, list_transform(range(64), lambda i: a.raster[i + 1] - b.raster[i + 1]) AS change FROM chips a JOIN chips b ON b.chip_id // 4 = a.chip_id // 4 AND b.chip_id < a.chip_id), m AS (SELECT *, list_sum(change) / 64 AS mean FROM d)
+SELECT series, newer, older, array_to_string(list_transform(change, lambda x: CAST(CAST(round_even(1000 * (x - mean), 0) AS BIGINT) AS VARCHAR)), ' ') AS change FROM m""")
+def m29_pairwise_changes(spark, sf):
+    rows = chips(spark, sf).withColumn("series", F.floor(F.col("chip_id") / 4))
+    found = D.pairwise_changes(rows, ["series"], "chip_id", "raster")
+    return found.withColumn("change", F.array_join(F.transform("change", lambda x: F.rint(1000 * x).cast("long").cast("string")), " "))
+
+
 @query("SELECT chip, CAST(row AS BIGINT) * 8 AS crop_y, CAST(col AS BIGINT) * 8 AS crop_x FROM (SELECT c_custkey AS chip, unnest(range(CAST(floor(abs(c_acctbal) / 1000) AS BIGINT))) AS row, c_custkey % 3 + 1 AS nc FROM customer) a, LATERAL (SELECT unnest(range(nc)) AS col) b")
 def m22_grid_coordinates(spark, sf):
     rows = load(spark, sf, "customer").select(F.col("c_custkey").alias("chip"), F.floor(F.abs("c_acctbal") / 1000).alias("nr"), (F.col("c_custkey") % 3 + 1).alias("nc")).where("nr > 0")

@@ -31,6 +31,16 @@ def t2_filter_algebra(spark, sf):
     return H.normalised(product, "band", "f").select("band", "wavelength", F.round("f", 9).alias("f"))
 
 
+@query("""WITH p AS (SELECT p_brand AS band, p_size AS wavelength, avg(p_retailprice / 1000) AS srf FROM part GROUP BY ALL), g(gamma) AS (VALUES (2.0::DOUBLE), (2.5)),
+f AS (SELECT gamma, band, wavelength, srf * (1 + wavelength / 100.0) * pow(exp(-0.3 * wavelength / 60.0) * exp(-0.2 * srf) * exp(-0.5 * (60 - wavelength) / 60.0), gamma) AS f FROM p, g) SELECT gamma, band, wavelength, round(f / sum(f) OVER (PARTITION BY gamma, band), 9) AS f FROM f""")
+def t2_global_filter(spark, sf):
+    srf = load(spark, sf, "part").groupBy(F.col("p_brand").alias("band"), F.col("p_size").alias("wavelength")).agg(F.avg(F.col("p_retailprice") / 1000).alias("f"))
+    solar = srf.withColumn("f", 1 + F.col("wavelength") / 100)
+    species = [(srf.withColumn("f", F.col("wavelength") / 60), 0.3), (srf, 0.2), (srf.withColumn("f", (60 - F.col("wavelength")) / 60), 0.5)]
+    found = H.global_filter(srf, solar, [H.absorbing_filter(s, "f", amount) for s, amount in species], [2.0, 2.5], "band", "wavelength", "f")
+    return found.withColumn("f", F.round("f", 9))
+
+
 @query("""WITH g AS (SELECT p_size AS wavelength, CAST(CASE p_partkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 500 ELSE 1000 END AS DOUBLE) AS p, CAST(p_partkey % 4 * 50 + 150 AS DOUBLE) AS t, round(avg(p_retailprice), 6) AS sigma FROM part GROUP BY ALL),
 c AS (SELECT wavelength, p, t, sigma, (CASE p WHEN 500 THEN 0.6 WHEN 1000 THEN 0.4 ELSE 0 END) * (CASE t WHEN 250 THEN 0.74 WHEN 300 THEN 0.26 ELSE 0 END) AS w FROM g) SELECT wavelength, round(sum(sigma * w), 6) AS sigma FROM c GROUP BY 1""")
 def t4_cross_section(spark, sf):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import geo as G
 from ..operators import nearest as NE
 from ..operators import sampling as M
+from ..operators import select as SL
 from ..operators import series as SE
 from .bindings import BAND_PIXELS, SCENES, SITES, WIND, band_pixels, load, query, scenes, sites, wind
 
@@ -68,14 +68,7 @@ def p5_seasonal_split(spark, sf):
 
 @query(None)
 def p6_cluster_split(spark, sf):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(sites(spark, sf).select("site_id", "x", "y"))
-    clusters = KMeans(k=10, seed=7, maxIter=10).fit(rows).transform(rows).select("site_id", F.col("prediction").alias("cluster"))
-    order = Window.orderBy(F.sha2(F.col("cluster").cast("string"), 256))  # ten rows
-    sides = clusters.select("cluster").distinct().withColumn("side", F.when(F.row_number().over(order) <= 5, "train").otherwise("val"))
-    return clusters.join(F.broadcast(sides), "cluster")
+    return M.cluster_split(sites(spark, sf), "site_id", ["x", "y"], 10, 5, 7, 10)
 
 
 @query(f"WITH {SCENES} SELECT granule_id, CASE WHEN row_number() OVER (ORDER BY granule_id) <= floor((SELECT count(*) FROM scenes) * 0.8) THEN 'train' ELSE 'val' END AS side FROM scenes")
@@ -272,6 +265,19 @@ def t40_scene_plan(spark, sf):
     return scenes(spark, sf).groupBy(low.alias("cloud_min"), (low + 10).alias("cloud_max")).agg(F.count("*").alias("scenes"), F.count_distinct("tile").alias("tiles"))
 
 
+@query(f"WITH {SCENES} SELECT DISTINCT 0.0::DOUBLE AS cloud_min, 20.0::DOUBLE AS cloud_max, tile, CAST(acquired AS DATE) AS day FROM scenes")
+def t40_distinct_queries(spark, sf):
+    rows = scenes(spark, sf).withColumn("day", F.to_date("acquired"))
+    return SL.scene_plan(rows, ["tile", "day"], 20.0)
+
+
+@query(f"WITH {SCENES} SELECT floor(cloud_pct / 10) * 10 AS cloud_min, floor(cloud_pct / 10) * 10 + 10 AS cloud_max, tile, CAST(acquired AS DATE) AS day FROM scenes")
+def t40_bucket_queries(spark, sf):
+    low = F.floor(F.col("cloud_pct") / 10) * 10
+    rows = scenes(spark, sf).withColumns({"day": F.to_date("acquired"), "low": low, "high": low + 10})
+    return SL.scene_plan(rows, ["tile", "day"], 20.0, ("low", "high"))
+
+
 _SERIES = f"{WIND}, g AS (SELECT *, epoch_us(ts - lag(ts) OVER (PARTITION BY station ORDER BY ts, event_id)) / 1e6 AS gap FROM wind), ok AS (SELECT station, min(ts) AS t0, epoch_us(max(ts) - min(ts)) / 1e6 AS duration FROM g GROUP BY 1 HAVING max(gap) <= 120000)"
 
 

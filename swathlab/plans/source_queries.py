@@ -18,15 +18,21 @@ def s2_projected_read(spark, sf):
     return IO.scan_chips(spark, f"{sf}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-@query("SELECT o_orderkey, TRUE AS named, TRUE AS placed FROM orders")
+def _table_of(path):
+    """The table that a file belongs to."""
+    return F.regexp_extract(path, r"([a-z]+)\.parquet", 1).alias("source")
+
+
+@query("SELECT o_orderkey, 'orders' AS source, TRUE AS placed FROM orders")
 def s3_lineage(spark, sf):
     rows = IO.with_lineage(spark, f"{sf}/orders.parquet")
-    return rows.select("o_orderkey", F.col("file").endswith(".parquet").alias("named"), (F.col("block_start") >= 0).alias("placed"))
+    return rows.select("o_orderkey", _table_of("path"), (F.col("block_start") >= 0).alias("placed"))
 
 
-@query("SELECT count(*) AS n FROM lineitem")
+@query("SELECT 'lineitem' AS source, count(*) AS n FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part")
 def s4_rows_per_file(spark, sf):
-    return IO.rows_per_file(spark, f"{sf}/lineitem.parquet").agg(F.sum("n").alias("n"))
+    rows = IO.rows_per_file(spark, [f"{sf}/{t}.parquet" for t in ("lineitem", "orders", "part")])
+    return rows.groupBy(_table_of("path")).agg(F.sum("n").alias("n"))
 
 
 _CUSTOMER = "c_custkey long, c_name string, c_acctbal double"

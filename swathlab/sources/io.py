@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Iterator
 
@@ -43,13 +44,14 @@ def scan_chips(spark: SparkSession, path: str, columns: list[str] | None = None)
 
 
 def with_lineage(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with ``file`` (its name) and ``block_start``, the start of the part of the file they were read from."""
+    """Rows with ``path`` and ``file`` (its name), and ``block_start``, the start of the part of the file they were read from."""
     rows = spark.read.option("recursiveFileLookup", True).parquet(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block_start"))
+    return rows.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block_start"))
 
 
-def rows_per_file(spark: SparkSession, path: str) -> DataFrame:
-    return with_lineage(spark, path).groupBy("file").agg(F.count("*").alias("n"))
+def rows_per_file(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, file and n, the rows of each file under the paths. Files without rows are left out."""
+    return functools.reduce(DataFrame.union, [with_lineage(spark, p).groupBy("path", "file").agg(F.count("*").alias("n")) for p in paths])
 
 
 def read_csvs(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
