@@ -2,12 +2,13 @@
 
 Unit vectors are quantised to int8 with a scale of their own; the exact norm of what is lost bounds the error of
 every product: |u.v - u'.v'| <= |u'| |v - v'| + |u - u'|. Tiles hold the codes alone, and integer products tell
-pairs that surely reach the threshold from those that can't. Only the pairs in between fetch their vectors and are computed
-in double precision.
+pairs that surely reach the threshold from those that can't. Vectors with a pair in between go to the pair of tiles where it arose, and
+such pairs, no others, are computed there in double precision.
 
 Equal vectors are one row from the start. Vectors are dealt to tiles of about ``TILE_ROWS``
-by hash, and each pair of tiles is one bounded group. A group returns the number of sure links of each vector, a tie of
-each to the least vector that sure links reach, and the pairs in between.
+by hash, and each pair of tiles is one bounded group. A group returns the number of links of each vector, a tie of
+each to the least vector that its links reach, and the vectors with pairs in between. No pairs leave a group, so what it returns grows with its
+vectors, however dense they lie at the threshold.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import apart, materialize
 from .components import connected_components
@@ -29,6 +32,8 @@ _BLOCK = 1024
 _SLACK = 1e-9
 #: Components whose products 32-bit floats add up exactly: 1024 * 127 * 127 < 2**24.
 _EXACT = 1024
+#: Pairs computed in double precision at once.
+_PAIRS = 16384
 
 
 def usable(vector: Column) -> Column:
@@ -73,26 +78,27 @@ def _unit(vectors: pa.ListArray, n: int) -> np.ndarray:
 
 
 def quantised(classes: DataFrame) -> DataFrame:
-    """node, copies, length, code (int8 bytes), scale, lost of each vector; ``classes``: node, copies, vector."""
+    """``classes`` (node, copies, least, vector) with each vector's length, code (int8 bytes), scale, lost."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = batch.column(2).to_numpy()
+            lengths = pc.list_value_length(batch.column(3)).to_numpy()
             for length in np.unique(lengths):
                 some = batch.filter(pa.array(lengths == length))
                 codes, scale, lost = quantise(_unit(some.column(3), some.num_rows))
-                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(lost)], names=["node", "copies", "length", "code", "scale", "lost"])
+                added = [pa.array(np.full(some.num_rows, length, np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(lost)]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, "length", "code", "scale", "lost"])
 
-    return classes.select("node", "copies", F.size("vector").alias("length"), "vector").mapInArrow(run, "node bigint, copies bigint, length int, code binary, scale double, lost double")
+    given = classes.select("node", "copies", "least", "vector")
+    added = [T.StructField("length", T.IntegerType()), T.StructField("code", T.BinaryType()), T.StructField("scale", T.DoubleType()), T.StructField("lost", T.DoubleType())]
+    return given.mapInArrow(run, T.StructType([*given.schema.fields, *added]))
 
 
-def compare_tiles(codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sure links of each row, labels of what they join, left, right of the pairs in between) of the rows ``first`` and ``second`` (the same array: within it)."""
+def near_pairs(codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Block by block (left, right, whether they surely link) of the pairs of rows ``first`` and ``second`` (the same array: within it) that may reach the threshold."""
     whole = codes.astype(np.float32)
     size = np.linalg.norm(codes * scale[:, None], axis=1)
     within = first is second
-    links, labels = np.zeros(len(codes), np.int64), np.arange(len(codes))
-    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(first), _BLOCK):
         rows = first[at : at + _BLOCK]
         others = second[at:] if within else second
@@ -107,55 +113,51 @@ def compare_tiles(codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, copies
         left, right = rows[i], others[j]
         near = products[i, j].astype(np.float64) * scale[left] * scale[right]
         error = size[left] * lost[right] + lost[left] + _SLACK
-        sure = near - error >= threshold
-        maybe = (near + error >= threshold) & ~sure
-        lefts.append(left[maybe])
-        rights.append(right[maybe])
+        possible = near + error >= threshold
+        yield left[possible], right[possible], (near - error >= threshold)[possible]
+
+
+def compare_tiles(
+    codes: np.ndarray, scale: np.ndarray, lost: np.ndarray, copies: np.ndarray, first: np.ndarray, second: np.ndarray, threshold: float = THRESHOLD, unit: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(links of each row, labels of what they join, whether the row has pairs in between) of the rows ``first`` and ``second``.
+
+    Without ``unit`` the links are the sure ones; with the unit vectors they are those of the pairs in between, in double precision.
+    """
+    links, labels, between = np.zeros(len(codes), np.int64), np.arange(len(codes)), np.zeros(len(codes), bool)
+    for left, right, sure in near_pairs(codes, scale, lost, first, second, threshold):
+        between[left[~sure]] = between[right[~sure]] = True
+        if unit is not None:
+            left, right = left[~sure], right[~sure]
+            reached = [np.einsum("ij,ij->i", unit[left[k : k + _PAIRS]], unit[right[k : k + _PAIRS]]) >= threshold for k in range(0, len(left), _PAIRS)]
+            sure = np.concatenate([np.zeros(0, bool), *reached])
         left, right = left[sure], right[sure]
         links += np.bincount(left, copies[right], len(codes)).astype(np.int64) + np.bincount(right, copies[left], len(codes)).astype(np.int64)
         _forest(labels, left, right)
-    return links, labels, np.concatenate(lefts), np.concatenate(rights)
+    return links, labels, between
+
+
+_FOUND = "length int, low int, high int, tile int, node bigint, links bigint, other bigint, open boolean"
 
 
 def _group(tiles: pa.Table, threshold: float) -> pa.Table:
-    """Sure links (node, links, null, true), ties (node, null, other, true) and pairs in between (node, null, other, false) of one pair of tiles."""
+    """Rows of ``_FOUND`` of one pair of tiles: each vector that has links, is tied to another, or has pairs in between (``open``).
+
+    Tiles with a column ``vector`` hold such vectors only, and the links are those of their pairs in between.
+    """
     codes = np.frombuffer(b"".join(tiles.column("code").to_pylist()), np.int8).reshape(tiles.num_rows, -1)
     tile, node, copies, scale, lost = (tiles.column(c).to_numpy() for c in ("tile", "node", "copies", "scale", "lost"))
     first = np.flatnonzero(tile == tiles.column("low")[0].as_py())
     second = first if tiles.column("low")[0] == tiles.column("high")[0] else np.flatnonzero(tile == tiles.column("high")[0].as_py())
-    links, labels, left, right = compare_tiles(codes, scale, lost, copies, first, second, threshold)
+    settled = "vector" in tiles.column_names
+    unit = _unit(tiles.column("vector").combine_chunks(), tiles.num_rows) if settled else None
+    links, labels, between = compare_tiles(codes, scale, lost, copies, first, second, threshold, unit)
     least = node.copy()
     np.minimum.at(least, labels, node)
     least = least[labels]
-    some, tied = np.flatnonzero(links), np.flatnonzero(least != node)
-    n, k = len(some), len(some) + len(tied)
-    place = np.arange(k + len(left))
-    return pa.table(
-        {
-            "node": np.concatenate([node[some], node[tied], node[left]]),
-            "links": pa.array(np.concatenate([links[some], np.zeros(len(place) - n, np.int64)]), pa.int64(), mask=place >= n),
-            "other": pa.array(np.concatenate([np.zeros(n, np.int64), least[tied], node[right]]), pa.int64(), mask=place < n),
-            "sure": place < k,
-        }
-    )
-
-
-def _exact_links(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (node, other) those that reach the threshold in double precision: node, other and their copies."""
-    for end in ("node", "other"):
-        ends = classes.select(F.col("node").alias(end), F.col("copies").alias(f"{end}_copies"), F.col("vector").alias(f"{end}_vector"))
-        pairs = apart(pairs, end).join(apart(ends, end), [end, "_apart"]).drop("_apart")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = batch.column(6).to_numpy()
-            for length in np.unique(lengths):
-                some = batch.filter(pa.array(lengths == length))
-                left, right = (_unit(some.column(k), some.num_rows) for k in (4, 5))
-                yield some.filter(pa.array(np.einsum("ij,ij->i", left, right) >= threshold)).select(["node", "other", "node_copies", "other_copies"])
-
-    given = pairs.select("node", "other", "node_copies", "other_copies", "node_vector", "other_vector", F.size("node_vector").alias("length"))
-    return given.mapInArrow(run, "node bigint, other bigint, node_copies bigint, other_copies bigint")
+    some = (links > 0) | (least != node) | (between & (not settled))
+    columns = {c: tiles.column(c).filter(pa.array(some)) for c in ("length", "low", "high", "tile", "node")}
+    return pa.table(columns | {"links": links[some], "other": pa.array(least[some], pa.int64(), mask=(least == node)[some]), "open": (between & (not settled))[some]})
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -168,20 +170,20 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     marked = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     marked = marked.withColumn("node", F.when(usable(F.col("vector")), F.xxhash64("vector")))
     classes = marked.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.any_value("vector").alias("vector"))
-    classes = materialize(classes)
     codes = materialize(quantised(classes))
     # one row for each length of vectors
     tiles = codes.groupBy("length").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles"))
-    dealt = codes.join(F.broadcast(tiles) if tiles.count() <= 100_000 else tiles, "length").withColumn("tile", F.pmod("node", F.col("tiles")).cast("int"))
+    dealt = codes.drop("least", "vector").join(F.broadcast(tiles) if tiles.count() <= 100_000 else tiles, "length").withColumn("tile", F.pmod("node", F.col("tiles")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("length", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "copies", "code", "scale", "lost")
-    found = materialize(dealt.groupBy("length", "low", "high").applyInArrow(lambda table: _group(table, threshold), "node bigint, links bigint, other bigint, sure boolean"))
-    exact = materialize(_exact_links(found.where("not sure").select("node", "other"), classes, threshold))
-    linked = found.where("links is not null").select("node", "links").unionByName(exact.select("node", F.col("other_copies").alias("links"))).unionByName(exact.select(F.col("other").alias("node"), F.col("node_copies").alias("links")))
-    links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    ties = found.where("sure and other is not null").select("node", "other").distinct().unionByName(exact.select("node", "other"))
+    found = materialize(dealt.groupBy("length", "low", "high").applyInArrow(lambda table: _group(table, threshold), _FOUND))
+    pending = apart(found.where("open").select("length", "low", "high", "tile", "node"), "node").join(apart(codes.drop("length", "least"), "node"), ["node", "_apart"]).drop("_apart")
+    exact = materialize(pending.groupBy("length", "low", "high").applyInArrow(lambda table: _group(table, threshold), _FOUND))
+    both = found.unionByName(exact)
+    links = both.groupBy("node").agg(F.sum("links").alias("links"))
+    ties = both.where("other is not null").select("node", "other").distinct()
     roots = connected_components(ties, "node", "other")
-    known = classes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = codes.select("node", "copies", "least").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
     known = apart(known, "root").join(apart(least, "root"), ["root", "_apart"]).select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     known = materialize(known)

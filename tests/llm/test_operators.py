@@ -715,12 +715,42 @@ def test_quantisation_bound_holds():
     error = np.abs(unit @ unit.T - near @ near.T)
     bound = np.linalg.norm(near, axis=1)[:, None] * lost[None, :] + lost[:, None]
     assert (error <= bound + 1e-12).all()
-    links, _, left, right = vectors.compare_tiles(codes, scale, lost, np.ones(300, np.int64), np.arange(150), np.arange(150, 300), 0.2)
+    ends = np.arange(150), np.arange(150, 300)
+    links, _, open_ = vectors.compare_tiles(codes, scale, lost, np.ones(300, np.int64), *ends, 0.2)
     true = unit[:150] @ unit[150:].T >= 0.2
     between = np.zeros((150, 150), bool)
-    between[left, right - 150] = True
+    for left, right, sure in vectors.near_pairs(codes, scale, lost, *ends, 0.2):
+        between[left[~sure], right[~sure] - 150] = True
     assert between.any() and between.mean() < 0.2
     assert ((true & ~between).sum(1) == links[:150]).all() and ((true & ~between).sum(0) == links[150:]).all()
+    assert (open_ == np.concatenate([between.any(1), between.any(0)])).all()
+    # those with pairs in between settle them, and only them
+    more, labels, _ = vectors.compare_tiles(codes, scale, lost, np.ones(300, np.int64), *ends, 0.2, unit)
+    assert ((true & between).sum(1) == more[:150]).all() and ((true & between).sum(0) == more[150:]).all()
+    kept = np.flatnonzero(open_)
+    part, _, _ = vectors.compare_tiles(codes[kept], scale[kept], lost[kept], np.ones(len(kept), np.int64), np.flatnonzero(kept < 150), np.flatnonzero(kept >= 150), 0.2, unit[kept])
+    assert (part == more[kept]).all() and more.sum() == part.sum()
+
+
+def test_dense_vectors_at_the_threshold(spark):
+    """A cluster whose pairs nearly all lie within the error of the threshold: what leaves the groups grows with the vectors, not the pairs."""
+    rng = np.random.default_rng(11)
+    n = 240
+    noise = rng.normal(size=(n, 64))
+    noise -= noise[:, :1] * np.eye(64)[0]
+    noise /= np.linalg.norm(noise, axis=1)[:, None]
+    data = np.sqrt(0.95) * np.eye(64)[0] + np.sqrt(0.05) * noise  # cosines of 0.95 and a bit more or less
+    data = np.round(data, 6)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    found = {r["id"]: r["n_links"] for r in vectors.near_vectors(rows, tile_rows=64).collect()}
+    unit = data / np.linalg.norm(data, axis=1)[:, None]
+    near = unit @ unit.T
+    assert ((np.abs(near - 0.95) < 0.01) & ~np.eye(n, dtype=bool)).sum() > 0.3 * n * n
+    expected = ((near >= 0.95) & ~np.eye(n, dtype=bool)).sum(axis=1)
+    assert [found[i] for i in range(n)] == expected.tolist()
+    codes, scale, lost = vectors.quantise(unit)
+    table = pa.table({"length": np.full(n, 64, np.int32), "low": np.zeros(n, np.int32), "high": np.zeros(n, np.int32), "tile": np.zeros(n, np.int32), "node": np.arange(n), "copies": np.ones(n, np.int64), "code": [c.tobytes() for c in codes], "scale": scale, "lost": lost})
+    assert vectors._group(table, 0.95).num_rows <= n
 
 
 # -- op9 -----------------------------------------------------------------------------------
