@@ -23,15 +23,30 @@ def reverse_lookup(rows: DataFrame, table: DataFrame, frac: str, concentration:
     return interpolate_curve(rows, table, frac, frac, concentration, concentration)
 
 
+#: Rows of a grid, wavelengths by concentrations, that are broadcast; of a larger one each part is exchanged.
+GRID_LIMIT = 500_000
+
+
 def brightness_table(spectra: DataFrame, scenes: DataFrame, concentrations: DataFrame, sigma: str, weight: str, gamma: str, wavelength: str, scene: str) -> DataFrame:
-    """nB(c) = sum over wavelengths of filter * exp(-gamma * c * sigma): scene, conc, nb.
+    """nB(c) = sum over wavelengths of filter * exp(-gamma * c * sigma): scene, conc, nb. Scenes without gamma are left out.
 
-    Spectra and concentrations are crossed first (both of a bounded length), scenes join last.
+    Sums are made once for each distinct gamma, however many scenes have it. The gammas stay where they are, and the
+    grid goes to them: by broadcast up to ``GRID_LIMIT`` rows, else in parts that meet every gamma, whose sums are combined.
     """
-    grid = spectra.select(wavelength, F.col(sigma).alias("_s"), F.col(weight).alias("_w")).crossJoin(F.broadcast(concentrations))
-    gammas = scenes.groupBy(gamma).agg(F.first(scene).alias("_any")).drop("_any")
+    spark = spectra.sparkSession
+    gammas = scenes.where(F.col(gamma).isNotNull()).select(gamma).distinct()
+    n = spectra.count() * concentrations.count()
+    parts = 1 if n <= GRID_LIMIT else max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // GRID_LIMIT))
+    lines = spectra.select(wavelength, F.col(sigma).alias("_s"), F.col(weight).alias("_w"))
     value = F.sum(F.col("_w") * F.exp(-F.col(gamma) * F.col("conc") * F.col("_s"))).alias("nb")
-    per_gamma = grid.crossJoin(F.broadcast(gammas)).groupBy(gamma, "conc").agg(value)
+    if parts == 1:
+        grid = lines.crossJoin(F.broadcast(concentrations))
+        each = gammas.crossJoin(F.broadcast(grid))  # both sides counted
+    else:
+        part = F.pmod(F.xxhash64("conc", wavelength), F.lit(parts)).cast("int")
+        grid = lines.crossJoin(concentrations).withColumn("_part", part)
+        each = gammas.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(grid, "_part")
+    per_gamma = each.groupBy(gamma, "conc").agg(value)
     return scenes.select(scene, gamma).join(per_gamma, gamma).select(scene, "conc", "nb")
 
 

@@ -92,3 +92,17 @@ def test_cluster_split(spark):
     assert found == {i: (int(c), "train" if c in first else "val") for i, c in enumerate(which)}
     assert sampling.cluster_split(rows.limit(0), "id", ["x", "y"], k, 2, seed, rounds).count() == 0
     assert {r["cluster"] for r in sampling.cluster_split(rows.where("id < 3"), "id", ["x", "y"], k, 2, seed, rounds).collect()} == {0, 1, 2}
+
+
+def test_brightness_of_a_grid_that_is_exchanged(spark, monkeypatch):
+    """Small and large grids give the same table, that of NumPy."""
+    rng = np.random.default_rng(9)
+    sigma, weight = rng.uniform(0, 1, 30), rng.uniform(0, 1, 30)
+    spectra = spark.createDataFrame([(float(i), float(s), float(w)) for i, (s, w) in enumerate(zip(sigma, weight, strict=True))], "w double, s double, f double")
+    scenes = spark.createDataFrame([(i, None if i == 6 else 2.0 + i % 3) for i in range(7)], "scene int, gamma double")
+    conc = spark.createDataFrame([(0.0,), (0.5,), (2.0,)], "conc double")
+    for limit in (500_000, 10):
+        monkeypatch.setattr(physics, "GRID_LIMIT", limit)
+        found = {(r["scene"], r["conc"]): r["nb"] for r in physics.brightness_table(spectra, scenes, conc, "s", "f", "gamma", "w", "scene").collect()}
+        expected = {(i, c): (weight * np.exp(-(2.0 + i % 3) * c * sigma)).sum() for i in range(6) for c in (0.0, 0.5, 2.0)}
+        assert set(found) == set(expected) and all(found[k] == pytest.approx(v) for k, v in expected.items())
