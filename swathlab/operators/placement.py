@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,11 @@ VISIBLE = 0.8
 _PRIME, _STEP = 2**31 - 1, 48271
 #: Places whose visible mass is computed at once.
 _BLOCK = 64
+#: Pixels of the chips whose plumes are placed at once.
+_SLICE = 1 << 16
 _PLACED = "array<struct<order: int, plume_id: long, row: int, col: int, flipped: boolean, share: double, allowed: double, at: array<int>, mass: array<double>>>"
+_ARROW_PLACED = pa.list_(pa.struct([("order", pa.int32()), ("plume_id", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("flipped", pa.bool_()), ("share", pa.float64()),
+                                    ("allowed", pa.float64()), ("at", pa.list_(pa.int32())), ("mass", pa.list_(pa.float64()))]))
 
 
 def place_keys(seed: int, places: int) -> np.ndarray:
@@ -124,20 +128,34 @@ def _record(order, plume_id, row, col, flipped, share, allowed, side, r0, c0, sh
     return dict(zip(names, (order, plume_id, row, col, flipped, share, allowed, at.tolist(), mass[inside].tolist()), strict=True))
 
 
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The arrays of a column of arrays; a null one is empty."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
+
+
 def _placing(place: Callable, width: int, parameter: object) -> Callable[..., Column]:
-    @F.pandas_udf(_PLACED)
-    def run(blocked: pd.Series, nodata: pd.Series, orders: pd.Series, ids: pd.Series, heights: pd.Series, widths: pd.Series, values: pd.Series, seeds: pd.Series) -> pd.Series:
-        out = []
-        for b, e, *lists, flat, seed in zip(blocked, nodata, orders, ids, heights, widths, values, seeds, strict=True):
-            plumes, start = [], 0
-            for order, plume_id, h, w, s in zip(*lists, seed, strict=True):
-                plumes.append((int(order), int(plume_id), trimmed(np.asarray(flat[start : start + h * w], float).reshape(h, w)), int(s)))
-                start += h * w
-            shape = (-1, width)
-            out.append(place(np.asarray(b, bool).reshape(shape), np.asarray(e, bool).reshape(shape), plumes, parameter) if len(b) else [])
-        return pd.Series(out, dtype=object)
-
-    return run
+    """The places of a batch's plumes, found in slices of about ``_SLICE`` pixels, so that no more of them than a slice's are Python objects at once."""
+
+    @F.arrow_udf(_PLACED)
+    def run(blocked: pa.Array, nodata: pa.Array, orders: pa.Array, ids: pa.Array, heights: pa.Array, widths: pa.Array, values: pa.Array, seeds: pa.Array) -> pa.Array:
+        columns = (blocked, nodata, orders, ids, heights, widths, values, seeds)
+        step = max(1, _SLICE * len(blocked) // max(1, len(blocked.flatten())))
+        parts = [pa.array([], _ARROW_PLACED)]
+        for first in range(0, len(blocked), step):
+            out = []
+            for b, e, *lists, flat, seed in zip(*[_lists(c.slice(first, step)) for c in columns], strict=True):
+                plumes, start = [], 0
+                for order, plume_id, h, w, s in zip(*lists, seed, strict=True):
+                    plumes.append((int(order), int(plume_id), trimmed(np.asarray(flat[start : start + h * w], float).reshape(h, w)), int(s)))
+                    start += h * w
+                shape = (-1, width)
+                out.append(place(np.asarray(b, bool).reshape(shape), np.asarray(e, bool).reshape(shape), plumes, parameter) if len(b) else [])
+            parts.append(pa.array(out, _ARROW_PLACED))
+        return pa.concat_arrays(parts)
+
+    # nor is it run twice: once for the filter that an explode of it brings, which would be pushed below it, and once for its rows
+    return run.asNondeterministic()
 
 
 def with_plumes(chips: DataFrame, wanted: DataFrame, library: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,21 @@ def test_a_large_raster_needs_no_pairs():
     assert 700 <= row <= 720 and 300 <= col <= 320 and (share, limit) == (0.0, 0.0)
     row, col, _, share = PL.first_visible(~blocked, plume, 12345, 0.8)
     assert share >= 0.8 and not blocked[row, col]
+
+
+def test_plumes_are_placed_once_and_in_slices(spark, monkeypatch):
+    """An explode's filter doesn't run the placing again, and slices of any size give the same."""
+    one = "array<struct<order: int, plume_id: long, height: int, width: int, seed: long, values: array<double>>>"
+    chips = spark.createDataFrame([(1, [False] * 4, [False] * 4, [])], f"{KEYS}, plumes {one}")
+    pixels = PL.placed_pixels(PL.place_by_source(chips, F.col("blocked"), F.col("nodata"), 2), ["chip"], 2)
+    assert pixels._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
+    rng = np.random.default_rng(6)
+    masks = pa.array([*(rng.random((7, 6)) < 0.2).tolist(), [], None])
+    lists = lambda *x: pa.array([list(x)] * 9)
+    columns = (masks, masks, lists(1, 2), lists(7, 8), lists(1, 2), lists(2, 1), pa.array([[1.0, 2.0, 3.0, 4.0]] * 9), lists(5, 6))
+    monkeypatch.setattr(PL, "_SLICE", 1 << 20)
+    whole = PL._placing(PL._within_limits, 3, (0.3, 1.0)).func(*columns)
+    for pixels_ in (1, 13):
+        monkeypatch.setattr(PL, "_SLICE", pixels_)
+        assert PL._placing(PL._within_limits, 3, (0.3, 1.0)).func(*columns).equals(whole)
+    assert len(whole) == 9 and max(map(len, whole.to_pylist())) == 2
