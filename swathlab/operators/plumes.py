@@ -18,6 +18,9 @@ from .physics import forward_lookup
 MAD_TO_SIGMA, Z95 = 1.4826, 1.96
 METHOD_ERROR, WIND_ERROR = 0.13, 0.32
 
+#: Pixels that are labelled at once.
+SLICE = 1 << 16
+
 
 def hysteresis_labels(probability: np.ndarray, marker: float, floor: float) -> np.ndarray:
     """Labels of rasters (n, H, W): 8-connected pixels at or above the floor that hold one at or above the marker.
@@ -114,6 +117,14 @@ def _rasters(lists: pa.Array, size: int) -> Iterator[np.ndarray | None]:
         yield None if not x.is_valid else np.nan_to_num(np.array(x.values.to_numpy(zero_copy_only=False), np.float64), nan=-np.inf, posinf=np.inf, neginf=-np.inf).reshape(size, size)
 
 
+def slices(batches: Iterator[pa.RecordBatch], pixels: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of rows (of so many pixels each) that have ``SLICE`` pixels at most, or one row."""
+    step = max(1, SLICE // pixels)
+    for batch in batches:
+        for first in range(0, batch.num_rows, step):
+            yield batch.slice(first, step)
+
+
 def component_areas(chips: DataFrame, keep: tuple[str, ...], raster: str, size: int, pairs: list[tuple[float, float]]) -> DataFrame:
     """One row per chip: the ``keep`` columns and areas, the number of pixels in components for each (marker, floor).
 
@@ -173,7 +184,8 @@ def label_chips(chips: DataFrame, chip: str, raster: str, size: int, marker: flo
     """One row per pixel of a component: chip, row, col, label, the pixel's ``values`` (columns of arrays like the raster) and
     the chip's ``keep`` columns. ``raster``: probabilities of one band, row-major.
 
-    A chip is labelled within its row, and takes its values along, so nothing is exchanged or joined and work grows with the chips.
+    A chip is labelled within its row, and takes its values along, so nothing is exchanged or joined and work grows with the chips;
+    a batch is labelled in slices, so memory doesn't grow with it.
     Null rasters have no components; null and NaN pixels are in none; null arrays have null values.
     """
     fields = {f.name: f.dataType for f in chips.schema}
@@ -183,7 +195,7 @@ def label_chips(chips: DataFrame, chip: str, raster: str, size: int, marker: flo
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, size * size):
             batch = batch.filter(batch.column(1).is_valid())
             pixels = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size, size)
             labels = hysteresis_labels(np.nan_to_num(pixels, nan=-np.inf), marker, floor)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,3 +72,19 @@ def test_rows_and_columns_without_signal_go(spark):
         assert np.allclose([np.nan if v is None else v for v in found["values"]], cut.ravel(), equal_nan=True)
     plan = spark.createDataFrame([([1.0],)], "v array<double>").select(F.explode(raster.running("v", 1, 1)))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_chips_are_labelled_in_slices(spark):
+    """A batch of many chips is labelled a slice at a time (null ones too), with the rows of one pass over all."""
+    rng = np.random.default_rng(8)
+    rasters = [None if i % 97 == 0 else rng.random(64).tolist() for i in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2500))], names=["chip"])
+    parts = [b.column(0).to_pylist() for b in plumes.slices(iter([batch]), 64)]
+    assert max(map(len, parts)) * 64 <= plumes.SLICE and sum(parts, []) == list(range(2500))
+    assert [b.num_rows for b in plumes.slices(iter([batch.slice(0, 3)]), 2 * plumes.SLICE)] == [1, 1, 1]
+    values = [None if i % 89 == 0 else [float(64 * i + k) for k in range(64)] for i in range(2500)]
+    chips = spark.createDataFrame(list(zip(range(2500), rasters, values, strict=True)), "chip long, raster array<double>, value array<double>").coalesce(1)
+    found = {(r["chip"], r["row"], r["col"]): (r["label"], r["value"]) for r in plumes.label_chips(chips, "chip", "raster", 8, 0.9, 0.7, values=("value",)).collect()}
+    labels = plumes.hysteresis_labels(np.array([[-1.0] * 64 if r is None else r for r in rasters]).reshape(-1, 8, 8), 0.9, 0.7)
+    which = np.argwhere(labels)
+    assert found == {(i, r, c): (labels[i, r, c], None if values[i] is None else values[i][8 * r + c]) for i, r, c in which.tolist()}
