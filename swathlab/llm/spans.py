@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import apart, materialize, row_key, spread
+from .common import apart, drop_folder, materialize, row_key, spread, stored
 
 MIN_SENTENCES = 2
 MIN_WORDS = 16
@@ -108,9 +108,12 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind are then brought together by joins that adaptive execution can split for a passage that many documents share.
     """
     kind = ["high", "low"]
-    found = materialize(span_table(spread(docs), id_col, text_col, min_sentences, min_words))
+    found, folder = stored(span_table(spread(docs), id_col, text_col, min_sentences, min_words))
     counts = found.groupBy(*kind).agg(F.count("*").alias("n")).where("n > 1").select(*kind)
-    shared = materialize(apart(found, *kind).join(apart(counts, *kind), [*kind, "_apart"]).drop("_apart"))
+    # as ``apart`` does, by a column that takes hardly any room next to the hash
+    sided = [rows.withColumn("_apart", F.shiftright("high", 63)) for rows in (found, counts)]
+    shared = materialize(sided[0].join(sided[1], [*kind, "_apart"]).drop("_apart"))
+    drop_folder(docs.sparkSession, folder)  # all spans, most of them in one place only
     ids = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("id")).dropDuplicates(["row_key"])
     shared = apart(shared, "row_key").join(apart(ids, "row_key"), ["row_key", "_apart"]).select(*kind, "id", "row_key", "place")
     order = F.struct(F.col("id").isNotNull().alias("known"), "id", "row_key", "place")

@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from swathlab.llm import components, decontamination, language, licenses, mixing, near_copies, pii, quality, sharding, simhash, spans, vectors
+from swathlab.llm.common import ensure_checkpoint_dir
 
 from .conftest import awkward_rows, vocabulary
 
@@ -454,6 +456,20 @@ def test_spans(spark, awkward, nothing):
     assert spans.remove_repeats(nothing).count() == 0
 
 
+def test_spans_that_stay_alone_leave_nothing_on_disk(spark):
+    """All spans are on the shared disk only until the repeated ones are known."""
+    texts = [" ".join(" ".join(f"w{d}x{s}y{k}" for k in range(9)) + "." for s in range(40)) for d in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7]])], "doc_id int, text string")
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = held()
+    gone = {r["doc_id"]: (r["n_removed"], r["n_shared"]) for r in spans.remove_repeats(docs).collect()}
+    rows = spans.span_table(docs, "doc_id", "text").count()
+    assert gone == {i: (40, 40) if i == 60 else (0, 0) for i in range(61)}
+    assert rows > 2000 and held() - before < 16 * rows
+    assert not list(folder.glob("stored-*"))
+
+
 # -- op5 -----------------------------------------------------------------------------------
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
